@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .common import table
+from .secrets import scan_secrets
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -20,8 +21,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), owner="source", repository="concat_ws('/', source, lang)")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_bpe": op8_bpe}
+    return {"op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
