@@ -10,6 +10,7 @@ from .bpe import bpe_encode
 from .common import table
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
+from .substring_dedup import substring_dedup
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -30,9 +31,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+    return {"op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": op6_quality, }
+    return {"op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, }
