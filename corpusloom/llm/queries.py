@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .common import table
+from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
@@ -35,9 +36,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+    return {"op3_ngram_join": op3_ngram_join, "op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, }
+    return {"op3_ngram_join": op3_ngram_join, "op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, }
