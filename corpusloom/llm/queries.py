@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, url_filter
 from .bpe import bpe_encode
 from .common import table
+from .nearest import nearest
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
@@ -20,29 +23,51 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"), owner="source", repository="concat_ws('/', source, lang)")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(url_filter.page_captures(pages), url_filter.page_entries(pages)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(table(spark, sf_dir, "documents"))
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), owner="source", repository="concat_ws('/', source, lang)")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_ngram_join": op3_ngram_join, "op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, "op8_bpe": op8_bpe, "op10_secrets": op10_secrets}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op3_ngram_join": op3_ngram_join,
+        "op4_mixing": op4_mixing,
+        "op5_url_filter": op5_url_filter,
+        "op6_quality": op6_quality,
+        "op8_bpe": op8_bpe,
+        "op9_nearest": op9_nearest,
+        "op10_secrets": op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": op3_ngram_join, "op1_substring_dedup": op1_substring_dedup, "op6_quality": op6_quality, }
+    return {"op4_mixing": mixing.sql(), "op5_url_filter": url_filter.SQL}
