@@ -15,6 +15,7 @@ from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
+from .toxicity import score_toxicity
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -44,6 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_url_filter": op5_url_filter,
         "op6_quality": op6_quality,
+        "op7_toxicity": op7_toxicity,
         "op8_bpe": op8_bpe,
         "op9_nearest": op9_nearest,
         "op10_secrets": op10_secrets,
