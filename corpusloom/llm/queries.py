@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import mixing, url_filter
 from .bpe import bpe_encode
 from .common import table
+from .cotraining import classify_quality
 from .nearest import nearest
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
@@ -28,6 +29,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_ngram_join": op3_ngram_join,
         "op4_mixing": op4_mixing,
         "op5_url_filter": op5_url_filter,
