@@ -14,7 +14,8 @@ if they also meet under the second and the third. The steps:
    fitting length. Larger groups give links to a pivot and to neighbours in length.
 4. Verification of the pairs on their whole texts; components of the links found.
 5. In larger groups that are not one component yet, all pairs across components are verified too,
-   so no link between components is lost.
+   so no link between components is lost. Of these, pairs are left out whose tokens known to any
+   other document of such groups are too few for a link.
 
 Null texts and texts without words have empty sets and link with nothing. A row without an id links
 with nothing. Repeated ids with equal texts are one class; each row is returned.
@@ -81,6 +82,29 @@ class Orders:
         return doc[keep], tokens[keep]
 
 
+def shared_tokens(texts: DataFrame, k: int, buckets: int) -> DataFrame:
+    """(id, s): how many of a document's tokens some other document of `texts` (id, z: compressed text) holds too."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "z", 1 << 20):
+            doc, tokens = shingle_sets(pa.array([zlib.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.large_string()), k)
+            order = np.argsort(tokens, kind="stable")
+            tokens, ids = tokens[order], batch.column("id").to_numpy()[doc[order]]
+            cuts = np.searchsorted(cells(tokens, 8), np.arange(buckets + 1) * 256 // buckets)
+            rows = [(i, tokens[a:b].tobytes(), ids[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2))], names=["bucket", "token", "ids"])
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        token, ids = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64)))
+        _, which, times = np.unique(token, return_inverse=True, return_counts=True)
+        known, n = np.unique(ids[times[which] > 1], return_counts=True)
+        return pd.DataFrame({"id": known, "s": n})
+
+    counted = texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "id bigint, s bigint")
+    return counted.groupBy("id").agg(F.sum("s").alias("s"))
+
+
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 32, buckets: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
 
@@ -229,9 +253,14 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if groups.take(1):
         placed = cut(groups.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c")))
         split = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
-        rest = placed.join(split, "token", "left_semi")
-        left, right = rest.selectExpr("token", "id AS x", "n AS nx", "c AS cx"), rest.selectExpr("token", "id AS y", "n AS ny", "c AS cy")
+        rest = cut(placed.join(split, "token", "left_semi"))
+        # no partner can share more of x than the tokens of x that any other document of these groups holds
+        bound = shared_tokens(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, buckets)
+        rest = rest.join(bound, "id").where(_PERCENT * F.col("s") >= percent * F.col("n"))
+        left, right = rest.selectExpr("token", "id AS x", "n AS nx", "s AS sx", "c AS cx"), rest.selectExpr("token", "id AS y", "n AS ny", "s AS sy", "c AS cy")
+        most = F.least("sx", "sy")
         near = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (_PERCENT * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+        near = near & (_PERCENT * most >= percent * (F.col("nx") + F.col("ny") - most))
         across = left.join(right, "token").where(near).select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
         reached = components(edges.unionByName(links(across)))
     named = member.join(reached, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
