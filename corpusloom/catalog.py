@@ -5,15 +5,759 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import codec, text
+from .operators import budget, dedup, grounding, reports, retrieval, scan, trace, training
+from .plans import corpus
+from .sources import records
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query by its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """A SQL VALUES table of literal rows."""
+    one = lambda v: "NULL" if v is None else ("'" + v.replace("'", "''") + "'") if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# --- filters, budgets, splits -------------------------------------------------------------------------
+
+
+@query(f"""SELECT doc_id, length(t) AS n, strlen(t)::BIGINT AS n_bytes FROM (SELECT doc_id, {STRIP.format("text")} AS t FROM documents) s
+WHERE length(t) >= 300 AND strlen(t) BETWEEN 120 AND 3000000""")
+def doc_len_filter(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.strip(F.col("text")).alias("t"))
+    d = d.where(text.length_between(F.col("t"), 300) & text.length_between(F.col("t"), 120, 3_000_000, "bytes"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n"), F.octet_length("t").cast("long").alias("n_bytes"))
+
+
+@query("""SELECT doc_id, lang, n_bytes FROM (SELECT doc_id, lang, strlen(text)::BIGINT AS n_bytes,
+  coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  FROM documents WHERE lang IN ('fr', 'de') AND length(text) >= 120) t WHERE b < 100000""")
+def lang_filter_budget(spark, sf):
+    d = table(spark, sf, "documents").where(F.col("lang").isin("fr", "de") & text.length_between(F.col("text"), 120))
+    d = d.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"))
+    return budget.budget_prefix(d, F.col("n_bytes"), 100_000, "doc_id", budget.range_bucket(d, "doc_id"))
+
+
+@query("""SELECT doc_id, source, n FROM (SELECT doc_id, source, length(text)::BIGINT AS n,
+  coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) t WHERE b < 20000""")
+def budget_trim(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", F.length("text").cast("long").alias("n"))
+    return budget.budget_prefix(d, F.col("n"), 20_000, "doc_id", budget.range_bucket(d, "doc_id", 64), ["source"])
+
+
+@query("""SELECT doc_id, CASE WHEN b < (SELECT floor(sum(length(text)) * 0.01) FROM documents) THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id,
+  coalesce(sum(length(text)) OVER (ORDER BY md5('42:' || doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) t""")
+def train_val_chars(spark, sf):
+    return budget.split_by_chars(table(spark, sf, "documents").select("doc_id", "text"), 0.01, "text", "doc_id").select("doc_id", "split")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN r <= greatest(1, floor(n * 0.02)) THEN 'val' ELSE 'train' END AS split FROM (SELECT conv_id, turn, count(*) OVER () AS n,
+  row_number() OVER (ORDER BY md5('42:' || conv_id::VARCHAR || ':' || turn::VARCHAR)) AS r FROM conversations) t""")
+def train_val_rows(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn")
+    return budget.split_by_rows(c, 0.02, F.md5(F.concat(F.lit("42:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))))
+
+
+@query("""SELECT doc_id, ((r - 1) // 100 + 1)::BIGINT AS shard, 'korpus_' || lpad(((r - 1) // 100 + 1)::VARCHAR, 4, '0') AS shard_name
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) t""")
+def shard_assign(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id")
+    return budget.assign_shards(d, "doc_id", budget.range_bucket(d, "doc_id"), 100)
+
+
+@query("""SELECT sum(n)::BIGINT AS total_docs, round(sum(c) / 1e9, 3) AS total_gb, ceil(sum(n) / 100)::BIGINT AS shards, string_agg(source || '=' || n::VARCHAR, ',' ORDER BY source || '=' || n::VARCHAR) AS sources
+FROM (SELECT source, count(*) AS n, sum(length(text)) AS c FROM documents GROUP BY source) t""")
+def manifest(spark, sf):
+    return budget.manifest(table(spark, sf, "documents"), "source", "text", 100)
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 150")
+def hash_sample(spark, sf):
+    return budget.hash_sample(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", 42, 150)
+
+
+@query("SELECT doc_id, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 20")
+def page_slice(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return d.orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(10)
+
+
+# --- deduplication ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, source, lang, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
+def exact_dedup(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("_md5"))
+    return dedup.keep_first(d, "_md5", ["doc_id"]).drop("_md5")
+
+
+_PARTS = "SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) s"
+
+
+@query(f"""WITH parts AS ({_PARTS}),
+keyed AS (SELECT *, lower({STRIP.format("regexp_replace(p, '\\s+', ' ', 'g')")}) AS k FROM parts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN length(k) >= 80 THEN md5(k) ELSE doc_id::VARCHAR || ':' || pos::VARCHAR END ORDER BY doc_id, pos) AS r FROM keyed),
+kept AS (SELECT doc_id, {STRIP.format("string_agg(p, chr(10) ORDER BY pos)")} AS t FROM ranked WHERE r = 1 GROUP BY doc_id)
+SELECT doc_id, length(t) AS n, md5(t) AS text_md5 FROM kept WHERE length(t) >= 200""")
+def para_dedup(spark, sf):
+    d = dedup.dedup_paragraphs(table(spark, sf, "documents"), id_col="doc_id", text_col="text", order=["doc_id"], sep="\n")
+    return d.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("text_md5"))
+
+
+_CAPS = {"src0": 8, "src3": 5, "src5": 6, "src8": 7}
+
+
+def _caps_sql() -> str:
+    steps, seen = [], []
+    for s, cap in _CAPS.items():
+        anti = "".join(f" AND k NOT IN (SELECT k FROM {x})" for x in seen)
+        steps.append(
+            f"{s} AS (SELECT * FROM (SELECT doc_id, source, n_chars, k FROM keyed WHERE source = '{s}'{anti} "
+            f"QUALIFY row_number() OVER (PARTITION BY k ORDER BY n_chars DESC, doc_id) = 1) t ORDER BY n_chars DESC, doc_id LIMIT {cap})"
+        )
+        seen.append(s)
+    return "WITH keyed AS (SELECT *, md5(substr(text, 1, 1000)) AS k FROM documents), " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT doc_id, source, n_chars FROM {s}" for s in seen)
+
+
+@query(_caps_sql())
+def prefix_dedup_cap(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars")
+    return dedup.capped_unique(d, _CAPS, source_col="source", id_col="doc_id", text_col="text", size_col="n_chars").select("doc_id", "source", "n_chars")
+
+
+_PAIRS = """(SELECT conv_id, turn, text AS instruction, response FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS response FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) s WHERE role = 'user' AND next_role = 'assistant') p"""
+
+
+@query(f"SELECT conv_id, turn FROM {_PAIRS} QUALIFY row_number() OVER (PARTITION BY lower(instruction) ORDER BY conv_id, turn) = 1")
+def turn_dedup(spark, sf):
+    p = trace.turn_pairs(table(spark, sf, "conversations"))
+    return dedup.keep_first(p, F.lower("instruction"), ["conv_id", "turn"]).select("conv_id", "turn")
+
+
+@query(f"SELECT conv_id, turn FROM {_PAIRS} WHERE length({STRIP.format('instruction')}) BETWEEN 1 AND 600 AND length({STRIP.format('response')}) BETWEEN 10 AND 1500")
+def instr_filter(spark, sf):
+    p = trace.turn_pairs(table(spark, sf, "conversations"))
+    return p.where(text.instruction_bounds(F.col("instruction"), F.col("response"))).select("conv_id", "turn")
+
+
+@query("""SELECT 'documents' AS kind, doc_id::VARCHAR AS id, length(text) AS n FROM documents UNION ALL SELECT 'pages', page_id::VARCHAR, length(html) FROM pages
+UNION ALL SELECT 'conversations', conv_id::VARCHAR || ':' || turn::VARCHAR, length(text) FROM conversations""")
+def source_union(spark, sf):
+    one = lambda name, id_, c: table(spark, sf, name).select(F.lit(name).alias("kind"), id_.alias("id"), F.length(c).cast("long").alias("n"))
+    s = lambda c: F.col(c).cast("string")
+    return grounding.union_all(one("documents", s("doc_id"), "text"), one("pages", s("page_id"), "html"), one("conversations", F.concat_ws(":", s("conv_id"), s("turn")), "text"))
+
+
+_SLUGS = [(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, "c")]
+
+
+@query("SELECT * FROM " + values([(1, "a"), (2, "a-2"), (3, "b"), (4, "a-3"), (5, "c")], "id, slug"))
+def slug_collisions(spark, sf):
+    return dedup.unique_slugs(spark.createDataFrame(_SLUGS, "id int, slug string"), "slug", "id")
+
+
+# --- cleaning -----------------------------------------------------------------------------------------
+
+_HTML = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT page_id, length(t) AS n, md5(t) AS text_md5 FROM (SELECT page_id, {STRIP.format(_HTML)} AS t FROM pages) s")
+def html_clean(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", text.clean_html(F.col("html")).alias("t"))
+    return p.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("text_md5"))
+
+
+_MD2 = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?s)```.*?```', ' [kod] ', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '<[^>]+>', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({_MD2.format('html')}) AS text_md5 FROM pages")
+def html_strip(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(text.clean_markdown(F.col("html"), "retrieve")).alias("text_md5"))
+
+
+_MD = [(1, "a <!-- gone\ntoo --> b"), (2, "![pic](x.png) see [the page](http://x/y) now"), (3, "```py\nx = 1\n```\n<b>bold</b>"), (4, "plain"), (5, "")]
+
+
+@query(
+    r"SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g') AS prepared, "
+    + _MD2.format("text") + " AS retrieved FROM " + values(_MD, "id, text")
+)
+def md_clean(spark, sf):
+    d = spark.createDataFrame(_MD, "id int, text string")
+    return d.select("id", text.clean_markdown(F.col("text")).alias("prepared"), text.clean_markdown(F.col("text"), "retrieve").alias("retrieved"))
+
+
+_RST = [(1, "See :func:`open` now::\n\n  x"), (2, ":ref:`title <target>` and :mod:`~a.b`"), (3, "text\n.. note:: hidden\nmore"), (4, "  .. comment\nkept")]
+
+
+@query("SELECT * FROM " + values([
+    (1, "See open now::\n\n  x", "See open now:\n\n  x"), (2, "title <target> and ~a.b", "title and a.b"),
+    (3, "text\nmore", "text\n\nmore"), (4, "kept", "\nkept"),
+], "id, prepared, retrieved"))
+def rst_clean(spark, sf):
+    d = spark.createDataFrame(_RST, "id int, text string")
+    return d.select("id", text.clean_rst(F.col("text")).alias("prepared"), text.clean_rst(F.col("text"), "retrieve").alias("retrieved"))
+
+
+_CTRL = [(1, "a\tb\nc\rd"), (2, "bell\x07end"), (3, "zero​width"), (4, "  two  spaces "), (5, "")]
+
+
+@query(rf"""SELECT id, t AS clean, {STRIP.format("regexp_replace(t, '[[:space:]]+', ' ', 'g')")} AS collapsed FROM (SELECT id, regexp_replace(translate(text, chr(10) || chr(13) || chr(9), '   '), '\p{{C}}', '', 'g') AS t FROM {values(_CTRL, "id, text")}) s""")
+def ctrl_clean(spark, sf):
+    d = spark.createDataFrame(_CTRL, "id int, text string")
+    return d.select("id", text.strip_control(F.col("text")).alias("clean"), text.strip_control(F.col("text"), True).alias("collapsed"))
+
+
+_GLYPHS = [(1, "Аpple сat"), (2, "şifre güvenli"), (3, "mixеd Ə ə"), (4, "plain")]
+
+
+@query(f"""SELECT id, translate(text, '{"".join(text.HOMOGLYPHS)}', '{"".join(text.HOMOGLYPHS.values())}') AS folded, len(regexp_extract_all(text, '[Ѐ-ӿəƏ]'))::BIGINT AS foreign_chars FROM {values(_GLYPHS, "id, text")}
+UNION ALL SELECT doc_id + 100, md5(translate(text, '{"".join(text.HOMOGLYPHS)}', '{"".join(text.HOMOGLYPHS.values())}')), len(regexp_extract_all(text, '[Ѐ-ӿəƏ]'))::BIGINT FROM documents""")
+def homoglyph_fold(spark, sf):
+    one = lambda d, c, f: d.select(c.cast("long").alias("id"), f(text.fold_homoglyphs(F.col("text"))).alias("folded"), text.foreign_count(F.col("text")).cast("long").alias("foreign_chars"))
+    return one(spark.createDataFrame(_GLYPHS, "id int, text string"), F.col("id"), lambda x: x).unionByName(one(table(spark, sf, "documents"), F.col("doc_id") + 100, F.md5))
+
+
+_TITLE = rf"coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda s: {STRIP.format(r"regexp_replace(" + STRIP.format("s") + r", '^#+', '')")}), lambda s: s <> '')[1], 1, 120), 'untitled')"
+
+
+@query(f"SELECT doc_id, {_TITLE} AS title FROM documents")
+def doc_title(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.doc_title(F.col("text"), F.lit("untitled")).alias("title"))
+
+
+_DASH = r"regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(
+    "SELECT doc_id, "
+    + r"regexp_replace(substr(" + _DASH.format(r"regexp_replace(translate(" + _TITLE + r", 'çğıöşüÇĞİÖŞÜ', 'cgiosuCGIOSU'), '[()]', '', 'g')") + r", 1, 48), '^-+|-+$', '', 'g') AS slug FROM documents"
+)
+def title_slug(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.title_slug(text.doc_title(F.col("text"), F.lit("untitled"))).alias("slug"))
+
+
+_URLPATH = r"regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
+
+
+@query(rf"""SELECT page_id, CASE WHEN slug = '' THEN 'doc' ELSE slug END AS slug FROM (SELECT page_id, substr({_DASH.format("regexp_replace(array_to_string(parts[greatest(1, len(parts) - 2):], '-'), '(?i)\\.(md|markdown|rst|mdx)$', '')")}, 1, 60) AS slug
+FROM (SELECT page_id, list_filter(string_split({_URLPATH}, '/')[2:], lambda s: s <> '') AS parts FROM pages) t) t""")
+def url_slug(spark, sf):
+    path = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
+    return table(spark, sf, "pages").select("page_id", text.path_slug(path).alias("slug"))
+
+
+_CODES1 = "|".join(sorted(text.CODES_V1, key=len, reverse=True))
+
+
+@query(rf"""SELECT page_id, list_has_any(s, [{quoted(text.CODES_V1)}]) OR len(list_filter(s, lambda x: regexp_matches(x, '^[a-z]{{2}}([-_][a-z]{{2,4}})?$') AND x NOT IN ({quoted(text.NOT_LANGUAGES)}))) > 0
+  OR regexp_matches(regexp_replace(s[-1], '\.[^.]*$', ''), '[._-]({_CODES1})([._-][a-z]+)?$') AS v1,
+  NOT list_contains(s, 'en') AND list_has_any(s, [{quoted(text.CODES_V2)}]) AS v2,
+  NOT list_has_any(s, ['en', 'en-us']) AND (list_has_any(s, [{quoted(text.CODES_V3)}]) OR regexp_matches(p, '{"|".join(text.NAMES_V3)}')) AS v3
+FROM (SELECT page_id, p, string_split(p, '/') AS s FROM (SELECT page_id, lower({_URLPATH}) AS p FROM pages) t) t""")
+def url_lang_segment(spark, sf):
+    path = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
+    return table(spark, sf, "pages").select("page_id", *(text.is_translation(path, v).alias(v) for v in ("v1", "v2", "v3")))
+
+
+_PATHS = [(1, "a/node_modules/x.js"), (2, "docs/CHANGELOG.md"), (3, "src/dist/a.py"), (4, "README.md"), (5, "readme.zh-cn.md"), (6, "content/a.md"), (7, "lib/x.min.js")]
+
+
+@query(f"""SELECT id, {" OR ".join(f"contains(p, '{d}')" for d in text.DENY_PREPARE)} AS denied, {" OR ".join(f"contains(lower(p), '{d}')" for d in text.DENY_META)} AS meta,
+starts_with(p, 'content/') OR starts_with(p, 'docs/') AS inside, contains(lower(p), 'readme') AND NOT regexp_matches(lower(p), 'zh|ja') AS readme FROM {values(_PATHS, "id, p")}""")
+def path_filters(spark, sf):
+    d = spark.createDataFrame(_PATHS, "id int, p string")
+    p = F.col("p")
+    return d.select("id", text.path_denied(p).alias("denied"), text.path_denied(F.lower(p), text.DENY_META).alias("meta"), text.path_prefix(p, ["content/", "docs/"]).alias("inside"), text.is_readme(p).alias("readme"))
+
+
+_DICT = {"the": "thé", "and": "änd", "nicht": "nïcht", "que": "qué", "les": "lès"}
+_KEEP = ["of", "la", "que"]
+_FIX = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in _DICT.items()) + "}"
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), lambda w: CASE
+  WHEN lower(w) IN ({quoted(_KEEP)}) OR ({_FIX})[lower(w)] IS NULL THEN w
+  WHEN w = upper(w) AND length(w) > 1 THEN upper(({_FIX})[lower(w)])
+  WHEN regexp_matches(w, '^[A-Z]') THEN upper(substr(({_FIX})[lower(w)], 1, 1)) || substr(({_FIX})[lower(w)], 2)
+  ELSE ({_FIX})[lower(w)] END), '')) AS text_md5 FROM documents""")
+def dict_correct(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.dict_correct(F.col("text"), _DICT, _KEEP)).alias("text_md5"))
+
+
+@query(f"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) t WHERE word NOT IN ({quoted([*_DICT, *_KEEP])}) GROUP BY word ORDER BY n DESC, word LIMIT 100""")
+def dict_missing(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    known = spark.createDataFrame([(w,) for w in [*_DICT, *_KEEP]], "word string")
+    return words.groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(known), "word", "left_anti").orderBy(F.desc("n"), "word").limit(100)
+
+
+# --- digests, codes, JSON -----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def doc_digests(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in codec.digests(F.col("text")).items()))
+
+
+_HASHES = [(1, "a" * 32), (2, "b" * 40), (3, "0" * 56), (4, "F" * 64), (5, "1" * 96), (6, "2" * 128), (7, "c" * 33), (8, "$2b$12$abc"), (9, "$argon2id$v=19"), (10, "$6$salt$x"), (11, "$5$s$x"), (12, "$1$s$x"), (13, "words")]
+
+
+@query(f"""SELECT id, CASE WHEN regexp_matches(v, '^\\$2[aby]\\$') THEN 'bcrypt' WHEN starts_with(v, '$argon2') THEN 'argon2' WHEN starts_with(v, '$6$') THEN 'sha512crypt' WHEN starts_with(v, '$5$') THEN 'sha256crypt' WHEN starts_with(v, '$1$') THEN 'md5crypt'
+WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN CASE length(v) {" ".join(f"WHEN {n} THEN '{k}'" for n, k in codec.HASH_LENGTHS.items())} ELSE 'unknown' END ELSE 'unknown' END AS kind FROM {values(_HASHES, "id, v")}""")
+def hash_identify(spark, sf):
+    return spark.createDataFrame(_HASHES, "id int, v string").select("id", codec.hash_kind(F.col("v")).alias("kind"))
+
+
+_CODED = [(1, "aGVsbG8="), (2, "aGVsbG8"), (3, "68656c6c6f"), (4, "abc"), (5, "a%20b"), (6, "no code!"), (7, "")]
+
+
+@query("SELECT * FROM " + values([(1, "hello", None, None), (2, "hello", None, None), (3, None, "hello", None), (4, None, None, None), (5, None, None, "a b"), (6, None, None, None), (7, None, None, None)], "id, base64, hex, url"))
+def decode_multi(spark, sf):
+    return spark.createDataFrame(_CODED, "id int, v string").select("id", *(c.alias(k) for k, c in codec.decode_candidates(F.col("v")).items()))
+
+
+@query("SELECT event_id, props AS found, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+def json_extract(spark, sf):
+    prose = F.concat(F.lit('thought {not json} then "quoted {" '), F.col("props"), F.lit(' and {"x": 1}'))
+    e = table(spark, sf, "events").select("event_id", codec.first_json(prose).alias("found"))
+    return e.withColumn("k", F.get_json_object("found", "$.k").cast("long"))
+
+
+_DECISIONS = [(1, '{"dusunce": "d", "cevap": "yes"}'), (2, '{"arac": "final", "parametreler": {"answer": "ok"}}'), (3, '{"arac": "yanit", "parametreler": {"other": "first"}}'), (4, '{"arac": "grep", "parametreler": {"text": "x"}}'), (5, "broken")]
+
+
+@query("SELECT * FROM " + values([(1, "yes"), (2, "ok"), (3, "first"), (4, None), (5, None)], "id, answer"))
+def answer_extract(spark, sf):
+    return spark.createDataFrame(_DECISIONS, "id int, d string").select("id", codec.final_answer(F.col("d")).alias("answer"))
+
+
+# --- reports ------------------------------------------------------------------------------------------
+
+_LETTERS = r"len(regexp_extract_all({}, '\p{{L}}'))"
+_MARKED = "len(regexp_extract_all({}, '[" + text.DIACRITICS + "]'))"
+_RATIO = f"CASE WHEN {_LETTERS.format('text')} > 0 THEN {_MARKED.format('text')} / {_LETTERS.format('text')} ELSE 0.0 END"
+
+
+@query(f"SELECT doc_id, round({_RATIO}, 6) AS ratio FROM documents")
+def diacritic_ratio(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(text.diacritic_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query(f"""SELECT count(*) AS docs, count(*) FILTER (WHERE r < 0.02) AS suspects, count(*) FILTER (WHERE n < 4000) AS short, round(avg(r) FILTER (WHERE r >= 0.02), 6) AS mean_ratio
+FROM (SELECT length(text) AS n, {_RATIO} AS r FROM documents) t""")
+def quality_report(spark, sf):
+    return reports.quality_report(table(spark, sf, "documents"), "text")
+
+
+@query(f"""SELECT source, letters, marked, round(marked / letters, 6) AS ratio FROM (SELECT source, sum({_LETTERS.format("text")})::BIGINT AS letters, sum({_MARKED.format("text")})::BIGINT AS marked FROM documents GROUP BY source) t
+WHERE letters > 200 AND marked / letters < 0.02""")
+def source_ratio_having(spark, sf):
+    return reports.file_ratio(table(spark, sf, "documents"), "source", ["text"])
+
+
+@query("SELECT source, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (source)")
+def corpus_stats_rollup(spark, sf):
+    return reports.corpus_stats(table(spark, sf, "documents"), "source", "text")
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 15")
+def source_topk(spark, sf):
+    return reports.tally(table(spark, sf, "documents"), "source", 15)
+
+
+@query(f"""WITH p AS (SELECT *, lower({STRIP.format("regexp_replace(instruction, '\\s+', ' ', 'g')")}) AS k, conv_id % 7 AS domain, length(instruction) > 0 AND length(response) > 0 AS ok FROM {_PAIRS}),
+kept AS (SELECT * FROM p WHERE ok QUALIFY row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) = 1)
+SELECT domain, count(*) AS pairs, sum(strlen(instruction) + strlen(response))::BIGINT AS bytes, (SELECT count(*) FROM p WHERE ok) AS valid, (SELECT count(*) FROM p WHERE NOT ok) AS invalid FROM kept GROUP BY domain""")
+def merge_report(spark, sf):
+    p = trace.turn_pairs(table(spark, sf, "conversations")).withColumn("domain", F.col("conv_id") % 7)
+    return reports.merge_report(p, "instruction", "response", "domain", ["conv_id", "turn"])
+
+
+@query("""SELECT tier, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 3) AS percent FROM (SELECT CASE WHEN regexp_matches(s, '(_tespit|_derin|_dfir|_apro|_damit)$') THEN 'advanced' ELSE 'basic' END AS tier
+FROM (SELECT d.source || CASE WHEN l.quality = 1 THEN '_derin' ELSE '_temel' END AS s FROM labels l JOIN documents d USING (doc_id)) t) t GROUP BY tier""")
+def tier_pct(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return reports.tier_share(d.select(F.concat("source", F.when(F.col("quality") == 1, "_derin").otherwise("_temel")).alias("source")), "source")
+
+
+@query("""SELECT event_type, count(*) FILTER (WHERE value >= 50) AS yuksek, count(*) FILTER (WHERE value >= 10 AND value < 50) AS orta, count(*) FILTER (WHERE value < 10) AS dusuk FROM events GROUP BY event_type""")
+def priority_pivot(spark, sf):
+    e = table(spark, sf, "events").select("event_type", F.when(F.col("value") >= 50, "yuksek").when(F.col("value") >= 10, "orta").otherwise("dusuk").alias("priority"))
+    return reports.priority_pivot(e, "event_type", "priority")
+
+
+@query("""SELECT count(*) AS n, sum(doc_id % 6)::BIGINT AS score_sum, count(*) FILTER (WHERE toxic = 1) AS n_blocked, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE quality <> 1), '') AS dirty_ids,
+coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE doc_id % 6 > 0 AND doc_id % 6 < 3), '') AS weak_ids FROM labels""")
+def validation_reduce(spark, sf):
+    l = table(spark, sf, "labels").select("doc_id", (F.col("doc_id") % 6).alias("score"), (F.col("quality") == 1).alias("clean"), (F.col("toxic") == 1).alias("blocked"))  # noqa: E741
+    return reports.validation_summary(l, "doc_id", "score", "clean", "blocked")
+
+
+@query("""SELECT lang, round(sum(length(text)) / sum(len(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'))), 6) AS chars_per_token FROM documents GROUP BY lang""")
+def chars_per_token(spark, sf):
+    return reports.chars_per_token(table(spark, sf, "documents"), "lang", "text", text.tokens(F.col("text")))
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS token FROM documents) t GROUP BY token ORDER BY n DESC, token LIMIT 100")
+def token_freq(spark, sf):
+    t = table(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token"))
+    return reports.tally(t, "token", 100)
+
+
+@query("""WITH RECURSIVE v AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), w(user_id, r, e) AS (SELECT user_id, r, value FROM v WHERE r = 1
+UNION ALL SELECT w.user_id, v.r, 0.9 * w.e + 0.1 * v.value FROM w JOIN v ON v.user_id = w.user_id AND v.r = w.r + 1) SELECT user_id, round(arg_max(e, r), 6) AS ema FROM w GROUP BY user_id""")
+def loss_ema(spark, sf):
+    return reports.ema(table(spark, sf, "events"), "value", "event_id", 0.1, ["user_id"]).withColumn("ema", F.round("ema", 6))
+
+
+# --- retrieval ----------------------------------------------------------------------------------------
+
+_STEP = "lambda a, x: CASE WHEN length(a.b) + length(x.b) < 1400 THEN {'d': a.d, 'b': CASE WHEN a.b = '' THEN x.b ELSE a.b || chr(10) || chr(10) || x.b END} ELSE {'d': CASE WHEN length(a.b) >= 200 THEN list_append(a.d, a.b) ELSE a.d END, 'b': x.b} END"
+
+
+@query(f"""SELECT doc_id, len(c)::INTEGER AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM (SELECT doc_id, CASE WHEN length(s.b) >= 200 THEN list_append(s.d, s.b) ELSE s.d END AS c
+FROM (SELECT doc_id, list_reduce(list_prepend({{'d': []::VARCHAR[], 'b': ''}}, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda q: {STRIP.format("q")}), lambda q: q <> ''), lambda q: {{'d': []::VARCHAR[], 'b': q}})), {_STEP}) AS s FROM documents) t) t""")
+def chunk_pack(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", retrieval.pack_chunks(F.col("text"), sep="\n").alias("c"))
+    return d.select("doc_id", F.size("c").alias("n_chunks"), F.md5(F.array_join("c", "|")).alias("chunks_md5"))
+
+
+#: Words of the tables: one very common, so its weight is negative, one repeated, one absent.
+WORDS = ["the", "idiot", "nicht", "nicht", "tionelle", "zzzz"]
+_TIMES = " UNION ALL ".join(f"SELECT '{w}' AS term, {WORDS.count(w)} AS times" for w in dict.fromkeys(WORDS))
+_BM25 = f"""tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_]+') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) t GROUP BY term, doc_id),
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term) t, st),
+idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+bm AS (SELECT doc_id AS id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM post JOIN ({_TIMES}) q USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY doc_id)"""
+
+
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id)::INTEGER AS rank FROM bm ORDER BY rank LIMIT 10")
+def bm25_topk(spark, sf):
+    return retrieval.bm25_search(table(spark, sf, "documents"), "doc_id", "text", WORDS, 10)
+
+
+def _asked(spark, sf) -> list[float]:
+    return table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+_COS = "list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_topk(spark, sf):
+    e = retrieval.cosine(table(spark, sf, "embeddings"), "embedding", _asked(spark, sf)).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(e, "score", "vec_id", 10).select("vec_id", "score")
+
+
+@query(f"SELECT vec_id, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()), 6) AS scaled FROM (SELECT vec_id, {_COS} AS s FROM embeddings) t")
+def minmax_norm(spark, sf):
+    e = retrieval.cosine(table(spark, sf, "embeddings"), "embedding", _asked(spark, sf))
+    return retrieval.minmax(e.select("vec_id", F.col("score").alias("scaled")), ["scaled"]).withColumn("scaled", F.round("scaled", 6))
+
+
+_HYBRID = f"""{_BM25}, both_ AS (SELECT d.doc_id, d.source, d.text, {_COS} AS sem, coalesce(bm.score, 0) AS lex FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN bm ON bm.id = d.doc_id),
+hy AS (SELECT *, round(0.68 * (sem - min(sem) OVER ()) / (max(sem) OVER () - min(sem) OVER ()) + 0.32 * (lex - min(lex) OVER ()) / (max(lex) OVER () - min(lex) OVER ()), 6) AS hybrid FROM both_)"""
+
+
+def _scored(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    e = retrieval.cosine(table(spark, sf, "embeddings"), "embedding", _asked(spark, sf)).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("sem"))
+    lex = retrieval.bm25_scores(retrieval.bm25_index(d, "doc_id", "text"), WORDS).select(F.col("id").alias("doc_id"), F.col("score").alias("lex"))
+    return retrieval.hybrid(d.join(e, "doc_id").join(lex, "doc_id", "left"), "sem", "lex").withColumn("hybrid", F.round("hybrid", 6))
+
+
+@query(f"WITH {_HYBRID} SELECT doc_id, hybrid, row_number() OVER (ORDER BY hybrid DESC, doc_id)::INTEGER AS rank FROM hy ORDER BY rank LIMIT 10")
+def hybrid_topk(spark, sf):
+    return retrieval.top_k(_scored(spark, sf), "hybrid", "doc_id", 10).select("doc_id", "hybrid", "rank")
+
+
+_FINAL = f"""{_HYBRID}, cand AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 512)), '[a-zA-Z0-9_]+')), lambda w: w IN ({quoted(dict.fromkeys(WORDS))}))) AS rr FROM hy ORDER BY hybrid DESC, doc_id LIMIT 30),
+mm AS (SELECT *, CASE WHEN max(rr) OVER () > min(rr) OVER () THEN (rr - min(rr) OVER ()) / (max(rr) OVER () - min(rr) OVER ()) ELSE 0 END AS r1, CASE WHEN max(hybrid) OVER () > min(hybrid) OVER () THEN (hybrid - min(hybrid) OVER ()) / (max(hybrid) OVER () - min(hybrid) OVER ()) ELSE 0 END AS h1 FROM cand),
+fin AS (SELECT doc_id, source, text, round(0.35 * r1 + 0.65 * h1, 6) AS final FROM mm), best AS (SELECT *, row_number() OVER (ORDER BY final DESC, doc_id)::INTEGER AS rank FROM fin ORDER BY rank LIMIT 5)"""
+
+
+def _overlap() -> object:
+    words = F.array(*[F.lit(w) for w in dict.fromkeys(WORDS)])
+    return F.size(F.array_intersect(text.tokens(F.substring("text", 1, 512)), words)).cast("double")
+
+
+def _best(spark, sf) -> DataFrame:
+    few = retrieval.top_k(_scored(spark, sf), "hybrid", "doc_id", 30).drop("rank")
+    return retrieval.top_k(retrieval.rerank(few, _overlap()).withColumn("final", F.round("final", 6)), "final", "doc_id", 5)
+
+
+@query(f"WITH {_FINAL} SELECT doc_id, final, rank FROM best")
+def rerank_blend(spark, sf):
+    return _best(spark, sf).select("doc_id", "final", "rank")
+
+
+@query(f"WITH {_FINAL} SELECT string_agg('### Kaynak: ' || source || chr(10) || substr(text, 1, 650), chr(10) || chr(10) ORDER BY rank) AS context FROM best")
+def context_render(spark, sf):
+    return retrieval.render_context(_best(spark, sf), "source", "text")
+
+
+# --- grounding, scans ---------------------------------------------------------------------------------
+
+_TOPICS = {"license": ["license", "released under"], "secret": ["password", "token ="], "insult": ["idiot", "moron", "scum"], "none": ["zzzzzz"]}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{slug}' AS slug, row_number() OVER (ORDER BY doc_id)::INTEGER AS rank, doc_id, substr(text, 1, 750) AS text FROM documents WHERE {' OR '.join(f"contains(lower(text), '{w}')" for w in words)} ORDER BY doc_id LIMIT 8) t{i}"
+    for i, (slug, words) in enumerate(_TOPICS.items())
+))
+def keyword_ground(spark, sf):
+    return grounding.ground_topics(table(spark, sf, "documents"), _TOPICS, id_col="doc_id", text_col="text", per_topic=8, max_chars=750, order=["doc_id"])
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def topic_lookup(spark, sf):
+    return grounding.lookup(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", "quality", F.lit(-1))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_anti(spark, sf):
+    return grounding.pending(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def existing_semi(spark, sf):
+    return grounding.existing(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels").where("quality = 1"), "doc_id")
+
+
+_LINES = "(SELECT doc_id, generate_subscripts(l, 1)::INTEGER AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) s) s"
+
+
+def _sql_family() -> str:
+    return "CASE " + " ".join("WHEN regexp_matches(line, '{}') THEN '{}'".format(p.replace("'", "''"), n) for n, p in scan.SECRETS.items()) + " END"
+
+
+def _sql_mask(c: str) -> str:
+    for p in scan.SECRETS.values():
+        c = "regexp_replace({}, '{}', '***', 'g')".format(c, p.replace("'", "''"))
+    return f"substr({c}, 1, 80)"
+
+
+@query(f"SELECT doc_id, line_no, {_sql_family()} AS family, {_sql_mask('line')} AS line FROM {_LINES} WHERE {_sql_family()} IS NOT NULL")
+def secret_scan(spark, sf):
+    return scan.scan_secrets(scan.explode_lines(table(spark, sf, "documents"), "doc_id", "text"), ["doc_id", "line_no"], limit=None).select("doc_id", "line_no", "family", "line")
+
+
+#: Made-up values, put together here so that no scanner takes them for real ones.
+_FAKE = [
+    (1, "key AKIA" + "Q" * 16 + " end"), (2, "-----BEGIN RSA " + "PRIVATE KEY-----"), (3, "g AIza" + "x" * 35), (4, "s xoxb-" + "1" * 12),
+    (5, "j eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 8), (6, "api_key = '" + "v" * 10 + "'"), (7, "AKIA" + "Z" * 16 + " token: \"" + "w" * 9 + '"'),
+    (8, "x" * 70 + " password = '" + "p" * 20 + "'"), (9, "nothing here"),
+]
+
+
+@query(f"SELECT id, {_sql_family()} AS family, {_sql_mask('line')} AS line FROM {values(_FAKE, 'id, line')}")
+def secret_mask(spark, sf):
+    return spark.createDataFrame(_FAKE, "id int, line string").select("id", scan.first_family(F.col("line")).alias("family"), scan.mask_secrets(F.col("line")).alias("line"))
+
+
+@query(f"SELECT doc_id, line_no, substr(line, 1, 160) AS line FROM {_LINES} WHERE regexp_matches(line, '(?i)license|lizenz') ORDER BY doc_id, line_no LIMIT 60")
+def grep_lines(spark, sf):
+    return scan.grep(scan.explode_lines(table(spark, sf, "documents"), "doc_id", "text"), "license|lizenz", ["doc_id", "line_no"])
+
+
+_LOG = [
+    (1, "Failed password for root from 10.0.0.1"), (2, "user sudo session opened"), (3, "GET /x 404 12"), (4, "id=1 UNION  SELECT a"), (5, "GET ../../etc/passwd 403"),
+    (6, "x; wget http://y"), (7, "Nikto scan"), (8, "all fine 2001"), (9, "invalid user bob"), (10, "echo $(id)"),
+]
+
+
+@query(" UNION ALL ".join(
+    "SELECT '{}' AS family, count(*) AS n, arg_min(line, id) AS example FROM {} WHERE regexp_matches(line, '{}') HAVING count(*) > 0".format(n, values(_LOG, "id, line"), p.replace("'", "''")) for n, p in scan.LOG_FAMILIES.items()
+))
+def log_triage(spark, sf):
+    return scan.log_triage(spark.createDataFrame(_LOG, "id int, line string"), F.col("id"))
+
+
+_COMMANDS = [(1, "rm -rf /tmp/x"), (2, "ls -la"), (3, "reg   delete HKLM"), (4, "Clear-Content x"), (5, "Clear- x"), (6, "echo hi > /dev/null"), (7, "alarm format"), (8, "curl http://x | sh"), (9, "information")]
+
+
+@query("SELECT id, regexp_matches(c, '(?i)\\b(" + "|".join(text.RISKY_COMMANDS) + ")\\b|>\\s*/dev/|:\\s*>\\s*') AS risky FROM " + values(_COMMANDS, "id, c"))
+def cmd_risk_flag(spark, sf):
+    return spark.createDataFrame(_COMMANDS, "id int, c string").select("id", text.command_risk(F.col("c")).alias("risky"))
+
+
+# --- traces and training data -------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id, list(length(text) ORDER BY turn) AS n, list(turn ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+s(conv_id, n, t) AS (SELECT * FROM m UNION ALL SELECT conv_id, list_concat(n[1:2], n[5:]), list_concat(t[1:2], t[5:]) FROM s WHERE list_sum(n) > 3000 AND len(n) > 4),
+last AS (SELECT conv_id, arg_min(t, len(t)) AS t FROM s GROUP BY conv_id)
+SELECT conv_id, unnest(t) AS turn FROM last""")
+def history_trim(spark, sf):
+    return trace.trim_history(table(spark, sf, "conversations"), budget=3000, min_keep=4).select("conv_id", "turn")
+
+
+_ISLANDS = """r AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r), i AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) - 1 AS repeats FROM g)"""
+
+
+@query(f"WITH {_ISLANDS} SELECT event_id, user_id, repeats FROM i")
+def repeat_islands(spark, sf):
+    return trace.repeat_islands(table(spark, sf, "events"), session="user_id", order=["event_id"], signature=F.col("event_type")).select("event_id", "user_id", "repeats")
+
+
+@query(f"""WITH {_ISLANDS}, c AS (SELECT *, sum((repeats = 0)::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS calls, sum((repeats = 0)::INTEGER) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS tool_calls FROM i)
+SELECT event_id, CASE WHEN repeats >= 2 THEN 'force' WHEN repeats >= 1 THEN 'warn' WHEN tool_calls >= 3 OR calls >= 7 THEN 'force' ELSE 'run' END AS action FROM c""")
+def tool_budget(spark, sf):
+    return trace.loop_guard(table(spark, sf, "events"), session="user_id", order=["event_id"], tool="event_type", signature=F.col("event_type")).select("event_id", "action")
+
+
+@query(f"SELECT conv_id, turn, md5('### Talimat:' || chr(10) || {STRIP.format('instruction')} || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || '### Girdi:' || chr(10) || 'x' ELSE '' END || chr(10) || chr(10) || '### Yanit:' || chr(10)) AS prompt_md5 FROM {_PAIRS}")
+def prompt_render(spark, sf):
+    p = trace.turn_pairs(table(spark, sf, "conversations"))
+    return p.select("conv_id", "turn", F.md5(text.render_prompt(F.col("instruction"), F.when(F.col("turn") % 2 == 0, " x "))).alias("prompt_md5"))
+
+
+_IDS = "list_transform(regexp_extract_all(lower({}), '[a-zA-Z0-9_]+'), lambda w: length(w)::INTEGER)"
+
+
+@query(f"""WITH e AS (SELECT conv_id, turn, conv_id % 10 AS batch, len(p) AS n_prompt, list_concat(p, r, [0]) AS ids FROM (SELECT conv_id, turn, {_IDS.format("instruction")} AS p, {_IDS.format("response")} AS r FROM {_PAIRS}) t WHERE len(p) + len(r) + 1 <= 512),
+w AS (SELECT *, max(len(ids) - 1) OVER (PARTITION BY batch) AS width FROM e)
+SELECT conv_id, turn, array_to_string(list_concat(ids[1:len(ids) - 1], list_transform(range(width - len(ids) + 1), lambda z: 0)), ' ') AS x,
+  array_to_string(list_concat(list_transform(range(1, len(ids)), lambda i: CASE WHEN i < n_prompt THEN -1 ELSE ids[i + 1] END), list_transform(range(width - len(ids) + 1), lambda z: -1)), ' ') AS y FROM w""")
+def sft_pack(spark, sf):
+    ids = lambda c: F.transform(text.tokens(F.col(c)), lambda w: F.length(w))
+    p = trace.turn_pairs(table(spark, sf, "conversations")).withColumn("batch", F.col("conv_id") % 10)
+    b = training.sft_batches(training.sft_examples(p, ids("instruction"), ids("response")), "batch")
+    return b.select("conv_id", "turn", F.array_join("x", " ").alias("x"), F.array_join("y", " ").alias("y"))
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(ids, ' ') AS input_ids, array_to_string(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN i <= n_prompt THEN -100 ELSE ids[i] END), ' ') AS labels FROM
+(SELECT conv_id, turn, len(p) AS n_prompt, list_concat(p, r)[1:100] AS ids FROM (SELECT conv_id, turn, {_IDS.format("instruction")} AS p, {_IDS.format("response")} AS r FROM {_PAIRS}) t) t WHERE n_prompt < len(ids)""")
+def causal_pack(spark, sf):
+    ids = lambda c: F.transform(text.tokens(F.col(c)), lambda w: F.length(w))
+    p = trace.turn_pairs(table(spark, sf, "conversations"))
+    e = training.causal_examples(p, ids("instruction"), F.concat(ids("instruction"), ids("response")), 100)
+    return e.select("conv_id", "turn", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
+
+
+def _lr_sql(s: training.Schedule) -> str:
+    return f"round(CASE WHEN step < {s.warmup} THEN {s.high} * (step + 1) / {s.warmup} WHEN step >= {s.decay} THEN {s.low} ELSE {s.low} + 0.5 * (1 + cos(pi() * (step - {s.warmup}) / {s.decay - s.warmup}.0)) * ({s.high} - {s.low}) END, 10)"
+
+
+@query(f"SELECT step::BIGINT AS step, {_lr_sql(training.PRETRAIN)}::DOUBLE AS pretrain, {_lr_sql(training.FINETUNE)}::DOUBLE AS finetune FROM range(0, 25000, 250) t(step)")
+def lr_schedule(spark, sf):
+    s = F.col("step")
+    return spark.range(0, 25_000, 250).toDF("step").select("step", F.round(training.lr_at(s, training.PRETRAIN), 10).alias("pretrain"), F.round(training.lr_at(s, training.FINETUNE), 10).alias("finetune"))
+
+
+@query("""WITH l AS (SELECT user_id AS row, event_type AS token, avg(value) / 10 AS logit FROM events GROUP BY user_id, event_type), k AS (SELECT * FROM l QUALIFY rank() OVER (PARTITION BY row ORDER BY logit DESC) <= 4),
+p AS (SELECT *, exp(logit - max(logit) OVER w) / sum(exp(logit)) OVER w * exp(max(logit) OVER w) AS p FROM k WINDOW w AS (PARTITION BY row)),
+c AS (SELECT *, sum(p) OVER (PARTITION BY row ORDER BY logit DESC, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p)
+SELECT row, token, round(p / sum(p) OVER (PARTITION BY row), 6) AS p FROM c WHERE before <= 0.8""")
+def sample_filter(spark, sf):
+    l = table(spark, sf, "events").groupBy(F.col("user_id").alias("row"), F.col("event_type").alias("token")).agg((F.avg("value") / 10).alias("logit"))  # noqa: E741
+    return training.sample_filter(l, top_k=4, top_p=0.8).withColumn("p", F.round("p", 6))
+
+
+# --- plans and records --------------------------------------------------------------------------------
+
+_GROUPS = "CASE WHEN lang = 'en' THEN 'wiki' WHEN lang = 'fr' THEN 'tr-teknik' WHEN lang = 'de' THEN 'kod' ELSE 'guvenlik' END"
+_TARGETS = {"wiki": 400_000, "tr-teknik": 60_000, "kod": 80_000, "guvenlik": 40_000}
+
+
+@query(f"""WITH g AS (SELECT doc_id, text, {_GROUPS} AS grp, md5('42:' || doc_id::VARCHAR) AS o FROM documents),
+b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY grp ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+trimmed AS (SELECT *, CASE grp WHEN 'wiki' THEN 0 WHEN 'tr-teknik' THEN 1 WHEN 'kod' THEN 2 ELSE 3 END AS gr FROM b WHERE before < CASE grp {" ".join(f"WHEN '{g}' THEN {n}" for g, n in _TARGETS.items())} END),
+parts AS (SELECT doc_id, gr, grp, generate_subscripts(l, 1) AS pos, unnest(l) AS p FROM (SELECT *, CASE WHEN grp = 'kod' THEN [text] ELSE string_split(text, chr(10)) END AS l FROM trimmed) t),
+keyed AS (SELECT *, lower({STRIP.format("regexp_replace(p, '\\s+', ' ', 'g')")}) AS k FROM parts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN grp = 'kod' THEN md5(p) WHEN length(k) >= 80 THEN md5(k) ELSE doc_id::VARCHAR || ':' || pos::VARCHAR END ORDER BY gr, doc_id, pos) AS r FROM keyed),
+kept AS (SELECT doc_id, {STRIP.format("string_agg(p, chr(10) ORDER BY pos)")} AS t FROM ranked WHERE r = 1 GROUP BY doc_id),
+long_ AS (SELECT * FROM kept WHERE length(t) >= 200)
+SELECT doc_id, md5(t) AS text_md5, CASE WHEN b < (SELECT floor(sum(length(t)) * 0.01) FROM long_) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, coalesce(sum(length(t)) OVER (ORDER BY md5('42:' || doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM long_) s""")
+def corpus_build(spark, sf):
+    grp = F.when(F.col("lang") == "en", "wiki").when(F.col("lang") == "fr", "tr-teknik").when(F.col("lang") == "de", "kod").otherwise("guvenlik")
+    d = corpus.build_corpus(table(spark, sf, "documents").select("doc_id", "text", grp.alias("grp")), _TARGETS, sep="\n")
+    return d.select("doc_id", F.md5("text").alias("text_md5"), "split")
+
+
+_QA = [
+    ("guvenlik_a_derin.jsonl", 1, "What is X?", "an answer"), ("guvenlik_a_derin.jsonl", 2, "what  is x?", "other"), ("yazilim_b.jsonl", 1, "WHAT IS X?", "late"),
+    ("yazilim_b.jsonl", 2, "New?", ""), ("yazilim_b.jsonl", 3, "Second?", "yes"), ("yazilim_c_damit.jsonl", 1, None, "no question"), ("yazilim_c_damit.jsonl", 2, "Third?", "ok"),
+]
+
+
+@query("SELECT * FROM " + values([("What is X?", "an answer", "a_derin", "guvenlik", "advanced"), ("Second?", "yes", "b", "yazilim", "basic"), ("Third?", "ok", "c_damit", "yazilim", "advanced")], "question, answer, source, domain, tier"))
+def qa_curate(spark, sf):
+    return corpus.curate_pairs(spark.createDataFrame(_QA, "file string, line int, question string, answer string")).select("question", "answer", "source", "domain", "tier")
+
+
+_CVE = """{"cveMetadata":{"cveId":"CVE-2024-1","state":"PUBLISHED"},"containers":{"cna":{"descriptions":[{"lang":"de","value":"Deutsch zuerst, lang genug"},{"lang":"en-US","value":"An English description of a flaw"}],
+"problemTypes":[{"descriptions":[{"cweId":"CWE-79","description":"XSS"},{"cweId":"CWE-79","description":"XSS"}]}],"metrics":[{"other":{"x":1},"cvssV3_1":{"baseScore":7.5,"baseSeverity":"HIGH"}}],
+"affected":[{"vendor":"n/a","product":"n/a"},{"vendor":"V","product":"P"}],"references":[{"url":"u1"},{"url":""},{"url":"u2"},{"url":"u3"},{"url":"u4"},{"url":"u5"}]}}}"""
+
+
+@query("SELECT * FROM " + values([("CVE-2024-1", "CVE-2024-1 (PUBLISHED)\n\nAn English description of a flaw\nZafiyet turu (CWE): CWE-79 XSS\nCVSS (cvssV3_1): 7.5 HIGH\nEtkilenen: V P\nReferanslar: u1 u2 u3 u4")], "id, text"))
+def cve_render(spark, sf):
+    rejected = _CVE.replace("PUBLISHED", "REJECTED")
+    short = _CVE.replace("An English description of a flaw", "too short a text")
+    raw = spark.createDataFrame([(_CVE,), (rejected,), (short,)], "j string").select(F.from_json("j", records.CVE_SCHEMA).alias("r")).select("r.*")
+    return records.render_cve(raw)
+
+
+_STIX = '{"objects":[{"type":"attack-pattern","name":"T","description":"' + "d" * 250 + '","x_mitre_detection":"look [here](http://x)"},{"type":"tool","name":"U","description":"' + "e" * 120 + '"},{"type":"tool","name":"V","description":"short"}]}'
+
+
+@query("SELECT * FROM " + values([("any", "T (attack-pattern)\n" + "d" * 250 + "\nDetection: look here"), ("any", "U (tool)\n" + "e" * 120), ("attack-pattern", "T\n" + "d" * 250)], "variant, text"))
+def stix_render(spark, sf):
+    raw = spark.createDataFrame([(_STIX,)], "j string").select(F.from_json("j", records.STIX_SCHEMA).alias("r")).select("r.*")
+    one = lambda v: records.render_stix(raw, v).select(F.lit(v).alias("variant"), "text")
+    return one("any").unionByName(one("attack-pattern"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length filter, exact deduplication and BM25 over what is left: the ten best documents for a fixed query."""
+    d = table(spark, sf_dir, "documents").where(text.length_between(text.strip(F.col("text")), 300)).select("doc_id", "text")
+    first = dedup.keep_first(d.select("doc_id", F.md5("text").alias("_md5")), "_md5", ["doc_id"]).select("doc_id")
+    best = retrieval.bm25_search(d.join(first, "doc_id", "left_semi"), "doc_id", "text", WORDS, 10)
+    return best.select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query(f"""WITH documents AS (SELECT * FROM documents WHERE length({STRIP.format("text")}) >= 300 QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1),
+{_BM25} SELECT id AS doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id)::INTEGER AS rank FROM bm ORDER BY rank LIMIT 10""".replace("WITH documents AS (SELECT * FROM documents", "WITH long_docs AS (SELECT * FROM documents").replace("tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_]+') AS w FROM documents)", "tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_]+') AS w FROM long_docs)"))
+def search_flagship(spark, sf):
+    return flagship(spark, sf)
