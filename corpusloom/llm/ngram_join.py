@@ -14,8 +14,11 @@ if they also meet under the second and the third. The steps:
    fitting length. Larger groups give links to a pivot and to neighbours in length.
 4. Verification of the pairs on their whole texts; components of the links found.
 5. In larger groups that are not one component yet, all pairs across components are verified too,
-   so no link between components is lost. Of these, pairs are left out whose tokens known to any
-   other document of such groups are too few for a link.
+   so no link between components is lost. Tokens are counted exactly among these groups' documents:
+   pairs that share a rare token are found by it, and kept if these and the core, the tokens that
+   more documents hold, may suffice for a link. Pairs that share the core alone can link only if
+   both are nearly all core: such documents are first linked to a pivot, and pairs that are still
+   apart are verified.
 
 Null texts and texts without words have empty sets and link with nothing. A row without an id links
 with nothing. Repeated ids with equal texts are one class; each row is returned.
@@ -82,8 +85,12 @@ class Orders:
         return doc[keep], tokens[keep]
 
 
-def shared_tokens(texts: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(id, s): how many of a document's tokens some other document of `texts` (id, z: compressed text) holds too."""
+def rare_and_core(texts: DataFrame, k: int, buckets: int, rare: int) -> DataFrame:
+    """What documents of `texts` (id, z: compressed text) share, by how many of them hold a token.
+
+    Rows (x, y, s): the number of tokens of two to `rare` documents that x < y share; and (x, null, s):
+    the number of tokens of x that more documents hold. No token gives more than rare² / 2 pairs.
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "z", 1 << 20):
@@ -97,15 +104,28 @@ def shared_tokens(texts: DataFrame, k: int, buckets: int) -> DataFrame:
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         token, ids = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64)))
-        _, which, times = np.unique(token, return_inverse=True, return_counts=True)
-        known, n = np.unique(ids[times[which] > 1], return_counts=True)
-        return pd.DataFrame({"id": known, "s": n})
+        order = np.lexsort((ids, token))
+        token, ids = token[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        size = np.repeat(size, size)
+        known, n = np.unique(ids[size > rare], return_counts=True)
+        few = np.flatnonzero((size > 1) & (size <= rare))
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lag in range(1, rare):
+            i = few[few + lag < len(token)]
+            i = i[token[i] == token[i + lag]]
+            if not len(i):
+                break
+            xs.append(ids[i])
+            ys.append(ids[i + lag])
+        pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
+        return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times])})
 
-    counted = texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "id bigint, s bigint")
-    return counted.groupBy("id").agg(F.sum("s").alias("s"))
+    return texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 32, buckets: int = 256) -> DataFrame:
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 12, rare: int = 24, buckets: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
 
     The two count tables take 2 * 2**bits * 4 bytes, on the driver and each executor, at any size of
@@ -254,14 +274,35 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         placed = cut(groups.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c")))
         split = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
         rest = cut(placed.join(split, "token", "left_semi"))
-        # no partner can share more of x than the tokens of x that any other document of these groups holds
-        bound = shared_tokens(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, buckets)
-        rest = rest.join(bound, "id").where(_PERCENT * F.col("s") >= percent * F.col("n"))
-        left, right = rest.selectExpr("token", "id AS x", "n AS nx", "s AS sx", "c AS cx"), rest.selectExpr("token", "id AS y", "n AS ny", "s AS sy", "c AS cy")
-        most = F.least("sx", "sy")
-        near = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (_PERCENT * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        near = near & (_PERCENT * most >= percent * (F.col("nx") + F.col("ny") - most))
-        across = left.join(right, "token").where(near).select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
+        met_by = cut(rare_and_core(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, buckets, rare))
+        core = met_by.where("y IS NULL").groupBy(F.col("x").alias("id")).agg(F.sum("s").alias("s"))
+        known = cut(rest.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(core, "id", "left").fillna(0, ["s"]))
+        ends = [known.select(*(F.col(c).alias(c + e if c != "id" else e) for c in known.columns)) for e in "xy"]
+        apart = (F.col("cx") != F.col("cy")) & (_PERCENT * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+
+        def may_link(most):
+            return _PERCENT * most >= percent * (F.col("nx") + F.col("ny") - most)
+
+        # pairs that share rare tokens: what they share is at most these and the lesser core
+        sharing = met_by.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("s").alias("shared"))
+        one = sharing.join(ends[0], "x").join(ends[1], "y").where(apart & may_link(F.least("sx", "sy") + F.col("shared"))).select("x", "y")
+        # pairs that share core tokens alone: both must be nearly all core
+        least = rest.groupBy("token").agg(F.min("n").alias("least"))
+        full = rest.select("token", "id").join(known, "id").join(least, "token").where(_PERCENT * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
+        full = cut(full.select("token", "id", "n", "s", "c"))
+        still = full.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max_by("id", F.struct(F.col("s") / F.col("n"), -F.col("id"))).alias("pivot")).where("a <> b")
+        star = full.join(still, "token").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
+        star = star.join(ends[0], "x").join(ends[1], "y").where(apart).select("x", "y")
+        tried = cut(one.unionByName(star).distinct().join(pairs, ["x", "y"], "left_anti"))
+        edges = cut(edges.unionByName(links(tried)))
+        reached = components(edges)
+        placed = full.drop("c").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        placed = cut(placed)
+        still = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
+        placed = placed.join(still, "token", "left_semi")
+        left, right = (placed.select("token", *(F.col(c).alias(c + e if c != "id" else e) for c in ("id", "n", "s", "c"))) for e in "xy")
+        near = (F.col("x") < F.col("y")) & apart & may_link(F.least("sx", "sy"))
+        across = left.join(right, "token").where(near).select("x", "y").distinct().join(pairs.unionByName(tried), ["x", "y"], "left_anti")
         reached = components(edges.unionByName(links(across)))
     named = member.join(reached, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, "id", "left")
