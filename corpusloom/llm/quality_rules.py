@@ -133,7 +133,7 @@ def concentrate(x: np.ndarray, share: float, steps: int = 20) -> tuple[np.ndarra
 def quality_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"),
     min_words: int = 50, max_repeat_percent: int = 50, share: float = 0.75, cutoff: float = 25.0,
-    block_rows: int = 4000, min_rows: int = 60, broadcast_groups: int = 20_000,
+    block_rows: int = 1000, min_rows: int = 60, broadcast_groups: int = 20_000,
 ) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of each document.
 
@@ -176,7 +176,7 @@ def quality_rules(
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame["v"].to_numpy())
         if len(x) < 2 * d:
-            return pd.DataFrame({"grp": [], "n": [], "centre": [], "scatter": []})
+            return pd.DataFrame({"grp": [], "n": [], "centre": [], "scatter": []}, dtype=object)
         centre, scatter = concentrate(x, share)
         return pd.DataFrame({"grp": frame["grp"].iloc[:1].to_list(), "n": [len(x)], "centre": [centre], "scatter": [scatter.ravel()]})
 
