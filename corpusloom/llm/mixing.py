@@ -24,24 +24,18 @@ def seeded(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def poisson_table(most: int) -> list[float]:
-    """1 / n! for n from 0, the factors of the distribution's terms."""
-    return [1.0 / math.factorial(n) for n in range(most + 1)]
-
-
 def poisson_inverse(u: Column, rate: Column, most: int) -> Column:
     """The least n whose cumulative Poisson probability exceeds u; at most `most`."""
-    terms = F.array(*map(F.lit, poisson_table(most)))
     walked = F.aggregate(
-        terms,
-        F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0.0).alias("cumulative")),
-        lambda s, t: F.struct(
-            (s["i"] + 1).alias("i"),
-            (s["n"] + F.when(s["cumulative"] + F.exp(-rate) * F.pow(rate, s["i"].cast("double")) * t <= u, 1).otherwise(0)).alias("n"),
-            (s["cumulative"] + F.exp(-rate) * F.pow(rate, s["i"].cast("double")) * t).alias("cumulative"),
+        F.sequence(F.lit(1), F.lit(most)),
+        F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("term"), F.exp(-rate).alias("cumulative")),
+        lambda s, i: F.struct(
+            F.when(s["cumulative"] <= u, i).otherwise(s["n"]).alias("n"),
+            (s["term"] * rate / i).alias("term"),
+            (s["cumulative"] + s["term"] * rate / i).alias("cumulative"),
         ),
     )
-    return F.least(walked["n"], F.lit(most))
+    return walked["n"]
 
 
 def repetition_rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, temper: float, epochs: float) -> DataFrame:
@@ -58,30 +52,29 @@ def repetition_rates(docs: DataFrame, source: str, weights: dict[str | None, flo
 
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None,
-    temper: float = 0.5, epochs: float = 1.0, seed: str = "mix", most: int = 30, many_sources: int = 100_000, with_order: bool = True,
+    temper: float = 0.5, epochs: float = 1.0, seed: str = "mix", most_rate: float = 500.0, many_sources: int = 100_000, with_order: bool = True,
 ) -> DataFrame:
     """The columns of `docs`[, replica, mix_key], each document as often as drawn, in an order that mixes all sources.
 
-    Rates may be up to about a third of `most`, beyond which counts would be cut; that raises. Rates are
-    broadcast if there are at most `many_sources` sources, which is counted; else they are joined by key.
-    The texts are shuffled once, to the partition their key falls in; the mix is complete when partitions
-    are read in any order.
+    A source wanted more than `most_rate` times over raises, as its distribution's terms would underflow.
+    Rates are broadcast if there are at most `many_sources` sources, which is counted; else they are
+    joined by key. The texts are shuffled once, to the partition their key falls in; the mix is complete
+    when partitions are read in any order.
     """
     rates = repetition_rates(docs, source, weights, temper, epochs)
-    seen = rates.agg(F.count("*"), F.max("_rate")).first()
-    if seen[1] is not None and seen[1] > most / 3:
-        raise ValueError(f"a repetition rate of {seen[1]:.3g} needs `most` of at least {math.ceil(3 * seen[1])}")
-    names = docs.columns
-    joined = docs.join(F.broadcast(rates) if seen[0] <= many_sources else rates, F.col(source).eqNullSafe(F.col("_source")))
-    times = poisson_inverse(seeded(seed, F.col(id_col)), F.col("_rate"), most)
-    repeated = joined.withColumn("_times", times).where(F.col("_times") > 0).withColumn("_replica", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.col(id_col).cast("string"), F.col("_replica").cast("string")))
-    keyed = repeated.withColumn("_key", key)
-    spread = keyed.repartition(partitions(docs.sparkSession), F.xxhash64("_key"))
-    out = [F.col(c) for c in names]
-    if with_order:
-        out += [F.col("_replica").alias("replica"), F.col("_key").alias("mix_key")]
-    return spread.select(*out, *([] if with_order else [F.col("_key")])).sortWithinPartitions("mix_key" if with_order else "_key").select(*names, *(["replica", "mix_key"] if with_order else []))
+    sources, highest = rates.agg(F.count("*"), F.max("_rate")).first()
+    highest = highest or 0.0
+    if highest > most_rate:
+        raise ValueError(f"a source would be repeated {highest:.3g} times")
+    most = max(30, math.ceil(highest + 12 * math.sqrt(highest) + 12))  # the rest has less than a chance in 2**32
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("string").alias("_id"), F.col(source).alias("_from"))
+    joined = packed.join(F.broadcast(rates) if sources <= many_sources else rates, F.col("_from").eqNullSafe(F.col("_source")))
+    times = poisson_inverse(seeded(seed, F.coalesce("_id", F.lit(""))), F.col("_rate"), most)
+    repeated = joined.select("_row", "_id", times.alias("_times")).where("_times > 0").select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_replica"))
+    key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce("_id", F.lit("")), F.col("_replica").cast("string")))
+    keyed = repeated.select("_row", "_replica", key.alias("_key"))
+    mixed = keyed.repartition(partitions(docs.sparkSession), F.xxhash64("_key")).sortWithinPartitions("_key")
+    return mixed.select("_row.*", *([F.col("_replica").alias("replica"), F.col("_key").alias("mix_key")] if with_order else []))
 
 
 def sql(temper: float = 0.5, seed: str = "mix", most: int = 30) -> str:
