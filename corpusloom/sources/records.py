@@ -33,7 +33,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, keep_co
 
 def read_markdown_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, category, slug, text) of all Markdown files below `path`; the category is the folder's name."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return files.select(F.col("_metadata.file_path").alias("path"), F.element_at(parts, -2).alias("category"), F.regexp_replace(F.element_at(parts, -1), r"\.md$", "").alias("slug"), F.col("value").alias("text"))
 

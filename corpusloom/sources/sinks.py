@@ -15,7 +15,7 @@ def write_sharded(df: DataFrame, path: str, per_shard: int = 20_000, append: boo
 
 
 def write_delimited_text(df: DataFrame, path: str, text_col: str = "text", mark: str = DOCUMENT_END) -> None:
-    df.select(F.concat(F.col(text_col), F.lit(f"\n\n{mark}\n\n"))).write.option("lineSep", "").text(path)
+    df.select(text_col).write.text(path, lineSep=f"\n\n{mark}\n\n")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
