@@ -11,7 +11,7 @@ if they also meet under the second and the third. The steps:
 2. Sets: size, digest and first-order prefix of each document. Documents of equal sets form a class;
    only the class's smallest id goes on.
 3. Candidates: prefixes are dealt out by token. Groups of up to `small` documents give all pairs of
-   fitting length. Larger groups give links to a pivot and to neighbours in length.
+   fitting length. Larger groups give links to a pivot, the member that meets most others.
 4. Verification of the pairs on their whole texts; components of the links found.
 5. In larger groups that are not one component yet, all pairs across components are verified too,
    so no link between components is lost. Tokens are counted exactly among these groups' documents:
@@ -125,7 +125,7 @@ def rare_and_core(texts: DataFrame, k: int, buckets: int, rare: int) -> DataFram
     return texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 12, rare: int = 24, buckets: int = 256) -> DataFrame:
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 4, rare: int = 12, buckets: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
 
     The two count tables take 2 * 2**bits * 4 bytes, on the driver and each executor, at any size of
@@ -202,8 +202,6 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         large = np.flatnonzero(size > small)
         if len(large):
             known, where, times = np.unique(ids[large], return_inverse=True, return_counts=True)
-            i = large[:-1][token[large[:-1]] == token[large[1:]]]
-            pair(i, i + 1)
             weight = np.zeros(len(token), np.int64)
             weight[large] = times[where]
             for a in first[size[first] > small]:
@@ -274,7 +272,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         placed = cut(groups.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c")))
         split = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
         rest = cut(placed.join(split, "token", "left_semi"))
-        met_by = cut(rare_and_core(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, buckets, rare))
+        met_by = cut(rare_and_core(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, max(1, buckets // 4), rare))
         core = met_by.where("y IS NULL").groupBy(F.col("x").alias("id")).agg(F.sum("s").alias("s"))
         known = cut(rest.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(core, "id", "left").fillna(0, ["s"]))
         ends = [known.select(*(F.col(c).alias(c + e if c != "id" else e) for c in known.columns)) for e in "xy"]
@@ -294,8 +292,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         star = full.join(still, "token").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
         star = star.join(ends[0], "x").join(ends[1], "y").where(apart).select("x", "y")
         tried = cut(one.unionByName(star).distinct().join(pairs, ["x", "y"], "left_anti"))
-        edges = cut(edges.unionByName(links(tried)))
-        reached = components(edges)
+        new = cut(links(tried))
+        if new.take(1):
+            edges = edges.unionByName(new)
+            reached = components(edges)
         placed = full.drop("c").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         placed = cut(placed)
         still = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
@@ -303,7 +303,9 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         left, right = (placed.select("token", *(F.col(c).alias(c + e if c != "id" else e) for c in ("id", "n", "s", "c"))) for e in "xy")
         near = (F.col("x") < F.col("y")) & apart & may_link(F.least("sx", "sy"))
         across = left.join(right, "token").where(near).select("x", "y").distinct().join(pairs.unionByName(tried), ["x", "y"], "left_anti")
-        reached = components(edges.unionByName(links(across)))
+        new = cut(links(across))
+        if new.take(1):
+            reached = components(edges.unionByName(new))
     named = member.join(reached, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, "id", "left")
     component = F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("id"))

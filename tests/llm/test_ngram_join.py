@@ -57,7 +57,7 @@ def test_against_brute_force(spark):
 def test_large_groups_and_full_tables(spark):
     rows = corpus(2, n_base=3, copies=60)
     check(spark, rows, small=4, rare=6)
-    check(spark, rows, small=4, bits=8, rare=4)
+    check(spark, rows, small=2, bits=8, rare=4)
 
 
 def test_empty(spark):
