@@ -17,6 +17,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_bits(spark: SparkSession, least: int = 8) -> int:
+    """How many top bits of a hash deal rows out: 256 buckets, and more where the session has more partitions, so that a bucket stays as small."""
+    return max(least, (partitions(spark) - 1).bit_length())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() into the cluster's shared folder; a folder of our own only where none is set, as in tests."""
     sc = df.sparkSession.sparkContext

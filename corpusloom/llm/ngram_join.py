@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bucket_bits, cut
 from .components import components
 from .sketch import cells, count_cells
 from .words import Words, mix, slices, sorted_unique
@@ -85,7 +85,7 @@ class Orders:
         return doc[keep], tokens[keep]
 
 
-def rare_and_core(texts: DataFrame, k: int, buckets: int, rare: int) -> DataFrame:
+def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     """What documents of `texts` (id, z: compressed text) share, by how many of them hold a token.
 
     Rows (x, y, s): the number of tokens of two to `rare` documents that x < y share; and (x, null, s):
@@ -97,7 +97,7 @@ def rare_and_core(texts: DataFrame, k: int, buckets: int, rare: int) -> DataFram
             doc, tokens = shingle_sets(pa.array([zlib.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.large_string()), k)
             order = np.argsort(tokens, kind="stable")
             tokens, ids = tokens[order], batch.column("id").to_numpy()[doc[order]]
-            cuts = np.searchsorted(cells(tokens, 8), np.arange(buckets + 1) * 256 // buckets)
+            cuts = np.searchsorted(cells(tokens, deal), np.arange((1 << deal) + 1))
             rows = [(i, tokens[a:b].tobytes(), ids[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2))], names=["bucket", "token", "ids"])
@@ -125,14 +125,14 @@ def rare_and_core(texts: DataFrame, k: int, buckets: int, rare: int) -> DataFram
     return texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 4, rare: int = 12, buckets: int = 256) -> DataFrame:
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 4, rare: int = 12) -> DataFrame:
     """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
 
     The two count tables take 2 * 2**bits * 4 bytes, on the driver and each executor, at any size of
     input. Only prefixes, pairs and the texts of documents in pairs are shuffled.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
+    kind, deal = dict(docs.dtypes)[id_col], bucket_bits(spark)
     everything = docs.selectExpr(f"cast(`{id_col}` AS bigint) AS id", f"`{text_col}` AS text")
 
     def counted(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
@@ -169,7 +169,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             ids, n = (np.repeat(batch.column(c).to_numpy(), per) for c in ("id", "n"))
             order = np.argsort(tokens, kind="stable")
             tokens, ids, n = tokens[order], ids[order], n[order]
-            cuts = np.searchsorted(cells(tokens, 8), np.arange(buckets + 1) * 256 // buckets)
+            cuts = np.searchsorted(cells(tokens, deal), np.arange((1 << deal) + 1))
             rows = [(i, *(x[a:b].tobytes() for x in (tokens, ids, n.astype(np.int32)))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "token", "ids", "n"])
@@ -272,7 +272,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         placed = cut(groups.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c")))
         split = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
         rest = cut(placed.join(split, "token", "left_semi"))
-        met_by = cut(rare_and_core(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, max(1, buckets // 4), rare))
+        met_by = cut(rare_and_core(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, deal - 2, rare))
         core = met_by.where("y IS NULL").groupBy(F.col("x").alias("id")).agg(F.sum("s").alias("s"))
         known = cut(rest.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(core, "id", "left").fillna(0, ["s"]))
         ends = [known.select(*(F.col(c).alias(c + e if c != "id" else e) for c in known.columns)) for e in "xy"]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bucket_bits, partitions
 from .words import Words, sliding_min, slices, sorted_unique
 
 _SLICES = 64
@@ -196,14 +196,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(id, n_words, n_removed, kept_sha256[, kept]) of each document; ids are integers.
 
     The bitmap of anchors takes 2**bits / 8 bytes on the driver and each executor. Past its capacity
-    more windows are shuffled than recur, still with the same result. Buckets and shards are four for
-    each of the session's shuffle partitions, which are set for the memory of a task.
+    more windows are shuffled than recur, still with the same result. Buckets are at least as many as
+    the session's shuffle partitions, shards four times as many; these are set for the memory of a task.
     """
     spark = docs.sparkSession
     everything = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     texts = everything.where(F.col("id").isNotNull())
     bitmap = spark.sparkContext.broadcast(recurring_cells(texts, window, anchor, bits))
-    buckets, shards = 256, shards_per_partition * partitions(spark)
+    deal, shards = bucket_bits(spark), shards_per_partition * partitions(spark)
     kind = dict(docs.dtypes)[id_col]
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             order = np.argsort(value, kind="stable")
             doc, value = doc[order], value[order]
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            cuts = np.searchsorted(value >> np.uint64(56), np.arange(buckets + 1).astype(np.uint64))
+            cuts = np.searchsorted(value >> np.uint64(64 - deal), np.arange((1 << deal) + 1).astype(np.uint64))
             rows = [(k, _seven(value[a:b]), ids[doc[a:b]].astype(np.int64)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([np.ascontiguousarray(r[2].view(np.uint8).reshape(-1, 8).T).tobytes() for r in rows], pa.binary())],
@@ -231,7 +231,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             )
 
     def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        top = int(frame["bucket"].iloc[0])
+        top = int(frame["bucket"].iloc[0]) >> (deal - 8)
         value = np.concatenate([_eight(x, top) for x in frame["value"]])
         ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in frame["ids"]])
         order = np.lexsort((ids, value))
