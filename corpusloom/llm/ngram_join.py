@@ -10,8 +10,8 @@ if they also meet under the second and the third. The steps:
 1. Sketch: token counts of all documents, in two tables of 2**bits cells.
 2. Sets: size, digest and first-order prefix of each document. Documents of equal sets form a class;
    only the class's smallest id goes on.
-3. Candidates: prefixes are dealt out by token. Groups of up to `small` documents give all pairs of
-   fitting length. Larger groups give links to a pivot, the member that meets most others.
+3. Candidates: prefixes, long enough that linked sets share three tokens, are dealt out by token.
+   Groups of up to `small` documents give all pairs of fitting length, kept if they meet so often. Larger groups give links to a pivot, the member that meets most others.
 4. Verification of the pairs on their whole texts; components of the links found.
 5. In larger groups that are not one component yet, all pairs across components are verified too,
    so no link between components is lost. Tokens are counted exactly among these groups' documents:
@@ -60,8 +60,10 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return sorted_unique(np.concatenate(doc), np.concatenate(value))
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (percent * n + _PERCENT - 1) // _PERCENT + 1
+def prefix_length(n: np.ndarray, percent: int, shared: int = 1) -> np.ndarray:
+    """How many first tokens of sets of n tokens two linked sets share at least `shared` of, or all that a link needs."""
+    need = (percent * n + _PERCENT - 1) // _PERCENT
+    return n - need + np.minimum(need, shared)
 
 
 class Orders:
@@ -125,7 +127,7 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     return texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 4, rare: int = 12) -> DataFrame:
+def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 8, rare: int = 12, shared_least: int = 3) -> DataFrame:
     """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
 
     The two count tables take 2 * 2**bits * 4 bytes, on the driver and each executor, at any size of
@@ -149,7 +151,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             n = np.bincount(doc, minlength=len(batch))
             cuts = np.searchsorted(doc, np.arange(len(batch) + 1))
             digest = [hashlib.blake2b(tokens[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            d, first = orders.prefix(doc, tokens, prefix_length(n, percent) * (n > 0), 0)
+            d, first = orders.prefix(doc, tokens, prefix_length(n, percent, shared_least), 0)
             at = np.searchsorted(d, np.arange(len(batch) + 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([first[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
@@ -178,14 +180,14 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return _PERCENT * np.minimum(a, b) >= percent * np.maximum(a, b)
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs (x < y, token null), and the members of larger groups (x, its size as y, token)."""
+        """Pairs (x < y, token null) with how often they meet in small groups, or enough for those of a pivot; and the members of larger groups (x, its size as y, token)."""
         token, ids = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64)))
         n = np.concatenate([np.frombuffer(x, np.int32) for x in frame["n"]]).astype(np.int64)
         order = np.lexsort((ids, n, token))
         token, ids, n = token[order], ids[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
-        xs, ys = [], []
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def pair(i: np.ndarray, j: np.ndarray) -> None:
             ok = fits(n[i], n[j]) & (ids[i] != ids[j])
@@ -199,37 +201,55 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if not len(i):
                 break
             pair(i, i + lag)
+        pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
         large = np.flatnonzero(size > small)
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(large):
-            known, where, times = np.unique(ids[large], return_inverse=True, return_counts=True)
+            known, where, met = np.unique(ids[large], return_inverse=True, return_counts=True)
             weight = np.zeros(len(token), np.int64)
-            weight[large] = times[where]
+            weight[large] = met[where]
             for a in first[size[first] > small]:
                 own = np.arange(a, a + size[a])
                 pivot = own[np.argmax(weight[own])]
                 pair(own, np.full(len(own), pivot))
-        pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0) if xs else np.zeros((0, 2), np.int64)
+        star = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
+        pairs, times = np.concatenate([pairs, star]), np.concatenate([times, np.full(len(star), shared_least)])
         return pd.DataFrame({
             "x": np.concatenate([pairs[:, 0], ids[large]]), "y": np.concatenate([pairs[:, 1], n[large]]),
             "token": pd.array([None] * len(pairs) + token[large].view(np.int64).tolist(), dtype="Int64"),
+            "times": np.concatenate([times, np.zeros(len(large), np.int64)]),
         })
 
-    met = cut(leaders.select("id", "n", "first").mapInArrow(dealt, "bucket int, token binary, ids binary, n binary").groupBy("bucket").applyInPandas(meet, "x bigint, y bigint, token bigint"))
-    pairs = met.where("token IS NULL").select("x", "y").distinct()
+    met = cut(leaders.select("id", "n", "first").mapInArrow(dealt, "bucket int, token binary, ids binary, n binary").groupBy("bucket").applyInPandas(meet, "x bigint, y bigint, token bigint, times bigint"))
+    # a link shares so many prefix tokens; one that meets in fewer small groups meets in a large one too, and is found there
+    pairs = met.where("token IS NULL").groupBy("x", "y").agg(F.sum("times").alias("times")).where(F.col("times") >= shared_least).select("x", "y")
     groups = met.where("token IS NOT NULL").select(F.col("token"), F.col("x").alias("id"), F.col("y").alias("n"))
-    wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(groups.select("id")).distinct()
+
+    def both_ends(found: DataFrame) -> DataFrame:
+        return found.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+
+    pairs = cut(pairs)
+    wanted = both_ends(pairs).unionByName(groups.select("id")).distinct()
 
     def hashed_ids(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
         yield [mix(batch.column("id").to_numpy().astype(np.uint64), 9)]
 
-    filled = spark.sparkContext.broadcast(np.packbits(count_cells(wanted, hashed_ids, bits)[0] > 0))
+    def among(ids: DataFrame):
+        """A test of ids against a table of fixed size: where they are, and by chance few others. It spares texts a shuffle before an exact join."""
+        table = spark.sparkContext.broadcast(np.packbits(count_cells(ids, hashed_ids, bits)[0] > 0))
+
+        def test(column: pa.Array) -> pa.Array:
+            cell = cells(mix(column.to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64), 9), bits)
+            return pa.array((table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0)
+
+        return test
+
+    known_ids = among(wanted)
 
     def wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compressed texts of documents that may be wanted; the join that follows is exact."""
-        table = filled.value
+        """Compressed texts of documents that may be wanted."""
         for batch in slices(batches, "text"):
-            cell = cells(mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64), 9), bits)
-            part = batch.filter(pa.array((table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0))
+            part = batch.filter(known_ids(batch.column("id")))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([zlib.compress((t or "").encode(), 1) for t in part.column("text").to_pylist()], pa.binary())], names=["id", "z"])
 
     texts = everything.where("id IS NOT NULL").mapInArrow(wanted_texts, "id bigint, z binary").join(wanted, "id", "left_semi")
@@ -262,17 +282,27 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             keep = np.array(linked, bool)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["u", "v"])
 
-    def links(found: DataFrame) -> DataFrame:
+    def only(ids: DataFrame) -> DataFrame:
+        test = among(ids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(test(batch.column("id")))
+
+        return texts.mapInArrow(run, "id bigint, z binary")
+
+    def links(found: DataFrame, texts: DataFrame) -> DataFrame:
         joined = found.join(texts.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x").join(texts.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
         return joined.select("x", "y", "zx", "zy").mapInArrow(verify, "u bigint, v bigint")
 
-    edges = cut(links(pairs))
+    edges = cut(links(pairs, texts))
     reached = components(edges)
     if groups.take(1):
         placed = cut(groups.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c")))
         split = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
         rest = cut(placed.join(split, "token", "left_semi"))
-        met_by = cut(rare_and_core(texts.join(rest.select("id").distinct(), "id", "left_semi"), k, deal - 2, rare))
+        open_ids = rest.select("id").distinct()
+        met_by = cut(rare_and_core(only(open_ids).join(open_ids, "id", "left_semi"), k, deal - 2, rare))
         core = met_by.where("y IS NULL").groupBy(F.col("x").alias("id")).agg(F.sum("s").alias("s"))
         known = cut(rest.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(core, "id", "left").fillna(0, ["s"]))
         ends = [known.select(*(F.col(c).alias(c + e if c != "id" else e) for c in known.columns)) for e in "xy"]
@@ -292,7 +322,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         star = full.join(still, "token").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
         star = star.join(ends[0], "x").join(ends[1], "y").where(apart).select("x", "y")
         tried = cut(one.unionByName(star).distinct().join(pairs, ["x", "y"], "left_anti"))
-        new = cut(links(tried))
+        new = cut(links(tried, only(both_ends(tried))))
         if new.take(1):
             edges = edges.unionByName(new)
             reached = components(edges)
@@ -303,7 +333,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         left, right = (placed.select("token", *(F.col(c).alias(c + e if c != "id" else e) for c in ("id", "n", "s", "c"))) for e in "xy")
         near = (F.col("x") < F.col("y")) & apart & may_link(F.least("sx", "sy"))
         across = left.join(right, "token").where(near).select("x", "y").distinct().join(pairs.unionByName(tried), ["x", "y"], "left_anti")
-        new = cut(links(across))
+        across = cut(across)
+        new = cut(links(across, only(both_ends(across))))
         if new.take(1):
             reached = components(edges.unionByName(new))
     named = member.join(reached, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
