@@ -33,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates, once."""
-    found = ngram_components(docs).select("doc_id", "component_id").where("doc_id IS NOT NULL")
+    """The document of smallest id of each group of near duplicates, once: those whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked."""
+    found = ngram_components(docs, k=5, percent=80).select("doc_id", "component_id").where("doc_id IS NOT NULL")
     twice = found.groupBy("doc_id").count().where("count > 1")
     others = found.where("doc_id <> component_id").select("doc_id").unionByName(twice.select("doc_id"))
     firsts = docs.join(twice.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").hint("shuffle_hash"), "doc_id", "left_semi")

@@ -58,3 +58,38 @@ def test_secrets_are_masked(spark):
 def test_empty(spark, k):
     empty = spark.createDataFrame([], SCHEMA)
     assert P.STAGES[k][1](spark, empty, "").count() == 0
+
+
+def test_near_copies_of_eighty_percent(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    bases = [[word() for _ in range(120)] for _ in range(24)]
+    texts = {d: w for d, w in enumerate(bases)}
+    for d, w in enumerate(bases):
+        more = [word() for _ in range((10, 15, 20, 24, 28, 32, 40, 60)[d % 8])]  # 5-word similarities from 0.92 to 0.66
+        texts[100 + d] = w + more
+        changed = list(w)
+        for i in range(20, 120, (30, 45, 60)[d % 3]):
+            changed[i] = word()
+        texts[200 + d] = changed
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {d: shingles(w) for d, w in texts.items()}
+    parent = {d: d for d in texts}
+
+    def root(d):
+        return d if parent[d] == d else root(parent[d])
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    rows = spark.createDataFrame([(d, " ".join(w), "en", "s", 1) for d, w in texts.items()], SCHEMA).repartition(4)
+    kept = sorted(r.doc_id for r in P.near_duplicates(spark, rows, "").collect())
+    assert kept == [d for d in sorted(texts) if root(d) == d]
+    near = [len(sets[d] & sets[e]) / len(sets[d] | sets[e]) for d in range(24) for e in (100 + d, 200 + d)]
+    assert sum(0.8 <= s < 0.9 for s in near) > 10 and sum(s < 0.8 for s in near) > 10
