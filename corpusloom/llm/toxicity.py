@@ -5,8 +5,10 @@ each character of a token opens the letters it may stand for, or none, and a Vit
 lattice under a character language model finds the likeliest word. The restored words are then scored by
 a lexicon of words and word beginnings, and a logistic regression over what a text's words reach.
 
-The model is fitted on a bounded, hash-chosen sample of labelled rows (`per_class` of each label). For
-the regression each half of it is measured with the other half's lexicon. Every whole text is scored.
+The language model counts the trigrams of all documents, held-out ones included, as it needs no labels:
+all of them, so it grows with the distinct trigrams of the input. Lexicon and regression are fitted on a
+bounded, hash-chosen sample of labelled rows (`per_class` of each label). For the regression each half of
+it is measured with the other half's lexicon. Every whole text is scored.
 
 Null and empty texts have no words and get the regression's score for none. Rows with a null id or label
 teach nothing. Repeated rows each return a row. If the sample lacks either label, all scores are 0.
@@ -39,28 +41,99 @@ _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]*")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 _LOW, _HIT = 3.0, 4.5  # weights (log-odds) that rare words reach by chance, and that count as hits
+_BITS = 21  # of a character
 _LEAST = 3  # texts of label 1 that a lexicon entry needs
 
 
+def code(chars: str) -> int:
+    """Up to three characters as one number."""
+    out = 0
+    for c in chars:
+        out = out << _BITS | ord(c)
+    return out
+
+
+def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def found(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
+    """The count of a code in a table of `summed`, or 0."""
+    codes, counts = table
+    at = int(codes.searchsorted(key))
+    return int(counts[at]) if at < len(codes) and codes[at] == key else 0
+
+
+def word_grams(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the trigrams of words with their counts."""
+    chars = np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    size = np.array([len(w) + 3 for w in words], np.int64)
+    inside = np.ones(len(chars), bool)
+    ends = np.cumsum(size)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    return summed(chars[at] << 2 * _BITS | chars[at + 1] << _BITS | chars[at + 2], np.repeat(np.array(list(words.values()), np.int64), size)[at])
+
+
+def count_grams(docs: DataFrame, text_col: str, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the trigrams of each document's distinct words, over all documents.
+
+    A task counts up to about `most` distinct words before it passes their trigrams on; sums are keyed. The driver gets
+    16 bytes for each distinct trigram.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        parts: dict[str, list[str]] = {}
+
+        def told() -> pa.RecordBatch:
+            codes, counts = word_grams({w: n for w, n in seen.items() if not _RUN.search(w)})
+            seen.clear()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["gram", "n"])
+
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").to_pylist():
+                words: set[str] = set()
+                for t in tokens(text):
+                    if (p := parts.get(t)) is None:
+                        p = parts[t] = restore(t, None)
+                    words.update(p)
+                seen.update(words)
+            if len(parts) > most:
+                yield told()
+        if seen:
+            yield told()
+
+    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    sums = texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return sums.column("gram").to_numpy(), sums.column("n").to_numpy()
+
+
 class Channel:
-    """A character trigram model with the lattice search on it. `grams`: counts of character trigrams, words being padded by two spaces and closed by one."""
-
-    def __init__(self, grams: dict[str, int]):
-        self.three = Counter(grams)
-        self.two: Counter = Counter()
-        self.one: Counter = Counter()
-        for g, n in grams.items():
-            self.two[g[:2]] += n
-            self.one[g[2]] += n
-        self.total = sum(self.one.values()) + 1
+    """A character trigram model with the lattice search on it. `grams`: counts of character trigrams, words being padded by two spaces and closed by one; or (codes, counts) of them."""
+
+    def __init__(self, grams: dict[str, int] | tuple[np.ndarray, np.ndarray]):
+        if isinstance(grams, dict):
+            grams = np.array([code(g) for g in grams], np.int64), np.array(list(grams.values()), np.int64)
+        codes, counts = grams
+        order = np.argsort(codes, kind="stable")
+        self.three = codes[order], counts[order]
+        self.two = summed(codes >> _BITS, counts)
+        self.one = dict(zip(*(x.tolist() for x in summed(codes & ((1 << _BITS) - 1), counts)), strict=True))
+        self.total = int(counts.sum()) + 1
         self.memory: dict[str, float] = {}
 
     def cost(self, before: str, char: str) -> float:
         """Negative log-probability of a character after two others, smoothed by that of the character alone."""
         key = before + char
         if (c := self.memory.get(key)) is None:
-            alone = (self.one[char] + 0.5) / (self.total + 50)
-            c = self.memory[key] = -math.log((self.three[key] + 2 * alone) / (self.two[before] + 2))
+            alone = (self.one.get(ord(char), 0) + 0.5) / (self.total + 50)
+            c = self.memory[key] = -math.log((found(self.three, code(key)) + 2 * alone) / (found(self.two, code(before)) + 2))
         return c
 
     def options(self, token: str) -> list[list[tuple[str, float]]]:
@@ -131,8 +204,8 @@ def features(word: str) -> list[str]:
 class Model:
     """Language model, lexicon and regression; `keep` bounds the tokens remembered per worker."""
 
-    def __init__(self, grams: dict[str, int], lexicon: dict[str, float], keep: int = 400_000):
-        self.channel, self.lexicon, self.keep = Channel(grams), lexicon, keep
+    def __init__(self, channel: Channel, lexicon: dict[str, float], keep: int = 400_000):
+        self.channel, self.lexicon, self.keep = channel, lexicon, keep
         self.regression: np.ndarray | None = None
         self.known: dict[str, float] = {}
 
@@ -162,52 +235,49 @@ class Model:
         return sigmoid(apply(self.regression, x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_features: int, max_grams: int) -> Model:
-    """The model, of `per_class` labelled rows of each class at most, those of smallest hash."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_features: int) -> Model:
+    """The model: trigrams of all documents, and the rest of `per_class` labelled rows of each class at most, those of smallest hash."""
     ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
     chosen = [r for y in (0, 1) for r in ids.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     if len({r.label for r in chosen}) < 2:
-        return Model({}, {})
+        return Model(Channel({}), {})
     few = docs.sparkSession.createDataFrame([(r.id, r.label, zlib.crc32(str(r.id).encode()) >> 8 & 1) for r in chosen], "id bigint, label int, half int")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").where("text IS NOT NULL")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[str, str], list[int]] = {}
+        seen: dict[str, list[int]] = {}
         for frame in frames:
             for text, label, half in zip(frame["text"], frame["label"], frame["half"], strict=True):
                 words = {w for t in tokens(text) for w in restore(t, None)}
                 at = 2 * half + label
-                for key in {("f", f) for w in words for f in features(w)}:
+                for key in {f for w in words for f in features(w)}:
                     seen.setdefault(key, [0] * 4)[at] += 1
-                for w in words:
-                    if not _RUN.search(w):
-                        for i in range(len(w) + 1):
-                            seen.setdefault(("g", f"  {w} "[i : i + 3]), [0] * 4)[at] += 1
         if seen:
-            yield pd.DataFrame({"kind": [k for k, _ in seen], "key": [k for _, k in seen], **{f"n{i}": [n[i] for n in seen.values()] for i in range(4)}})
+            yield pd.DataFrame({"key": list(seen), **{f"n{i}": [n[i] for n in seen.values()] for i in range(4)}})
 
     texts = cut(sample.groupBy(F.md5("text")).agg(F.first("text").alias("text"), F.max("label").alias("label"), F.min("half").alias("half")).select("text", "label", "half"))
-    counts = texts.mapInPandas(counted, "kind string, key string, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("kind", "key").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
-    counts = cut(counts.where(f"kind = 'g' OR n1 + n3 >= {_LEAST}"))
+    counts = texts.mapInPandas(counted, "key string, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("key").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
+    counts = cut(counts.where(f"n1 + n3 >= {_LEAST}"))
     sizes = Counter({(r.half, r.label): r["n"] for r in texts.groupBy("half", "label").agg(F.count("*").alias("n")).collect()})
-    grams = {r.key: r.n for r in counts.where("kind = 'g'").select("key", F.expr("n0 + n1 + n2 + n3").alias("n")).orderBy(F.desc("n"), "key").limit(max_grams).collect()}
+    channel = Channel(count_grams(docs, text_col))
 
     def lexicon(halves: tuple[int, ...]) -> dict[str, float]:
         clean, bad = ("+".join(f"n{2 * h + y}" for h in halves) for y in (0, 1))
         all_clean, all_bad = (sum(sizes[h, y] for h in halves) for y in (0, 1))
         odds = F.log((F.expr(bad) + 0.5) / (all_bad + 1.0)) - F.log((F.expr(clean) + 0.5) / (all_clean + 1.0))
-        rows = counts.where(f"kind = 'f' AND {bad} >= {_LEAST}").withColumn("odds", odds).where("odds > 1").orderBy(F.desc("odds"), "key").limit(max_features).collect()
+        rows = counts.where(f"{bad} >= {_LEAST}").withColumn("odds", odds).where("odds > 1").orderBy(F.desc("odds"), "key").limit(max_features).collect()
         return {r.key: r.odds for r in rows}
 
-    halves = [Model(grams, lexicon((1,))), Model(grams, lexicon((0,)))]  # what each half is measured with
+    shared = docs.sparkSession.sparkContext.broadcast([Model(channel, lexicon((1,))), Model(channel, lexicon((0,)))])  # what each half is measured with
 
     def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        halves = shared.value
         for frame in frames:
             x = np.array([halves[h].reach(t) for t, h in zip(frame["text"], frame["half"], strict=True)]).reshape(-1, 3)
             yield pd.DataFrame({"label": frame["label"], "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
 
     rows = texts.mapInPandas(reached, "label int, a double, b double, c double").toPandas()
-    model = Model(grams, lexicon((0, 1)))
+    model = Model(channel, lexicon((0, 1)))
     if rows["label"].nunique() == 2:
         x = np.vstack([rows[["a", "b", "c"]].to_numpy(), np.zeros((20, 3))])  # texts without words are clean
         model.regression = logistic(x, np.append(rows["label"].to_numpy().astype(float), np.zeros(20)), ridge=1e-3)
@@ -220,15 +290,16 @@ def held_out(id_: Column) -> Column:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, per_class: int = 3000, max_features: int = 30_000, max_grams: int = 60_000,
+    threshold: float = 0.3, per_class: int = 3000, max_features: int = 30_000,
 ) -> DataFrame:
-    """(id, held_out, score, predicted) of each document. Held-out rows, by a hash of the id, are never learnt from.
+    """(id, held_out, score, predicted) of each document. Labels of held-out rows, by a hash of the id, are never learnt from.
 
-    `per_class`, `max_features` and `max_grams` bound the sample and the model, which is broadcast.
+    `per_class` and `max_features` bound the labelled sample and the lexicon. The model is broadcast; its trigrams are
+    those of all documents, at 16 bytes each.
     """
     kind = dict(docs.dtypes)[id_col]
     learnt = labels.where(~held_out(id_col))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnt, id_col, text_col, label_col, per_class, max_features, max_grams))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnt, id_col, text_col, label_col, per_class, max_features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

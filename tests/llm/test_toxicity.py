@@ -60,3 +60,20 @@ def test_channel():
     assert c.decode("d0lt") == "dolt" and c.decode("wr.e-t.c.h") == "wretch" and c.decode("doooolt") == "dolt"
     assert not disguised("river") and disguised("r1ver") and not disguised("123")
     assert restore("river,", c) == ["river"]
+
+
+def test_language_model_counts_all_documents(spark):
+    docs, labels = corpus(80)
+    more = [(1000 + i, t, None, None) for i, t in enumerate(["xylophone Глупец", "xylophone, xylophone", "xylophone 漢字漢", "nooope stone", None, ""])]
+    df = spark.createDataFrame(docs + more, DOCS).repartition(3)
+    channel = fit(df, spark.createDataFrame(labels, LABELS), "doc_id", "text", "toxic", 10, 1000).channel
+    assert channel.decode("xy1oph0ne") == "xylophone" and channel.decode("гл.у-пец") == "глупец"
+    grams = {}
+    for _, text, _, _ in docs + more:
+        for w in {w.strip(",").lower() for w in (text or "").split()} - {"nooope"}:
+            for i in range(len(w) + 1):
+                g = f"  {w} "[i : i + 3]
+                grams[g] = grams.get(g, 0) + 1
+    all_ = Channel(grams)
+    assert [x.tolist() for x in channel.three] == [x.tolist() for x in all_.three] and len(grams) == len(channel.three[0])
+    assert all(channel.cost(g[:2], g[2]) == all_.cost(g[:2], g[2]) for g in grams)
