@@ -1,11 +1,13 @@
 """Quality classifier by co-training.
 
 Two classifiers see a document separately: one its text, one its metadata. Both start from the labelled
-sample. In every round each labels the pool of unlabelled documents, and those it is most sure of teach
+sample. In every round each labels all other documents, the pool, and those it is most sure of teach
 the other. At the end each view is calibrated on labelled rows it did not learn from, and the calibrated
 log-odds are combined, with weights fitted there too, to score every document.
 
-The labelled sample and the pool are bounded and hash-chosen; scores are given to all documents. Null
+The labelled sample is bounded and hash-chosen. The pool is every document besides it, in its features as
+checkpointed once: what a round has taught is not stored but found anew from its models and cuts, and
+models are refitted from sums over tasks. Scores are given to all documents. Null
 and empty texts have zero statistics; null metadata are values of their own. Rows with a null id or
 label teach nothing. Repeated rows each return a row. If the sample lacks either label, scores are 0.5.
 """
@@ -13,7 +15,7 @@ label teach nothing. Repeated rows each return a row. If the sample lacks either
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, partitions
 from .linear import apply, logistic, sigmoid
 from .quality_rules import per_text, text_stats, vectors
 from .words import Words, slices
 
 _BAG = 256
 _META = 128
+_BINS = 64 * 36  # of log-odds, which sigmoid cuts at 35
+_RIDGE = 0.3
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
@@ -56,6 +61,82 @@ def meta_view(columns: list[list], length: np.ndarray) -> np.ndarray:
     return out
 
 
+#: One round: both views' models, and for view 0's label 0 and 1 and view 1's, the last bin passed on and the share of it.
+Round = tuple[list[np.ndarray], list[tuple[int, float]]]
+Over = Callable[[Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]], list[np.ndarray]]
+
+
+def sureness(models: list[np.ndarray], views: list[np.ndarray], sure: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(view taught, label, whether the other view is sure, bin of its log-odds), four times."""
+    for k, x in enumerate(views):
+        odds = apply(models[k], x)
+        for label, o in ((0, -odds), (1, odds)):
+            yield 1 - k, label, sigmoid(o) >= sure, np.clip(o * 64, 0, _BINS - 1).astype(int)
+
+
+def taught(views: list[np.ndarray], point: np.ndarray, told: list[Round], sure: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each view's targets and weights after the rounds `told`. `point`, in [0, 1), decides rows of the last bin."""
+    target, weight = ([np.zeros(len(point)) for _ in views] for _ in range(2))
+    for models, cuts in told:
+        new = [(k, label, ok & (weight[k] == 0) & ((b > at) | ((b == at) & (point < part)))) for (k, label, ok, b), (at, part) in zip(sureness(models, views, sure), cuts, strict=True)]
+        for k, label, rows in new:
+            target[k][rows], weight[k][rows] = label, 0.5
+    return target, weight
+
+
+def tally(views: list[np.ndarray], point: np.ndarray, told: list[Round], models: list[np.ndarray], sure: float) -> np.ndarray:
+    """For each view and label, how many rows that may be passed on have each bin."""
+    weight = taught(views, point, told, sure)[1]
+    return np.stack([np.bincount(b[ok & (weight[k] == 0)], minlength=_BINS) for k, _, ok, b in sureness(models, views, sure)]).astype(float)
+
+
+def cut_at(counts: np.ndarray, most: int) -> tuple[int, float]:
+    """The last bin, from the surest down, to pass on `most` rows, and the share of it."""
+    reach = np.cumsum(counts[::-1])
+    if reach[-1] <= most:
+        return -1, 0.0
+    i = int(np.searchsorted(reach, most, side="right"))
+    last = counts[::-1][i]
+    return len(counts) - 1 - i, float((most - (reach[i] - last)) / last)
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """Gradient, upper half of the Hessian and weight of the logistic loss at `w`."""
+    x, y, weight = (a[weight > 0] for a in (x, y, weight))
+    x = np.column_stack([x, np.ones(len(x))])
+    p = sigmoid(x @ w)
+    hess = (x.T * (weight * np.maximum(p * (1 - p), 1e-6))) @ x
+    return [x.T @ (weight * (p - y)), hess[np.triu_indices(len(w))], np.array([weight.sum()])]
+
+
+def refit(models: list[np.ndarray], known: list[np.ndarray], label: np.ndarray, over: Over, told: list[Round], sure: float, steps: int = 30) -> list[np.ndarray]:
+    """Both views' models as `logistic` fits them on the labelled rows and what the rounds have taught, by Newton steps from `models` on."""
+    models = list(models)
+    going = [0, 1]
+    for _ in range(steps):
+
+        def sums(views: list[np.ndarray], point: np.ndarray, at=tuple(models), going=tuple(going)) -> list[np.ndarray]:
+            target, weight = taught(views, point, told, sure)
+            return [a for k in going for a in newton_sums(views[k], target[k], weight[k], at[k])]
+
+        there = over(sums)
+        for i, k in enumerate(list(going)):
+            w = models[k]
+            grad, half, total = (a + b for a, b in zip(there[3 * i : 3 * i + 3], newton_sums(known[k], label, np.ones(len(label)), w), strict=True))
+            hess = np.zeros((len(w), len(w)))
+            hess[np.triu_indices(len(w))] = half
+            hess = hess + np.triu(hess, 1).T
+            penalty = np.full(len(w), _RIDGE * max(1.0, float(total[0])) / 100)
+            penalty[-1] = 1e-6
+            step = np.linalg.solve(hess + np.diag(penalty), grad + penalty * w)
+            models[k] = w - step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
+            if np.abs(step).max() < 1e-6:
+                going.remove(k)
+        if not going:
+            break
+    return models
+
+
 class CoTraining:
     """Both views' models, their calibration and its combination."""
 
@@ -64,27 +145,27 @@ class CoTraining:
         self.calibration: np.ndarray | None = None
         self.exchanged: list[tuple[int, int]] = []
 
-    def fit(self, views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int, share: float, sure: float) -> CoTraining:
-        """`y`: 0, 1, or -1 for the pool; `held` labelled rows are kept for calibration. In each round a view passes on at most `share` of the pool, if it is `sure`."""
+    def fit(self, views: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int, share: float, sure: float, over: Over | None = None) -> CoTraining:
+        """`y`: 0, 1, or -1 for the pool; `held` labelled rows are kept for calibration. In each round a view passes on about `share` of the pool at most, if it is `sure`.
+
+        `over` sums a function's arrays over a pool that is elsewhere.
+        """
         learn = (y >= 0) & ~held
-        pool = np.flatnonzero(y < 0)
-        target = [np.where(learn, y, 0).astype(float) for _ in views]
-        weight = [learn.astype(float) for _ in views]
-        for turn in range(rounds + 1):
-            self.views = [logistic(x[w > 0], t[w > 0], w[w > 0], ridge=0.3) for x, t, w in zip(views, target, weight, strict=True)]
-            if turn == rounds or not len(pool):
-                break
-            most = max(1, int(share * len(pool)))
-            told = []
-            for k, x in enumerate(views):
-                p = sigmoid(apply(self.views[k], x[pool]))
-                other = 1 - k
-                for label, sureness in ((0, 1 - p), (1, p)):
-                    new = np.flatnonzero((sureness >= sure) & (weight[other][pool] == 0))
-                    new = pool[new[np.argsort(-sureness[new], kind="stable")[:most]]]
-                    target[other][new], weight[other][new] = label, 0.5
-                    told.append(len(new))
-            self.exchanged.append((told[0] + told[1], told[2] + told[3]))
+        if over is None:
+            own, point = [x[y < 0] for x in views], np.random.default_rng(0).random(int((y < 0).sum()))
+            over = lambda f: f(own, point)
+        known, label = [x[learn] for x in views], y[learn].astype(float)
+        self.views = [logistic(x, label, ridge=_RIDGE) for x in known]
+        told: list[Round] = []
+        size = int(over(lambda v, u: [np.array([len(u)], float)])[0][0])
+        for _ in range(rounds if size else 0):
+            models, before = list(self.views), list(told)
+            counts = over(lambda v, u, models=models, before=before: [tally(v, u, before, models, sure)])[0]
+            most = max(1, int(share * size))
+            told.append((models, [cut_at(c, most) for c in counts]))
+            passed = [int(min(c.sum(), most)) for c in counts]
+            self.exchanged.append((passed[0] + passed[1], passed[2] + passed[3]))
+            self.views = refit(self.views, known, label, over, list(told), sure)
         check = held & (y >= 0)
         odds = np.column_stack([apply(w, x[check]) for w, x in zip(self.views, views, strict=True)])
         if len(np.unique(y[check])) == 2:
@@ -99,19 +180,18 @@ class CoTraining:
 
 def classify_quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    metadata: tuple[str, ...] = ("lang", "source"), labelled: int = 6000, pool: int = 6000, rounds: int = 4,
+    metadata: tuple[str, ...] = ("lang", "source"), labelled: int = 6000, rounds: int = 4,
     share: float = 0.1, sure: float = 0.95, threshold: float = 0.3,
 ) -> DataFrame:
     """(id, text_score, meta_score, score, keep) of each document; scores are of label 1, kept from `threshold` on.
 
-    At most `labelled` labelled rows and a pool of about `pool` others are learnt from, those of smallest hash.
+    At most `labelled` labelled rows are learnt from, those of smallest hash, and all other documents are the pool.
     """
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
     ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
     chosen = {r.id: r.label for r in ids.orderBy(F.xxhash64("id"), "id").limit(labelled).collect()}
-    others = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(pool).collect()
-    drawn = [(i, y, zlib.crc32(str(i).encode()) % 4 == 1) for i, y in chosen.items()] + [(i, -1, False) for i in {r.id for r in others} - set(chosen)]
+    drawn = [(i, y, zlib.crc32(str(i).encode()) % 4 == 1) for i, y in chosen.items()]
     named = [f"coalesce(cast(`{c}` AS string), 'null') AS m{k}" for k, c in enumerate(metadata)]
     plain = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", *named)
     names = [f"m{k}" for k in range(len(metadata))]
@@ -126,13 +206,61 @@ def classify_quality(
             a, b = seen(batch)
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("held"), pa.array(a.tolist(), pa.list_(pa.float32())), pa.array(b.tolist(), pa.list_(pa.float32()))], names=["label", "held", "a", "b"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of the pool's features."""
+        for batch in slices(batches, "text"):
+            a, b = seen(batch)
+            blob = [zlib.compress(a.astype(np.float32).tobytes(), 1), np.packbits(b.astype(bool), axis=1).tobytes(), batch.column("point").to_numpy().astype(np.float64).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blob], names=["a", "b", "point"])
+
+    width = [x.shape[1] for x in (text_view(pa.array(["a"])), meta_view([["a"]] * len(names), np.zeros(1)))]
+
+    def over_blocks(blocks: DataFrame, parts: int = 8) -> Over:
+        def over(f: Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+            zero = f([np.zeros((0, n)) for n in width], np.zeros(0))
+
+            def written(flat: dict[int, np.ndarray]) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(flat), pa.int32()), pa.array([x.tobytes() for x in flat.values()], pa.binary())], names=["part", "sums"])
+
+            def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                total = None
+                for batch in batches:
+                    for a, b, point in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "point")), strict=True):
+                        u = np.frombuffer(point)
+                        x = np.frombuffer(zlib.decompress(a), np.float32).reshape(len(u), width[0]).astype(float)
+                        m = np.unpackbits(np.frombuffer(b, np.uint8).reshape(len(u), -1), axis=1)[:, : width[1]].astype(float)
+                        flat = np.concatenate([r.ravel() for r in f([x, m], u)])
+                        total = flat if total is None else total + flat
+                if total is not None:
+                    yield written(dict(enumerate(np.array_split(total, parts))))
+
+            def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                flat: dict[int, np.ndarray] = {}
+                for batch in batches:
+                    for k, raw in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                        flat[k] = np.frombuffer(raw) + flat.get(k, 0.0)
+                if flat:
+                    yield written(flat)
+
+            shape = "part int, sums binary"
+            got = blocks.mapInArrow(here, shape).repartition(min(parts, partitions(spark)), "part").mapInArrow(add, shape).collect()
+            flat = np.concatenate([np.frombuffer(r.sums) for r in sorted(got, key=lambda r: r.part)]) if got else np.concatenate([z.ravel() for z in zero])
+            ends = np.cumsum([z.size for z in zero])[:-1]
+            return [x.reshape(z.shape) for x, z in zip(np.split(flat, ends), zero, strict=True)]
+
+        return over
+
     model = CoTraining()
     if len(set(chosen.values())) == 2:
         sample = plain.join(F.broadcast(spark.createDataFrame(drawn, "id bigint, label int, held boolean")), "id")
         rows: pd.DataFrame = sample.mapInArrow(measured, "label int, held boolean, a array<float>, b array<float>").toPandas()
         y = rows["label"].to_numpy()
         if {0, 1} <= set(y[~rows["held"].to_numpy(bool)]):
-            model.fit([np.stack(rows[c].to_numpy()).astype(float) for c in "ab"], y, rows["held"].to_numpy(bool), rounds, share, sure)
+            known = spark.createDataFrame([(i,) for i in chosen], "id bigint")
+            rest = plain.where("id IS NOT NULL").join(F.broadcast(known), "id", "left_anti")
+            point = (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 32)) / float(1 << 32)).alias("point")
+            blocks = cut(rest.select("text", *names, point).mapInArrow(packed, "a binary, b binary, point binary"))
+            model.fit([np.stack(rows[c].to_numpy()).astype(float) for c in "ab"], y, rows["held"].to_numpy(bool), rounds, share, sure, over_blocks(blocks))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,3 +47,33 @@ def test_no_labels_and_no_rows(spark):
     docs, labels = corpus(12)
     assert {r.score for r in classify_quality(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], LABELS)).collect()} == {0.5}
     assert classify_quality(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS)).count() == 0
+
+
+def test_all_unlabelled_rows_are_the_pool(spark, monkeypatch):
+    docs, labels = corpus(300)
+    more = [(10_000 + i, f"{d[1]} {i}", "xx", f"rare{i % 3}", 0.1, "x") for i, d in enumerate(docs * 25)]
+    seen, fit = [], CoTraining.fit
+
+    def watched(self, views, y, held, rounds, share, sure, over):
+        seen.append(int(over(lambda v, u: [np.array([len(u)], float)])[0][0]))
+        return fit(self, views, y, held, rounds, share, sure, over)
+
+    monkeypatch.setattr(CoTraining, "fit", watched)
+    out = classify_quality(spark.createDataFrame(docs + more, DOCS).repartition(3), spark.createDataFrame(labels, LABELS), rounds=1)
+    assert out.count() == len(docs) + len(more) and seen == [len(docs) + len(more) - len(labels)]
+
+
+def test_sums_over_blocks_teach_as_one_table_does():
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 900)
+    views = [np.column_stack([y * 2.0 - 1 + rng.normal(0, 0.7, 900), rng.normal(size=(900, 3))]) for _ in range(2)]
+    known, held = np.where(np.arange(900) < 90, y, -1), np.arange(900) % 4 == 1
+    own, point = [x[90:] for x in views], np.random.default_rng(0).random(810)
+
+    def over(f):
+        parts = [f([x[a : a + 100] for x in own], point[a : a + 100]) for a in range(0, 810, 100)]
+        return [sum(p) for p in zip(*parts, strict=True)]
+
+    one = CoTraining().fit(views, known, held, rounds=3, share=0.1, sure=0.8)
+    two = CoTraining().fit([x[:90] for x in views], known[:90], held[:90], rounds=3, share=0.1, sure=0.8, over=over)
+    assert one.exchanged == two.exchanged and all(np.allclose(a, b) for a, b in zip(one.views, two.views, strict=True))
