@@ -11,23 +11,33 @@ is counted in documents. Rows that repeat an id get the same count each. An empt
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
 
 
+_HIGH = 500.0
+
+
 def seeded(seed: str, *parts: Column) -> Column:
     """A hash of the parts in [0, 1), of 32 bits."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def poisson_inverse(u: Column, rate: Column, most: int) -> Column:
-    """The least n whose cumulative Poisson probability exceeds u; at most `most`."""
+def poisson_inverse(u: Column, rate: Column, most: Column) -> Column:
+    """The least n whose cumulative Poisson probability exceeds u; at most `most`. Above a rate of `_HIGH` the walk is on log-probabilities, as the first terms would underflow."""
+    in_logs = F.aggregate(
+        F.sequence(F.lit(1), most),
+        F.struct(F.lit(0).alias("n"), (-rate).alias("term"), F.exp(-rate).alias("cumulative")),
+        lambda s, i: F.struct(
+            F.when(s["cumulative"] <= u, i).otherwise(s["n"]).alias("n"),
+            (s["term"] + F.log(rate / i)).alias("term"),
+            (s["cumulative"] + F.exp(s["term"] + F.log(rate / i))).alias("cumulative"),
+        ),
+    )
     walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
+        F.sequence(F.lit(1), most),
         F.struct(F.lit(0).alias("n"), F.exp(-rate).alias("term"), F.exp(-rate).alias("cumulative")),
         lambda s, i: F.struct(
             F.when(s["cumulative"] <= u, i).otherwise(s["n"]).alias("n"),
@@ -35,7 +45,7 @@ def poisson_inverse(u: Column, rate: Column, most: int) -> Column:
             (s["cumulative"] + s["term"] * rate / i).alias("cumulative"),
         ),
     )
-    return walked["n"]
+    return F.when(rate > _HIGH, in_logs["n"]).otherwise(walked["n"])
 
 
 def repetition_rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, temper: float, epochs: float) -> DataFrame:
@@ -52,24 +62,24 @@ def repetition_rates(docs: DataFrame, source: str, weights: dict[str | None, flo
 
 def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None,
-    temper: float = 0.5, epochs: float = 1.0, seed: str = "mix", most_rate: float = 500.0, many_sources: int = 100_000, with_order: bool = True,
+    temper: float = 0.5, epochs: float = 1.0, seed: str = "mix", most_rate: float | None = None, many_sources: int = 100_000, with_order: bool = True,
 ) -> DataFrame:
     """The columns of `docs`[, replica, mix_key], each document as often as drawn, in an order that mixes all sources.
 
-    A source wanted more than `most_rate` times over raises, as its distribution's terms would underflow.
+    A source wanted more than `most_rate` times over raises, if that is given.
     Rates are broadcast if there are at most `many_sources` sources, which is counted; else they are
     joined by key. The texts are shuffled once, to the partition their key falls in; the mix is complete
     when partitions are read in any order.
     """
     rates = repetition_rates(docs, source, weights, temper, epochs)
     sources, highest = rates.agg(F.count("*"), F.max("_rate")).first()
-    highest = highest or 0.0
-    if highest > most_rate:
+    if most_rate is not None and (highest or 0.0) > most_rate:
         raise ValueError(f"a source would be repeated {highest:.3g} times")
-    most = max(30, math.ceil(highest + 12 * math.sqrt(highest) + 12))  # the rest has less than a chance in 2**32
+    rate = F.col("_rate")
+    most = F.greatest(F.lit(30), F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int"))  # the rest has less than a chance in 2**32
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("string").alias("_id"), F.col(source).alias("_from"))
     joined = packed.join(F.broadcast(rates) if sources <= many_sources else rates, F.col("_from").eqNullSafe(F.col("_source")))
-    times = poisson_inverse(seeded(seed, F.coalesce("_id", F.lit(""))), F.col("_rate"), most)
+    times = poisson_inverse(seeded(seed, F.coalesce("_id", F.lit(""))), rate, most)
     repeated = joined.select("_row", "_id", times.alias("_times")).where("_times > 0").select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_replica"))
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce("_id", F.lit("")), F.col("_replica").cast("string")))
     keyed = repeated.select("_row", "_replica", key.alias("_key"))

@@ -52,3 +52,17 @@ def test_weights_order_and_reruns(spark):
 
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA), with_order=False).count() == 0
+
+
+def test_rates_that_underflow(spark):
+    rows = [(d, "t", "large", 0, 0.0) for d in range(1800)] + [(5000 + d, "t", "single", 0, 0.0) for d in range(2)]
+    got = Counter(r.doc_id for r in mix_sources(spark.createDataFrame(rows, SCHEMA), weights={"single": 1.0}, with_order=False).select("doc_id").collect())
+    want = {}
+    for d in (5000, 5001):
+        u, rate = int(hashlib.md5(f"mix:{d}".encode()).hexdigest()[:8], 16) / 2**32, 901.0
+        n, c = 0, math.exp(-rate)
+        while c <= u:
+            n += 1
+            c += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
+        want[d] = n
+    assert got == want
