@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import partitions
 
@@ -23,30 +23,27 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
     """How often each cell is met, for each of `tables` tables, over all rows of `df`.
 
     `values` turns a batch into pieces of work, each one hash array for each table. A task adds up its
-    rows in tables of 2**bits bytes and sends them, compressed, by slices; slices are added up by
-    streaming, and the driver gets the sums: 4 * tables * 2**bits bytes at any size of input.
+    rows in tables of 2**bits 32-bit counts and sends them once, compressed, by slices; slices are added
+    up by streaming, and the driver gets the sums: 4 * tables * 2**bits bytes at any size of input.
     """
     size = 1 << bits
     part = size // SLICES
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(size, np.uint16) for _ in range(tables)]
+        held = [np.zeros(size, np.uint32) for _ in range(tables)]
         rows = 0
 
         def told() -> Iterator[pa.RecordBatch]:
             for t, counts in enumerate(held):
-                low = np.minimum(counts, 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(range(t * SLICES, (t + 1) * SLICES), pa.int32()), pa.array([zlib.compress(low[k * part : (k + 1) * part].tobytes(), 1) for k in range(SLICES)], pa.binary())], names=["slice", "counts"])
-                counts[:] = 0
+                planes = counts.view(np.uint8).reshape(-1, 4)  # by byte places: the upper ones are nearly all zero
+                packed = [zlib.compress(np.ascontiguousarray(planes[k * part : (k + 1) * part].T).tobytes(), 1) for k in range(SLICES)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(t * SLICES, (t + 1) * SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
 
         for batch in batches:
             for piece in values(batch):
                 for counts, v in zip(held, piece, strict=True):
-                    np.add.at(counts, cells(v, bits), 1) if len(v) < size // 64 else counts.__iadd__(np.bincount(cells(v, bits), minlength=size).astype(np.uint16))
+                    np.add.at(counts, cells(v, bits), 1) if len(v) < size // 64 else counts.__iadd__(np.bincount(cells(v, bits), minlength=size).astype(np.uint32))
                 rows += len(piece[0])
-                if rows > 16 * size:  # so that few counts pass 255
-                    yield from told()
-                    rows = 0
         if rows:
             yield from told()
 
@@ -54,7 +51,10 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums.setdefault(k, np.zeros(part, np.uint32)).__iadd__(np.frombuffer(zlib.decompress(raw), np.uint8))
+                planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+                there = sums.setdefault(k, np.zeros(part, np.uint32))
+                more = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+                there += np.minimum(more, ~there)  # stays at the top once there
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -64,3 +64,23 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
         t, k = divmod(k, SLICES)
         out[t][k * part : (k + 1) * part] = np.frombuffer(zlib.decompress(raw), np.uint32)
     return out
+
+
+def bits_for(values: int, least: int = 12, most: int = 24) -> int:
+    """Bits of a table with about eight cells for each value, in bounds."""
+    return min(most, max(least, (8 * values).bit_length()))
+
+
+def member_test(spark: SparkSession, df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], expected: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of 64-bit hashes against those of `df`: true where they are met, and by chance for few others.
+
+    Its bitmap, of at most 2**24 bits, is broadcast; it spares rows a shuffle before an exact join.
+    """
+    bits = bits_for(expected)
+    table = spark.sparkContext.broadcast(np.packbits(count_cells(df, values, bits)[0] > 0))
+
+    def test(hashes: np.ndarray) -> np.ndarray:
+        cell = cells(hashes, bits)
+        return (table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+
+    return test
