@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corpusloom.llm.nearest import hadamard, nearest
 
@@ -43,10 +44,51 @@ def test_recall_scores_and_ties(spark):
 def test_few_and_none(spark):
     assert found(spark, []) == {}
     rows = [(0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [-1.0, 0.5, 0.0])]
-    assert [j for j, _ in found(spark, rows, probes=8)[0]] == [1, 2]
+    assert [j for j, _ in found(spark, rows)[0]] == [1, 2]
 
 
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(hadamard(hadamard(x)), x)
+
+
+def unit(rng, n, dim=64):
+    x = rng.normal(size=(n, dim))
+    return [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+
+
+def recall(want, got):
+    return sum(len({j for j, _ in want[q]} & {j for j, _ in got.get(q, [])}) for q in want) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("n", [1, 12, 21, 30, 500, 2000])
+def test_defaults_at_every_size(spark, n):
+    rows = unit(np.random.default_rng(n), n)
+    want, got = brute(rows), found(spark, rows)
+    if n > 1:
+        assert recall(want, got) >= 0.9
+    for q, near in got.items():
+        assert len(near) == min(20, n - 1)
+    if n <= 21:
+        assert {q: [j for j, _ in near] for q, near in got.items()} == {q: [j for j, _ in near] for q, near in want.items() if near}
+
+
+def test_more_axes_a_table(spark):
+    rows = unit(np.random.default_rng(1), 3000, 16)
+    want, got = brute(rows), found(spark, rows, axes=2)
+    assert recall(want, got) >= 0.9
+    assert recall(want, found(spark, rows, bucket_rows=1)) >= 0.9
+
+
+def test_ties_go_by_id_and_doubles_are_not_rounded(spark):
+    rows = [(i, [1.0 if j == i % 8 else 0.0 for j in range(8)]) for i in range(200)]
+    assert found(spark, rows, block_rows=30) == brute(rows)
+    near = [1.0, 1e-12, 0.0]
+    df = spark.createDataFrame([(0, [1.0, 1.0, 1.0]), (1, [1.0, 0.0, 0.0]), (2, near)], "vec_id bigint, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in sorted(nearest(df).collect(), key=lambda r: r.rank) if r.query_id == 0] == [(2, 1.0 + 1e-12), (1, 1.0)]
+
+
+def test_lengths_that_tie(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0, 1.0]), (20, [0.0, 1.0, 0.0])]
+    assert found(spark, rows) == brute(rows[:2])
