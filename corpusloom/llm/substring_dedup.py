@@ -165,12 +165,20 @@ def joined(w: Words, which: np.ndarray | None = None) -> tuple[bytes, np.ndarray
     return out.tobytes(), at
 
 
-def symbols(hashes: np.ndarray, vocabulary: np.ndarray) -> str:
-    """A code point for each word of a sorted vocabulary of hashes; U+0000 for any other."""
+def symbols(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[str, str]:
+    """Words as code points, one for each word of a sorted vocabulary of hashes and U+0000 for any other; and as three digits each.
+
+    The digits are what automata read: a node's branches are searched one by one, so there must be few.
+    Each place has digits of its own, so nothing matches across the places.
+    """
     at = np.searchsorted(vocabulary, hashes)
     known = (at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes)
     code = np.where(known, at + 1, 0)
-    return (code + 0x800 * (code >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+    base = int(np.ceil((len(vocabulary) + 1) ** (1 / 3))) + 1
+    digits = np.stack([code // base**2, code // base % base + base, code % base + 2 * base], axis=1) + 1
+    digits[~known] = 0
+    text = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+    return text(code + 0x800 * (code >= 0xD800)), text(digits)
 
 
 def pieces(passages: list[tuple[int, bytes]], most: int = 1_000_000) -> Iterator[list[tuple[int, bytes]]]:
@@ -195,24 +203,25 @@ class Phrases:
         w = Words(pa.array([p for _, p in passages], pa.binary()).cast(pa.string()))
         hashes = w.hashes()
         self.vocabulary = np.unique(hashes)
-        self.spelled = symbols(hashes, self.vocabulary)
+        self.spelled, digits = symbols(hashes, self.vocabulary)
         self.bytes, self.at = joined(w)
         self.cuts = w.first_word.tolist()
         step, seeds = window - self.seed + 1, {}
         for k, (owner, _) in enumerate(passages):
             a, b = self.cuts[k], self.cuts[k + 1]
             for i in range(a, b - self.seed + 1, step):
-                seeds.setdefault(self.spelled[i : i + self.seed], []).append((i, a, b, owner))
+                seeds.setdefault(digits[3 * i : 3 * (i + self.seed)], []).append((i, a, b, owner))
         self.automaton = ahocorasick.Automaton()
         for phrase, places in seeds.items():
             self.automaton.add_word(phrase, places)
         self.automaton.make_automaton()
 
-    def occurrences(self, spelled: str, a: int, b: int, mine: int, gone: bytearray, text: bytes, at: np.ndarray) -> None:
+    def occurrences(self, spelled: str, digits: str, a: int, b: int, mine: int, gone: bytearray, text: bytes, at: np.ndarray) -> None:
         """Marks in `gone` the words a to b of a document that windows of smaller owners cover."""
         own, seed, room = self.spelled, self.seed, self.window - self.seed
-        for end, places in self.automaton.iter(spelled, a, b):
-            s, e = end - seed + 1, end + 1
+        for end, places in self.automaton.iter(digits, 3 * a, 3 * b):
+            e = end // 3 + 1
+            s = e - seed
             left, right = min(room, s - a), min(room, b - e)
             if left + seed + right < self.window or gone.find(0, s - left, e + right) < 0:
                 continue
@@ -240,10 +249,10 @@ def dedup_shard(texts: pa.Array, ids: list[int | None], found: list[Phrases]) ->
     gone = bytearray(len(w.starts))
     cuts = w.first_word.tolist()
     for phrases in found:
-        spelled = symbols(hashes, phrases.vocabulary)
+        spelled, digits = symbols(hashes, phrases.vocabulary)
         for i, mine in enumerate(ids):
             if mine is not None and cuts[i + 1] - cuts[i] >= phrases.window:
-                phrases.occurrences(spelled, cuts[i], cuts[i + 1], mine, gone, text, at)
+                phrases.occurrences(spelled, digits, cuts[i], cuts[i + 1], mine, gone, text, at)
     kept = np.flatnonzero(np.frombuffer(gone, np.uint8) == 0)
     left, there = (text, at) if len(kept) == len(gone) else joined(w, kept)
     ends = np.searchsorted(kept, cuts)
