@@ -1,34 +1,40 @@
 """N-gram Jaccard join by multiple-global-order filtering.
 
 A document's set holds its distinct 3-word shingles, lower-cased in ASCII. Two sets with a Jaccard
-similarity of t or more must share a token among the first |x| - ceil(t |x|) + 1 of each, under any
-order of all tokens. Three orders are used. Each puts rare tokens first, by a count of all documents'
-tokens in a table of fixed size (an overcount is harmless: any common order is valid), and differs in
-the table or the hash that break ties. Candidates meet under the first order; they are verified only
-if they also meet under the second and the third. The steps:
+similarity of t or more share s tokens (or all they need to) among the first |x| - ceil(t |x|) + s of
+each, under any order of all tokens. Three orders are used. Each puts rare tokens first, by a count of
+all documents' tokens in a table that follows the input's size (an overcount is harmless: any common
+order is valid), and differs in the table or the hash that break ties. Candidates must meet under all
+three, which is found on ids alone; only then do texts move. The steps:
 
 1. Sketch: token counts of all documents, in two tables of 2**bits cells.
-2. Sets: size, digest and first-order prefix of each document. Documents of equal sets form a class;
-   only the class's smallest id goes on.
-3. Candidates: prefixes, long enough that linked sets share three tokens, are dealt out by token.
-   Groups of up to `small` documents give all pairs of fitting length, kept if they meet so often. Larger groups give links to a pivot, the member that meets most others.
-4. Verification of the pairs on their whole texts; components of the links found.
-5. In larger groups that are not one component yet, all pairs across components are verified too,
-   so no link between components is lost. Tokens are counted exactly among these groups' documents:
-   pairs that share a rare token are found by it, and kept if these and the core, the tokens that
-   more documents hold, may suffice for a link. Pairs that share the core alone can link only if
-   both are nearly all core: such documents are first linked to a pivot, and pairs that are still
-   apart are verified.
-
-Null texts and texts without words have empty sets and link with nothing. A row without an id links
-with nothing. Repeated ids with equal texts are one class; each row is returned.
+2. Sets: size, digest and first-order prefix of each document. Documents of equal sets form a class,
+   named by its digest; only classes go on.
+3. Candidates: prefixes are dealt out by token. Groups of up to `small` classes give all pairs of fitting
+   length, kept if they meet s times. Larger groups give pairs with a pivot, the member that meets most
+   others, and are remembered. Classes without either leave; the rest deal out their prefixes under the
+   second and the third order too. A pair found under one order stays if under each other it was found
+   as well or shares a token of a larger group.
+4. Verification of these pairs on their whole texts; components of the links found.
+5. Pairs that share tokens of larger groups alone, in every order, were met by pivots only. In groups
+   that are not one component yet all pairs across components are settled, so no link between components
+   is lost. Tokens are counted exactly among these groups' classes, a fourth order: pairs that share a
+   rare token are found by it, and kept if these and the core, the tokens that more classes hold, may
+   suffice for a link. Pairs that share the core alone can link only if both are nearly all core: such
+   classes are first linked to a pivot, and those outside a group's largest component, by then few, are
+   verified against the group.
+
+Null texts and texts without words have empty sets and link with nothing; very long texts are taken
+whole. A row without an id links with nothing. Rows that repeat an id with equal texts are one class,
+with different texts they are judged apart; each row is returned, with the smallest id that its own text
+reaches. Only id and text are read, so other names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut
+from .common import bucket_bits, cut, partitions
 from .components import components
-from .sketch import cells, count_cells
+from .sketch import cells, count_cells, member_test
 from .words import Words, mix, slices, sorted_unique
 
 _PERCENT = 100
@@ -88,17 +94,17 @@ class Orders:
 
 
 def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
-    """What documents of `texts` (id, z: compressed text) share, by how many of them hold a token.
+    """What classes of `texts` (c, z: compressed text) share, by how many of them hold a token.
 
-    Rows (x, y, s): the number of tokens of two to `rare` documents that x < y share; and (x, null, s):
-    the number of tokens of x that more documents hold. No token gives more than rare² / 2 pairs.
+    Rows (x, y, s): the number of tokens of two to `rare` classes that x < y share; and (x, null, s):
+    the number of tokens of x that more classes hold. No token gives more than rare² / 2 pairs.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "z", 1 << 20):
             doc, tokens = shingle_sets(pa.array([zlib.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.large_string()), k)
             order = np.argsort(tokens, kind="stable")
-            tokens, ids = tokens[order], batch.column("id").to_numpy()[doc[order]]
+            tokens, ids = tokens[order], batch.column("c").to_numpy()[doc[order]]
             cuts = np.searchsorted(cells(tokens, deal), np.arange((1 << deal) + 1))
             rows = [(i, tokens[a:b].tobytes(), ids[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if rows:
@@ -124,63 +130,42 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
         pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
         return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times])})
 
-    return texts.select("id", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
+    return texts.select("c", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
 
 
-def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, bits: int = 22, small: int = 8, rare: int = 12, shared_least: int = 3) -> DataFrame:
-    """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
+def class_keys(doc: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
+    """A 64-bit name of each text's set."""
+    cuts = np.searchsorted(doc, np.arange(count + 1))
+    return np.array([int.from_bytes(hashlib.blake2b(tokens[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
 
-    The two count tables take 2 * 2**bits * 4 bytes, on the driver and each executor, at any size of
-    input. Only prefixes, pairs and the texts of documents in pairs are shuffled.
-    """
-    spark = docs.sparkSession
-    kind, deal = dict(docs.dtypes)[id_col], bucket_bits(spark)
-    everything = docs.selectExpr(f"cast(`{id_col}` AS bigint) AS id", f"`{text_col}` AS text")
 
-    def counted(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        for piece in slices([batch], "text"):
-            _, tokens = shingle_sets(piece.column("text"), k)
-            yield [mix(tokens, 1), mix(tokens, 2)]
+def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return _PERCENT * np.minimum(a, b) >= percent * np.maximum(a, b)
 
-    shared = spark.sparkContext.broadcast(count_cells(everything.select("text"), counted, bits, 2))
 
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(shared.value, bits)
-        for batch in slices(batches, "text"):
-            doc, tokens = shingle_sets(batch.column("text"), k)
-            n = np.bincount(doc, minlength=len(batch))
-            cuts = np.searchsorted(doc, np.arange(len(batch) + 1))
-            digest = [hashlib.blake2b(tokens[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            d, first = orders.prefix(doc, tokens, prefix_length(n, percent, shared_least), 0)
-            at = np.searchsorted(d, np.arange(len(batch) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([first[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                names=["id", "n", "digest", "first"],
-            )
+def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: int) -> DataFrame:
+    """Where prefixes (c, n, kind: order, first: tokens) meet, by order.
 
-    sets = cut(everything.mapInArrow(described, "id bigint, n bigint, digest binary, first binary"))
-    usable = sets.where("id IS NOT NULL AND n > 0")
-    classes = usable.groupBy("digest").agg(F.min("id").alias("rep"))
-    member = usable.select("id", "digest").join(classes, "digest").select("id", "rep").distinct()
-    leaders = usable.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    Pairs (kind, x < y, token null, times): how often they meet in small groups, or `least` for those of a
+    pivot; and the members of larger groups (kind, x, its size as y, token).
+    """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column("first").to_pylist()), np.uint64)
-            per = np.array([len(x) // 8 for x in batch.column("first").to_pylist()], np.int64)
-            ids, n = (np.repeat(batch.column(c).to_numpy(), per) for c in ("id", "n"))
-            order = np.argsort(tokens, kind="stable")
-            tokens, ids, n = tokens[order], ids[order], n[order]
-            cuts = np.searchsorted(cells(tokens, deal), np.arange((1 << deal) + 1))
-            rows = [(i, *(x[a:b].tobytes() for x in (tokens, ids, n.astype(np.int32)))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            raw = batch.column("first").to_pylist()
+            tokens = np.frombuffer(b"".join(raw), np.uint64)
+            per = np.array([len(x) // 8 for x in raw], np.int64)
+            ids, n, kind = (np.repeat(batch.column(c).to_numpy(), per) for c in ("c", "n", "kind"))
+            place = (kind.astype(np.int64) << deal) + cells(tokens, deal)
+            order = np.lexsort((tokens, place))
+            tokens, ids, n, place = tokens[order], ids[order], n[order], place[order]
+            at, start = np.unique(place, return_index=True)
+            ends = np.append(start[1:], len(place))[: len(at)]
+            rows = [(int(i), *(x[a:b].tobytes() for x in (tokens, ids, n.astype(np.int32)))) for i, a, b in zip(at, start, ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "token", "ids", "n"])
 
-    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return _PERCENT * np.minimum(a, b) >= percent * np.maximum(a, b)
-
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        """Pairs (x < y, token null) with how often they meet in small groups, or enough for those of a pivot; and the members of larger groups (x, its size as y, token)."""
         token, ids = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64)))
         n = np.concatenate([np.frombuffer(x, np.int32) for x in frame["n"]]).astype(np.int64)
         order = np.lexsort((ids, n, token))
@@ -190,7 +175,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def pair(i: np.ndarray, j: np.ndarray) -> None:
-            ok = fits(n[i], n[j]) & (ids[i] != ids[j])
+            ok = fits(n[i], n[j], percent) & (ids[i] != ids[j])
             xs.append(np.minimum(ids[i], ids[j])[ok])
             ys.append(np.maximum(ids[i], ids[j])[ok])
 
@@ -213,131 +198,209 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 pivot = own[np.argmax(weight[own])]
                 pair(own, np.full(len(own), pivot))
         star = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-        pairs, times = np.concatenate([pairs, star]), np.concatenate([times, np.full(len(star), shared_least)])
+        pairs, times = np.concatenate([pairs, star]), np.concatenate([times, np.full(len(star), least)])
         return pd.DataFrame({
+            "kind": int(frame["bucket"].iloc[0]) >> deal,
             "x": np.concatenate([pairs[:, 0], ids[large]]), "y": np.concatenate([pairs[:, 1], n[large]]),
             "token": pd.array([None] * len(pairs) + token[large].view(np.int64).tolist(), dtype="Int64"),
             "times": np.concatenate([times, np.zeros(len(large), np.int64)]),
         })
 
-    met = cut(leaders.select("id", "n", "first").mapInArrow(dealt, "bucket int, token binary, ids binary, n binary").groupBy("bucket").applyInPandas(meet, "x bigint, y bigint, token bigint, times bigint"))
-    # a link shares so many prefix tokens; one that meets in fewer small groups meets in a large one too, and is found there
-    pairs = met.where("token IS NULL").groupBy("x", "y").agg(F.sum("times").alias("times")).where(F.col("times") >= shared_least).select("x", "y")
-    groups = met.where("token IS NOT NULL").select(F.col("token"), F.col("x").alias("id"), F.col("y").alias("n"))
-
-    def both_ends(found: DataFrame) -> DataFrame:
-        return found.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    packed = "bucket int, token binary, ids binary, n binary"
+    return prefixes.select("c", "n", "kind", "first").mapInArrow(dealt, packed).groupBy("bucket").applyInPandas(meet, "kind int, x bigint, y bigint, token bigint, times bigint")
 
-    pairs = cut(pairs)
-    wanted = both_ends(pairs).unionByName(groups.select("id")).distinct()
-
-    def hashed_ids(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        yield [mix(batch.column("id").to_numpy().astype(np.uint64), 9)]
-
-    def among(ids: DataFrame):
-        """A test of ids against a table of fixed size: where they are, and by chance few others. It spares texts a shuffle before an exact join."""
-        table = spark.sparkContext.broadcast(np.packbits(count_cells(ids, hashed_ids, bits)[0] > 0))
-
-        def test(column: pa.Array) -> pa.Array:
-            cell = cells(mix(column.to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint64), 9), bits)
-            return pa.array((table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0)
-
-        return test
-
-    known_ids = among(wanted)
-
-    def wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compressed texts of documents that may be wanted."""
-        for batch in slices(batches, "text"):
-            part = batch.filter(known_ids(batch.column("id")))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([zlib.compress((t or "").encode(), 1) for t in part.column("text").to_pylist()], pa.binary())], names=["id", "z"])
 
-    texts = everything.where("id IS NOT NULL").mapInArrow(wanted_texts, "id bigint, z binary").join(wanted, "id", "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.min("z").alias("z")))  # one text where an id is repeated
+def links(found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v) of the pairs `found` (x, y) whose `texts` (c, z) link. A text of very many pairs, a pivot's, is copied to as many salted keys as its pairs need."""
+    total, p = found.count(), partitions(found.sparkSession)
+    # at most 2 p classes are in over 1/p of the pairs each
+    crowded = found.select(F.explode(F.array("x", "y")).alias("c")).groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") * p > total)
+    crowded = F.broadcast(cut(crowded.select("c", F.ceil(F.col("m") * p / max(1, total)).cast("int").alias("salts"))))
+    salts = F.coalesce("salts", F.lit(1))
+    held = texts.join(crowded, "c", "left").select("c", "z", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    for here, there in (("x", "y"), ("y", "x")):
+        dealt = found.join(crowded, F.col(here) == F.col("c"), "left").withColumn("salt", F.pmod(F.xxhash64(there), salts)).drop("c", "salts")
+        found = dealt.join(held.select(F.col("c").alias(here), "salt", F.col("z").alias("z" + here)), [here, "salt"]).drop("salt")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = Orders(shared.value, bits)
         for batch in slices(batches, "zx", 1 << 20):
             x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
             raw = dict(zip(x.tolist(), batch.column("zx").to_pylist(), strict=True)) | dict(zip(y.tolist(), batch.column("zy").to_pylist(), strict=True))
             number = {i: j for j, i in enumerate(raw)}
             doc, tokens = shingle_sets(pa.array([zlib.decompress(z).decode() for z in raw.values()], pa.large_string()), k)
-            n = np.bincount(doc, minlength=len(raw))
             cuts = np.searchsorted(doc, np.arange(len(raw) + 1))
-            filters = []
-            for order in (1, 2):
-                d, t = orders.prefix(doc, tokens, prefix_length(n, percent), order)
-                at = np.searchsorted(d, np.arange(len(raw) + 1))
-                filters.append([set(t[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)])
             linked = []
             for i, j in zip((number[v] for v in x.tolist()), (number[v] for v in y.tolist()), strict=True):
-                if any(f[i].isdisjoint(f[j]) for f in filters):
-                    linked.append(False)
-                    continue
-                a, b = tokens[cuts[i] : cuts[i + 1]], tokens[cuts[j] : cuts[j + 1]]
-                both = np.concatenate([a, b])
+                both = np.concatenate([tokens[cuts[i] : cuts[i + 1]], tokens[cuts[j] : cuts[j + 1]]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                linked.append(_PERCENT * common >= percent * (len(a) + len(b) - common))
+                linked.append(_PERCENT * common >= percent * (len(both) - common))
             keep = np.array(linked, bool)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["u", "v"])
 
-    def only(ids: DataFrame) -> DataFrame:
-        test = among(ids)
+    return found.select("x", "y", "zx", "zy").mapInArrow(verify, "u bigint, v bigint")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(test(batch.column("id")))
 
-        return texts.mapInArrow(run, "id bigint, z binary")
+def ngram_components(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90,
+    bits: int | None = None, small: int = 8, rare: int = 12, shared_least: int = 3,
+) -> DataFrame:
+    """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
 
-    def links(found: DataFrame, texts: DataFrame) -> DataFrame:
-        joined = found.join(texts.select(F.col("id").alias("x"), F.col("z").alias("zx")), "x").join(texts.select(F.col("id").alias("y"), F.col("z").alias("zy")), "y")
-        return joined.select("x", "y", "zx", "zy").mapInArrow(verify, "u bigint, v bigint")
+    The two count tables have a cell for about every 256 bytes of text, 2**24 (128 MB on the driver and each
+    executor) at most. Only prefixes, pairs and the texts of classes in candidate pairs are shuffled.
+    """
+    spark = docs.sparkSession
+    kind, deal, p = dict(docs.dtypes)[id_col], bucket_bits(spark), partitions(spark)
+    everything = docs.selectExpr(f"cast(`{id_col}` AS bigint) AS id", f"`{text_col}` AS text")
+    volume = everything.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = bits or min(24, max(16, (volume // 256).bit_length()))
+
+    def counted(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for piece in slices([batch], "text"):
+            _, tokens = shingle_sets(piece.column("text"), k)
+            yield [mix(tokens, 1), mix(tokens, 2)]
+
+    shared = spark.sparkContext.broadcast(count_cells(everything.select("text"), counted, bits, 2))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = Orders(shared.value, bits)
+        for batch in slices(batches, "text"):
+            doc, tokens = shingle_sets(batch.column("text"), k)
+            n = np.bincount(doc, minlength=len(batch))
+            d, first = orders.prefix(doc, tokens, prefix_length(n, percent, shared_least), 0)
+            at = np.searchsorted(d, np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(class_keys(doc, tokens, len(batch))), pa.array([first[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                names=["id", "n", "c", "first"],
+            )
+
+    sets = cut(everything.mapInArrow(described, "id bigint, n bigint, c bigint, first binary"))
+    usable = sets.where("id IS NOT NULL AND n > 0")
+    classes = cut(usable.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
+    total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    # the least id of a class speaks for it; classes of one row need no join
+    alone = classes.where("rows = 1").select("c")
+    often = classes.where("rows > 1")
+    hot = F.broadcast(often.where(F.col("rows") * p > total).select("c", "rep"))  # at most p classes
+    heads = often.where(F.col("rows") * p <= total).select("c", "rep")
+    crowd = usable.join(hot, "c").where("id = rep").drop("rep")
+    rest = usable.join(hot.select("c"), "c", "left_anti")
+    leaders = crowd.unionByName(rest.join(heads, "c").where("id = rep").drop("rep")).dropDuplicates(["c"]).unionByName(rest.join(alone, "c", "left_semi"))
+
+    met = cut(meetings(leaders.select("c", "n", "first", F.lit(0).alias("kind")), deal, small, shared_least, percent))
+
+    def met_often(found: DataFrame) -> DataFrame:
+        # a link shares so many prefix tokens; one that meets in fewer small groups meets in a large one too, and is found there
+        return found.where("token IS NULL").groupBy("kind", "x", "y").agg(F.sum("times").alias("times")).where(F.col("times") >= shared_least).select("kind", "x", "y")
+
+    def both_ends(found: DataFrame) -> DataFrame:
+        return found.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+
+    def hashed_ids(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        yield [mix(batch.column("rep").to_numpy().astype(np.int64).view(np.uint64), 9)]
+
+    def of_classes(wanted: DataFrame, make: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], list[tuple]], names: str) -> DataFrame:
+        """What `make` tells of one text of each class in `wanted` (c): rows of c and more. Texts are found by their least id, those of other ids are passed over."""
+        wanted = cut(wanted)
+        test = member_test(spark, wanted.join(classes, "c").select("rep"), hashed_ids, wanted.count())
+        columns = ["c", *(x.split()[0] for x in names.split(", "))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                part = batch.filter(pa.array(test(mix(batch.column("id").to_numpy().astype(np.int64).view(np.uint64), 9))))
+                if len(part):
+                    doc, tokens = shingle_sets(part.column("text"), k)
+                    made = make(part.column("text"), doc, tokens, np.bincount(doc, minlength=len(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array(class_keys(doc, tokens, len(part))), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=columns)
+
+        found = everything.where("id IS NOT NULL").mapInArrow(run, "c bigint, " + names)
+        return cut(found.join(wanted.hint("shuffle_hash"), "c", "left_semi").dropDuplicates(["c"]))
+
+    def later_prefixes(texts: pa.Array, doc: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> list:
+        orders, out = Orders(shared.value, bits), [pa.array(n, pa.int64())]
+        for order in (1, 2):
+            d, t = orders.prefix(doc, tokens, prefix_length(n, percent, shared_least), order)
+            at = np.searchsorted(d, np.arange(len(n) + 1))
+            out.append(pa.array([t[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+        return out
+
+    def compressed(texts: pa.Array, doc: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> list:
+        return [pa.array([zlib.compress((t or "").encode(), 1) for t in texts.to_pylist()], pa.binary())]
+
+    pairs = cut(met_often(met))
+    groups = met.where("token IS NOT NULL").select("kind", "token", F.col("x").alias("c"), F.col("y").alias("n"))
+    later = of_classes(both_ends(pairs).unionByName(groups.select("c")).distinct(), later_prefixes, "n bigint, second binary, third binary")
+    later = later.select("c", "n", F.lit(1).alias("kind"), F.col("second").alias("first")).unionByName(later.select("c", "n", F.lit(2).alias("kind"), F.col("third").alias("first")))
+    again = cut(meetings(later, deal, small, shared_least, percent))
+    pairs = pairs.unionByName(met_often(again)).groupBy("x", "y").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("under"))
+    all_groups = groups.unionByName(again.where("token IS NOT NULL").select("kind", "token", F.col("x").alias("c"), F.col("y").alias("n")))
+    shares = cut(all_groups.groupBy("c").agg(*(F.collect_set(F.when(F.col("kind") == j, F.col("token"))).alias(f"g{j}") for j in range(3))))
+    ends = [shares.select(F.col("c").alias(e), *(F.col(f"g{j}").alias(f"g{j}{e}") for j in range(3))) for e in "xy"]
+    pairs = cut(pairs)
+    some = pairs.where("under < 7").join(ends[0], "x", "left").join(ends[1], "y", "left")
+    for j in range(3):
+        some = some.where((F.col("under").bitwiseAND(F.lit(1 << j)) > 0) | F.coalesce(F.arrays_overlap(f"g{j}x", f"g{j}y"), F.lit(False)))
+    tried = cut(pairs.where("under = 7").select("x", "y").unionByName(some.select("x", "y")))
 
-    edges = cut(links(pairs, texts))
+    edges = cut(links(tried, of_classes(both_ends(tried), compressed, "z binary"), k, percent))
     reached = components(edges)
+    groups = groups.drop("kind")
     if groups.take(1):
-        placed = cut(groups.join(reached.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("c")))
-        split = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
+        placed = cut(groups.join(reached.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("component", "c").alias("k")))
+        split = placed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
         rest = cut(placed.join(split, "token", "left_semi"))
-        open_ids = rest.select("id").distinct()
-        met_by = cut(rare_and_core(only(open_ids).join(open_ids, "id", "left_semi"), k, deal - 2, rare))
-        core = met_by.where("y IS NULL").groupBy(F.col("x").alias("id")).agg(F.sum("s").alias("s"))
-        known = cut(rest.groupBy("id").agg(F.first("n").alias("n"), F.first("c").alias("c")).join(core, "id", "left").fillna(0, ["s"]))
-        ends = [known.select(*(F.col(c).alias(c + e if c != "id" else e) for c in known.columns)) for e in "xy"]
-        apart = (F.col("cx") != F.col("cy")) & (_PERCENT * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-
-        def may_link(most):
-            return _PERCENT * most >= percent * (F.col("nx") + F.col("ny") - most)
-
-        # pairs that share rare tokens: what they share is at most these and the lesser core
-        sharing = met_by.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("s").alias("shared"))
-        one = sharing.join(ends[0], "x").join(ends[1], "y").where(apart & may_link(F.least("sx", "sy") + F.col("shared"))).select("x", "y")
-        # pairs that share core tokens alone: both must be nearly all core
-        least = rest.groupBy("token").agg(F.min("n").alias("least"))
-        full = rest.select("token", "id").join(known, "id").join(least, "token").where(_PERCENT * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
-        full = cut(full.select("token", "id", "n", "s", "c"))
-        still = full.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.max_by("id", F.struct(F.col("s") / F.col("n"), -F.col("id"))).alias("pivot")).where("a <> b")
-        star = full.join(still, "token").where("id <> pivot").select(F.least("id", "pivot").alias("x"), F.greatest("id", "pivot").alias("y")).distinct()
-        star = star.join(ends[0], "x").join(ends[1], "y").where(apart).select("x", "y")
-        tried = cut(one.unionByName(star).distinct().join(pairs, ["x", "y"], "left_anti"))
-        new = cut(links(tried, only(both_ends(tried))))
-        if new.take(1):
-            edges = edges.unionByName(new)
-            reached = components(edges)
-        placed = full.drop("c").join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        placed = cut(placed)
-        still = placed.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("token")
-        placed = placed.join(still, "token", "left_semi")
-        left, right = (placed.select("token", *(F.col(c).alias(c + e if c != "id" else e) for c in ("id", "n", "s", "c"))) for e in "xy")
-        near = (F.col("x") < F.col("y")) & apart & may_link(F.least("sx", "sy"))
-        across = left.join(right, "token").where(near).select("x", "y").distinct().join(pairs.unionByName(tried), ["x", "y"], "left_anti")
-        across = cut(across)
-        new = cut(links(across, only(both_ends(across))))
-        if new.take(1):
-            reached = components(edges.unionByName(new))
-    named = member.join(reached, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, "id", "left")
-    component = F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
+        if rest.take(1):
+            texts = of_classes(rest.select("c").distinct(), compressed, "z binary")
+            met_by = cut(rare_and_core(texts, k, deal - 2, rare))
+            core = met_by.where("y IS NULL").groupBy(F.col("x").alias("c")).agg(F.sum("s").alias("s"))
+            known = cut(rest.groupBy("c").agg(F.first("n").alias("n"), F.first("k").alias("k")).join(core, "c", "left").fillna(0, ["s"]))
+            ends = [known.select(F.col("c").alias(e), *(F.col(c).alias(c + e) for c in ("n", "s", "k"))) for e in "xy"]
+            apart = (F.col("kx") != F.col("ky")) & (_PERCENT * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+
+            def may_link(most):
+                return _PERCENT * most >= percent * (F.col("nx") + F.col("ny") - most)
+
+            def new_pairs(found: DataFrame) -> DataFrame:
+                """Those not judged yet: neither verified nor filtered out under some order."""
+                return found.distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+
+            # pairs that share rare tokens: what they share is at most these and the lesser core
+            sharing = met_by.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("s").alias("shared"))
+            one = sharing.join(ends[0], "x").join(ends[1], "y").where(apart & may_link(F.least("sx", "sy") + F.col("shared"))).select("x", "y")
+            # pairs that share core tokens alone: both must be nearly all core
+            least = rest.groupBy("token").agg(F.min("n").alias("least"))
+            full = rest.select("token", "c").join(known, "c").join(least, "token").where(_PERCENT * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
+            full = cut(full.select("token", "c", "n", "s", "k"))
+            pivots = full.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max_by("c", F.struct(F.col("s") / F.col("n"), -F.col("c"))).alias("pivot")).where("a <> b")
+            star = full.join(pivots, "token").where("c <> pivot").select(F.least("c", "pivot").alias("x"), F.greatest("c", "pivot").alias("y")).distinct()
+            star = star.join(ends[0], "x").join(ends[1], "y").where(apart).select("x", "y")
+            second = cut(new_pairs(one.unionByName(star)))
+            new = cut(links(second, texts, k, percent))
+            if new.take(1):
+                edges = edges.unionByName(new)
+                reached = components(edges)
+            placed = cut(full.drop("k").join(reached.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"))
+            parts = placed.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max_by("k", F.struct("m", "k")).alias("main"))
+            open_groups = cut(parts.where("parts > 1").select("token", "main", F.ceil(F.col("m") / 1000).cast("int").alias("salts")))
+            # classes outside a group's largest component against all of the group, which is dealt out by salts
+            dealt = placed.join(open_groups, "token")
+            left = dealt.where("k <> main").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("c").alias("x"), *(F.col(c).alias(c + "x") for c in ("n", "s", "k")))
+            right = dealt.select("token", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), F.col("c").alias("y"), *(F.col(c).alias(c + "y") for c in ("n", "s", "k")))
+            across = left.join(right, ["token", "salt"]).where(apart & may_link(F.least("sx", "sy"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            across = cut(new_pairs(across).join(second, ["x", "y"], "left_anti"))
+            new = cut(links(across, texts, k, percent))
+            if new.take(1):
+                reached = components(edges.unionByName(new))
+
+    # the least id of each component, for the classes of a link or of more than one row
+    linked = reached.withColumnRenamed("node", "c").join(classes, "c")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    named = often.join(reached.select(F.col("node").alias("c")), "c", "left_anti").select("c", "rows", F.col("rep").alias("component_id"))
+    named = cut(named.unionByName(linked.join(least, "component").select("c", "rows", F.col("least").alias("component_id"))))
+    hot = named.where(F.col("rows") * p > total).select("c", "component_id")
+    plain = sets.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
+    of_hot = usable.join(F.broadcast(hot), "c").select("id", "n", "component_id")
+    others = usable.join(F.broadcast(hot.select("c")), "c", "left_anti").join(named.where(F.col("rows") * p <= total).drop("rows"), "c", "left")
+    out = plain.unionByName(of_hot).unionByName(others.select("id", "n", F.coalesce("component_id", "id").alias("component_id")))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind))

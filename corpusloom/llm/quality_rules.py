@@ -6,10 +6,13 @@ distance from it is too large are rejected, besides those that fail the plain ba
 
 The estimate is distributed: a group's rows are dealt into blocks of bounded size, concentration steps
 run in each block, the blocks' estimates are pooled, and one reweighting pass over all rows gives the
-final estimate. Groups too small for an estimate share one for their language.
+final estimate. Groups too small for an estimate share one for their language, and languages too small
+for one take that of all rows; where all rows are too few (under twelve), the base rules alone judge.
 
-Null and empty texts have zero counts and fail the base rules. Null languages and sources form groups
-of their own. Repeated rows each count and each return a row. An empty table gives no rows.
+Null and empty texts have zero counts and fail the base rules; very long texts are measured whole. Null
+languages and sources form groups of their own. Rows of a null id are judged as any. Repeated rows each
+count and each return a row; equal distances are judged alike, so there are no ties. Only id, text and
+group columns are read, so other names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, quoted
 from .words import Words, slices
 
 _SYMBOL = np.zeros(256, bool)
@@ -130,20 +133,90 @@ def concentrate(x: np.ndarray, share: float, steps: int = 20) -> tuple[np.ndarra
     return best[1], best[2]
 
 
-def quality_rules(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"),
-    min_words: int = 50, max_repeat_percent: int = 50, share: float = 0.75, cutoff: float = 25.0,
-    block_rows: int = 1000, min_rows: int = 60, broadcast_groups: int = 20_000,
-) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of each document.
+def group_names(groups: tuple[str, ...]) -> list[Column]:
+    """A row's group, and what small ones share."""
+    return [F.to_json(F.struct(*(F.col(quoted(c)).alias(f"g{i}") for i, c in enumerate(some)))) for some in (groups, groups[:1])]
 
-    `groups`: columns whose values make a group; the first alone names the fallback of small ones, of
-    under `min_rows` rows. `share` of each block is what MCD fits. `cutoff` is the largest squared
-    distance kept: about the 0.9997 quantile of a normal law of six statistics, over scatter that the
-    floors have widened, as clean text is not normal. Blocks hold about `block_rows` rows, whatever the group's size.
-    Group estimates are broadcast only up to `broadcast_groups` groups, of which the number is counted;
-    beyond it they are joined by key.
+
+def fails_base(n_words, n_repeat_words, min_words: int, max_repeat_percent: int):
+    return (n_words < min_words) | (100 * n_repeat_words > max_repeat_percent * n_words)
+
+
+def outlying(x: np.ndarray, centre: pd.Series, scatter: pd.Series) -> np.ndarray:
+    """Squared distances of vectors, each from its group's estimate; not a number without one."""
+    out, known, d = np.full(len(x), np.nan), {}, len(FEATURES)
+    for i, (c, s) in enumerate(zip(centre, scatter, strict=True)):
+        if c is not None:
+            known.setdefault((np.asarray(c).tobytes(), np.asarray(s).tobytes()), []).append(i)
+    for (c, s), where in known.items():
+        out[where] = distances(x[where], np.frombuffer(c), np.frombuffer(s).reshape(d, d))
+    return out
+
+
+class Rules:
+    """The base rules and the estimates (big, centre, scatter: one row for each group met) of a table.
+
+    `rows`, the measured table, is checkpointed. Estimates are broadcast up to `broadcast_groups` groups,
+    which are counted; beyond it they are joined by key.
+    """
+
+    def __init__(
+        self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source"),
+        min_words: int = 50, max_repeat_percent: int = 50, share: float = 0.75, cutoff: float = 25.0,
+        block_rows: int = 1000, min_rows: int = 60, broadcast_groups: int = 20_000,
+    ):
+        self.docs, self.text_col, self.groups, self.base, self.cutoff = docs, text_col, groups, (min_words, max_repeat_percent), cutoff
+        self.rows, self.estimates, many = estimate(docs, id_col, text_col, groups, self.base, share, block_rows, min_rows, broadcast_groups)
+        self.by_group = F.broadcast(self.estimates) if many <= broadcast_groups else self.estimates
+
+    def judged(self) -> DataFrame:
+        """(id, the five counts, base_failed, kept, distance) of each row."""
+
+        @F.pandas_udf("double")
+        def distance(v: pd.Series, centre: pd.Series, scatter: pd.Series) -> pd.Series:
+            return pd.Series(outlying(np.stack(v.to_numpy()), centre, scatter) if len(v) else [], dtype=float)
+
+        judged = self.rows.join(self.by_group, "big", "left").withColumn("distance", distance("v", "centre", "scatter"))
+        kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > self.cutoff) & ~F.isnan("distance"), F.lit(False))
+        return judged.select("id", *COUNTS, "base_failed", kept.alias("kept"), F.when(~F.isnan("distance"), F.col("distance")).alias("distance"))
+
+    def kept(self) -> DataFrame:
+        """The table's rows that stay, in its columns. Each row is judged by its own text, measured again, so nothing is joined back and no text is shuffled."""
+        base, cutoff = self.base, self.cutoff
+
+        @F.pandas_udf("boolean")
+        def stays(text: pd.Series, centre: pd.Series, scatter: pd.Series) -> pd.Series:
+            whole = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string(), from_pandas=True)], names=["text"])
+            out, at = [np.zeros(0, bool)], 0
+            for part in slices([whole], "text"):
+                s = text_stats(part.column("text"))
+                near = ~(outlying(vectors(s), centre.iloc[at : at + len(part)], scatter.iloc[at : at + len(part)]) > cutoff)
+                out.append(near & ~fails_base(s["n_words"], s["n_repeat_words"], *base))
+                at += len(part)
+            return pd.Series(np.concatenate(out))
+
+        names = [free_name(self.docs, c) for c in ("big", "centre", "scatter")]
+        keyed = self.docs.withColumn(names[0], group_names(self.groups)[0])
+        found = keyed.join(self.by_group.toDF(*names), names[0], "left")
+        return found.where(stays(F.col(quoted(self.text_col)), names[1], names[2])).select(*map(quoted, self.docs.columns))
+
+
+def quality_rules(docs: DataFrame, **options) -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of each document; options as of `Rules`.
+
+    `groups`: columns whose values make a group; the first alone names the fallback of small ones, of under
+    `min_rows` rows that pass the base rules, and all rows together that of a fallback still as small.
+    `share` of each block is what MCD fits. `cutoff` is the largest squared distance kept: about the 0.9997
+    quantile of a normal law of six statistics, over scatter that the floors have widened, as clean text is
+    not normal. Blocks hold about `block_rows` rows, whatever the group's size.
     """
+    return Rules(docs, **options).judged().withColumnRenamed("id", options.get("id_col", "doc_id"))
+
+
+def estimate(
+    docs: DataFrame, id_col: str, text_col: str, groups: tuple[str, ...], base: tuple[int, int], share: float, block_rows: int, min_rows: int, broadcast_groups: int,
+) -> tuple[DataFrame, DataFrame, int]:
+    """The measured rows, the estimate of each group met, and the number of groups."""
     d = len(FEATURES)
     kind = dict(docs.dtypes)[id_col]
 
@@ -155,22 +228,32 @@ def quality_rules(
             columns.append(pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), d).cast(pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "big", "small", *COUNTS, "v"])
 
-    quoted = lambda cs: ", ".join(f"`{c}`" for c in cs)
-    rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"to_json(struct({quoted(groups)}))  AS big", f"to_json(struct({quoted(groups[:1])})) AS small")
+    big, small = group_names(groups)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), big.alias("big"), small.alias("small"))
     rows = rows.mapInArrow(measure, f"id {kind}, big string, small string, {', '.join(f'{c} bigint' for c in COUNTS)}, v array<double>")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = cut(rows.withColumn("base_failed", failed))
+    rows = cut(rows.withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words"), *base)))
 
     def keyed(left: DataFrame, right: DataFrame, key: str, many: int) -> DataFrame:
         return left.join(F.broadcast(right) if many <= broadcast_groups else right, key)
 
     good = rows.where(~F.col("base_failed"))
-    sizes = good.groupBy("big", "small").agg(F.count("*").alias("n"))
-    sizes = cut(sizes.select("big", F.when(F.col("n") >= min_rows, F.col("big")).otherwise(F.concat(F.lit("small "), "small")).alias("grp"), "n"))
+    # every group met has an estimate: its own, its fallback's, or that of all rows
+    sizes = rows.groupBy("big", "small").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    sizes = cut(sizes.withColumn("grp", F.when(F.col("n") >= min_rows, F.concat(F.lit("own "), "big")).otherwise(F.concat(F.lit("small "), "small"))))
     many = sizes.count()
-    totals = sizes.groupBy("grp").agg(F.sum("n").alias("total"))
-    sizes = sizes.join(totals, "grp").select("big", "grp", F.greatest(F.lit(1), F.ceil(F.col("total") / block_rows)).alias("blocks"))
-    good = keyed(good.select("id", "big", "v"), sizes, "big", many)
+    few = sizes.groupBy("grp").agg(F.sum("n").alias("m")).where(F.col("m") < min_rows).select("grp", F.lit(True).alias("few"))
+    sizes = cut(sizes.join(few, "grp", "left").withColumn("grp", F.when(F.col("few"), F.lit("all")).otherwise(F.col("grp"))).select("big", "n", "grp"))
+    # the estimate of all rows is of all rows, not only of those that fall back to it
+    every = sizes.agg(F.sum("n").alias("total")).withColumn("grp", F.lit("all"))
+    pooling = bool(sizes.where("grp = 'all'").take(1))
+    totals = sizes.where("grp <> 'all'").groupBy("grp").agg(F.sum("n").alias("total"))
+    totals = totals.unionByName(every) if pooling else totals
+    totals = cut(totals.select("grp", F.greatest(F.lit(1), F.ceil(F.col("total") / block_rows)).alias("blocks")))
+    named = sizes.select("big", "grp")
+    if pooling:
+        named = named.where("grp <> 'all'").unionByName(named.select("big", F.lit("all").alias("grp")))
+    sizes, dealt = sizes.select("big", "grp"), cut(named.join(totals, "grp"))
+    good = keyed(good.select("id", "big", "v"), dealt, "big", many)
     good = good.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
@@ -205,20 +288,4 @@ def quality_rules(
     less = F.transform("scatter", lambda x, i: x - F.get("centre", F.floor(i / d).cast("int")) * F.get("centre", F.pmod(i, F.lit(d)).cast("int")))
     final = cut(second.select("grp", "centre", less.alias("scatter")))
 
-    @F.pandas_udf("double")
-    def distance(v: pd.Series, centre: pd.Series, scatter: pd.Series) -> pd.Series:
-        out = np.full(len(v), np.nan)
-        known = {}
-        for i, (c, s) in enumerate(zip(centre, scatter, strict=True)):
-            if c is not None:
-                known.setdefault((c.tobytes(), s.tobytes()), []).append(i)
-        for (c, s), where in known.items():
-            x = np.stack([v.iloc[i] for i in where])
-            out[where] = distances(x, np.frombuffer(c), np.frombuffer(s).reshape(d, d))
-        return pd.Series(out)
-
-    estimates = sizes.select("big", "grp").join(final, "grp", "left").drop("grp")
-    joined = rows.join(F.broadcast(estimates) if many <= broadcast_groups else estimates, "big", "left")
-    judged = joined.withColumn("distance", distance("v", "centre", "scatter"))
-    kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & ~F.isnan("distance"), F.lit(False))
-    return judged.select(F.col("id").alias(id_col), *COUNTS, "base_failed", kept.alias("kept"), F.when(~F.isnan("distance"), F.col("distance")).alias("distance"))
+    return rows, cut(sizes.join(final, "grp", "left").select("big", "centre", "scatter")), many

@@ -4,8 +4,10 @@ Every text is scanned once for candidates. A candidate's value is hashed, and th
 by distinct owners and distinct repositories over the whole corpus: values that many owners share are
 copied examples; values of few owners that also look random are live-looking credentials.
 
-Null and empty texts hold nothing. A null owner or repository counts as one owner of its own. Repeated
-rows are scanned and returned each; they add no owner. An empty table gives no rows.
+Null and empty texts hold nothing; very long texts are scanned whole. A null owner or repository counts
+as one owner of its own. Repeated rows are scanned and returned each; they add no owner. Spans of one
+start stand in the order of the kinds. Only the id, the text and what the owner expressions name are
+read, so other names cannot clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name, quoted
+from .sketch import split_by_keys
 from .words import slices
 
 #: Kinds in the order that breaks ties of equal starts; the first three are the base ones.
@@ -75,17 +78,17 @@ def scan(docs: DataFrame, id_col: str, text_col: str, owner: str, repository: st
             found = [candidates(t) for t in batch.column("text").to_pylist()]
             base = [[x[:3] for x in f if x[1] < BASE] for f in found]
             counts = [Counter(k for _, k, _ in b) for b in base]
-            columns = [batch.column("id"), batch.column("owner"), batch.column("repository")]
+            columns = [batch.column("id"), batch.column("text_md5"), batch.column("owner"), batch.column("repository")]
             columns += [pa.array([c[k] for c in counts], pa.int64()) for k in range(BASE)]
             columns += [
                 pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b in base], pa.string()),
                 pa.array([[{"start": a, "kind": k, "stop": b, "value": hashlib.sha256(v.encode()).hexdigest(), "entropy": entropy(v)} for a, k, b, v in f] for f in found], pa.list_(_SPAN)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_md5", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"coalesce(cast({owner} AS string), '') AS owner", f"coalesce(cast({repository} AS string), '') AS repository").mapInArrow(
-        run, f"id {kind}, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:int,kind:int,stop:int,value:string,entropy:double>>"
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"md5(`{text_col}`) AS text_md5", f"coalesce(cast({owner} AS string), '') AS owner", f"coalesce(cast({repository} AS string), '') AS repository").mapInArrow(
+        run, f"id {kind}, text_md5 string, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:int,kind:int,stop:int,value:string,entropy:double>>"
     )
 
 
@@ -100,7 +103,7 @@ def scan_secrets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "source",
     example_owners: int = 3, example_repositories: int = 8, min_entropy: float = 2.5, salts: int = 16,
 ) -> DataFrame:
-    """One row for each document: (id, n_assign, n_access, n_hex, base_sha256, spans, n_live, live, n_example).
+    """One row for each document: (id, n_assign, n_access, n_hex, base_sha256, spans, n_live, live, n_example, text_md5).
 
     `owner` and `repository` are SQL expressions over `docs`; repositories are counted within their owner.
     A value of at least `example_owners` owners or `example_repositories` repositories is a copied example.
@@ -113,7 +116,7 @@ def scan_secrets(
     found = cut(scan(docs, id_col, text_col, owner, repository).withColumn("row", F.monotonically_increasing_id()))
     verdicts = ownership(found).select("value", ((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)).alias("example"))
     verdicts = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    carried = ["id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    carried = ["id", "text_md5", "n_assign", "n_access", "n_hex", "base_sha256"]
     spans = found.where(F.size("found") > 0).select("row", *carried, F.explode("found").alias("s"))
     spans = spans.select("row", *carried, "s.*", F.pmod(F.hash("row", "s.start"), F.lit(salts)).alias("salt")).join(verdicts, ["value", "salt"])
     live = ~F.col("example") & (F.col("entropy") >= min_entropy)
@@ -126,17 +129,17 @@ def scan_secrets(
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
     everyone = judged.unionByName(none)
     return everyone.select(
-        F.col("id").alias(id_col), *carried[1:],
+        F.col("id").alias(id_col), *carried[2:],
         text(F.filter("all", lambda s: (s["kind"] < BASE) | s["live"])).alias("spans"),
         F.size(F.filter("all", lambda s: s["live"])).cast("long").alias("n_live"),
         text(F.filter("all", lambda s: s["live"])).alias("live"),
-        F.size(F.filter("all", lambda s: s["example"])).cast("long").alias("n_example"),
+        F.size(F.filter("all", lambda s: s["example"])).cast("long").alias("n_example"), "text_md5",
     )
 
 
 def mask(text: str | None, spans: str | None, label: str = "[SECRET]") -> str | None:
     """The text with the given spans, as written above, replaced; overlapping spans are one."""
-    if not text or not spans:
+    if not text or not isinstance(spans, str) or not spans:
         return text
     out, at = [], 0
     for a, b in sorted((int(a), int(b)) for _, a, b in (s.split(":") for s in spans.split(","))):
@@ -146,15 +149,20 @@ def mask(text: str | None, spans: str | None, label: str = "[SECRET]") -> str |
     return "".join([*out, text[at:]])
 
 
-def mask_live(docs: DataFrame, scanned: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, in its columns, with the live-looking spans of `scanned` replaced. Documents are joined to the few that have any."""
-    spans = scanned.where(F.col("n_live") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.max("live").alias("_live"))
-    joined = docs.join(spans.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left")
+def mask_live(docs: DataFrame, scanned: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """`docs`, in its columns, with the live-looking spans of `scanned` replaced.
+
+    Spans go by the text's digest, so every row is masked by its own, whatever its id. Only rows of a
+    digest that may have spans are joined; the others' texts are not shuffled.
+    """
+    digest, live = free_name(docs, "text_md5"), free_name(docs, "live")
+    spans = cut(scanned.where(F.col("n_live") > 0).groupBy(F.col("text_md5").alias(digest)).agg(F.max("live").alias(live)))
+    clean, few = split_by_keys(docs, F.md5(F.col(quoted(text_col))), spans.select(digest))
 
     @F.pandas_udf("string")
     def masked(text, live):
         return text.combine(live, mask)
 
-    clean = joined.where(F.col("_live").isNull()).select(*docs.columns)
-    marked = joined.where(F.col("_live").isNotNull()).select(*(masked(F.col(c), F.col("_live")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    joined = few.withColumn(digest, F.md5(F.col(quoted(text_col)))).join(spans.hint("shuffle_hash"), digest, "left")
+    marked = joined.select(*(masked(F.col(quoted(c)), F.col(live)).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns))
     return clean.unionByName(marked)

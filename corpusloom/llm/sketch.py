@@ -6,8 +6,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import partitions
 
@@ -84,3 +86,24 @@ def member_test(spark: SparkSession, df: DataFrame, values: Callable[[pa.RecordB
         return (table.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
 
     return test
+
+
+def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely not in `keys`, rows whose key is or may be), in the columns of `docs`.
+
+    A table joined to few keys is split first, so that the many rows without a match are not shuffled. A
+    null key is not in `keys`.
+    """
+
+    def hashed(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        yield [batch.column("h").to_numpy().view(np.uint64)]
+
+    keys = keys.select(F.xxhash64(keys.columns[0]).alias("h"))
+    test = member_test(docs.sparkSession, keys, hashed, keys.count())
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(test(h.to_numpy(np.int64).view(np.uint64)))
+
+    met = F.coalesce(key.isNotNull() & may(F.xxhash64(key)), F.lit(False))
+    return docs.where(~met), docs.where(met)

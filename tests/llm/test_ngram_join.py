@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+import corpusloom.llm.ngram_join as module
 from corpusloom.llm.ngram_join import ngram_components
 
 SCHEMA = "doc_id bigint, text string, n bigint, component string, id int"
@@ -63,3 +66,58 @@ def test_large_groups_and_full_tables(spark):
 def test_empty(spark):
     check(spark, [])
     check(spark, [(1, None)])
+
+
+def test_near_copies_in_a_chain_and_stragglers(spark):
+    """Documents that share most of a base, too far from each other to be one component, and a crowd of exact copies."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for d in range(60):
+        w = list(base)
+        for i in rng.sample(range(120), rng.choice([1, 2, 3, 5, 8])):
+            w[i] = rng.choice(["zz", f"y{rng.randint(0, 5)}", f"x{d}"])
+        rows.append((100 + d, " ".join(w)))
+    for d in range(30):  # each a few words on from the last
+        rows.append((200 + d, " ".join(f"c{i}" for i in range(d * 2, d * 2 + 100))))
+    check(spark, rows, small=3, rare=3)
+    check(spark, rows, small=3, rare=3, bits=6, shared_least=1)
+
+
+def test_one_id_with_two_texts(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [(7, " ".join(words)), (7, "other words altogether here"), (3, " ".join(words + ["more"])), (9, "other words altogether here"), (None, " ".join(words))]
+    df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], SCHEMA)
+    got = sorted(map(tuple, ngram_components(df).collect()), key=str)
+    assert got == sorted([(7, 48, 3), (7, 2, 7), (3, 49, 3), (9, 2, 7), (None, 48, None)], key=str)
+
+
+def test_pairs_must_meet_under_all_orders_before_texts_move(spark, monkeypatch):
+    verified, met = set(), {0: set(), 1: set(), 2: set()}
+    links, meetings = module.links, module.meetings
+
+    def spied_links(found, texts, *more):
+        verified.update((r.x, r.y) for r in found.collect())
+        return links(found, texts, *more)
+
+    def spied_meetings(*args):
+        out = meetings(*args)
+        for r in out.where("token IS NULL").collect():
+            met[r.kind].add((r.x, r.y))
+        return out
+
+    monkeypatch.setattr(module, "links", spied_links)
+    monkeypatch.setattr(module, "meetings", spied_meetings)
+    rng = random.Random(2)
+    rows = [(d, " ".join(f"w{rng.randint(0, 8)}" for _ in range(60))) for d in range(120)] + [(500 + d, " ".join(f"v{i}" for i in range(50 + d))) for d in range(3)]
+    check(spark, rows, bits=5, shared_least=1, small=200)
+    assert verified == met[0] & met[1] & met[2]
+    assert 3 <= len(verified) < len(met[0]) / 4
+
+
+def test_counts_past_16_bits(spark):
+    from corpusloom.llm.sketch import count_cells
+
+    df = spark.range(75_000).selectExpr("cast(7 AS bigint) AS v").coalesce(1)
+    counts = count_cells(df, lambda b: iter([[b.column("v").to_numpy().astype(np.uint64) << np.uint64(60)]]), 12)[0]
+    assert counts.max() == 75_000 and counts.sum() == 75_000

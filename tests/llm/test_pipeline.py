@@ -93,3 +93,36 @@ def test_near_copies_of_eighty_percent(spark):
     assert kept == [d for d in sorted(texts) if root(d) == d]
     near = [len(sets[d] & sets[e]) / len(sets[d] | sets[e]) for d in range(24) for e in (100 + d, 200 + d)]
     assert sum(0.8 <= s < 0.9 for s in near) > 10 and sum(s < 0.8 for s in near) > 10
+
+
+def test_rows_without_or_with_one_id(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(90))
+    clean = [text() for _ in range(80)]
+    rows = [(d, t, "en", "s", 0) for d, t in enumerate(clean)]
+    secret = 'x password = "k9Xf27Qz81Lm" y '
+    rows += [(None, "short text", "en", "s", 1), (None, secret + clean[0], "en", "s", 2), (None, None, None, None, 3)]
+    rows += [(200, "short text", "en", "s", 4), (200, clean[1] + " more words", "en", "s", 5), (201, text(), "en", "s", 6), (201, text(), "en", "s", 7)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    good = P.quality(spark, df, "")
+    assert sorted((r.n_chars for r in good.collect() if r.n_chars)) == [2, 5, 6, 7]  # the clean row of an id outlives the short one
+    kept = P.near_duplicates(spark, good, "").collect()
+    assert sorted(r.n_chars for r in kept if r.n_chars) in ([2, 6], [2, 7])
+    first = min(rows[-2:], key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    assert [r.text for r in kept if r.doc_id == 201] == [first[1]]
+    masked = {r.n_chars: r.text for r in P.secrets(spark, df, "").collect()}
+    assert "k9Xf27" not in masked[2] and masked[2].endswith(clean[0])
+    assert masked[1] == "short text" and masked[3] is None
+
+
+def test_stage_folders_are_removed(spark, tmp_path):
+    import os
+
+    from corpusloom.llm.common import shared_folder
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    top = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    assert P.run(spark, str(tmp_path)).count() > 0
+    (new,) = [x for x in set(os.listdir(top)) - before if x.startswith("pipeline-")]
+    assert [x for x in os.listdir(f"{top}/{new}") if not x.startswith(".")] == ["4"]
