@@ -1,44 +1,46 @@
 """The corpus pipeline: documents to token ids, in five stages.
 
 Each stage takes all that its predecessor kept, as written, and its decisions take effect. All but the
-last return the columns of `documents`. Documents without an id pass the joins untouched; null and
-empty texts fail the quality rules; an empty table gives an empty result.
+last return the columns of `documents`. Rows are judged and masked by their own text, without an id too;
+null and empty texts fail the quality rules; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import bpe_encode
+from corpusloom.llm.common import cut, shared_folder
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.ngram_join import ngram_components
-from corpusloom.llm.quality_rules import quality_rules
+from corpusloom.llm.quality_rules import Rules
 from corpusloom.llm.queries import vocabulary
 from corpusloom.llm.secrets import mask_live, scan_secrets
-
-
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` whose doc_id is not in `ids`. The ids, few beside the texts, are what is hashed."""
-    ids = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+from corpusloom.llm.sketch import split_by_keys
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return without(docs, quality_rules(docs).where(~F.col("kept")))
+    """Documents that the quality rules keep, each row judged by its own text."""
+    return Rules(docs).kept()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates, once: those whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked."""
-    found = ngram_components(docs, k=5, percent=80).select("doc_id", "component_id").where("doc_id IS NOT NULL")
-    twice = found.groupBy("doc_id").count().where("count > 1")
-    others = found.where("doc_id <> component_id").select("doc_id").unionByName(twice.select("doc_id"))
-    firsts = docs.join(twice.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").hint("shuffle_hash"), "doc_id", "left_semi")
-    return without(docs, others).unionByName(firsts.dropDuplicates(["doc_id"]).select(docs.columns))
+    """The document of smallest id of each group of near duplicates, once: those whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+    Of rows that share a kept id the one of the least text by digest stays, of equal texts the least row.
+    Rows without an id cannot be told apart by it, and stay.
+    """
+    found = cut(ngram_components(docs, k=5, percent=80).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")))
+    touched = found.where("n > 1 OR doc_id <> least")  # few beside the rest, which is not shuffled
+    sure, maybe = split_by_keys(docs, F.col("doc_id"), touched.select("doc_id"))
+    alone = maybe.join(touched.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    repeated = maybe.join(touched.where("doc_id = least").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    row = F.struct(*docs.columns)
+    firsts = repeated.groupBy("doc_id").agg(F.min_by(row, F.struct(F.md5("text"), F.to_json(row))).alias("row")).select("row.*")
+    return sure.unionByName(alone).unionByName(firsts.select(docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +64,18 @@ STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates),
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on `documents`, each written to the shared folder and read again by the next."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    top = f"{top}/pipeline-{uuid.uuid4().hex}"
+    """The stages on `documents`, each written to the shared folder and read again by the next, which removes it. What stays there is the result, a row of digests for each document."""
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
+    for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            remove(spark, f"{top}/{k - 1}")
+    return docs
