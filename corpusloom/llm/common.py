@@ -46,10 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
     """`rows` with the columns of their class, from `classes` (key, n: its rows, ...).
 
-    With p shuffle partitions at most p classes hold over 1/p of `total` rows each: these are broadcast.
+    With p shuffle partitions at most 4 p classes hold over 1/(4 p) of `total` rows each: these are broadcast.
     No other class is large enough to crowd a task, so they are joined by key.
     """
-    p = partitions(rows.sparkSession)
+    p = 4 * partitions(rows.sparkSession)
     hot, rest = classes.where(F.col("n") * p > total), classes.where(F.col("n") * p <= total)
     of_hot = rows.join(F.broadcast(hot.drop("n")), key)
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.drop("n"), key)

@@ -23,13 +23,13 @@ def components(edges: DataFrame, rounds: int = 60, per_task: int = 100_000) -> D
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     tasks = min(partitions(edges.sparkSession), max(8, math.ceil(edges.count() / per_task)))
-    edges = cut(edges.coalesce(tasks))
+    edges = edges.coalesce(tasks)
     before = None
     for _ in range(rounds):
         # large star: neighbours above a node are linked to the least of it and its neighbours
         both = _both(edges)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
         # small star: neighbours below a node, and itself, are linked to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u")

@@ -20,9 +20,9 @@ three, which is found on ids alone; only then do texts move. The steps:
    that are not one component yet all pairs across components are settled, so no link between components
    is lost. Tokens are counted exactly among these groups' classes, a fourth order: pairs that share a
    rare token are found by it, and kept if these and the core, the tokens that more classes hold, may
-   suffice for a link. Pairs that share the core alone can link only if both are nearly all core: such
-   classes are first linked to a pivot, and those outside a group's largest component, by then few, are
-   verified against the group.
+   suffice for a link; how much core two classes can share is bounded part by part of 64. Pairs that
+   share the core alone can link only if both are nearly all core: such classes are first linked to a
+   pivot, and those outside a group's largest component, by then few, are held against the group.
 
 Null texts and texts without words have empty sets and link with nothing; very long texts are taken
 whole. A row without an id links with nothing. Rows that repeat an id with equal texts are one class,
@@ -42,12 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, cut, partitions
+from .common import bucket_bits, cut, join_classes, partitions
 from .components import components
 from .sketch import cells, count_cells, member_test
 from .words import Words, mix, slices, sorted_unique
 
 _PERCENT = 100
+_PARTS = 6  # bits: tokens of open groups are dealt to 64 parts
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +97,9 @@ class Orders:
 def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     """What classes of `texts` (c, z: compressed text) share, by how many of them hold a token.
 
-    Rows (x, y, s): the number of tokens of two to `rare` classes that x < y share; and (x, null, s):
-    the number of tokens of x that more classes hold. No token gives more than rare² / 2 pairs.
+    Rows (x, y, s, part): the number of tokens of two to `rare` classes that x < y share; and (x, null, s,
+    part): the number of tokens of x that more classes hold, in each part that tokens are dealt to. No
+    token gives more than rare² / 2 pairs.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +130,9 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
             xs.append(ids[i])
             ys.append(ids[i + lag])
         pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
-        return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times])})
+        return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times]), "part": int(frame["bucket"].iloc[0])})
 
-    return texts.select("c", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint")
+    return texts.select("c", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint, part int")
 
 
 def class_keys(doc: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
@@ -211,16 +213,9 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
 
 
 def links(found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(u, v) of the pairs `found` (x, y) whose `texts` (c, z) link. A text of very many pairs, a pivot's, is copied to as many salted keys as its pairs need."""
-    total, p = found.count(), partitions(found.sparkSession)
-    # at most 2 p classes are in over 1/p of the pairs each
-    crowded = found.select(F.explode(F.array("x", "y")).alias("c")).groupBy("c").agg(F.count("*").alias("m")).where(F.col("m") * p > total)
-    crowded = F.broadcast(cut(crowded.select("c", F.ceil(F.col("m") * p / max(1, total)).cast("int").alias("salts"))))
-    salts = F.coalesce("salts", F.lit(1))
-    held = texts.join(crowded, "c", "left").select("c", "z", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    for here, there in (("x", "y"), ("y", "x")):
-        dealt = found.join(crowded, F.col(here) == F.col("c"), "left").withColumn("salt", F.pmod(F.xxhash64(there), salts)).drop("c", "salts")
-        found = dealt.join(held.select(F.col("c").alias(here), "salt", F.col("z").alias("z" + here)), [here, "salt"]).drop("salt")
+    """(u, v) of the pairs `found` (x, y) whose `texts` (c, z) link. Pairs are small, so those of one pivot are many before they crowd a task, and then the adaptive skew join splits them."""
+    for e in "xy":
+        found = found.join(texts.select(F.col("c").alias(e), F.col("z").alias("z" + e)), e)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "zx", 1 << 20):
@@ -348,50 +343,57 @@ def ngram_components(
     groups = groups.drop("kind")
     if groups.take(1):
         placed = cut(groups.join(reached.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", F.coalesce("component", "c").alias("k")))
-        split = placed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("token")
-        rest = cut(placed.join(split, "token", "left_semi"))
+        split = placed.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.min("n").alias("least"), F.count("*").alias("n")).where("a <> b").select("token", "least", "n")
+        rest = cut(join_classes(placed, split, "token", placed.count()))
         if rest.take(1):
             texts = of_classes(rest.select("c").distinct(), compressed, "z binary")
-            met_by = cut(rare_and_core(texts, k, deal - 2, rare))
-            core = met_by.where("y IS NULL").groupBy(F.col("x").alias("c")).agg(F.sum("s").alias("s"))
-            known = cut(rest.groupBy("c").agg(F.first("n").alias("n"), F.first("k").alias("k")).join(core, "c", "left").fillna(0, ["s"]))
-            ends = [known.select(F.col("c").alias(e), *(F.col(c).alias(c + e) for c in ("n", "s", "k"))) for e in "xy"]
+            met_by = cut(rare_and_core(texts, k, _PARTS, rare))
+            core = met_by.where("y IS NULL").groupBy(F.col("x").alias("c")).agg(F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("v"))
+            core = core.select("c", "s", F.transform(F.sequence(F.lit(0), F.lit((1 << _PARTS) - 1)), lambda i: F.coalesce(F.try_element_at("v", i), F.lit(0)).cast("int")).alias("v"))
+            none = F.array_repeat(F.lit(0), 1 << _PARTS)
+            known = rest.groupBy("c").agg(F.first("n").alias("n"), F.first("k").alias("k")).join(core, "c", "left")
+            known = cut(known.select("c", "n", "k", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("v", none).alias("v")))
+            ends = [known.select(F.col("c").alias(e), *(F.col(c).alias(c + e) for c in ("n", "s", "k", "v"))) for e in "xy"]
             apart = (F.col("kx") != F.col("ky")) & (_PERCENT * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
 
-            def may_link(most):
-                return _PERCENT * most >= percent * (F.col("nx") + F.col("ny") - most)
+            def may_link(more=None):
+                """Whether the core, at most the lesser count in each part, and what else is shared may make a link."""
+                need = percent * (F.col("nx") + F.col("ny"))
+                reach = lambda most: (_PERCENT + percent) * (most if more is None else most + more) >= need
+                by_part = F.aggregate(F.zip_with("vx", "vy", lambda a, b: F.least(a, b)), F.lit(0), lambda t, a: t + a)
+                return reach(F.least("sx", "sy")) & reach(by_part)
 
             def new_pairs(found: DataFrame) -> DataFrame:
                 """Those not judged yet: neither verified nor filtered out under some order."""
-                return found.distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti")
+                return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs.select("x", "y"), ["x", "y"], "left_anti")
 
-            # pairs that share rare tokens: what they share is at most these and the lesser core
+            # pairs that share rare tokens: what they share is at most these and the core that both hold
             sharing = met_by.where("y IS NOT NULL").groupBy("x", "y").agg(F.sum("s").alias("shared"))
-            one = sharing.join(ends[0], "x").join(ends[1], "y").where(apart & may_link(F.least("sx", "sy") + F.col("shared"))).select("x", "y")
+            one = sharing.join(ends[0], "x").join(ends[1], "y").where(apart & may_link(F.col("shared"))).select("x", "y")
             # pairs that share core tokens alone: both must be nearly all core
-            least = rest.groupBy("token").agg(F.min("n").alias("least"))
-            full = rest.select("token", "c").join(known, "c").join(least, "token").where(_PERCENT * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
-            full = cut(full.select("token", "c", "n", "s", "k"))
-            pivots = full.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.max_by("c", F.struct(F.col("s") / F.col("n"), -F.col("c"))).alias("pivot")).where("a <> b")
-            star = full.join(pivots, "token").where("c <> pivot").select(F.least("c", "pivot").alias("x"), F.greatest("c", "pivot").alias("y")).distinct()
-            star = star.join(ends[0], "x").join(ends[1], "y").where(apart).select("x", "y")
+            full = rest.select("token", "c", "least").join(known, "c").where(_PERCENT * F.col("s") >= percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
+            full = cut(full.drop("least"))
+            lead = F.max_by(F.struct(*(F.col(a).alias(b) for a, b in zip(("c", "n", "s", "k", "v"), ("y", "ny", "sy", "ky", "vy"), strict=True))), F.struct(F.col("s") / F.col("n"), -F.col("c")))
+            pivots = full.groupBy("token").agg(F.min("k").alias("a"), F.max("k").alias("b"), lead.alias("lead"), F.count("*").alias("n")).where("a <> b").select("token", "lead.*", "n")
+            members = full.select("token", F.col("c").alias("x"), *(F.col(a).alias(a + "x") for a in ("n", "s", "k", "v")))
+            star = join_classes(members, pivots, "token", full.count()).where("x <> y").where(apart & may_link()).select("x", "y")
             second = cut(new_pairs(one.unionByName(star)))
             new = cut(links(second, texts, k, percent))
             if new.take(1):
-                edges = edges.unionByName(new)
-                reached = components(edges)
+                reached = components(reached.toDF("u", "v").unionByName(new))
             placed = cut(full.drop("k").join(reached.withColumnRenamed("node", "c"), "c", "left").withColumn("k", F.coalesce("component", "c")).drop("component"))
-            parts = placed.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max_by("k", F.struct("m", "k")).alias("main"))
-            open_groups = cut(parts.where("parts > 1").select("token", "main", F.ceil(F.col("m") / 1000).cast("int").alias("salts")))
+            parts = placed.groupBy("token", "k").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("n"), F.count("*").alias("parts"), F.max_by("k", F.struct("m", "k")).alias("main"))
+            open_groups = parts.where("parts > 1").select("token", "main", F.ceil(F.col("n") / 1000).cast("int").alias("salts"), F.col("n").alias("size")).withColumnRenamed("size", "n")
             # classes outside a group's largest component against all of the group, which is dealt out by salts
-            dealt = placed.join(open_groups, "token")
-            left = dealt.where("k <> main").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("c").alias("x"), *(F.col(c).alias(c + "x") for c in ("n", "s", "k")))
-            right = dealt.select("token", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), F.col("c").alias("y"), *(F.col(c).alias(c + "y") for c in ("n", "s", "k")))
-            across = left.join(right, ["token", "salt"]).where(apart & may_link(F.least("sx", "sy"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-            across = cut(new_pairs(across).join(second, ["x", "y"], "left_anti"))
+            dealt = cut(join_classes(placed.withColumnRenamed("n", "nn"), open_groups, "token", placed.count()))
+            named = lambda e: [F.col("c").alias(e), F.col("nn").alias("n" + e), *(F.col(a).alias(a + e) for a in ("s", "k", "v"))]
+            left = dealt.where("k <> main").select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("x"))
+            right = dealt.select("token", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), *named("y"))
+            near = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & apart & may_link())
+            across = cut(new_pairs(near.select("x", "y")).join(second, ["x", "y"], "left_anti"))
             new = cut(links(across, texts, k, percent))
             if new.take(1):
-                reached = components(edges.unionByName(new))
+                reached = components(reached.toDF("u", "v").unionByName(new))
 
     # the least id of each component, for the classes of a link or of more than one row
     linked = reached.withColumnRenamed("node", "c").join(classes, "c")

@@ -142,14 +142,22 @@ def fails_base(n_words, n_repeat_words, min_words: int, max_repeat_percent: int)
     return (n_words < min_words) | (100 * n_repeat_words > max_repeat_percent * n_words)
 
 
-def outlying(x: np.ndarray, centre: pd.Series, scatter: pd.Series) -> np.ndarray:
-    """Squared distances of vectors, each from its group's estimate; not a number without one."""
-    out, known, d = np.full(len(x), np.nan), {}, len(FEATURES)
-    for i, (c, s) in enumerate(zip(centre, scatter, strict=True)):
-        if c is not None:
-            known.setdefault((np.asarray(c).tobytes(), np.asarray(s).tobytes()), []).append(i)
-    for (c, s), where in known.items():
-        out[where] = distances(x[where], np.frombuffer(c), np.frombuffer(s).reshape(d, d))
+def of_lists(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of lists of one length; a null is a row of not a number."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full((len(column), width), np.nan)
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def outlying(x: np.ndarray, centre: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+    """Squared distances of vectors, each from its own estimate; not a number without one."""
+    out, there = np.full(len(x), np.nan), ~np.isnan(centre[:, 0])
+    d = (x - centre)[there]
+    wide = scatter[there].reshape(-1, x.shape[1], x.shape[1]) + np.diag(FLOORS**2)
+    out[there] = np.einsum("ij,ij->i", d, np.linalg.solve(wide, d[:, :, None])[:, :, 0]) if len(d) else 0.0
     return out
 
 
@@ -172,9 +180,11 @@ class Rules:
     def judged(self) -> DataFrame:
         """(id, the five counts, base_failed, kept, distance) of each row."""
 
-        @F.pandas_udf("double")
-        def distance(v: pd.Series, centre: pd.Series, scatter: pd.Series) -> pd.Series:
-            return pd.Series(outlying(np.stack(v.to_numpy()), centre, scatter) if len(v) else [], dtype=float)
+        d = len(FEATURES)
+
+        @F.arrow_udf("double")
+        def distance(v: pa.Array, centre: pa.Array, scatter: pa.Array) -> pa.Array:
+            return pa.array(outlying(of_lists(v, d), of_lists(centre, d), of_lists(scatter, d * d)))
 
         judged = self.rows.join(self.by_group, "big", "left").withColumn("distance", distance("v", "centre", "scatter"))
         kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > self.cutoff) & ~F.isnan("distance"), F.lit(False))
@@ -182,18 +192,16 @@ class Rules:
 
     def kept(self) -> DataFrame:
         """The table's rows that stay, in its columns. Each row is judged by its own text, measured again, so nothing is joined back and no text is shuffled."""
-        base, cutoff = self.base, self.cutoff
+        base, cutoff, d = self.base, self.cutoff, len(FEATURES)
 
-        @F.pandas_udf("boolean")
-        def stays(text: pd.Series, centre: pd.Series, scatter: pd.Series) -> pd.Series:
-            whole = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string(), from_pandas=True)], names=["text"])
-            out, at = [np.zeros(0, bool)], 0
-            for part in slices([whole], "text"):
+        @F.arrow_udf("boolean")
+        def stays(text: pa.Array, centre: pa.Array, scatter: pa.Array) -> pa.Array:
+            out = [np.zeros(0, bool)]
+            for part in slices([pa.RecordBatch.from_arrays([text, centre, scatter], names=["text", "centre", "scatter"])], "text"):
                 s = text_stats(part.column("text"))
-                near = ~(outlying(vectors(s), centre.iloc[at : at + len(part)], scatter.iloc[at : at + len(part)]) > cutoff)
+                near = ~(outlying(vectors(s), of_lists(part.column("centre"), d), of_lists(part.column("scatter"), d * d)) > cutoff)
                 out.append(near & ~fails_base(s["n_words"], s["n_repeat_words"], *base))
-                at += len(part)
-            return pd.Series(np.concatenate(out))
+            return pa.array(np.concatenate(out))
 
         names = [free_name(self.docs, c) for c in ("big", "centre", "scatter")]
         keyed = self.docs.withColumn(names[0], group_names(self.groups)[0])

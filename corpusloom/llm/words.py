@@ -110,7 +110,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about `max_bytes`, or one text if that is longer."""
     for batch in batches:
         n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
