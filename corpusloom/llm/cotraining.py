@@ -1,6 +1,7 @@
 """Quality classifier by co-training.
 
-Two classifiers see a document separately: one its text, one its metadata. Both start from the labelled
+Two classifiers see a document separately: one its words, one its metadata: language, source, length and
+layout (lines, shares of capitals, marks and symbols), no word. Both start from the labelled
 sample. In every round each labels all other documents, the pool, and those it is most sure of teach
 the other. At the end each view is calibrated on labelled rows it did not learn from, and the calibrated
 log-odds are combined, with weights fitted there too, to score every document.
@@ -8,8 +9,11 @@ log-odds are combined, with weights fitted there too, to score every document.
 The labelled sample is bounded and hash-chosen. The pool is every document besides it, in its features as
 checkpointed once: what a round has taught is not stored but found anew from its models and cuts, and
 models are refitted from sums over tasks. Scores are given to all documents. Null
-and empty texts have zero statistics; null metadata are values of their own. Rows with a null id or
-label teach nothing. Repeated rows each return a row. If the sample lacks either label, scores are 0.5.
+and empty texts have zero statistics, very long ones are measured whole; null metadata are values of
+their own. Rows with a null id or label teach nothing; an id labelled both ways counts as 0. Rows equally
+sure stand in one bin of log-odds, of which a share by the id's hash is passed on. Repeated rows each
+return a row, and teach once. Only id, text and metadata are read, so other names cannot clash. If the
+sample lacks either label, scores are 0.5; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 from .linear import apply, logistic, sigmoid
-from .quality_rules import per_text, text_stats, vectors
+from .quality_rules import text_stats, vectors
 from .words import Words, slices
 
 _BAG = 256
@@ -35,29 +39,38 @@ _RIDGE = 0.3
 
 
 def text_view(texts: pa.Array) -> np.ndarray:
-    """For each text: the quality statistics and their squares, its length, and shares of hashed words."""
+    """For each text: shares of hashed words, and how often its words and lines repeat."""
     s = text_stats(texts)
-    v = vectors(s)
+    repeats = np.column_stack([s["n_repeat_words"] / np.maximum(s["n_words"], 1), s["n_dup_lines"] / np.maximum(s["n_lines"], 1)])
     w = Words(texts, lower=True)
     bag = np.zeros((len(texts), _BAG))
     if len(w.starts):
         at = w.doc * _BAG + (w.hashes() % np.uint64(_BAG)).astype(np.int64)
         bag = np.bincount(at, minlength=len(texts) * _BAG).reshape(len(texts), _BAG).astype(float)
     bag = np.sqrt(bag / np.maximum(w.count, 1)[:, None])
-    lines = per_text(w.data == 10, w.offsets)
-    size = np.log1p(w.count)
-    return np.column_stack([v, v**2, size, size**2 / 10, np.log1p(lines), bag])
+    return np.column_stack([repeats, repeats**2, bag])
+
+
+def layout(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """What a page's header would tell without its words: length, lines, words to a line, letters to a word, and shares of capitals, marks and symbols."""
+    s = text_stats(texts)
+    v = vectors(s)
+    length = np.array([len(t or "") for t in texts.to_pylist()], np.int64)
+    words, lines = s["n_words"], np.maximum(s["n_lines"], 1)
+    return length, s["n_lines"], words // lines, (16 * v[:, 0]).astype(int), (40 * v[:, 4]).astype(int), (40 * v[:, 5]).astype(int), (40 * v[:, 1]).astype(int)
 
 
-def meta_view(columns: list[list], length: np.ndarray) -> np.ndarray:
-    """For each row: hashed values of the metadata columns and of their pairs, and its length in steps."""
-    out = np.zeros((len(length), _META + 24))
+def meta_view(columns: list[list], shape: tuple[np.ndarray, ...]) -> np.ndarray:
+    """For each row: hashed values of the metadata columns and of their pairs, and its layout in steps: the first three in powers of two, the others in even ones."""
+    length = shape[0]
+    out = np.zeros((len(length), _META + 24 * len(shape)))
     for i, values in enumerate(zip(*columns, strict=True)):
         named = [f"{k}={v}" for k, v in enumerate(values)]
         for key in [*named, *(a + "&" + b for k, a in enumerate(named) for b in named[k + 1 :])]:
             out[i, zlib.crc32(key.encode()) % _META] = 1
-    step = np.minimum(np.log2(np.maximum(length, 0) + 1).astype(int), 23)
-    out[np.arange(len(length)), _META + step] = 1
+    for k, x in enumerate(shape):
+        step = np.log2(np.maximum(x, 0) + 1).astype(int) if k < 3 else x
+        out[np.arange(len(length)), _META + 24 * k + np.clip(step, 0, 23)] = 1
     return out
 
 
@@ -189,7 +202,7 @@ def classify_quality(
     """
     kind = dict(docs.dtypes)[id_col]
     spark = docs.sparkSession
-    ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
     chosen = {r.id: r.label for r in ids.orderBy(F.xxhash64("id"), "id").limit(labelled).collect()}
     drawn = [(i, y, zlib.crc32(str(i).encode()) % 4 == 1) for i, y in chosen.items()]
     named = [f"coalesce(cast(`{c}` AS string), 'null') AS m{k}" for k, c in enumerate(metadata)]
@@ -197,14 +210,12 @@ def classify_quality(
     names = [f"m{k}" for k in range(len(metadata))]
 
     def seen(batch: pa.RecordBatch) -> list[np.ndarray]:
-        w = batch.column("text")
-        length = np.array([len(t or "") for t in w.to_pylist()], np.int64)
-        return [text_view(w), meta_view([batch.column(c).to_pylist() for c in names], length)]
+        return [text_view(batch.column("text")), meta_view([batch.column(c).to_pylist() for c in names], layout(batch.column("text")))]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             a, b = seen(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("held"), pa.array(a.tolist(), pa.list_(pa.float32())), pa.array(b.tolist(), pa.list_(pa.float32()))], names=["label", "held", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("held"), pa.array(a.tolist(), pa.list_(pa.float32())), pa.array(b.tolist(), pa.list_(pa.float32()))], names=["id", "label", "held", "a", "b"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of the pool's features."""
@@ -213,7 +224,7 @@ def classify_quality(
             blob = [zlib.compress(a.astype(np.float32).tobytes(), 1), np.packbits(b.astype(bool), axis=1).tobytes(), batch.column("point").to_numpy().astype(np.float64).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in blob], names=["a", "b", "point"])
 
-    width = [x.shape[1] for x in (text_view(pa.array(["a"])), meta_view([["a"]] * len(names), np.zeros(1)))]
+    width = [x.shape[1] for x in (text_view(pa.array(["a"])), meta_view([["a"]] * len(names), layout(pa.array(["a"]))))]
 
     def over_blocks(blocks: DataFrame, parts: int = 8) -> Over:
         def over(f: Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
@@ -253,7 +264,9 @@ def classify_quality(
     model = CoTraining()
     if len(set(chosen.values())) == 2:
         sample = plain.join(F.broadcast(spark.createDataFrame(drawn, "id bigint, label int, held boolean")), "id")
-        rows: pd.DataFrame = sample.mapInArrow(measured, "label int, held boolean, a array<float>, b array<float>").toPandas()
+        # one row an id, the least text by digest where rows repeat it, in the order of ids: at most `labelled` rows, the same on any partitioning
+        one = sample.groupBy("id").agg(F.min_by(F.struct(*(c for c in sample.columns if c != "id")), F.struct(F.md5("text"), *names)).alias("r")).select("id", "r.*")
+        rows: pd.DataFrame = one.mapInArrow(measured, "id bigint, label int, held boolean, a array<float>, b array<float>").toPandas().sort_values("id")
         y = rows["label"].to_numpy()
         if {0, 1} <= set(y[~rows["held"].to_numpy(bool)]):
             known = spark.createDataFrame([(i,) for i in chosen], "id bigint")

@@ -5,8 +5,10 @@ the share wanted of the source, over the share it has. The number comes from inv
 distribution at a point seeded by a hash of the document's id, so it is the same on every run and any
 partitioning. Repeated documents are then shuffled globally by a second hash.
 
-A null source is a source of its own. Null and empty texts are documents too, of mass `1` each if mass
-is counted in documents. Rows that repeat an id get the same count each. An empty table gives no rows.
+A null source is a source of its own. Null, empty and very long texts are documents like others. Rows
+that repeat an id, or have none, get the same count each; equal keys of the order keep any order. Where
+`docs` has a column `replica` or `mix_key`, in any case, the new one has underscores behind its name.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import free_name, partitions, quoted
 
 
 _HIGH = 500.0
@@ -50,7 +52,7 @@ def poisson_inverse(u: Column, rate: Column, most: Column) -> Column:
 
 def repetition_rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, temper: float, epochs: float) -> DataFrame:
     """(source, rate): wanted share over actual share, times `epochs`. Without `weights` a source is wanted by its own share to the power `temper`."""
-    sizes = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("_n"))
+    sizes = docs.groupBy(F.col(quoted(source)).alias("_source")).agg(F.count("*").alias("_n"))
     if weights is None:
         wanted = sizes.withColumn("_w", F.pow(F.col("_n").cast("double"), F.lit(temper)))
     else:
@@ -64,7 +66,7 @@ def mix_sources(
     docs: DataFrame, *, id_col: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None,
     temper: float = 0.5, epochs: float = 1.0, seed: str = "mix", most_rate: float | None = None, many_sources: int = 100_000, with_order: bool = True,
 ) -> DataFrame:
-    """The columns of `docs`[, replica, mix_key], each document as often as drawn, in an order that mixes all sources.
+    """The columns of `docs`[, replica, mix_key, or these with underscores if `docs` has such], each document as often as drawn, in an order that mixes all sources.
 
     A source wanted more than `most_rate` times over raises, if that is given.
     Rates are broadcast if there are at most `many_sources` sources, which is counted; else they are
@@ -77,14 +79,14 @@ def mix_sources(
         raise ValueError(f"a source would be repeated {highest:.3g} times")
     rate = F.col("_rate")
     most = F.greatest(F.lit(30), F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int"))  # the rest has less than a chance in 2**32
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("string").alias("_id"), F.col(source).alias("_from"))
+    packed = docs.select(F.struct(*map(quoted, docs.columns)).alias("_row"), F.col(quoted(id_col)).cast("string").alias("_id"), F.col(quoted(source)).alias("_from"))
     joined = packed.join(F.broadcast(rates) if sources <= many_sources else rates, F.col("_from").eqNullSafe(F.col("_source")))
     times = poisson_inverse(seeded(seed, F.coalesce("_id", F.lit(""))), rate, most)
     repeated = joined.select("_row", "_id", times.alias("_times")).where("_times > 0").select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_replica"))
     key = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce("_id", F.lit("")), F.col("_replica").cast("string")))
     keyed = repeated.select("_row", "_replica", key.alias("_key"))
     mixed = keyed.repartition(partitions(docs.sparkSession), F.xxhash64("_key")).sortWithinPartitions("_key")
-    return mixed.select("_row.*", *([F.col("_replica").alias("replica"), F.col("_key").alias("mix_key")] if with_order else []))
+    return mixed.select("_row.*", *([F.col("_replica").alias(free_name(docs, "replica")), F.col("_key").alias(free_name(docs, "mix_key"))] if with_order else []))
 
 
 def sql(temper: float = 0.5, seed: str = "mix", most: int = 30) -> str:

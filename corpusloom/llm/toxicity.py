@@ -10,8 +10,10 @@ all of them, so it grows with the distinct trigrams of the input. Lexicon and re
 bounded, hash-chosen sample of labelled rows (`per_class` of each label). For the regression each half of
 it is measured with the other half's lexicon. Every whole text is scored.
 
-Null and empty texts have no words and get the regression's score for none. Rows with a null id or label
-teach nothing. Repeated rows each return a row. If the sample lacks either label, all scores are 0.
+Null and empty texts have no words and get the regression's score for none; very long ones are scored
+whole. Rows with a null id or label teach nothing; an id labelled both ways counts as toxic. Repeated
+rows each return a row. Decodings of equal cost go by the alphabet. Only id and text are read, so other
+names cannot clash. If the sample lacks either label, all scores are 0; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -235,9 +237,9 @@ class Model:
         return sigmoid(apply(self.regression, x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, max_features: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> Model:
     """The model: trigrams of all documents, and the rest of `per_class` labelled rows of each class at most, those of smallest hash."""
-    ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = [r for y in (0, 1) for r in ids.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     if len({r.label for r in chosen}) < 2:
         return Model(Channel({}), {})
@@ -265,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         clean, bad = ("+".join(f"n{2 * h + y}" for h in halves) for y in (0, 1))
         all_clean, all_bad = (sum(sizes[h, y] for h in halves) for y in (0, 1))
         odds = F.log((F.expr(bad) + 0.5) / (all_bad + 1.0)) - F.log((F.expr(clean) + 0.5) / (all_clean + 1.0))
-        rows = counts.where(f"{bad} >= {_LEAST}").withColumn("odds", odds).where("odds > 1").orderBy(F.desc("odds"), "key").limit(max_features).collect()
+        rows = counts.where(f"{bad} >= {_LEAST}").withColumn("odds", odds).where("odds > 1").collect()
         return {r.key: r.odds for r in rows}
 
     shared = docs.sparkSession.sparkContext.broadcast([Model(channel, lexicon((1,))), Model(channel, lexicon((0,)))])  # what each half is measured with
@@ -290,16 +292,16 @@ def held_out(id_: Column) -> Column:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, per_class: int = 3000, max_features: int = 30_000,
+    threshold: float = 0.3, per_class: int = 3000,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of each document. Labels of held-out rows, by a hash of the id, are never learnt from.
 
-    `per_class` and `max_features` bound the labelled sample and the lexicon. The model is broadcast; its trigrams are
-    those of all documents, at 16 bytes each.
+    `per_class` bounds the labelled sample, and with it the lexicon of its words. The model is broadcast; its
+    trigrams are those of all documents, at 16 bytes each.
     """
     kind = dict(docs.dtypes)[id_col]
     learnt = labels.where(~held_out(id_col))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnt, id_col, text_col, label_col, per_class, max_features))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnt, id_col, text_col, label_col, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

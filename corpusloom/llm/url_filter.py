@@ -5,7 +5,7 @@ host and list become validity intervals, and an as-of join judges every capture
 were active when it was fetched: those of its host and of each domain above it, the longest first.
 
 Native DataFrame operations only. Captures with a null URL, one without a host, or a null fetch time
-meet no entry and stay. Entries that repeat, or that fall on one moment for one host and list, are one:
+meet no entry and stay. Very long URLs are taken whole; only id, URL and time are read, so other names cannot clash. Entries that repeat, or that fall on one moment for one host and list, are one:
 the blocking one. Null hosts, lists or times in entries are ignored. Repeated captures each return a
 row. Empty tables give no rows, or leave every capture.
 """
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import partitions
+
 
 def host(url: Column) -> Column:
     """The lower-cased host of a URL, without user, port or trailing dot; empty if there is none."""
@@ -35,21 +37,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.withColumn("valid_to", F.lead("since").over(by)).where("blocks").select("host", "list", F.col("since").alias("valid_from"), "valid_to")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", salts: int = 16) -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", salts: int | None = None) -> DataFrame:
     """(id, fetched, n_active, kept, host_matched, list_matched) of each capture.
 
     `n_active` counts the active entries met; the match shown is of the longest domain, then the first
     list. Only keys of captures are shuffled, never pages. Captures of a crowded host are spread over
-    `salts` keys, to each of which that host's few intervals are copied.
+    `salts` keys, a quarter as many as shuffle partitions unless given, to each of which that host's few
+    intervals are copied. Those without a host are not joined.
     """
+    salts = salts or max(16, partitions(captures.sparkSession) // 4)
     keys = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(time_col).alias("fetched"), host(F.col(url_col)).alias("name"))
     active = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # one row for each capture and domain; those without a host have one, which meets nothing
-    tried = keys.select("id", "fetched", "row", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"), F.posexplode(domains(F.col("name"))).alias("depth", "host"))
+    hostless = keys.where("name = '' OR fetched IS NULL").select("id", "fetched", F.lit(0).cast("long").alias("n_active"), F.lit(None).cast("struct<host:string,list:string>").alias("best"))
+    # one row for each capture and domain
+    tried = keys.where("name <> '' AND fetched IS NOT NULL").select("id", "fetched", "row", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"), F.posexplode(domains(F.col("name"))).alias("depth", "host"))
     asof = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     met = tried.alias("t").join(active.alias("a"), (F.col("t.host") == F.col("a.host")) & (F.col("t.salt") == F.col("a.salt")) & asof, "left")
     best = F.min(F.when(F.col("a.list").isNotNull(), F.struct("t.depth", "a.list", F.col("t.host").alias("host"))))
     judged = met.groupBy("t.row", "t.id", "t.fetched").agg(F.count("a.list").alias("n_active"), best.alias("best"))
+    judged = judged.select("id", "fetched", "n_active", F.struct("best.host", "best.list").alias("best")).unionByName(hostless)
     return judged.select(F.col("id").alias(id_col), "fetched", "n_active", (F.col("n_active") == 0).alias("kept"), F.col("best.host").alias("host_matched"), F.col("best.list").alias("list_matched"))
 
 

@@ -77,3 +77,28 @@ def test_sums_over_blocks_teach_as_one_table_does():
     one = CoTraining().fit(views, known, held, rounds=3, share=0.1, sure=0.8)
     two = CoTraining().fit([x[:90] for x in views], known[:90], held[:90], rounds=3, share=0.1, sure=0.8, over=over)
     assert one.exchanged == two.exchanged and all(np.allclose(a, b) for a, b in zip(one.views, two.views, strict=True))
+
+
+def test_held_out_rows_and_labels_both_ways(spark):
+    """Both views carry signal, and an id with both labels counts as 0, on any partitioning."""
+    rng = random.Random(4)
+    docs, labels = [], []
+    for d in range(600):
+        good = rng.random() < 0.5
+        words = [rng.choice(["river", "stone", "cloud", "field"] if good != (rng.random() < 0.2) else ["buy", "cheap", "click", "now"]) for _ in range(60)]
+        text = (" " if good != (rng.random() < 0.1) else "\n").join(words)
+        docs.append((d, text, "en", "s", 0.0, ""))
+        labels.append((d, int(good), ""))
+    learn = [x for x in labels if x[0] % 4]
+    df = spark.createDataFrame(docs, DOCS)
+    out = classify_quality(df.repartition(3), spark.createDataFrame(learn, LABELS)).collect()
+    held = {d: y for d, y, _ in labels if d % 4 == 0}
+
+    def right(column):
+        return sum((r[column] >= 0.5) == held[r.doc_id] for r in out if r.doc_id in held) / len(held)
+
+    assert right("text_score") > 0.85 and right("meta_score") > 0.8 and right("score") >= 0.9
+    both = learn + [(d, 1, "") for d, y, _ in learn if not y][:50]
+    again = classify_quality(df.repartition(5), spark.createDataFrame(both, LABELS).repartition(3)).collect()
+    near = {r.doc_id: r.score for r in out}
+    assert max(abs(r.score - near[r.doc_id]) for r in again) < 1e-6

@@ -66,3 +66,12 @@ def test_rates_that_underflow(spark):
             c += math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))
         want[d] = n
     assert got == want
+
+
+def test_clashing_names_are_written_and_read(spark, tmp_path):
+    rows = [(d, "t", f"s{d % 3}", 1, "k", 2.5, "dotted") for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, Replica int, mix_key string, _row double, `a.b` string")
+    mix_sources(df).write.parquet(f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.columns == ["doc_id", "text", "source", "Replica", "mix_key", "_row", "a.b", "replica_", "mix_key_"]
+    assert {(r.Replica, r.mix_key, r["a.b"]) for r in back.collect()} == {(1, "k", "dotted")}

@@ -59,3 +59,26 @@ def test_concentration_ignores_a_cluster():
     x = np.vstack([rng.normal(0, 1, (800, 6)), rng.normal(9, 0.5, (160, 6))])
     centre, scatter = concentrate(x, 0.75)
     assert np.abs(centre).max() < 0.3 and distances(x, centre, scatter)[800:].min() > 50
+
+
+def test_rows_of_a_tiny_language_are_judged_by_all_rows(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows = [(d, " ".join(word() for _ in range(100)), "en", "s") for d in range(200)]
+    rows += [(900 + d, " ".join(word() for _ in range(100)), "xx", "t") for d in range(4)]
+    rows += [(950, " ".join(word().upper() + "#$%&|" for _ in range(100)), "xx", "t"), (951, "short", "yy", None)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(got[900 + d].kept and got[900 + d].distance < 25 for d in range(4)) and not got[950].kept and got[950].distance > 25
+    assert not got[951].kept and got[951].base_failed
+
+
+def test_blocks_of_a_large_group_agree_with_one_block(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 400)]
+    rows = []
+    for d in range(3000):
+        text = " ".join(words[i] for i in rng.integers(0, 400, 80))
+        rows.append((d, text.upper() if d % 15 == 0 else text, "en", "s"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    a, b = ({r.doc_id: r.kept for r in quality_rules(df, block_rows=n).collect()} for n in (250, 10_000))
+    assert a == b and all(a[d] == (d % 15 > 0) for d in a)

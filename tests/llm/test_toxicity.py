@@ -66,7 +66,7 @@ def test_language_model_counts_all_documents(spark):
     docs, labels = corpus(80)
     more = [(1000 + i, t, None, None) for i, t in enumerate(["xylophone Глупец", "xylophone, xylophone", "xylophone 漢字漢", "nooope stone", None, ""])]
     df = spark.createDataFrame(docs + more, DOCS).repartition(3)
-    channel = fit(df, spark.createDataFrame(labels, LABELS), "doc_id", "text", "toxic", 10, 1000).channel
+    channel = fit(df, spark.createDataFrame(labels, LABELS), "doc_id", "text", "toxic", 10).channel
     assert channel.decode("xy1oph0ne") == "xylophone" and channel.decode("гл.у-пец") == "глупец"
     grams = {}
     for _, text, _, _ in docs + more:
@@ -77,3 +77,11 @@ def test_language_model_counts_all_documents(spark):
     all_ = Channel(grams)
     assert [x.tolist() for x in channel.three] == [x.tolist() for x in all_.three] and len(grams) == len(channel.three[0])
     assert all(channel.cost(g[:2], g[2]) == all_.cost(g[:2], g[2]) for g in grams)
+
+
+def test_an_id_labelled_both_ways_counts_as_toxic(spark):
+    docs, labels = corpus(120)
+    df = spark.createDataFrame(docs, DOCS)
+    both = labels + [(d, 1 - y, *rest) for d, y, *rest in labels if y]
+    a, b = ({r.doc_id: r.score for r in score_toxicity(df, spark.createDataFrame(x, LABELS).repartition(n)).collect()} for x, n in ((labels, 1), (both, 3)))
+    assert a == b
