@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import re
+import urllib.parse
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -324,9 +327,67 @@ def dict_correct(spark, sf):
 
 @query(f"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) t WHERE word NOT IN ({quoted([*_DICT, *_KEEP])}) GROUP BY word ORDER BY n DESC, word LIMIT 100""")
 def dict_missing(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    known = spark.createDataFrame([(w,) for w in [*_DICT, *_KEEP]], "word string")
-    return words.groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(known), "word", "left_anti").orderBy(F.desc("n"), "word").limit(100)
+    return text.dict_missing(table(spark, sf, "documents"), ["text"], _DICT, _KEEP).orderBy(F.desc("n"), "word").limit(100)
+
+
+_COVERED = [(1, "The and NICHT", "les"), (2, "que The", None)]
+
+
+@query("SELECT * FROM " + values([(1, "covered", "Thé änd NÏCHT", "lès"), (2, "covered", "que Thé", None), (1, "left", "The and NICHT", "les"), (2, "left", "que The", None), (3, "left", "unknown the", "")], "id, kind, q, a"))
+def coverage_gate(spark, sf):
+    of = lambda rows, kind: text.correct_if_covered(spark.createDataFrame(rows, "id int, q string, a string"), ["q", "a"], _DICT, _KEEP).select("id", F.lit(kind).alias("kind"), "q", "a")
+    return of(_COVERED, "covered").unionByName(of([*_COVERED, (3, "unknown the", "")], "left"))
+
+
+_SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_SLUG.format('substr(text, 1, 60)')} AS slug FROM documents")
+def slug_v1(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.slugify(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN length(text) > 1800 THEN substr(text, 1, 1800) || chr(10) || '… [' || (length(text) - 1800)::VARCHAR || ' karakter kesildi]' ELSE text END) AS note_md5,
+md5(substr(text, 1, 5500)) AS head_md5 FROM documents""")
+def truncated(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.truncate_note(F.col("text"))).alias("note_md5"), F.md5(text.head(F.col("text"), 5500)).alias("head_md5"))
+
+
+_FOLDERS = [(1, "cve-2021-44228"), (2, "log4j CVE-2021-44228 poc"), (3, "struts2"), (4, "CVE-21-1"), (5, "")]
+
+
+@query(f"SELECT id, coalesce(nullif(upper(regexp_extract(v, '(?i)(CVE-[0-9]{{4}}-[0-9]+)', 1)), ''), v) AS cve FROM {values(_FOLDERS, 'id, v')}")
+def cve_folder(spark, sf):
+    return spark.createDataFrame(_FOLDERS, "id int, v string").select("id", text.cve_id(F.col("v")).alias("cve"))
+
+
+@query("SELECT * FROM (VALUES (1, false, false), (2, true, true), (3, false, true)) t(id, near, whole)")
+def nul_test(spark, sf):
+    d = spark.createDataFrame([(1, "plain"), (2, "a\0b"), (3, "x" * 5000 + "\0")], "id int, v string")
+    return d.select("id", text.has_nul(F.col("v")).alias("near"), text.has_nul(F.col("v"), 1 << 30).alias("whole"))
+
+
+@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE length(text) >= 3000)")
+def done_test(spark, sf):
+    return grounding.pending(table(spark, sf, "labels").select("doc_id"), table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 3000)
+
+
+@query("SELECT doc_id, l[-20:] AS ids FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_]+') AS l FROM documents) t".replace("l[-20:]", "array_to_string(l[-20:], ' ')"))
+def last_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(training.last_tokens(text.tokens(F.col("text")), 20), " ").alias("ids"))
+
+
+_GAPS = [
+    '{"result": {"sonuclar": [{"alan": "ag", "bosluklar": [{"konu": "dns", "neden": "az", "oncelik": "yuksek"}, {"konu": "tls", "neden": "yok"}]}]}}',
+    '{"sonuclar": [{"alan": "x", "domain": "web", "bosluklar": [{"konu": "csp", "neden": "eski", "oncelik": "dusuk"}]}, {"alan": "bos", "bosluklar": []}]}',
+]
+_GAP = "sonuclar array<struct<alan:string,domain:string,bosluklar:array<struct<konu:string,neden:string,oncelik:string>>>>"
+
+
+@query("SELECT * FROM " + values([("ag", "dns", "az", "yuksek"), ("ag", "tls", "yok", "orta"), ("web", "csp", "eski", "dusuk")], "domain, topic, reason, priority"))
+def gap_items(spark, sf):
+    wrapped = f"result struct<{_GAP.replace(' ', ':', 1)}>, {_GAP}"
+    return reports.gap_items(spark.createDataFrame([(g,) for g in _GAPS], "v string").select(F.from_json("v", wrapped).alias("r")).select("r.*"))
 
 
 # --- digests, codes, JSON -----------------------------------------------------------------------------
@@ -337,21 +398,41 @@ def doc_digests(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in codec.digests(F.col("text")).items()))
 
 
-_HASHES = [(1, "a" * 32), (2, "b" * 40), (3, "0" * 56), (4, "F" * 64), (5, "1" * 96), (6, "2" * 128), (7, "c" * 33), (8, "$2b$12$abc"), (9, "$argon2id$v=19"), (10, "$6$salt$x"), (11, "$5$s$x"), (12, "$1$s$x"), (13, "words")]
+_HASHES = [(1, "a" * 32), (2, "b" * 40), (3, "0" * 56), (4, "F" * 64), (5, "1" * 96), (6, "2" * 128), (7, "c" * 33), (8, "$2b$12$abc"), (14, "$2y$10$" + "k" * 53), (15, " " + "d" * 32 + " "), (9, "$argon2id$v=19"), (10, "$6$salt$x"), (11, "$5$s$x"), (12, "$1$s$x"), (13, "words")]
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(v, '^\\$2[aby]\\$') THEN 'bcrypt' WHEN starts_with(v, '$argon2') THEN 'argon2' WHEN starts_with(v, '$6$') THEN 'sha512crypt' WHEN starts_with(v, '$5$') THEN 'sha256crypt' WHEN starts_with(v, '$1$') THEN 'md5crypt'
-WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN CASE length(v) {" ".join(f"WHEN {n} THEN '{k}'" for n, k in codec.HASH_LENGTHS.items())} ELSE 'unknown' END ELSE 'unknown' END AS kind FROM {values(_HASHES, "id, v")}""")
+@query(f"""SELECT id, CASE WHEN regexp_full_match(v, '\\$2[aby]\\$[0-9]+\\$.{{53}}') THEN 'bcrypt' WHEN starts_with(v, '$argon2') THEN 'argon2' WHEN starts_with(v, '$6$') THEN 'sha512crypt' WHEN starts_with(v, '$5$') THEN 'sha256crypt' WHEN starts_with(v, '$1$') THEN 'md5crypt'
+WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN CASE length(v) {" ".join(f"WHEN {n} THEN '{k}'" for n, k in codec.HASH_LENGTHS.items())} ELSE 'unknown' END ELSE 'unknown' END AS kind FROM (SELECT id, trim(v) AS v FROM {values(_HASHES, "id, v")}) s""")
 def hash_identify(spark, sf):
     return spark.createDataFrame(_HASHES, "id int, v string").select("id", codec.hash_kind(F.col("v")).alias("kind"))
 
 
-_CODED = [(1, "aGVsbG8="), (2, "aGVsbG8"), (3, "68656c6c6f"), (4, "abc"), (5, "a%20b"), (6, "no code!"), (7, "")]
+_CODED = [
+    "aGVsbG8=", "aGVsbG8", "68656c6c6f", "abc", "a%20b", "no code!", "", "xZ9pZnJlIGfDvMOnbMO8", "aGVs bG8=", "00ff", "a+b%zz%C5%9F", "YQ==YQ==", "Y=Q==", "YQ=Y", "aGk=x!",
+    "bGluZTEKbGluZTIH", "AAEC", " 7b7d ", base64.b64encode(("ş" * 400).encode()).decode(), "abcde", "%41%ff",
+]
+
+
+def _decoded(value: str) -> tuple[str | None, str | None, str | None]:
+    """The rule by Python's own decoders: what the SQL side holds."""
+    v, plain = value.strip(), None
+    try:
+        plain = base64.b64decode(v + "=" * (-len(v) % 4), validate=False).decode("utf-8", errors="replace")
+        plain = plain[:300] if plain.isprintable() or "\n" in plain else None
+    except ValueError:
+        pass
+    digits = bytes.fromhex(v).decode("utf-8", errors="replace")[:300] if re.fullmatch("[0-9a-fA-F]+", v) and len(v) % 2 == 0 else None
+    return plain, digits, urllib.parse.unquote(v)[:300] if "%" in v else None
+
+
+def _with_nul(rows: list[tuple]) -> list[tuple]:
+    return [tuple(x.replace("\0", "<nul>") if isinstance(x, str) else x for x in r) for r in rows]
 
 
-@query("SELECT * FROM " + values([(1, "hello", None, None), (2, "hello", None, None), (3, None, "hello", None), (4, None, None, None), (5, None, None, "a b"), (6, None, None, None), (7, None, None, None)], "id, base64, hex, url"))
+@query("SELECT * FROM " + values(_with_nul([(i, *_decoded(v)) for i, v in enumerate(_CODED)]), "id, base64, hex, url"))
 def decode_multi(spark, sf):
-    return spark.createDataFrame(_CODED, "id int, v string").select("id", *(c.alias(k) for k, c in codec.decode_candidates(F.col("v")).items()))
+    d = spark.createDataFrame(list(enumerate(_CODED)), "id int, v string")
+    return d.select("id", *(F.replace(c, F.lit("\0"), F.lit("<nul>")).alias(k) for k, c in codec.decode_candidates(F.col("v")).items()))
 
 
 @query("SELECT event_id, props AS found, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -361,6 +442,26 @@ def json_extract(spark, sf):
     return e.withColumn("k", F.get_json_object("found", "$.k").cast("long"))
 
 
+_PROSE = [
+    ('I think so.\n{"arac": "grep", "parametreler": {"desen": "a}b{c"}} done', '{"arac": "grep", "parametreler": {"desen": "a}b{c"}}'),
+    ('{bad} {"a": {"b": [1, {"c": 2}]}} {"later": 1}', '{"a": {"b": [1, {"c": 2}]}}'), ('say "{" and {"q": "he said \\"{x}\\" twice"}', '{"q": "he said \\"{x}\\" twice"}'),
+    ("no object", None), ('{"open": 1', None), ('[1, 2] {"ok": "çö"} ', '{"ok": "çö"}'), ('{"outer": {"bad": } } {"inner": true}', '{"inner": true}'), (None, None), ("{} rest", "{}"),
+]
+
+
+@query("SELECT * FROM " + values([(i, found) for i, (_, found) in enumerate(_PROSE)], "id, found"))
+def json_prose(spark, sf):
+    return spark.createDataFrame([(i, v) for i, (v, _) in enumerate(_PROSE)], "id int, v string").select("id", codec.first_json(F.col("v")).alias("found"))
+
+
+_CALLS = [(1, "grep", {"b": "2", "a": "1"}), (2, "grep", {"a": "1", "b": "2"}), (3, "ls", {})]
+
+
+@query("SELECT * FROM " + values([(1, 'grep|{"a":"1","b":"2"}'), (2, 'grep|{"a":"1","b":"2"}'), (3, "ls|{}")], "id, signature"))
+def call_signature(spark, sf):
+    return spark.createDataFrame(_CALLS, "id int, tool string, params map<string,string>").select("id", codec.call_signature(F.col("tool"), F.col("params")).alias("signature"))
+
+
 _DECISIONS = [(1, '{"dusunce": "d", "cevap": "yes"}'), (2, '{"arac": "final", "parametreler": {"answer": "ok"}}'), (3, '{"arac": "yanit", "parametreler": {"other": "first"}}'), (4, '{"arac": "grep", "parametreler": {"text": "x"}}'), (5, "broken")]
 
 
@@ -424,11 +525,18 @@ def priority_pivot(spark, sf):
     return reports.priority_pivot(e, "event_type", "priority")
 
 
-@query("""SELECT count(*) AS n, sum(doc_id % 6)::BIGINT AS score_sum, count(*) FILTER (WHERE toxic = 1) AS n_blocked, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE quality <> 1), '') AS dirty_ids,
-coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE doc_id % 6 > 0 AND doc_id % 6 < 3), '') AS weak_ids FROM labels""")
+def _validated(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").select("doc_id", (F.col("doc_id") % 6).alias("score"), (F.col("quality") == 1).alias("clean"), (F.col("toxic") == 1).alias("blocked"))
+
+
+@query("""SELECT count(*) AS n, sum(doc_id % 6)::BIGINT AS score_sum, count(*) FILTER (WHERE toxic = 1) AS n_blocked, count(*) FILTER (WHERE quality <> 1) AS n_dirty, count(*) FILTER (WHERE doc_id % 6 > 0 AND doc_id % 6 < 3) AS n_weak FROM labels""")
 def validation_reduce(spark, sf):
-    l = table(spark, sf, "labels").select("doc_id", (F.col("doc_id") % 6).alias("score"), (F.col("quality") == 1).alias("clean"), (F.col("toxic") == 1).alias("blocked"))  # noqa: E741
-    return reports.validation_summary(l, "doc_id", "score", "clean", "blocked")
+    return reports.validation_summary(_validated(spark, sf), "score", "clean", "blocked")
+
+
+@query("SELECT 'dirty' AS kind, doc_id AS id FROM labels WHERE quality <> 1 UNION ALL SELECT 'weak', doc_id FROM labels WHERE doc_id % 6 > 0 AND doc_id % 6 < 3")
+def validation_ids(spark, sf):
+    return reports.validation_lists(_validated(spark, sf), "doc_id", "score", "clean")
 
 
 @query("""SELECT lang, round(sum(length(text)) / sum(len(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'))), 6) AS chars_per_token FROM documents GROUP BY lang""")
@@ -475,6 +583,19 @@ def bm25_topk(spark, sf):
     return retrieval.bm25_search(table(spark, sf, "documents"), "doc_id", "text", WORDS, 10)
 
 
+@query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM bm")
+def bm25_index(spark, sf):
+    index = retrieval.bm25_index(table(spark, sf, "documents"), "doc_id", "text")
+    return retrieval.bm25_scores(index, WORDS).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT doc_id, length(t) AS size, (length(t) - length(replace(t, 'a', ''))) AS a, (length(t) - length(replace(t, 'e', ''))) AS e FROM (SELECT doc_id, 'passage: ' || substr(text, 1, 512) AS t FROM documents) s""")
+def embed_rows(spark, sf):
+    counts = lambda texts: [[float(len(t)), float(t.count("a")), float(t.count("e"))] for t in texts]
+    d = retrieval.embed(table(spark, sf, "documents").select("doc_id", "text"), "text", counts)
+    return d.select("doc_id", *(F.col("embedding")[i].cast("long").alias(n) for i, n in enumerate(("size", "a", "e"))))
+
+
 def _asked(spark, sf) -> list[float]:
     return table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
@@ -499,10 +620,11 @@ hy AS (SELECT *, round(0.68 * (sem - min(sem) OVER ()) / (max(sem) OVER () - min
 
 
 def _scored(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    """(doc_id, sem, lex, hybrid): ids and scores alone; texts are looked up for the few best."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
     e = retrieval.cosine(table(spark, sf, "embeddings"), "embedding", _asked(spark, sf)).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("sem"))
-    lex = retrieval.bm25_scores(retrieval.bm25_index(d, "doc_id", "text"), WORDS).select(F.col("id").alias("doc_id"), F.col("score").alias("lex"))
-    return retrieval.hybrid(d.join(e, "doc_id").join(lex, "doc_id", "left"), "sem", "lex").withColumn("hybrid", F.round("hybrid", 6))
+    lex = retrieval.bm25_direct(d, "doc_id", "text", WORDS).select(F.col("id").alias("doc_id"), F.col("score").alias("lex"))
+    return retrieval.hybrid(e.join(d.select("doc_id"), "doc_id", "left_semi").join(lex, "doc_id", "left"), "sem", "lex").withColumn("hybrid", F.round("hybrid", 6))
 
 
 @query(f"WITH {_HYBRID} SELECT doc_id, hybrid, row_number() OVER (ORDER BY hybrid DESC, doc_id)::INTEGER AS rank FROM hy ORDER BY rank LIMIT 10")
@@ -522,6 +644,7 @@ def _overlap() -> object:
 
 def _best(spark, sf) -> DataFrame:
     few = retrieval.top_k(_scored(spark, sf), "hybrid", "doc_id", 30).drop("rank")
+    few = table(spark, sf, "documents").select("doc_id", "source", "text").join(F.broadcast(few), "doc_id")
     return retrieval.top_k(retrieval.rerank(few, _overlap()).withColumn("final", F.round("final", 6)), "final", "doc_id", 5)
 
 

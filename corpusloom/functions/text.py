@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------------------------------
@@ -269,6 +269,21 @@ def dict_correct(c: Column, mapping: Mapping[str, str], keep: Iterable[str] = ()
     return F.array_join(F.transform(word_pieces(c), fixed), "")
 
 
+def dict_missing(df: DataFrame, columns: Iterable[str], mapping: Mapping[str, str], keep: Iterable[str] = ()) -> DataFrame:
+    """(word, n) of lower-cased ASCII words that neither the dictionary nor the list of words to keep has."""
+    words = [F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z]+"), F.lit(0)) for c in columns]
+    known = df.sparkSession.createDataFrame([(w,) for w in {*mapping, *keep}], "word string")
+    return df.select(F.explode(F.concat(*words)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(known), "word", "left_anti")
+
+
+def correct_if_covered(df: DataFrame, columns: Sequence[str], mapping: Mapping[str, str], keep: Iterable[str] = ()) -> DataFrame:
+    """The columns corrected, if every word of theirs is in the dictionary or the list of words to keep; else as they are."""
+    keep = list(keep)
+    if dict_missing(df, columns, mapping, keep).take(1):
+        return df
+    return df.withColumns({c: dict_correct(F.col(c), mapping, keep) for c in columns})
+
+
 def render_prompt(instruction: Column, given: Column) -> Column:
     head, middle, last = PROMPT_HEADERS
     given = strip(F.coalesce(given, F.lit("")))

@@ -22,11 +22,17 @@ def hash_bucket(order: str, digits: int = 2) -> Column:
 
 
 def range_bucket(df: DataFrame, order: str, buckets: int = 256) -> Column:
-    """Equal steps between the least and the greatest value of a numeric order."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None or low == high:
-        return F.lit(0)
-    return F.floor((F.col(order) - low) * buckets / (high - low + 1))
+    """Numbers of steps of about equal numbers of rows, by approximate quantiles of a numeric order; crowded values stay in one."""
+    buckets = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    # a search by halves, as an expression
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) <= bounds[middle], place(low, middle)).otherwise(place(middle + 1, high))
+
+    return place(0, len(bounds))
 
 
 def running_before(df: DataFrame, value: Column, order: str, bucket: Column, partition: Sequence[str] = (), out: str = "before") -> DataFrame:
@@ -50,11 +56,12 @@ def budget_prefix(df: DataFrame, size: Column, target: Column | int, order: str,
 
 
 def split_by_chars(df: DataFrame, fraction: float, text_col: str, id_col: str, seed: int = 42) -> DataFrame:
-    """`split`: val for the first rows in hash order until they hold the fraction of all characters, train for the rest."""
-    rows = df.withColumn("_o", hash_order(id_col, seed)).withColumn("_n", F.length(text_col).cast("long"))
+    """`split`: val for the first rows in hash order until they hold the fraction of all characters, train for the rest. Ids and lengths alone are ordered; few ids, val's, are then looked up."""
+    rows = df.select(id_col, F.length(text_col).cast("long").alias("_n")).withColumn("_o", hash_order(id_col, seed))
     total = rows.agg(F.sum("_n")).first()[0] or 0
     placed = running_before(rows, F.col("_n"), "_o", hash_bucket("_o"), out="_before")
-    return placed.withColumn("split", F.when(F.col("_before") < int(total * fraction), "val").otherwise("train")).drop("_o", "_n", "_before")
+    val = placed.where(F.col("_before") < int(total * fraction)).select(id_col, F.lit("val").alias("split")).distinct()
+    return df.join(val, id_col, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def split_by_rows(df: DataFrame, fraction: float, order: Column) -> DataFrame:

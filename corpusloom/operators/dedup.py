@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.text import normalise_key, strip
 
 
@@ -31,32 +32,49 @@ def dedup_paragraphs(
     rows = df.select(id_col, *[c for c in order if c != id_col], whole.alias("_whole"), F.col(text_col).alias("_text"))
     parts = rows.select("*", F.posexplode(F.when(F.col("_whole"), F.array("_text")).otherwise(F.split("_text", sep))).alias("_pos", "_part")).drop("_text")
     normal = normalise_key(F.col("_part"))
-    parts = parts.withColumn("_key", F.when(F.col("_whole"), F.md5("_part")).when(F.length(normal) >= min_key, F.md5(normal)))
+    key = F.when(F.col("_whole"), F.md5("_part")).when(F.length(normal) >= min_key, F.md5(normal))
+    # only places of long paragraphs are compared; texts are taken apart again where any is to go
+    keyed = parts.withColumn("_key", key).where("_key IS NOT NULL").select(id_col, *[c for c in order if c != id_col], "_pos", "_key")
     place = F.struct(*order, "_pos")
-    firsts = parts.where("_key IS NOT NULL").groupBy("_key").agg(F.min(place).alias("_first"))
-    judged = parts.join(firsts, "_key", "left").where(F.col("_key").isNull() | (place == F.col("_first")))
-    kept = judged.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "_part"))).alias("_parts"))
-    text = strip(F.array_join(F.transform("_parts", lambda p: p["_part"]), sep))
-    return kept.select(id_col, text.alias(text_col)).where(F.length(text_col) >= min_doc)
+    firsts = keyed.groupBy("_key").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    later = keyed.join(firsts, "_key").where(place != F.col("_first")).groupBy(id_col).agg(F.collect_set("_pos").alias("_gone"))
+    cut = F.filter(F.split("_text", sep), lambda p, i: ~F.array_contains("_gone", i))
+    left = F.when(F.col("_gone").isNull(), F.col("_text")).when(F.col("_whole"), F.lit("")).otherwise(F.array_join(cut, sep))
+    return rows.join(later, id_col, "left").select(id_col, strip(left).alias(text_col)).where(F.length(text_col) >= min_doc)
 
 
-def capped_unique(df: DataFrame, caps: Mapping[str, int], *, source_col: str, id_col: str, text_col: str, size_col: str, prefix: int = 1000) -> DataFrame:
+def capped_unique(
+    df: DataFrame, caps: Mapping[str, int], *, source_col: str, id_col: str, text_col: str, size_col: str, prefix: int = 1000, known: DataFrame | None = None,
+) -> DataFrame:
     """For each source in turn, its `cap` largest rows whose text beginning no chosen row has yet.
 
-    A row beyond its source's cap is not chosen and so does not keep its copy in a later source out;
-    hence sources are taken one after another, each anti-joined with the digests chosen before.
+    A row beyond its source's cap is not chosen and so does not keep its copy in a later source out; hence
+    sources are taken one after another. What is chosen is checkpointed after each, in keys and ids, at
+    most the sum of the caps, so plans do not grow with the sources. An id that was chosen before, or is
+    one of `known` (id), gets the row's number in its source behind it.
     """
-    keyed = df.withColumn("_k", F.md5(F.substring(text_col, 1, prefix)))
+    keyed = df.select(source_col, id_col, size_col, F.md5(F.substring(text_col, 1, prefix)).alias("_k"))
+    largest = [F.col(size_col).desc(), F.col(id_col)]
     chosen = None
-    for source, cap in caps.items():
+    for turn, (source, cap) in enumerate(caps.items()):
         own = keyed.where(F.col(source_col) == source)
         if chosen is not None:
-            own = own.join(chosen.select("_k"), "_k", "left_anti")
-        largest = [F.col(size_col).desc(), F.col(id_col)]
-        own = own.withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(*largest))).where("_r = 1").drop("_r")
-        own = own.orderBy(*largest).limit(cap)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    return chosen.drop("_k")
+            own = own.join(F.broadcast(chosen.select("_k")) if sum(caps.values()) <= 1_000_000 else chosen.select("_k"), "_k", "left_anti")
+        own = own.groupBy("_k").agg(F.min_by(F.struct(id_col, size_col), F.struct(-F.col(size_col), F.col(id_col))).alias("_r")).select("_k", "_r.*")
+        own = own.orderBy(*largest).limit(cap).select("_k", id_col, size_col, F.lit(source).alias(source_col), F.lit(turn).alias("_turn"))
+        chosen = checkpointed(own if chosen is None else chosen.unionByName(own))
+    if chosen is None:
+        return df.limit(0)
+    names = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_turn").orderBy(*largest)) - 1)
+    names = names.withColumn("_again", F.row_number().over(Window.partitionBy(id_col).orderBy("_turn", "_n")) > 1)
+    if known is not None:
+        names = names.join(known.select(F.col(known.columns[0]).alias(id_col), F.lit(True).alias("_known")).distinct(), id_col, "left").withColumn("_again", F.col("_again") | F.col("_known").isNotNull())
+    names = names.select(source_col, id_col, size_col, F.col("_k").alias("_key"), "_again", "_n")
+    rows = df.withColumn("_key", F.md5(F.substring(text_col, 1, prefix))).join(F.broadcast(names) if sum(caps.values()) <= 1_000_000 else names, [source_col, id_col, size_col, "_key"])
+    rows = rows.dropDuplicates([source_col, id_col, size_col, "_key"])
+    if dict(df.dtypes)[id_col] == "string":
+        rows = rows.withColumn(id_col, F.when(F.col("_again"), F.concat_ws("-", F.col(id_col), F.col("_n"))).otherwise(F.col(id_col)))
+    return rows.select(*df.columns)
 
 
 def unique_slugs(df: DataFrame, slug_col: str, order_col: str) -> DataFrame:

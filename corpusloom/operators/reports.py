@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import diacritic_count, diacritic_ratio, letter_count, non_empty, normalise_key
@@ -70,15 +70,20 @@ def gap_items(reports: DataFrame) -> DataFrame:
     return g.select("domain", F.col("g.konu").alias("topic"), F.col("g.neden").alias("reason"), F.coalesce("g.oncelik", F.lit(PRIORITIES[1])).alias("priority"))
 
 
-def validation_summary(df: DataFrame, id_col: str, score: str, clean: str, blocked: str) -> DataFrame:
-    """One row: validated rows, blocked ones, and the ids of unclean and of weak ones (a score above 0 and under 3)."""
-    ids = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.col(id_col)))), lambda x: x.cast("string")), ",")
+def validation_summary(df: DataFrame, score: str, clean: str, blocked: str) -> DataFrame:
+    """One row: validated rows, blocked ones, and how many are unclean and weak (a score above 0 and under 3)."""
     return df.agg(
         F.count("*").alias("n"), F.sum(F.col(score)).cast("long").alias("score_sum"), F.count_if(F.col(blocked)).alias("n_blocked"),
-        ids(~F.col(clean)).alias("dirty_ids"), ids((F.col(score) > 0) & (F.col(score) < 3)).alias("weak_ids"),
+        F.count_if(~F.col(clean)).alias("n_dirty"), F.count_if((F.col(score) > 0) & (F.col(score) < 3)).alias("n_weak"),
     )
 
 
+def validation_lists(df: DataFrame, id_col: str, score: str, clean: str) -> DataFrame:
+    """(kind, id): the ids of unclean ("dirty") and of weak rows, a row each, so a list may be as long as the table."""
+    kinds = F.array(F.when(~F.col(clean), F.lit("dirty")), F.when((F.col(score) > 0) & (F.col(score) < 3), F.lit("weak")))
+    return df.select(F.explode(F.array_compact(kinds)).alias("kind"), F.col(id_col).alias("id"))
+
+
 def merge_report(df: DataFrame, question: str, answer: str, domain: str, order: Sequence[str]) -> DataFrame:
     """Valid and invalid pairs before deduplication, and pairs and bytes of each domain after it."""
     valid = non_empty(F.col(question), F.col(answer))
@@ -89,10 +94,27 @@ def merge_report(df: DataFrame, question: str, answer: str, domain: str, order:
 
 
 def ema(df: DataFrame, value: str, order: str, alpha: float = 0.1, partition: Sequence[str] = ()) -> DataFrame:
-    """Exponential moving average of each partition's values in order, started at the first."""
-    rows = df.groupBy(*partition).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
-    walked = F.aggregate("v", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x[value].cast("double")).otherwise((1 - alpha) * a + alpha * x[value]))
-    return rows.select(*partition, walked.alias("ema"))
+    """Exponential moving average of each partition's values in order, started at the first.
+
+    A value's weight follows from how many come after it, so a sorted window and a sum do, and no series
+    is held as a whole.
+    """
+    by = Window.partitionBy(*partition)
+    rows = df.select(*partition, F.col(value).cast("double").alias("_v"), (F.row_number().over(by.orderBy(F.desc(order))) - 1).alias("_after"), F.row_number().over(by.orderBy(order)).alias("_r"))
+    weight = F.pow(F.lit(1.0 - alpha), F.col("_after")) * F.when(F.col("_r") == 1, 1.0).otherwise(alpha)
+    return rows.groupBy(*partition).agg(F.sum(weight * F.col("_v")).alias("ema"))
+
+
+def corpus_files(spark: SparkSession, path: str, group: Column, text_col: str = "metin", pattern: str = "*.jsonl.gz") -> DataFrame:
+    """(grp, files, docs, bytes, disk_bytes) of a corpus of JSON lines by groups of its files, and of all in a row without a group. `group` is over `name`, the file's."""
+    name = F.element_at(F.split(F.col("path"), "/"), -1).alias("name")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select(name, F.col("length").alias("disk"))
+    by_file = files.select(group.alias("grp"), F.lit(1).alias("files"), F.lit(0).alias("docs"), F.lit(0).cast("long").alias("bytes"), "disk")
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim("value") != "")
+    text = F.from_json("value", f"{text_col} string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    docs = lines.select(name, text.alias("r")).where("r._corrupt IS NULL")
+    by_doc = docs.select(group.alias("grp"), F.lit(0).alias("files"), F.lit(1).alias("docs"), F.coalesce(F.octet_length(F.col("r")[text_col]), F.lit(0)).cast("long").alias("bytes"), F.lit(0).cast("long").alias("disk"))
+    return by_file.unionByName(by_doc).rollup("grp").agg(F.sum("files").alias("files"), F.sum("docs").alias("docs"), F.sum("bytes").alias("bytes"), F.sum("disk").alias("disk_bytes"))
 
 
 def chars_per_token(df: DataFrame, group: str, text_col: str, tokens: Column) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
@@ -51,25 +52,59 @@ def bm25_index(df: DataFrame, id_col: str, text_col: str, epsilon: float = 0.25)
 
 
 def bm25_scores(index: Bm25Index, query: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(id, score) of rows that hold a query word; a word repeated in the query counts again."""
+    """(id, score) of rows that hold a query word; a word repeated in the query counts again. Of a stored index only the query words' postings are read."""
     spark = index.postings.sparkSession
     times: dict[str, int] = {}
     for w in query:
         times[w] = times.get(w, 0) + 1
     wanted = F.broadcast(spark.createDataFrame(list(times.items()), "term string, times int"))
-    hits = index.postings.join(wanted, "term").join(index.terms.join(wanted.select("term"), "term", "left_semi").select("term", "idf"), "term").join(index.lengths, "id")
+    of_query = F.col("term").isin(list(times))
+    weights = F.broadcast(index.terms.where(of_query).join(wanted, "term").select("term", "idf", "times"))  # one row for each query word
+    hits = index.postings.where(of_query).join(weights, "term").join(index.lengths, "id")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(index.average))))
     return hits.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def bm25_search(df: DataFrame, id_col: str, text_col: str, query: Sequence[str], k: int, epsilon: float = 0.25) -> DataFrame:
-    """The k best rows for one query, without a full index: only postings of the query's words leave the scan.
+def write_index(index: Bm25Index, path: str) -> None:
+    """The index as Parquet: postings and terms sorted by term, so that a search reads the row groups of its words."""
+    index.postings.sort("term").write.parquet(f"{path}/postings")
+    index.terms.sort("term").write.parquet(f"{path}/terms")
+    index.lengths.write.parquet(f"{path}/lengths")
+    index.postings.sparkSession.createDataFrame([(index.n, float(index.average))], "n bigint, average double").write.parquet(f"{path}/meta")
+
+
+def read_index(spark: SparkSession, path: str) -> Bm25Index:
+    n, average = spark.read.parquet(f"{path}/meta").first()
+    return Bm25Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms")), n, average)
 
-    The mean weight that negative ones fall back to is over all terms, so term counts are still gathered once.
+
+def bm25_direct(df: DataFrame, id_col: str, text_col: str, query: Sequence[str], epsilon: float = 0.25, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(id, score) of rows that hold a query word, without an index.
+
+    One pass counts the terms of all rows, as the mean weight that negative ones fall back to is over all
+    of them; a second scores each row where it stands. Words are not shuffled, their counts are.
     """
-    index = bm25_index(df, id_col, text_col, epsilon)
-    scores = bm25_scores(index, query).withColumn("score", F.round("score", 6))
-    return top_k(scores, "score", "id", k)
+    times: dict[str, int] = {}
+    for w in query:
+        times[w] = times.get(w, 0) + 1
+    words = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    n, average = words.agg(F.count("*"), F.avg(F.size("w"))).first()
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    terms = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    mean, *found = terms.agg(F.avg(raw), *(F.max(F.when(F.col("term") == t, raw)) for t in times)).first()
+    score, any_hit = F.lit(0.0), F.lit(False)
+    for (t, m), weight in zip(times.items(), found, strict=True):
+        if weight is not None:
+            tf = F.size("w") - F.size(F.array_remove("w", t))
+            idf = float(epsilon * mean if weight < 0 else weight)
+            score = score + m * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.size("w") / F.lit(float(average or 1.0))))
+            any_hit = any_hit | F.array_contains("w", t)
+    return words.where(any_hit).select("id", score.alias("score"))
+
+
+def bm25_search(df: DataFrame, id_col: str, text_col: str, query: Sequence[str], k: int, epsilon: float = 0.25) -> DataFrame:
+    """The k best rows for one query."""
+    return top_k(bm25_direct(df, id_col, text_col, query, epsilon).withColumn("score", F.round("score", 6)), "score", "id", k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -122,21 +157,22 @@ def render_context(df: DataFrame, source_col: str, text_col: str, rank_col: str
 
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], list[list[float]]], prefix: str = "passage: ", max_chars: int = 512) -> DataFrame:
     """`embedding` by any model of batches of texts, in Arrow batches. The model is made where it runs if it is a class."""
-    import pandas as pd
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = model() if isinstance(model, type) else model
         for s in batches:
             yield pd.Series(made([prefix + (t or "")[:max_chars] for t in s]))
 
-    run.__annotations__ = {}
-    from collections.abc import Iterator
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text_col)))
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from run(batches)
 
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn("embedding", F.pandas_udf(typed, "array<float>")(F.col(text_col)))
+def embed_query(query: str, model: Callable[[list[str]], list[list[float]]], prefix: str = "query: ", max_chars: int = 512) -> list[float]:
+    """A query's vector by the model that made the passages' ones, of unit length."""
+    made = model() if isinstance(model, type) else model
+    vector = [float(x) for x in made([prefix + query[:max_chars]])[0]]
+    length = max(sum(x * x for x in vector) ** 0.5, 1e-9)
+    return [x / length for x in vector]
 
 
 def window_per_query(df: DataFrame, query_col: str, score: str, id_col: str, k: int) -> DataFrame:

@@ -27,7 +27,9 @@ def build_corpus(docs: DataFrame, budgets: Mapping[str, int] = BUDGETS, *, sep:
         rank = F.when(F.col("grp") == g, i) if rank is None else rank.when(F.col("grp") == g, i)
         target = F.when(F.col("grp") == g, n) if target is None else target.when(F.col("grp") == g, n)
     rows = docs.where(F.col("grp").isin(list(budgets))).withColumns({"_o": hash_order("doc_id", seed), "grp_rank": rank})
-    trimmed = budget_prefix(rows, F.length("text").cast("long"), target, "_o", hash_bucket("_o"), ["grp"])
+    sizes = rows.select("grp", "doc_id", "_o", "grp_rank", F.length("text").cast("long").alias("_n"))
+    within = budget_prefix(sizes, F.col("_n"), target, "_o", hash_bucket("_o"), ["grp"]).select("grp", "doc_id")
+    trimmed = rows.join(within, ["grp", "doc_id"], "left_semi")
     clean = dedup_paragraphs(trimmed, id_col="doc_id", text_col="text", order=["grp_rank", "doc_id"], sep=sep, group_col="grp", whole_doc_groups=whole_doc_groups)
     return split_by_chars(clean, 0.01, "text", "doc_id", seed)
 

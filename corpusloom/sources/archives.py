@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 import zipfile
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import text as T
+from ..operators.dedup import keep_first
+from .records import CVE_SCHEMA, render_cve
+
 #: Extensions worth keeping in a training corpus.
 CORPUS_EXTENSIONS = (
     ".md .rst .txt .adoc .rdoc .org .py .js .ts .tsx .jsx .go .rs .cs .java .kt .c .h .cpp .hpp .cc .rb .php .swift "
@@ -19,10 +26,14 @@ CORPUS_EXTENSIONS = (
 SCHEMA = "archive string, path string, size bigint, text string, error string"
 
 
-def members(data: bytes, name: str, extensions: tuple[str, ...], low: int, high: int, deny: tuple[str, ...], fold_case: bool, nul_in: int | None) -> Iterator[tuple]:
+#: An entry of a vulnerability archive.
+CVE_ENTRY = r"(?i)/cves/.*/CVE-\d+-\d+\.json$"
+
+
+def members(data: BinaryIO, name: str, extensions: tuple[str, ...], low: int, high: int, deny: tuple[str, ...], fold_case: bool, nul_in: int | None) -> Iterator[tuple]:
     """Rows of an archive's text files. What the directory tells is tested before a file is read; a corrupt archive is one row with its error."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(data) as z:
             for info in z.infolist():
                 path = info.filename.split("/", 1)[-1]
                 test = path.lower() if fold_case else path
@@ -30,7 +41,10 @@ def members(data: bytes, name: str, extensions: tuple[str, ...], low: int, high:
                     continue
                 if extensions and not test.endswith(extensions):
                     continue
-                raw = z.read(info)
+                try:
+                    raw = z.read(info)
+                except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError):
+                    continue  # an entry that cannot be read is passed over, the others are not
                 if b"\x00" in (raw if nul_in is None else raw[:nul_in]):
                     continue
                 yield name, path, info.file_size, raw.decode("utf-8", errors="ignore"), None
@@ -50,9 +64,9 @@ def read_archives(
     def run(frames: It[pd.DataFrame]) -> It[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
-                rows = list(members(data, name.rsplit("/", 1)[-1], extensions, min_bytes, max_bytes, deny, fold_case, nul_in))
-                for at in range(0, len(rows), 256):
-                    yield pd.DataFrame(rows[at : at + 256], columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"size": "Int64"})
+                rows = members(io.BytesIO(data), name.rsplit("/", 1)[-1], extensions, min_bytes, max_bytes, deny, fold_case, nul_in)
+                while some := list(itertools.islice(rows, 64)):  # at most 64 texts are held beside the archive
+                    yield pd.DataFrame(some, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"size": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, SCHEMA)
@@ -89,11 +103,42 @@ class _Reader(DataSourceReader):
         if partition.value is None:
             return
         split = lambda k: tuple(x for x in self.options.get(k, "").split(",") if x)
-        with open(partition.value, "rb") as f:
-            data = f.read()
-        yield from members(data, partition.value.rsplit("/", 1)[-1], split("extensions"), int(self.options.get("minbytes", 120)), int(self.options.get("maxbytes", 3_000_000)), split("deny"), self.options.get("foldcase", "true") == "true", 4096)
+        with open(partition.value, "rb") as data:  # read in place: an archive of any size, entry by entry
+            yield from members(data, partition.value.rsplit("/", 1)[-1], split("extensions"), int(self.options.get("minbytes", 120)), int(self.options.get("maxbytes", 3_000_000)), split("deny"), self.options.get("foldcase", "true") == "true", 4096)
 
 
 def labelled(df: DataFrame) -> DataFrame:
     """Corpus records (source, text) of archive rows: the source is archive stem and path."""
     return df.where("error IS NULL").select(F.concat(F.regexp_replace("archive", r"\.zip$", ""), F.lit(":"), "path").alias("source"), "text")
+
+
+def repository_texts(spark: SparkSession, path: str, extensions: tuple[str, ...], path_filter: Column | None = None) -> DataFrame:
+    """(archive, path, text) of repositories for training: files of 100 to 200,000 bytes without a NUL, Markdown and reStructuredText cleaned, each under its path. `path_filter` is over `path`."""
+    df = read_archives(spark, path, extensions=extensions, min_bytes=100, max_bytes=200_000, deny=T.DENY_PREPARE, fold_case=False, nul_in=None).where("error IS NULL")
+    df = df if path_filter is None else df.where(path_filter)
+    clean = F.when(F.col("path").endswith(".md"), T.clean_markdown(F.col("text"))).when(F.col("path").endswith(".rst"), T.clean_rst(F.col("text"))).otherwise(F.col("text"))
+    return df.select("archive", "path", F.concat(F.lit("# dosya: "), F.col("path"), F.lit("\n"), clean).alias("text"))
+
+
+def corpus_texts(spark: SparkSession, path: str, min_chars: int = 120) -> DataFrame:
+    """(source, text) of archives for a corpus: files of known extensions, HTML stripped, `min_chars` or longer after it, the first of equal texts."""
+    df = read_archives(spark, path, extensions=tuple(CORPUS_EXTENSIONS), deny=T.DENY_CORPUS).where("error IS NULL")
+    is_html = F.lower("path").rlike(r"\.html?$")
+    df = df.withColumn("text", F.when(is_html, T.clean_html(F.col("text"))).otherwise(T.strip(F.col("text")))).where(F.length("text") >= min_chars)
+    return labelled(keep_first(df, F.md5("text"), ["archive", "path"]))
+
+
+def retrieval_texts(spark: SparkSession, path: str, extensions: tuple[str, ...], path_filter: Column | None = None) -> DataFrame:
+    """(source, kind, text) of archives for retrieval: files of 200 to 400,000 bytes that are no translation, named by repository and path."""
+    df = read_archives(spark, path, extensions=extensions, min_bytes=200, max_bytes=400_000, fold_case=False, nul_in=0).where("error IS NULL")
+    df = df.where(~T.is_translation(F.col("path")))
+    df = df if path_filter is None else df.where(path_filter)
+    root = F.element_at(F.split(F.regexp_replace("archive", r"\.zip$", ""), "__"), -1)
+    return df.select(F.concat(root, F.lit(":"), F.col("path")).alias("source"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "text")
+
+
+def cve_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text) of the records of vulnerability archives, rendered; entries of other names and broken records are passed over."""
+    df = read_archives(spark, path, extensions=(".json",), min_bytes=0, max_bytes=1 << 40, nul_in=0).where(F.concat(F.lit("/"), F.col("path")).rlike(CVE_ENTRY))
+    parsed = df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.from_json("text", CVE_SCHEMA).alias("r")).select("file", "r.*")
+    return render_cve(parsed.withColumn("cveMetadata", F.col("cveMetadata").withField("file", F.col("file"))), "cveMetadata.file").select(F.concat(F.lit("CVE:"), "id").alias("source"), "text")

@@ -58,7 +58,7 @@ def _joined(*parts: Column) -> Column:
     return strip(F.array_join(F.filter(F.array(*[F.coalesce(p, F.lit("")) for p in parts]), lambda x: x != ""), " "))
 
 
-def render_cve(records: DataFrame) -> DataFrame:
+def render_cve(records: DataFrame, name: str = "cveMetadata.cveId") -> DataFrame:
     """(id, text) of vulnerability records that are not rejected and are described in 20 characters or more.
 
     Weakness labels are distinct in first-seen order; of each metric the first kind with a score counts;
@@ -77,7 +77,7 @@ def render_cve(records: DataFrame) -> DataFrame:
     line = lambda name, items, by: F.when(F.size(items) > 0, F.array(F.concat(F.lit(name), F.array_join(items, by)))).otherwise(empty)
     head = F.array(F.concat(meta["cveId"], F.lit(" ("), meta["state"], F.lit(")")), F.lit(""), about)
     text = F.array_join(F.concat(head, line("Zafiyet turu (CWE): ", weak, "; "), metric, line("Etkilenen: ", hit, "; "), line("Referanslar: ", refs, " ")), "\n")
-    return records.where((F.coalesce(meta["state"], F.lit("")) != "REJECTED") & (F.length(about) >= 20)).select(meta["cveId"].alias("id"), text.alias("text"))
+    return records.where((F.coalesce(meta["state"], F.lit("")) != "REJECTED") & (F.length(about) >= 20)).select(F.col(name).alias("id"), text.alias("text"))
 
 
 def render_stix(bundles: DataFrame, variant: str = "any") -> DataFrame:
@@ -104,3 +104,10 @@ def render_cwe(spark: SparkSession, path: str, min_chars: int = 200) -> DataFram
     fix = F.substring(plain("Potential_Mitigations"), 1, 600)
     text = F.concat_ws("\n", F.concat(F.lit("CWE-"), F.col("_ID"), F.lit(": "), F.col("_Name")), about, F.when(fix != "", F.concat(F.lit("Mitigation: "), fix)))
     return rows.where("_ID IS NOT NULL AND _Name IS NOT NULL").select(F.col("_ID").alias("id"), text.alias("text")).where(F.length("text") >= min_chars)
+
+
+def read_parquet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a folder of Parquet files; of those below a folder named "train" alone, if there are any."""
+    every = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("mergeSchema", "true").parquet(path)
+    train = every.where(F.col("_metadata.file_path").contains("/train/"))
+    return train if any("/train/" in f for f in every.inputFiles()) else every

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +35,14 @@ def write_roadmap(pivot: DataFrame, path: str, domain: str, counts: list[str]) -
     """A Markdown list of domains with their counts: a small report, so one file."""
     line = F.concat(F.lit("- **"), F.col(domain), F.lit("**: "), F.concat_ws(", ", *[F.concat(F.lit(f"{c} "), F.col(c).cast("string")) for c in counts]))
     pivot.orderBy(domain).select(line).coalesce(1).write.text(path)
+
+
+def write_token_ids(df: DataFrame, path: str, ids_col: str = "ids") -> None:
+    """Token ids as little-endian 16-bit numbers, packed in a binary column: a row's ids are `np.frombuffer(ids, "<u2")`. Ids above 65535 raise."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [np.asarray(x or [], "<u2").tobytes() for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([len(x) // 2 for x in raw], pa.int32())], names=["ids", "n"])
+
+    df.select(ids_col).mapInArrow(packed, "ids binary, n int").write.parquet(path)

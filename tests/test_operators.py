@@ -164,3 +164,44 @@ def test_token_arrays(spark):
 def test_embedding_by_any_model(spark):
     df = retrieval.embed(spark.createDataFrame([("ab",), (None,)], "t string"), "t", lambda texts: [[float(len(t))] for t in texts])
     assert [r.embedding[0] for r in df.collect()] == [11.0, 9.0]
+
+
+def test_capped_unique_plans_do_not_grow(spark):
+    rows = [(i, f"s{i % 19}", f"t{i % 200}", i) for i in range(1900)]
+    df = spark.createDataFrame(rows, "id int, source string, text string, size int")
+    caps = {f"s{k}": 5 for k in range(19)}
+    got = dedup.capped_unique(df, caps, source_col="source", id_col="id", text_col="text", size_col="size")
+    seen, want = set(), set()
+    for s, cap in caps.items():
+        best = {}
+        for r in sorted((r for r in rows if r[1] == s and r[2] not in seen), key=lambda r: (-r[3], r[0])):
+            best.setdefault(r[2], r)
+        for r in sorted(best.values(), key=lambda r: (-r[3], r[0]))[:cap]:
+            seen.add(r[2])
+            want.add(r[0])
+    assert {r.id for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") < 5
+
+
+def test_ids_chosen_before_get_a_number(spark):
+    df = spark.createDataFrame([("x", "a", "one", 9), ("x", "b", "two", 8), ("y", "b", "three", 9), ("z", "b", "four", 7)], "id string, source string, text string, size int")
+    known = spark.createDataFrame([("z",)], "id string")
+    got = dedup.capped_unique(df, {"a": 2, "b": 3}, source_col="source", id_col="id", text_col="text", size_col="size", known=known)
+    assert {(r.id, r.text) for r in got.collect()} == {("x", "one"), ("x-1", "two"), ("y", "three"), ("z-2", "four")}
+
+
+def test_stored_index(spark, tmp_path):
+    rows = [(1, "red fox red"), (2, "blue fox"), (3, "green"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    index = retrieval.bm25_index(df, "id", "text")
+    retrieval.write_index(index, f"{tmp_path}/index")
+    stored = retrieval.read_index(spark, f"{tmp_path}/index")
+    of = lambda d: {r.id: round(r.score, 9) for r in d.collect()}
+    query = ["red", "fox", "fox", "none"]
+    assert of(retrieval.bm25_scores(stored, query)) == of(retrieval.bm25_scores(index, query)) == of(retrieval.bm25_direct(df.where("text IS NOT NULL").unionByName(df.where("id = 4")), "id", "text", query))
+    plan = retrieval.bm25_scores(stored, query)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan
+
+
+def test_query_vectors_have_unit_length():
+    assert retrieval.embed_query("abcd", lambda texts: [[3.0, 4.0] for _ in texts]) == [0.6, 0.8]

@@ -88,3 +88,50 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 1
+
+
+def test_composed_readers(spark, tmp_path):
+    page = "# Title\n" + "see [link](http://x) " * 20
+    archive(tmp_path / "org__repo.zip", {
+        "root/docs/a.md": page, "root/docs/fr/b.md": page, "root/c.html": "<p>" + "word " * 60 + "</p><script>x</script>", "root/short.html": "<b>" * 60 + "few", "root/copy.txt": "same " * 50,
+        "root/copy2.txt": "same " * 50, "root/late.py": "x = 1\n" * 1000 + "\0",
+    })
+    one = {r.path: r.text for r in archives.repository_texts(spark, str(tmp_path), (".md", ".py")).collect()}
+    assert set(one) == {"docs/a.md", "docs/fr/b.md"} and one["docs/a.md"].startswith("# dosya: docs/a.md\n# Title\nsee link ")
+    two = {r.source: r.text for r in archives.corpus_texts(spark, str(tmp_path)).collect()}
+    assert set(two) == {"org__repo:docs/a.md", "org__repo:c.html", "org__repo:copy.txt", "org__repo:late.py"}  # docs/fr/b.md and copy2.txt are copies
+    assert two["org__repo:c.html"].startswith("word word") and "script" not in two["org__repo:c.html"]
+    three = {(r.source, r.kind) for r in archives.retrieval_texts(spark, str(tmp_path), (".md",), F.col("path").startswith("docs/")).collect()}
+    assert three == {("repo:docs/a.md", "md")}
+
+
+def test_vulnerability_archive(spark, tmp_path):
+    record = '{"cveMetadata": {"cveId": "CVE-2020-1", "state": "PUBLISHED"}, "containers": {"cna": {"descriptions": [{"lang": "en", "value": "a flaw of twenty characters or more"}]}}}'
+    archive(tmp_path / "list.zip", {"top/cves/2020/0xxx/CVE-2020-1.json": record, "top/cves/2020/0xxx/CVE-2020-2.json": "broken", "top/cves/delta.json": record, "top/other/CVE-2020-3.json": record})
+    (got,) = archives.cve_texts(spark, str(tmp_path)).collect()
+    assert got.source == "CVE:CVE-2020-1.json" and got.text.startswith("CVE-2020-1 (PUBLISHED)")
+
+
+def test_train_folders_are_preferred(spark, tmp_path):
+    spark.createDataFrame([(1,)], "a int").write.parquet(f"{tmp_path}/d/test/x")
+    assert [r.a for r in records.read_parquet_rows(spark, f"{tmp_path}/d").collect()] == [1]
+    spark.createDataFrame([(2,)], "a int").write.parquet(f"{tmp_path}/d/train/x")
+    assert [r.a for r in records.read_parquet_rows(spark, f"{tmp_path}/d").collect()] == [2]
+
+
+def test_token_ids_and_files_of_a_corpus(spark, tmp_path):
+    import os
+
+    import numpy as np
+
+    from corpusloom.operators import reports
+
+    sinks.write_token_ids(spark.createDataFrame([([1, 65535, 7],), ([],)], "ids array<int>"), f"{tmp_path}/ids")
+    assert sorted(np.frombuffer(r.ids, "<u2").tolist() for r in spark.read.parquet(f"{tmp_path}/ids").collect()) == [[], [1, 65535, 7]]
+    os.mkdir(tmp_path / "c")
+    for name, lines in {"korpus_0001.jsonl.gz": '{"metin": "şa"}\n\n', "korpus_0002.jsonl.gz": '{"metin": "b"}\nbroken\n', "korpus_cve_0001.jsonl.gz": '{"metin": "cc"}\n{"kaynak": "x"}\n'}.items():
+        with gzip.open(tmp_path / "c" / name, "wt") as f:
+            f.write(lines)
+    got = {r.grp: (r.files, r.docs, r.bytes, r.disk_bytes) for r in reports.corpus_files(spark, f"{tmp_path}/c", F.when(F.col("name").startswith("korpus_cve_"), "cve").otherwise("main")).collect()}
+    size = lambda *names: sum(os.path.getsize(tmp_path / "c" / n) for n in names)
+    assert got["main"] == (2, 2, 4, size("korpus_0001.jsonl.gz", "korpus_0002.jsonl.gz")) and got["cve"] == (1, 2, 2, size("korpus_cve_0001.jsonl.gz")) and got[None][:3] == (3, 4, 6)
