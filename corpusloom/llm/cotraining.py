@@ -226,7 +226,7 @@ def classify_quality(
 
     width = [x.shape[1] for x in (text_view(pa.array(["a"])), meta_view([["a"]] * len(names), layout(pa.array(["a"]))))]
 
-    def over_blocks(blocks: DataFrame, parts: int = 8) -> Over:
+    def over_blocks(blocks: DataFrame, parts: int = 64) -> Over:
         def over(f: Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
             zero = f([np.zeros((0, n)) for n in width], np.zeros(0))
 
