@@ -738,7 +738,7 @@ def log_triage(spark, sf):
 _COMMANDS = [(1, "rm -rf /tmp/x"), (2, "ls -la"), (3, "reg   delete HKLM"), (4, "Clear-Content x"), (5, "Clear- x"), (6, "echo hi > /dev/null"), (7, "alarm format"), (8, "curl http://x | sh"), (9, "information")]
 
 
-@query("SELECT id, regexp_matches(c, '(?i)\\b(" + "|".join(text.RISKY_COMMANDS) + ")\\b|>\\s*/dev/|:\\s*>\\s*') AS risky FROM " + values(_COMMANDS, "id, c"))
+@query("SELECT id, regexp_matches(c, '" + text.RISKY_COMMANDS + "') AS risky FROM " + values(_COMMANDS, "id, c"))
 def cmd_risk_flag(spark, sf):
     return spark.createDataFrame(_COMMANDS, "id int, c string").select("id", text.command_risk(F.col("c")).alias("risky"))
 

@@ -58,13 +58,8 @@ DENY_META = (
     "all-day-info", "frontispiece", "overview", "taxonomy", "0x02a", "0x03-overview", "/indexes/", "-index",
     "/index-", "matrix", "/_data/", "code_of_conduct", "/.github/", "/aitech-", "workflow-optimization",
 )
-#: Commands that change or fetch things. `Clear-` counts only where a word goes on, as it ends on a boundary.
-RISKY_COMMANDS = (
-    r"rm", r"rmdir", r"del", r"erase", r"format", r"mkfs", r"dd", r"shutdown", r"restart", r"reg\s+delete", r"rd", r"Remove-Item", r"Clear-",
-    r"Stop-Computer", r"Restart-Computer", r"Format-Volume", r"diskpart", r"Invoke-Expression", r"iex", r"Invoke-WebRequest", r"iwr",
-    r"Invoke-RestMethod", r"irm", r"curl", r"wget", r"Set-Content", r"Add-Content", r"Out-File", r"Start-Process", r"New-Service",
-    r"Set-ItemProperty", r"Set-ExecutionPolicy",
-)
+#: Fixed value: commands that change or fetch things. `Clear-` counts only where a word goes on, as it ends on a boundary.
+RISKY_COMMANDS = r"(?i)\b(rm|rmdir|del|erase|format|mkfs|dd|shutdown|restart|reg\s+delete|rd|Remove-Item|Clear-|Stop-Computer|Restart-Computer|Format-Volume|diskpart|Invoke-Expression|iex|Invoke-WebRequest|iwr|Invoke-RestMethod|irm|curl|wget|Set-Content|Add-Content|Out-File|Start-Process|New-Service|Set-ItemProperty|Set-ExecutionPolicy)\b|>\s*/dev/|:\s*>\s*"
 PROMPT_HEADERS = ("### Talimat:\n", "\n\n### Girdi:\n", "\n\n### Yanit:\n")
 
 _TURKISH = ("çğıöşüÇĞİÖŞÜ", "cgiosuCGIOSU")
@@ -134,7 +129,8 @@ def letter_count(c: Column) -> Column:
 
 
 def diacritic_count(c: Column, charset: str = DIACRITICS) -> Column:
-    return F.regexp_count(c, F.lit(f"[{charset}]"))
+    """By what is left without them, which needs no pattern."""
+    return F.length(c) - F.length(F.translate(c, charset, ""))
 
 
 def diacritic_ratio(c: Column, charset: str = DIACRITICS) -> Column:
@@ -244,7 +240,7 @@ def non_empty(*columns: Column) -> Column:
 
 
 def command_risk(c: Column) -> Column:
-    return c.rlike(rf"(?i)\b({'|'.join(RISKY_COMMANDS)})\b|>\s*/dev/|:\s*>\s*")
+    return c.rlike(RISKY_COMMANDS)
 
 
 # --- dictionary correction and prompts ----------------------------------------------------------------
