@@ -42,7 +42,7 @@ class Encoder:
     `keep` bounds the fragments remembered per worker; past it the memory is emptied and filled anew.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer, models
 
         spec = json.loads(open(path, encoding="utf-8").read())

@@ -103,7 +103,7 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", 1 << 20):
+        for batch in slices(batches, "z", 1 << 19):
             doc, tokens = shingle_sets(pa.array([zlib.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.large_string()), k)
             order = np.argsort(tokens, kind="stable")
             tokens, ids = tokens[order], batch.column("c").to_numpy()[doc[order]]
@@ -218,7 +218,7 @@ def links(found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         found = found.join(texts.select(F.col("c").alias(e), F.col("z").alias("z" + e)), e)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "zx", 1 << 20):
+        for batch in slices(batches, "zx", 1 << 19):
             x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
             raw = dict(zip(x.tolist(), batch.column("zx").to_pylist(), strict=True)) | dict(zip(y.tolist(), batch.column("zy").to_pylist(), strict=True))
             number = {i: j for j, i in enumerate(raw)}
