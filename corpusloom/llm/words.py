@@ -7,6 +7,7 @@ Python object is made per word. Null texts have no words.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -110,8 +111,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+
+
+def release() -> None:
+    """Give free memory back to the system, so that a worker waiting for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts hold about `max_bytes`, or one text if that is longer."""
+    """The same rows in batches whose texts hold about `max_bytes`, or one text if that is longer. Memory is released behind the last."""
     for batch in batches:
         n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(n)
@@ -121,6 +132,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             to = max(at + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def sorted_unique(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
