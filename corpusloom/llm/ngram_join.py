@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 
 from .common import bucket_bits, cut, join_classes, partitions
 from .components import components
-from .sketch import cells, count_cells, member_test
-from .words import Words, mix, slices, sorted_unique
+from .sketch import cells, count_cells, member_test, split_by_keys
+from .words import Words, by_places, from_places, mix, slices, sorted_unique
 
 _PERCENT = 100
 _PARTS = 6  # bits: tokens of open groups are dealt to 64 parts
@@ -163,13 +163,13 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
             tokens, ids, n, place = tokens[order], ids[order], n[order], place[order]
             at, start = np.unique(place, return_index=True)
             ends = np.append(start[1:], len(place))[: len(at)]
-            rows = [(int(i), *(x[a:b].tobytes() for x in (tokens, ids, n.astype(np.int32)))) for i, a, b in zip(at, start, ends, strict=True)]
+            rows = [(int(i), *(by_places(x[a:b]) for x in (tokens, ids, n.astype(np.int32)))) for i, a, b in zip(at, start, ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "token", "ids", "n"])
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        token, ids = (np.concatenate([np.frombuffer(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64)))
-        n = np.concatenate([np.frombuffer(x, np.int32) for x in frame["n"]]).astype(np.int64)
+        token, ids, n = (np.concatenate([from_places(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64), ("n", np.int32)))
+        n = n.astype(np.int64)
         order = np.lexsort((ids, n, token))
         token, ids, n = token[order], ids[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -274,14 +274,14 @@ def ngram_components(
     usable = sets.where("id IS NOT NULL AND n > 0")
     classes = cut(usable.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    # the least id of a class speaks for it; classes of one row need no join
-    alone = classes.where("rows = 1").select("c")
+    # the least id of a class speaks for it; rows of classes of one row, which are most, are told by a bitmap and not shuffled
     often = classes.where("rows > 1")
+    alone, some = split_by_keys(usable, F.col("c"), often.select("c"))
     hot = F.broadcast(often.where(F.col("rows") * p > total).select("c", "rep"))  # at most p classes
     heads = often.where(F.col("rows") * p <= total).select("c", "rep")
-    crowd = usable.join(hot, "c").where("id = rep").drop("rep")
-    rest = usable.join(hot.select("c"), "c", "left_anti")
-    leaders = crowd.unionByName(rest.join(heads, "c").where("id = rep").drop("rep")).dropDuplicates(["c"]).unionByName(rest.join(alone, "c", "left_semi"))
+    crowd = some.join(hot, "c").where("id = rep").drop("rep")
+    rest = some.join(hot.select("c"), "c", "left_anti").join(heads, "c", "left").where("rep IS NULL OR id = rep").drop("rep")
+    leaders = alone.unionByName(crowd.unionByName(rest).dropDuplicates(["c"]))
 
     met = cut(meetings(leaders.select("c", "n", "first", F.lit(0).alias("kind")), deal, small, shared_least, percent))
 
@@ -292,8 +292,8 @@ def ngram_components(
     def both_ends(found: DataFrame) -> DataFrame:
         return found.select(F.explode(F.array("x", "y")).alias("c")).distinct()
 
-    def hashed_ids(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        yield [mix(batch.column("rep").to_numpy().astype(np.int64).view(np.uint64), 9)]
+    def hashed_ids(batch: pa.RecordBatch) -> np.ndarray:
+        return mix(batch.column("rep").to_numpy().astype(np.int64).view(np.uint64), 9)
 
     def of_classes(wanted: DataFrame, make: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], list[tuple]], names: str) -> DataFrame:
         """What `make` tells of one text of each class in `wanted` (c): rows of c and more. Texts are found by their least id, those of other ids are passed over."""
@@ -321,7 +321,7 @@ def ngram_components(
         return out
 
     def compressed(texts: pa.Array, doc: np.ndarray, tokens: np.ndarray, n: np.ndarray) -> list:
-        return [pa.array([zlib.compress((t or "").encode(), 1) for t in texts.to_pylist()], pa.binary())]
+        return [pa.array([zlib.compress((t or "").encode(), 6) for t in texts.to_pylist()], pa.binary())]
 
     pairs = cut(met_often(met))
     groups = met.where("token IS NOT NULL").select("kind", "token", F.col("x").alias("c"), F.col("y").alias("n"))

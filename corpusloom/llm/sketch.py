@@ -21,6 +21,22 @@ def cells(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """32-bit counts by byte places: the lowest by letter frequencies alone unless nearly all are zero, the upper ones, which nearly all are, by repeats."""
+    planes = counts.view(np.uint8).reshape(-1, 4)
+    low = np.ascontiguousarray(planes[:, 0])
+    crowded = np.count_nonzero(low) * 8 > len(low)
+    coder = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY if crowded else zlib.Z_DEFAULT_STRATEGY)
+    return coder.compress(low) + coder.flush() + zlib.compress(np.ascontiguousarray(planes[:, 1:].T), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    coder = zlib.decompressobj()
+    low = coder.decompress(raw)
+    planes = np.frombuffer(low + zlib.decompress(coder.unused_data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
 def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], bits: int, tables: int = 1) -> list[np.ndarray]:
     """How often each cell is met, for each of `tables` tables, over all rows of `df`.
 
@@ -37,9 +53,8 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
 
         def told() -> Iterator[pa.RecordBatch]:
             for t, counts in enumerate(held):
-                planes = counts.view(np.uint8).reshape(-1, 4)  # by byte places: the upper ones are nearly all zero
-                packed = [zlib.compress(np.ascontiguousarray(planes[k * part : (k + 1) * part].T).tobytes(), 1) for k in range(SLICES)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(t * SLICES, (t + 1) * SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
+                raw = [packed(counts[k * part : (k + 1) * part]) for k in range(SLICES)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(t * SLICES, (t + 1) * SLICES), pa.int32()), pa.array(raw, pa.binary())], names=["slice", "counts"])
 
         for batch in batches:
             for piece in values(batch):
@@ -53,10 +68,8 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
                 there = sums.setdefault(k, np.zeros(part, np.uint32))
-                more = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
-                there += np.minimum(more, ~there)  # stays at the top once there
+                there += np.minimum(unpacked(raw), ~there)  # stays at the top once there
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -68,18 +81,52 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
     return out
 
 
-def bits_for(values: int, least: int = 12, most: int = 24) -> int:
-    """Bits of a table with about eight cells for each value, in bounds."""
-    return min(most, max(least, (8 * values).bit_length()))
+def bits_for(values: int, least: int = 12, most: int = 27) -> int:
+    """Bits of a bitmap with 64 to 128 cells for each value, in bounds."""
+    return min(most, max(least, (64 * values).bit_length()))
+
+
+def met_cells(df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap of the cells that any row of `df` meets, gathered as counts are; `values` gives the hashes of a batch."""
+    part = (1 << bits) // 8 // SLICES
+
+    def told(slices: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array([zlib.compress(x, 1) for x in slices.values()], pa.binary())], names=["slice", "cells"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(part * SLICES, np.uint8)
+        for batch in batches:
+            cell = cells(values(batch), bits)
+            np.bitwise_or.at(held, cell >> 3, (128 >> (cell & 7)).astype(np.uint8))
+        pieces = {k: held[k * part : (k + 1) * part] for k in range(SLICES)}
+        pieces = {k: x for k, x in pieces.items() if x.any()}
+        if pieces:
+            yield told(pieces)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                there = met.setdefault(k, np.zeros(part, np.uint8))
+                there |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        if met:
+            yield told(met)
+
+    found = df.mapInArrow(mark, "slice int, cells binary").repartition(min(SLICES, partitions(df.sparkSession)), "slice").mapInArrow(add, "slice int, cells binary")
+    out = np.zeros(part * SLICES, np.uint8)
+    for k, raw in found.collect():
+        out[k * part : (k + 1) * part] = np.frombuffer(zlib.decompress(raw), np.uint8)
+    return out
 
 
-def member_test(spark: SparkSession, df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[np.ndarray]]], expected: int) -> Callable[[np.ndarray], np.ndarray]:
-    """A test of 64-bit hashes against those of `df`: true where they are met, and by chance for few others.
+def member_test(spark: SparkSession, df: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], expected: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test of 64-bit hashes against those of `df`: true where they are met, and by chance for one or two in a hundred others.
 
-    Its bitmap, of at most 2**24 bits, is broadcast; it spares rows a shuffle before an exact join.
+    Its bitmap, of at most 2**27 bits (16 MB; for more than two million values chance hits grow), is
+    broadcast; it spares rows a shuffle before an exact join.
     """
     bits = bits_for(expected)
-    table = spark.sparkContext.broadcast(np.packbits(count_cells(df, values, bits)[0] > 0))
+    table = spark.sparkContext.broadcast(met_cells(df, values, bits))
 
     def test(hashes: np.ndarray) -> np.ndarray:
         cell = cells(hashes, bits)
@@ -95,8 +142,8 @@ def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFr
     null key is not in `keys`.
     """
 
-    def hashed(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        yield [batch.column("h").to_numpy().view(np.uint64)]
+    def hashed(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("h").to_numpy().view(np.uint64)
 
     keys = keys.select(F.xxhash64(keys.columns[0]).alias("h"))
     test = member_test(docs.sparkSession, keys, hashed, keys.count())

@@ -370,8 +370,8 @@ def substring_dedup(
         passed = passed.unionByName(folded)
     found = cut(passed.groupBy("bucket").applyInPandas(confirm, "shard bigint, value binary, owner binary, dest binary"))
 
-    def owner_ids(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        yield [mix(_values(batch.column("owner").to_pylist(), np.int64).view(np.uint64), 9)]
+    def owner_ids(batch: pa.RecordBatch) -> np.ndarray:
+        return mix(_values(batch.column("owner").to_pylist(), np.int64).view(np.uint64), 9)
 
     owners = member_test(spark, found.select("owner"), owner_ids, rows)
 

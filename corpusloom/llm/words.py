@@ -111,6 +111,15 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def by_places(x: np.ndarray) -> bytes:
+    """The bytes of integers, place by place: the upper places of sorted or small ones are runs, which a shuffle's compression folds."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_places(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
 
 
