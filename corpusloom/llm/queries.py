@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, url_filter
+from .alignment import ByteBpe, PieceBpe, align
 from .bpe import bpe_encode
 from .common import table
 from .cotraining import classify_quality
@@ -66,6 +68,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), owner="source", repository="concat_ws('/', source, lang)")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, other = functools.partial(ByteBpe, vocabulary("byte_bpe_50k.json")), functools.partial(PieceBpe, vocabulary("piece_bpe_32k.model"))
+    return align(table(spark, sf_dir, "documents"), one, other)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -78,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_nearest": op9_nearest,
         "op10_secrets": op10_secrets,
+        "op13_alignment": op13_alignment,
     }
 
 

@@ -113,7 +113,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def by_places(x: np.ndarray) -> bytes:
     """The bytes of integers, place by place: the upper places of sorted or small ones are runs, which a shuffle's compression folds."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def from_places(raw: bytes, kind: type) -> np.ndarray:
