@@ -43,6 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
     """`rows` with the columns of their class, from `classes` (key, n: its rows, ...).
 

@@ -16,9 +16,11 @@ from .cotraining import classify_quality
 from .nearest import nearest
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
+from .reply_trees import chat_paths, conversation_tree, format_paths, read_back
 from .secrets import scan_secrets
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity
+from .vector_codes import compress_vectors
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -68,6 +70,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), owner="source", repository="concat_ws('/', source, lang)")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], given.schema)
+    tree, messages = conversation_tree(given.unionByName(more))
+    formatted = format_paths(chat_paths(tree), messages, name_col="conv_id")
+    return read_back(formatted).select(F.col("name").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, other = functools.partial(ByteBpe, vocabulary("byte_bpe_50k.json")), functools.partial(PieceBpe, vocabulary("piece_bpe_32k.model"))
     return align(table(spark, sf_dir, "documents"), one, other)
@@ -85,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": op8_bpe,
         "op9_nearest": op9_nearest,
         "op10_secrets": op10_secrets,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_chat_format": op12_chat_format,
         "op13_alignment": op13_alignment,
     }
 
