@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +26,36 @@ HOMOGLYPHS = {
 
 #: Language codes of translated paths, first policy.
 CODES_V1 = (
-    "ar bn cs de el es fa fi fr he hi hu id it ja ko ml nl no pl pt pt-br ptbr ro ru sk sr sv th tr uk vi "
-    "zh zh-cn zh-tw zh-hans zh-hant ca da hr bg az fa-ir"
-).split()
+    "ar", "bn", "cs", "de", "el", "es", "fa", "fi", "fr", "he", "hi", "hu", "id", "it", "ja", "ko", "ml", "nl", "no", "pl", "pt",
+    "pt-br", "ptbr", "ro", "ru", "sk", "sr", "sv", "th", "tr", "uk", "vi", "zh", "zh-cn", "zh-tw", "zh-hans", "zh-hant", "ca",
+    "da", "hr", "bg", "az", "fa-ir",
+)
 #: Two-letter path segments that are no language, first policy.
-NOT_LANGUAGES = "en js io ui os db go py md rs sh cs vm ci ts cd qa".split()
+NOT_LANGUAGES = (
+    "en", "js", "io", "ui", "os", "db", "go", "py", "md", "rs", "sh", "cs", "vm", "ci", "ts", "cd", "qa",
+)
 #: Language codes, second policy.
 CODES_V2 = (
-    "es fr de el el-gr gr fa ar ru pt pt-pt pt-br zh zh-cn zh-tw ja ko id hi ml tr it pl uk vi he nl cs ro bg "
-    "sr hr sk sl da sv no nb fi hu th bn ur ca az kk uz sw fil ta te mr gu pa fa-ir zh-hans zh-hant"
-).split()
+    "es", "fr", "de", "el", "el-gr", "gr", "fa", "ar", "ru", "pt", "pt-pt", "pt-br", "zh", "zh-cn", "zh-tw", "ja", "ko", "id",
+    "hi", "ml", "tr", "it", "pl", "uk", "vi", "he", "nl", "cs", "ro", "bg", "sr", "hr", "sk", "sl", "da", "sv", "no", "nb", "fi",
+    "hu", "th", "bn", "ur", "ca", "az", "kk", "uz", "sw", "fil", "ta", "te", "mr", "gu", "pa", "fa-ir", "zh-hans", "zh-hant",
+)
 #: Language codes and names that are whole segments, third policy.
 CODES_V3 = (
-    "es fr de el el-gr gr fa ar ru pt pt-pt pt-br zh zh-cn zh-tw ja ko id hi ml it pl uk vi he nl cs ro bg sr "
-    "hr sk sl da sv no nb fi hu th bn ur ca az kk uz sw fil japanese french basque russian polish portuguese "
-    "brazilian-portuguese german spanish chinese korean italian dutch arabic hebrew vietnamese ukrainian czech "
-    "greek persian indonesian hindi thai romanian hungarian simplified-chinese traditional-chinese turkish-tr"
-).split()
+    "es", "fr", "de", "el", "el-gr", "gr", "fa", "ar", "ru", "pt", "pt-pt", "pt-br", "zh", "zh-cn", "zh-tw", "ja", "ko", "id",
+    "hi", "ml", "it", "pl", "uk", "vi", "he", "nl", "cs", "ro", "bg", "sr", "hr", "sk", "sl", "da", "sv", "no", "nb", "fi", "hu",
+    "th", "bn", "ur", "ca", "az", "kk", "uz", "sw", "fil", "japanese", "french", "basque", "russian", "polish", "portuguese",
+    "brazilian-portuguese", "german", "spanish", "chinese", "korean", "italian", "dutch", "arabic", "hebrew", "vietnamese",
+    "ukrainian", "czech", "greek", "persian", "indonesian", "hindi", "thai", "romanian", "hungarian", "simplified-chinese",
+    "traditional-chinese", "turkish-tr",
+)
 #: Language names looked for anywhere in a path, third policy.
 NAMES_V3 = (
-    "japanese french basque russian polish portuguese german spanish chinese korean italian dutch arabic hebrew "
-    "vietnamese ukrainian czech greek persian indonesian hindi thai romanian hungarian brazilian simplified "
-    "traditional indonesia espanol deutsch francais italiano nederlands"
-).split()
+    "japanese", "french", "basque", "russian", "polish", "portuguese", "german", "spanish", "chinese", "korean", "italian",
+    "dutch", "arabic", "hebrew", "vietnamese", "ukrainian", "czech", "greek", "persian", "indonesian", "hindi", "thai",
+    "romanian", "hungarian", "brazilian", "simplified", "traditional", "indonesia", "espanol", "deutsch", "francais", "italiano",
+    "nederlands",
+)
 #: Path fragments that are skipped: in preparation, and in corpus building.
 DENY_PREPARE = ("node_modules/", "/dist/", "vendor/", ".min.", "/migrations/")
 DENY_CORPUS = ("node_modules/", "/dist/", "vendor/", ".min.", "/test/fixtures/")
@@ -96,6 +105,11 @@ def clean_rst(c: Column, variant: str = "prepare") -> Column:
     return F.regexp_replace(c, r"(?m)^\s*\.\..*$", "")
 
 
+def clean_by_kind(c: Column, kind: Column) -> Column:
+    """A text for retrieval as its extension wants it: reStructuredText roles and directives off for "rst" and "txt", else Markdown's markup."""
+    return F.when(kind.isin("rst", "txt"), clean_rst(c, "retrieve")).otherwise(clean_markdown(c, "retrieve"))
+
+
 def clean_html(c: Column) -> Column:
     """Scripts, styles and tags to spaces, long gaps to one empty line. Entities stay."""
     c = F.regexp_replace(c, r"(?is)<script.*?</script>", " ")
@@ -104,6 +118,24 @@ def clean_html(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+#: Fixed value: where a text's lines end.
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def lines_of(c: Column) -> Column:
+    """The lines of a text; an end of line behind the last begins none."""
+    lines = F.split(c, LINE_END)
+    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+
+
+def decode_leniently(content: Column) -> Column:
+    """Binary content as text, bytes that are no UTF-8 left out; a replacement character that stands there stays."""
+    raw = content.cast("string")
+    kept = F.replace(F.replace(raw, F.lit("\ue000"), F.lit("\ue000\ue001")), F.lit("\ufffd"), F.lit("\ue000\ue002"))
+    valid = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(valid, F.lit("\ue000\ue002"), F.lit("\ufffd")), F.lit("\ue000\ue001"), F.lit("\ue000"))
+
+
 def strip_control(c: Column, collapse: bool = False) -> Column:
     """Line ends and tabs to spaces, other control and format characters off."""
     c = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\n\r\t", "   "), r"\p{C}", "")
@@ -218,7 +250,7 @@ def is_translation(path: Column, policy: str = "v1") -> Column:
     segments = F.split(low, "/")
     among = lambda codes: F.arrays_overlap(segments, F.array(*map(F.lit, codes)))
     if policy == "v1":
-        short = F.exists(segments, lambda s: s.rlike(r"^[a-z]{2}([-_][a-z]{2,4})?$") & ~s.isin(NOT_LANGUAGES))
+        short = F.exists(segments, lambda s: s.rlike(r"^[a-z]{2}([-_][a-z]{2,4})?$") & ~s.isin(list(NOT_LANGUAGES)))
         name = F.regexp_replace(F.element_at(segments, -1), r"\.[^.]*$", "")
         codes = "|".join(sorted(CODES_V1, key=len, reverse=True))
         return among(CODES_V1) | short | name.rlike(rf"[._-]({codes})([._-][a-z]+)?$")
@@ -265,11 +297,47 @@ def dict_correct(c: Column, mapping: Mapping[str, str], keep: Iterable[str] = ()
     return F.array_join(F.transform(word_pieces(c), fixed), "")
 
 
-def dict_missing(df: DataFrame, columns: Iterable[str], mapping: Mapping[str, str], keep: Iterable[str] = ()) -> DataFrame:
-    """(word, n) of lower-cased ASCII words that neither the dictionary nor the list of words to keep has."""
+def _cased(word: str, to: str) -> str:
+    if word.upper() == word and len(word) > 1:
+        return to.upper()
+    return to[:1].upper() + to[1:] if "A" <= word[:1] <= "Z" else to
+
+
+def correct_words(df: DataFrame, text_col: str, dictionary: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """`dict_correct` by a table (word, to) of any size: only the entries that a text asks for come to it.
+
+    Distinct words of distinct texts are joined to the dictionary; what a text needs goes back to it under
+    its digest, and its words are replaced in one pass. Of entries of one word the least counts; words of
+    `keep` (word) stay.
+    """
+    entries = dictionary.where("word IS NOT NULL AND to IS NOT NULL").groupBy("word").agg(F.min("to").alias("to"))
+    if keep is not None:
+        entries = entries.join(keep.select("word"), "word", "left_anti")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0)))
+    asked = df.select(F.md5(text_col).alias("_t"), F.explode(words).alias("word")).join(entries, "word")
+    found = asked.groupBy("_t").agg(F.collect_set(F.struct("word", "to")).alias("_e"))
+
+    def replaced(texts: pd.Series, words: pd.Series, to: pd.Series) -> pd.Series:
+        out = []
+        for text, some, others in zip(texts, words, to, strict=True):
+            table = dict(zip(some, others, strict=True)) if some is not None else {}
+            out.append(re.sub("[A-Za-z]+", lambda m: _cased(m[0], table[m[0].lower()]) if m[0].lower() in table else m[0], text) if table else text)  # noqa: B023
+        return pd.Series(out)
+
+    replaced.__annotations__ = {"texts": pd.Series, "words": pd.Series, "to": pd.Series, "return": pd.Series}
+    fixed = F.pandas_udf(replaced, "string")
+    rows = df.withColumn("_t", F.md5(text_col)).join(found, "_t", "left")
+    part = lambda name: F.transform("_e", lambda e: e[name])
+    return rows.withColumn(text_col, F.when(F.col("_e").isNull(), F.col(text_col)).otherwise(fixed(F.col(text_col), part("word"), part("to")))).select(*df.columns)
+
+
+def dict_missing(df: DataFrame, columns: Iterable[str], mapping: Mapping[str, str] | DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """(word, n) of lower-cased ASCII words that neither the dictionary, a mapping or a table (word, ...), nor the list of words to keep has."""
     words = [F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("[a-z]+"), F.lit(0)) for c in columns]
-    known = df.sparkSession.createDataFrame([(w,) for w in {*mapping, *keep}], "word string")
-    return df.select(F.explode(F.concat(*words)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(F.broadcast(known), "word", "left_anti")
+    counted = df.select(F.explode(F.concat(*words)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    listed = df.sparkSession.createDataFrame([(w,) for w in {*keep, *(() if isinstance(mapping, DataFrame) else mapping)}], "word string")
+    missing = counted.join(F.broadcast(listed), "word", "left_anti")
+    return missing.join(mapping.select("word"), "word", "left_anti") if isinstance(mapping, DataFrame) else missing
 
 
 def correct_if_covered(df: DataFrame, columns: Sequence[str], mapping: Mapping[str, str], keep: Iterable[str] = ()) -> DataFrame:

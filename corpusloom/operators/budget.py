@@ -17,16 +17,28 @@ def hash_order(id_col: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def hash_bucket(order: str, digits: int = 2) -> Column:
-    return F.substring(order, 1, digits)
-
-
-def range_bucket(df: DataFrame, order: str, buckets: int = 256) -> Column:
-    """Numbers of steps of about equal numbers of rows, by approximate quantiles of a numeric order; crowded values stay in one."""
-    buckets = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
-    # a search by halves, as an expression
-    def place(low: int, high: int) -> Column:
+def hash_bucket(df: DataFrame, order: str) -> Column:
+    """The first hexadecimal digits of a hash order: 256 buckets, and more where the session has more partitions."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.substring(order, 1, max(2, -(-(partitions - 1).bit_length() // 4)))
+
+
+def range_bucket(df: DataFrame, order: str, buckets: int = 256, per_bucket: int = 2000) -> Column:
+    """Numbers of steps of about equal numbers of rows of a numeric order; crowded values stay in one.
+
+    There are `buckets`, or as many as the session's partitions if that is more, but no more than one for
+    each `per_bucket` rows. Their bounds come from a sample of about 50 rows for each, so the table is read
+    for its count and the sample, not sorted.
+    """
+    rows = df.count()
+    buckets = min(max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), rows // per_bucket + 1)
+    if buckets == 1:
+        return F.lit(0)
+    some = df.select(F.col(order).alias("o")).where("o IS NOT NULL").sample(min(1.0, 50 * buckets / rows), 7)
+    drawn = sorted(r.o for r in some.collect())  # about 50 numbers a bucket
+    bounds = sorted({drawn[len(drawn) * i // buckets] for i in range(1, buckets)}) if drawn else []
+
+    def place(low: int, high: int) -> Column:  # a search by halves, as an expression
         if low == high:
             return F.lit(low)
         middle = (low + high) // 2
@@ -56,19 +68,24 @@ def budget_prefix(df: DataFrame, size: Column, target: Column | int, order: str,
 
 
 def split_by_chars(df: DataFrame, fraction: float, text_col: str, id_col: str, seed: int = 42) -> DataFrame:
-    """`split`: val for the first rows in hash order until they hold the fraction of all characters, train for the rest. Ids and lengths alone are ordered; few ids, val's, are then looked up."""
-    rows = df.select(id_col, F.length(text_col).cast("long").alias("_n")).withColumn("_o", hash_order(id_col, seed))
+    """`split`: val for the first rows in hash order until they hold the fraction of all characters, train for the rest.
+
+    Orders and lengths alone are summed up; the order at which val ends then tells every row its side, so
+    nothing is joined. Rows that share an id are told apart by their text.
+    """
+    order = F.concat(F.coalesce(hash_order(id_col, seed), F.lit("")), F.lit(":"), F.coalesce(F.md5(text_col), F.lit("")))
+    rows = df.select(F.length(text_col).cast("long").alias("_n"), order.alias("_o"))
     total = rows.agg(F.sum("_n")).first()[0] or 0
-    placed = running_before(rows, F.col("_n"), "_o", hash_bucket("_o"), out="_before")
-    val = placed.where(F.col("_before") < int(total * fraction)).select(id_col, F.lit("val").alias("split")).distinct()
-    return df.join(val, id_col, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    placed = running_before(rows, F.col("_n"), "_o", hash_bucket(rows, "_o"), out="_before")
+    last = placed.where(F.col("_before") < int(total * fraction)).agg(F.max("_o")).first()[0]
+    return df.withColumn("split", F.when(order <= F.lit(last or ""), "val").otherwise("train"))
 
 
 def split_by_rows(df: DataFrame, fraction: float, order: Column) -> DataFrame:
     """`split` by number of rows: at least one row is val."""
     rows = df.withColumn("_o", order)
     n = rows.count()
-    placed = running_before(rows, F.lit(1), "_o", hash_bucket("_o"), out="_before")
+    placed = running_before(rows, F.lit(1), "_o", hash_bucket(rows, "_o"), out="_before")
     return placed.withColumn("split", F.when(F.col("_before") < max(1, int(n * fraction)), "val").otherwise("train")).drop("_o", "_before")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import diacritic_count, diacritic_ratio, letter_count, non_empty, normalise_key
+from .budget import range_bucket, running_before
 from .dedup import keep_first
 
 #: Suffixes of the advanced tier, and priorities by rank; an unknown one ranks as the middle.
@@ -94,15 +95,17 @@ def merge_report(df: DataFrame, question: str, answer: str, domain: str, order:
 
 
 def ema(df: DataFrame, value: str, order: str, alpha: float = 0.1, partition: Sequence[str] = ()) -> DataFrame:
-    """Exponential moving average of each partition's values in order, started at the first.
+    """Exponential moving average of each partition's values in a numeric order, started at the first.
 
-    A value's weight follows from how many come after it, so a sorted window and a sum do, and no series
-    is held as a whole.
+    A value's weight follows from how many come after it. These are counted in two levels, in
+    order-preserving buckets and then within each, and the weighted values are summed up, so a series of
+    any length is spread over many tasks, without a partition too.
     """
-    by = Window.partitionBy(*partition)
-    rows = df.select(*partition, F.col(value).cast("double").alias("_v"), (F.row_number().over(by.orderBy(F.desc(order))) - 1).alias("_after"), F.row_number().over(by.orderBy(order)).alias("_r"))
-    weight = F.pow(F.lit(1.0 - alpha), F.col("_after")) * F.when(F.col("_r") == 1, 1.0).otherwise(alpha)
-    return rows.groupBy(*partition).agg(F.sum(weight * F.col("_v")).alias("ema"))
+    rows = df.select(*partition, F.col(value).cast("double").alias("_value"), (-F.col(order)).alias("_down"))
+    placed = running_before(rows, F.lit(1), "_down", range_bucket(rows, "_down"), partition, "_after")
+    weighed = F.pow(F.lit(1.0 - alpha), F.col("_after")) * F.col("_value")
+    rest = F.sum(alpha * weighed) + (1 - alpha) * F.max_by(weighed, "_after")  # the first has its weight whole
+    return placed.groupBy(*partition).agg(rest.alias("ema"))
 
 
 def corpus_files(spark: SparkSession, path: str, group: Column, text_col: str = "metin", pattern: str = "*.jsonl.gz") -> DataFrame:

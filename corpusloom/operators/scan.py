@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 # --- fixed values -------------------------------------------------------------------------------------
 
 #: Secret families in the order in which the first match names a line.
@@ -36,14 +38,24 @@ def explode_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def grep(lines: DataFrame, pattern: str, order: Sequence[str], limit: int = 60, max_chars: int = 160) -> DataFrame:
-    """The first matching lines, any case. A pattern that is no regular expression is looked for as it stands."""
+def search_pattern(spark: SparkSession, pattern: str) -> str:
+    """A pattern as the engine's regular expressions have it, any case; one that is none, here or there, is looked for as it stands."""
+    from py4j.protocol import Py4JJavaError
+
+    java = spark._jvm.java.util.regex.Pattern
     try:
         re.compile(pattern)
-        hit = F.col("line").rlike(f"(?i){pattern}")
-    except re.error:
-        hit = F.lower("line").contains(pattern.lower())
-    return lines.where(hit).withColumn("line", F.substring("line", 1, max_chars)).orderBy(*order).limit(limit)
+        named = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+        java.compile(named)
+    except (re.error, Py4JJavaError):
+        named = java.quote(pattern)
+    return f"(?iu){named}"
+
+
+def grep(lines: DataFrame, pattern: str, order: Sequence[str], limit: int = 60, max_chars: int = 160) -> DataFrame:
+    """The first matching lines, stripped and then cut."""
+    hit = F.col("line").rlike(search_pattern(lines.sparkSession, pattern))
+    return lines.where(hit).withColumn("line", F.substring(strip(F.col("line")), 1, max_chars)).orderBy(*order).limit(limit)
 
 
 def first_family(c: Column, families: Mapping[str, str] = SECRETS) -> Column:
@@ -67,7 +79,7 @@ def scan_secrets(lines: DataFrame, order: Sequence[str], limit: int | None = 50)
 
 
 def log_triage(lines: DataFrame, order: Column, families: Mapping[str, str] = LOG_FAMILIES, max_chars: int = 160) -> DataFrame:
-    """(family, n, example): lines of each family and the first of them. One pass; partial sums before the shuffle."""
+    """(family, n, example): lines of each family and the first of them, stripped and then cut. One pass; partial sums before the shuffle."""
     hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in families.items()]))
-    rows = lines.select(F.explode(hits).alias("family"), order.alias("_o"), F.substring("line", 1, max_chars).alias("line"))
+    rows = lines.select(F.explode(hits).alias("family"), order.alias("_o"), F.substring(strip(F.col("line")), 1, max_chars).alias("line"))
     return rows.groupBy("family").agg(F.count("*").alias("n"), F.min_by("line", "_o").alias("example"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import fnmatch
+import bz2
 import io
 import itertools
+import os
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,60 +23,168 @@ from .records import CVE_SCHEMA, render_cve
 
 #: Extensions worth keeping in a training corpus.
 CORPUS_EXTENSIONS = (
-    ".md .rst .txt .adoc .rdoc .org .py .js .ts .tsx .jsx .go .rs .cs .java .kt .c .h .cpp .hpp .cc .rb .php .swift "
-    ".scala .lua .sh .ps1 .sql .html .htm .css .yaml .yml .toml"
-).split()
+    ".md", ".rst", ".txt", ".adoc", ".rdoc", ".org", ".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".cs", ".java", ".kt",
+    ".c", ".h", ".cpp", ".hpp", ".cc", ".rb", ".php", ".swift", ".scala", ".lua", ".sh", ".ps1", ".sql", ".html", ".htm", ".css",
+    ".yaml", ".yml", ".toml",
+)
 SCHEMA = "archive string, path string, size bigint, text string, error string"
+DIRECTORY = "archive string, file string, path string, size bigint, at bigint, packed bigint, method int, checksum bigint, error string"
 
 
 #: An entry of a vulnerability archive.
 CVE_ENTRY = r"(?i)/cves/.*/CVE-\d+-\d+\.json$"
 
 
-def members(data: BinaryIO, name: str, extensions: tuple[str, ...], low: int, high: int, deny: tuple[str, ...], fold_case: bool, nul_in: int | None) -> Iterator[tuple]:
-    """Rows of an archive's text files. What the directory tells is tested before a file is read; a corrupt archive is one row with its error."""
+def unpacked(method: int, raw: bytes) -> bytes:
+    """An entry's bytes; what cannot be unpacked raises."""
+    if method == zipfile.ZIP_STORED:
+        return raw
+    if method == zipfile.ZIP_DEFLATED:
+        return zlib.decompress(raw, -15)
+    if method == zipfile.ZIP_BZIP2:
+        return bz2.decompress(raw)
+    raise NotImplementedError(f"compression {method}")
+
+
+def text_of(raw: bytes, nul_in: int | None) -> str | None:
+    """A file's text, bytes that are no UTF-8 left out; None if a NUL is among its first `nul_in` bytes, or anywhere where that is None."""
+    return None if b"\x00" in (raw if nul_in is None else raw[:nul_in]) else raw.decode("utf-8", errors="ignore")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Which files of an archive are rows; all is told by its directory but `nul_in`."""
+
+    extensions: tuple[str, ...] = ()
+    low: int = 120
+    high: int = 3_000_000
+    deny: tuple[str, ...] = ()
+    fold_case: bool = True
+    nul_in: int | None = 4096
+
+    def wanted(self, info: zipfile.ZipInfo) -> str | None:
+        """The file's path below the archive's top folder, or None."""
+        path = info.filename.split("/", 1)[-1]
+        test = path.lower() if self.fold_case else path
+        if info.is_dir() or not self.low <= info.file_size <= self.high or any(d in test for d in self.deny):
+            return None
+        return path if not self.extensions or test.endswith(self.extensions) else None
+
+
+def members(data: BinaryIO, name: str, rules: Rules) -> Iterator[tuple]:
+    """Rows of an archive's text files. A corrupt archive is one row with its error; an entry that cannot be read is passed over."""
     try:
         with zipfile.ZipFile(data) as z:
             for info in z.infolist():
-                path = info.filename.split("/", 1)[-1]
-                test = path.lower() if fold_case else path
-                if info.is_dir() or not low <= info.file_size <= high or any(d in test for d in deny):
-                    continue
-                if extensions and not test.endswith(extensions):
+                if (path := rules.wanted(info)) is None:
                     continue
                 try:
-                    raw = z.read(info)
-                except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError):
-                    continue  # an entry that cannot be read is passed over, the others are not
-                if b"\x00" in (raw if nul_in is None else raw[:nul_in]):
+                    text = text_of(z.read(info), rules.nul_in)
+                except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, EOFError):
                     continue
-                yield name, path, info.file_size, raw.decode("utf-8", errors="ignore"), None
+                if text is not None:
+                    yield name, path, info.file_size, text, None
     except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as e:
         yield name, None, None, None, f"{type(e).__name__}: {e}"
 
 
+def file_system(path: str):
+    """(file system, path on it) of a URI or a local path; raises where Arrow knows no such file system."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+
+
+class _File(io.RawIOBase):
+    """An Arrow file as Python's archive reader wants one: seeking to nowhere is an OSError."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def seekable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        return self.file.read(n if n >= 0 else None)
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        try:
+            return self.file.seek(at, whence)
+        except ValueError as e:
+            raise OSError(str(e)) from e
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+
+def _opens(path: str) -> bool:
+    """Whether archives can be read by byte ranges there."""
+    try:
+        file_system(path)
+    except (ValueError, OSError, NotImplementedError, ImportError):  # a scheme that only Spark's readers know
+        return False
+    return True
+
+
 def read_archives(
     spark: SparkSession, path: str, *, extensions: tuple[str, ...] = (), min_bytes: int = 120, max_bytes: int = 3_000_000,
-    deny: tuple[str, ...] = (), fold_case: bool = True, nul_in: int | None = 4096,
+    deny: tuple[str, ...] = (), fold_case: bool = True, nul_in: int | None = 4096, where: Column | str | None = None, run_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """(archive, path, size, text, error) of the text files of all archives at `path`, read by Spark from wherever it can read."""
-    from collections.abc import Iterator as It
+    """(archive, path, size, text, error) of the text files of all archives at `path`.
+
+    The archives' directories are a table first; `where`, any condition over archive, path and size, is
+    tested on it, so nothing of other files is read. What is left is dealt out by file and by slices of
+    `run_bytes` of it, as many tasks as there are slices, each reading the ranges of its entries alone: one
+    archive of any size is read by many tasks. On file systems that only Spark's own readers know, an
+    archive is one task and is read whole, 2 GB at most.
+    """
+    rules = Rules(tuple(extensions), min_bytes, max_bytes, tuple(deny), fold_case, nul_in)
+    where = F.lit(True) if where is None else F.expr(where) if isinstance(where, str) else where
+    if _opens(path):
+        spark.dataSource.register(ZipDirectorySource)
+        options = {"extensions": ",".join(rules.extensions), "minbytes": rules.low, "maxbytes": rules.high, "deny": ",".join(rules.deny), "foldcase": str(fold_case).lower()}
+        entries = spark.read.format("zipdirectory").options(**options).load(path).where(where)
+        packed = entries.agg(F.sum("packed")).first()[0] or 0
+        columns = ["file", "path", "size", "at", "packed", "method", "checksum"]
+        dealt = entries.where("error IS NULL").select(columns).repartition(packed // run_bytes + 1, "file", F.expr(f"at DIV {run_bytes}")).sortWithinPartitions("file", "at")
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            yield from _in_batches(_texts(path, rows, nul_in))
+
+        bad = entries.where("error IS NOT NULL").selectExpr("archive", "path", "size", "CAST(NULL AS string) AS text", "error")
+        return dealt.mapInArrow(read, SCHEMA).unionByName(bad)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                yield from _in_batches(members(io.BytesIO(data), name.rsplit("/", 1)[-1], rules))
 
-    import pandas as pd
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInArrow(run, SCHEMA).where(where)
 
-    def run(frames: It[pd.DataFrame]) -> It[pd.DataFrame]:
-        for frame in frames:
-            for name, data in zip(frame["path"], frame["content"], strict=True):
-                rows = members(io.BytesIO(data), name.rsplit("/", 1)[-1], extensions, min_bytes, max_bytes, deny, fold_case, nul_in)
-                while some := list(itertools.islice(rows, 64)):  # at most 64 texts are held beside the archive
-                    yield pd.DataFrame(some, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"size": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+_ARROW = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("text", pa.string()), ("error", pa.string())])
+
+
+def _in_batches(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += (row[2] or 0) + 100
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
 class ZipTextSource(DataSource):
-    """`spark.read.format("ziptext").load(folder)`: the same rows as a data source, a partition for each archive on a shared file system."""
+    """`spark.read.format("ziptext").load(folder)`: text files of zip archives, of any size, by byte ranges.
+
+    Planning reads the archives' directories. Entries that are wanted by the options are put together to runs of about `runbytes` of packed bytes, in the order of
+    their places; each run is a task, which reads the ranges of its entries alone.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -83,28 +194,118 @@ class ZipTextSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Reader({k.lower(): v for k, v in dict(self.options).items()})
+
+
+@dataclass
+class Run(InputPartition):
+    """Entries of one archive, as (path, size, place of the header, packed bytes, method, checksum), in the order of their places."""
+
+    file: str
+    entries: list[tuple[str, int, int, int, int, int]]
+    error: str | None = None
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = {k.lower(): v for k, v in options.items()}
+    def __init__(self, options: dict[str, str]):
+        split = lambda k: tuple(x for x in options.get(k, "").split(",") if x)
+        nul_in = options.get("nulin", "4096")
+        self.path, self.run_bytes = options["path"], int(options.get("runbytes", 64 << 20))
+        self.rules = Rules(split("extensions"), int(options.get("minbytes", 120)), int(options.get("maxbytes", 3_000_000)), split("deny"), options.get("foldcase", "true") == "true", int(nul_in) if nul_in else None)
 
     def partitions(self) -> list[InputPartition]:
-        import os
+        out = [run for file in _archives(self.path) for run in self._runs(file)]
+        return out or [Run("", [])]
+
+    def _runs(self, file: str) -> Iterator[Run]:
+        run, packed = [], 0
+        for *_, path, size, at, length, method, checksum, error in _directory(self.path, file, self.rules):
+            if error is not None:
+                yield Run(file, [], error)
+                continue
+            if run and packed + length > self.run_bytes:
+                yield Run(file, run)
+                run, packed = [], 0
+            run.append((path, size, at, length, method, checksum))
+            packed += length + 100
+        if run:
+            yield Run(file, run)
+
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        archive = partition.file.rsplit("/", 1)[-1]
+        bad = [(archive, None, None, None, partition.error)] if partition.error is not None else []
+        yield from _in_batches(itertools.chain(bad, _texts(self.path, ((partition.file, *e) for e in partition.entries), self.rules.nul_in)))
+
+
+class ZipDirectorySource(DataSource):
+    """`spark.read.format("zipdirectory").load(folder)`: what the directories of zip archives say of their files, a row each and a task for each archive."""
 
-        top = self.options["path"].removeprefix("file:")
-        if os.path.isfile(top):
-            return [InputPartition(top)]
-        found = sorted(os.path.join(d, f) for d, _, names in os.walk(top) for f in fnmatch.filter(names, "*.zip"))
-        return [InputPartition(f) for f in found] or [InputPartition(None)]
+    @classmethod
+    def name(cls) -> str:
+        return "zipdirectory"
+
+    def schema(self) -> str:
+        return DIRECTORY
+
+    def reader(self, schema) -> DataSourceReader:
+        return _DirectoryReader({k.lower(): v for k, v in dict(self.options).items()})
+
+
+class _DirectoryReader(_Reader):
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(f) for f in _archives(self.path)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        split = lambda k: tuple(x for x in self.options.get(k, "").split(",") if x)
-        with open(partition.value, "rb") as data:  # read in place: an archive of any size, entry by entry
-            yield from members(data, partition.value.rsplit("/", 1)[-1], split("extensions"), int(self.options.get("minbytes", 120)), int(self.options.get("maxbytes", 3_000_000)), split("deny"), self.options.get("foldcase", "true") == "true", 4096)
+        if partition.value is not None:
+            yield from _directory(self.path, partition.value, self.rules)
+
+
+def _archives(path: str) -> list[str]:
+    from pyarrow import fs
+
+    system, top = file_system(path)
+    info = system.get_file_info(top)
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(top, recursive=True))
+    return sorted(x.path for x in found if x.type == fs.FileType.File and (x.path.endswith(".zip") or x.path == top))
+
+
+def _directory(path: str, file: str, rules: Rules) -> Iterator[tuple]:
+    """Rows of `DIRECTORY` of one archive's wanted files, in the order of their places; a corrupt archive is one row with its error."""
+    archive = file.rsplit("/", 1)[-1]
+    try:
+        with file_system(path)[0].open_input_file(file) as data, zipfile.ZipFile(_File(data)) as z:
+            infos = sorted(z.infolist(), key=lambda i: i.header_offset)
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as e:
+        yield archive, file, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+        return
+    for info in infos:
+        if (below := rules.wanted(info)) is not None and not info.flag_bits & 1:
+            yield archive, file, below, info.file_size, info.header_offset, info.compress_size, info.compress_type, info.CRC, None
+
+
+def _texts(path: str, entries: Iterable[tuple], nul_in: int | None) -> Iterator[tuple]:
+    """Rows of `SCHEMA` of entries (file, path, size, place of the header, packed bytes, method, checksum); only their own ranges are read."""
+    system, open_, data = None, None, None
+    try:
+        for file, below, size, at, length, method, checksum in entries:
+            if file != open_:
+                system = system or file_system(path)[0]
+                if data is not None:
+                    data.close()
+                open_, data = file, system.open_input_file(file)
+            try:
+                head = data.read_at(30, at)
+                skip = int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                raw = unpacked(method, data.read_at(length, at + 30 + skip))
+                if head[:4] != b"PK\x03\x04" or len(raw) != size or zlib.crc32(raw) != checksum:
+                    continue
+            except (zlib.error, OSError, ValueError, NotImplementedError, EOFError):
+                continue  # an entry that cannot be read is passed over, the others are not
+            if (text := text_of(raw, nul_in)) is not None:
+                yield file.rsplit("/", 1)[-1], below, size, text, None
+    finally:
+        if data is not None:
+            data.close()
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -114,8 +315,7 @@ def labelled(df: DataFrame) -> DataFrame:
 
 def repository_texts(spark: SparkSession, path: str, extensions: tuple[str, ...], path_filter: Column | None = None) -> DataFrame:
     """(archive, path, text) of repositories for training: files of 100 to 200,000 bytes without a NUL, Markdown and reStructuredText cleaned, each under its path. `path_filter` is over `path`."""
-    df = read_archives(spark, path, extensions=extensions, min_bytes=100, max_bytes=200_000, deny=T.DENY_PREPARE, fold_case=False, nul_in=None).where("error IS NULL")
-    df = df if path_filter is None else df.where(path_filter)
+    df = read_archives(spark, path, extensions=extensions, min_bytes=100, max_bytes=200_000, deny=T.DENY_PREPARE, fold_case=False, nul_in=None, where=path_filter).where("error IS NULL")
     clean = F.when(F.col("path").endswith(".md"), T.clean_markdown(F.col("text"))).when(F.col("path").endswith(".rst"), T.clean_rst(F.col("text"))).otherwise(F.col("text"))
     return df.select("archive", "path", F.concat(F.lit("# dosya: "), F.col("path"), F.lit("\n"), clean).alias("text"))
 
@@ -129,16 +329,16 @@ def corpus_texts(spark: SparkSession, path: str, min_chars: int = 120) -> DataFr
 
 
 def retrieval_texts(spark: SparkSession, path: str, extensions: tuple[str, ...], path_filter: Column | None = None) -> DataFrame:
-    """(source, kind, text) of archives for retrieval: files of 200 to 400,000 bytes that are no translation, named by repository and path."""
-    df = read_archives(spark, path, extensions=extensions, min_bytes=200, max_bytes=400_000, fold_case=False, nul_in=0).where("error IS NULL")
-    df = df.where(~T.is_translation(F.col("path")))
-    df = df if path_filter is None else df.where(path_filter)
+    """(source, kind, text) of archives for retrieval, as they stand; `build_chunks` cleans by `kind`: files of 200 to 400,000 bytes that are no translation, named by repository and path."""
+    wanted = ~T.is_translation(F.col("path"))
+    wanted = wanted if path_filter is None else wanted & path_filter
+    df = read_archives(spark, path, extensions=extensions, min_bytes=200, max_bytes=400_000, fold_case=False, nul_in=0, where=wanted).where("error IS NULL")
     root = F.element_at(F.split(F.regexp_replace("archive", r"\.zip$", ""), "__"), -1)
     return df.select(F.concat(root, F.lit(":"), F.col("path")).alias("source"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "text")
 
 
 def cve_texts(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of the records of vulnerability archives, rendered; entries of other names and broken records are passed over."""
-    df = read_archives(spark, path, extensions=(".json",), min_bytes=0, max_bytes=1 << 40, nul_in=0).where(F.concat(F.lit("/"), F.col("path")).rlike(CVE_ENTRY))
+    df = read_archives(spark, path, extensions=(".json",), min_bytes=0, max_bytes=1 << 40, nul_in=0, where=F.concat(F.lit("/"), F.col("path")).rlike(CVE_ENTRY))
     parsed = df.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.from_json("text", CVE_SCHEMA).alias("r")).select("file", "r.*")
     return render_cve(parsed.withColumn("cveMetadata", F.col("cveMetadata").withField("file", F.col("file"))), "cveMetadata.file").select(F.concat(F.lit("CVE:"), "id").alias("source"), "text")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import clean_markdown, strip
+from ..functions.text import clean_markdown, decode_leniently, lines_of, strip
 
 CVE_SCHEMA = (
     "cveMetadata struct<cveId:string,state:string>, containers struct<cna:struct<"
@@ -38,13 +38,13 @@ def read_markdown_tree(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.element_at(parts, -2).alias("category"), F.regexp_replace(F.element_at(parts, -1), r"\.md$", "").alias("slug"), F.col("value").alias("text"))
 
 
-def read_lines(spark: SparkSession, path: str, max_bytes: int = 2_000_000, skip: tuple[str, ...] = (".venv/", ".git/", "models/")) -> DataFrame:
-    """(path, line_no, line) of the text files below `path` that are not too large."""
+def read_lines(spark: SparkSession, path: str, max_bytes: int = 2_000_000, skip: tuple[str, ...] = (".venv", "__pycache__", ".git", "/models/")) -> DataFrame:
+    """(path, line_no, line) of the text files below `path` that are not too large; bytes that are no UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
     for s in skip:
         files = files.where(~F.col("path").contains(s))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    lines = lines_of(decode_leniently(F.col("content")))
+    return files.select("path", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def first_english(descriptions: Column) -> Column:

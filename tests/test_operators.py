@@ -1,12 +1,17 @@
 """Quirks that the synthetic tables do not show, and properties."""
 
+import hashlib
+import json
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import codec, text
 from corpusloom.operators import budget, dedup, grounding, reports, retrieval, scan, trace, training
+from corpusloom.plans import corpus
 
 
 def one(spark, value, f):
@@ -28,7 +33,7 @@ def test_running_sums_do_not_depend_on_buckets_or_partitions(spark):
         want[i] = sums.get(g, 0)
         sums[g] = want[i] + n
     for buckets, parts in ((1, 1), (7, 5), (64, 3)):
-        got = budget.running_before(df.repartition(parts), F.col("n"), "id", budget.range_bucket(df, "id", buckets), ["g"])
+        got = budget.running_before(df.repartition(parts), F.col("n"), "id", budget.range_bucket(df, "id", buckets, per_bucket=1), ["g"])
         assert {r.id: r.before for r in got.collect()} == want
 
 
@@ -190,6 +195,128 @@ def test_ids_chosen_before_get_a_number(spark):
     assert {(r.id, r.text) for r in got.collect()} == {("x", "one"), ("x-1", "two"), ("y", "three"), ("z-2", "four")}
 
 
+def test_paragraphs_of_rows_that_share_an_id(spark):
+    p, q, x = ("shared words " * 9).strip(), "only in the first " * 14, "only in the second " * 14
+    rows = [("wiki", 0, 1, f"{p}\n\n{q}"), ("tr-teknik", 1, 1, f"{x}\n\n{p}"), ("wiki", 0, None, f"{p}\n\n{q}more {q}"), ("wiki", 0, None, f"{p}\n\n{x}more {x}"), ("kod", 2, 1, f"{p}\n\n{q}")]
+    df = spark.createDataFrame(rows, "grp string, grp_rank int, doc_id int, text string").repartition(3)
+
+    def brute(rows):
+        seen, out = set(), []
+        for g, _, i, t in sorted(rows, key=lambda r: (r[1], r[2] is not None, r[2] or 0)):
+            kept = [part for part in t.split("\n\n") if len(part.strip()) < 80 or not (part.strip().lower() in seen or seen.add(part.strip().lower()))]
+            text = "\n\n".join(kept).strip()
+            if len(text) >= 200:
+                out.append((i, text))
+        return out
+
+    got = dedup.dedup_paragraphs(df.where("grp <> 'kod'"), id_col="doc_id", text_col="text", order=["grp_rank", "doc_id"])
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    ids = [i for i, _ in found]
+    assert ids.count(1) == 2 and ids.count(None) == 2 and any(t.startswith(q.strip()[:20]) for _, t in found if t) and any(t.startswith(x.strip()[:20]) for _, t in found)
+    assert sum(t.count(p) for _, t in found) == 1 == sum(t.count(p) for _, t in brute([r for r in rows if r[0] != "kod"]))
+    built = corpus.build_corpus(df.select("grp", "doc_id", "text"), {"wiki": 10**9, "tr-teknik": 10**9, "kod": 10**9}).collect()
+    assert len(built) == 5 and {r.split for r in built} <= {"train", "val"}
+    cut = corpus.build_corpus(df.select("grp", "doc_id", "text"), {"wiki": 10, "tr-teknik": 10**9}).collect()
+    assert len(cut) == 2  # the wiki row that crosses the budget, and the other group's row of the same id
+
+
+def test_paragraphs_against_brute_force(spark):
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta"]
+    parts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 30))) for _ in range(40)]
+    rows = [(rng.randrange(3), rng.choice([None, *range(12)]), "\n\n".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))) for _ in range(60)]
+    rows = list({r[:2]: r for r in rows}.values())
+    seen, want = set(), []
+    for _, i, t in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        kept = [p for p in t.split("\n\n") if len(p) < 80 or not (p in seen or seen.add(p))]
+        if len("\n\n".join(kept).strip()) >= 200:
+            want.append((i, "\n\n".join(kept).strip()))
+    got = dedup.dedup_paragraphs(spark.createDataFrame(rows, "g int, id int, text string").repartition(4), id_col="id", text_col="text", order=["g", "id"])
+    assert sorted([tuple(r) for r in got.collect()], key=str) == sorted(want, key=str)
+
+
+def test_chosen_rows_without_a_size_and_ties(spark):
+    rows = [("a", 1, None, "p"), ("a", 2, None, "q"), ("a", 3, 5, "r"), ("a", 4, 5, "r"), ("b", 9, 7, "s" * 1000 + "x"), ("b", 9, 7, "s" * 1000 + "y"), ("b", 8, None, None), ("b", 7, None, None)]
+    df = spark.createDataFrame(rows, "source string, id int, size int, text string").repartition(3)
+    got = dedup.capped_unique(df, {"a": 2, "b": 3}, source_col="source", id_col="id", text_col="text", size_col="size").collect()
+    assert sorted((r.id, r.size) for r in got) == [(1, None), (3, 5), (7, None), (9, 7)] or sorted(((r.id, r.size) for r in got), key=str) == sorted([(1, None), (3, 5), (7, None), (9, 7)], key=str)
+    first = min(rows[4:6], key=lambda r: hashlib.md5(r[3].encode()).hexdigest())
+    assert [r.text for r in got if r.id == 9] == [first[3]]
+
+
+def test_large_dictionaries(spark):
+    rng = random.Random(5)
+    letters = "abcdefg"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 4)))
+    table = {word(): word()[::-1] + "ş" for _ in range(400)}
+    cased = lambda w: rng.choice([w, w.upper(), w.capitalize()])
+    texts = ["".join(cased(word()) + rng.choice([" ", ", ", "-", "\n", "1"]) for _ in range(30)) for _ in range(40)] + ["", None, "...", "ABC abc Abc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    keep = sorted(table)[:20]
+    want = {r.id: r.t for r in df.withColumn("t", text.dict_correct(F.col("t"), table, keep)).collect()}
+    entries = spark.createDataFrame([*table.items(), ("abc", None), (None, "x")], "word string, to string")
+    got = text.correct_words(df, "t", entries, spark.createDataFrame([(k,) for k in keep], "word string"))
+    assert {r.id: r.t for r in got.collect()} == want
+    missing = lambda d: {(r.word, r.n) for r in text.dict_missing(df, ["t"], d, keep).collect()}
+    assert missing(entries.where("to IS NOT NULL")) == missing(table)
+
+
+def test_averages_of_long_series(spark):
+    rng = random.Random(8)
+    rows = [(g, i, rng.random()) for g, n in (("a", 1), ("b", 2), ("c", 5000)) for i in range(n)]
+    want = {}
+    for g, _, v in rows:
+        want[g] = v if g not in want else 0.9 * want[g] + 0.1 * v
+    got = {r.g: r.ema for r in reports.ema(spark.createDataFrame(rows, "g string, i int, v double").repartition(3), "v", "i", 0.1, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+    whole = reports.ema(spark.createDataFrame(rows[3:], "g string, i int, v double"), "v", "i").first().ema
+    assert abs(whole - want["c"]) < 1e-12
+
+
+def test_json_scan_equals_a_parser_at_every_brace():
+    decoder = json.JSONDecoder()
+
+    def plain(t):
+        for brace in re.finditer(r"\{", t):
+            try:
+                _, end = decoder.raw_decode(t, brace.start())
+            except ValueError:
+                continue
+            return t[brace.start() : end]
+        return None
+
+    rng = random.Random(1)
+    pieces = ["{", "}", "[", "]", '"', ":", ",", " ", "a", "1", "\\", '"a":', '{"b":1}', "null", "\n", "-", "0.5", "\\u12ab", '\\"', "NaN"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 18)))
+        assert codec.scan_json(t) == plain(t), t
+
+
+@pytest.mark.parametrize("t", ["{" * 1_000_000, '{"a":' * 200_000, '{"a":[' * 160_000, '{"a":"{","b":' * 80_000])
+def test_json_scan_is_linear(t):
+    began = time.perf_counter()
+    assert codec.scan_json(t) is None and time.perf_counter() - began < 5
+
+
+def test_lines_and_lenient_bytes(spark):
+    rng = random.Random(2)
+    raw = [bytes(rng.choice([0x61, 0xC3, 0xA9, 0xFF, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0x0A]) for _ in range(rng.randint(0, 12))) for _ in range(500)] + ["\ufffd \ue000 \ue001\ue002".encode(), b"\xef\xbf\xbd\xef\xbf"]
+    df = spark.createDataFrame(list(enumerate(raw)), "id int, c binary")
+    assert {r.id: r.t for r in df.select("id", text.decode_leniently(F.col("c")).alias("t")).collect()} == {i: b.decode("utf-8", errors="ignore") for i, b in enumerate(raw)}
+    texts = ["a\nb\n", "", "\n", "a\r\nb\rc", "x\x0by\x0cz\x85w\u2028v\n\n", "one"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", text.lines_of(F.col("t")).alias("l")).collect()
+    assert {r.id: r.l for r in got} == {i: t.splitlines() for i, t in enumerate(texts)}
+
+
+def test_grep_patterns_of_another_dialect(spark):
+    lines = spark.createDataFrame([(1, "  ab BB  " + "x" * 300), (2, "(?P<x>b"), (3, "*+"), (4, "ŞEKER")], "n int, line string")
+    found = lambda p: [r.n for r in scan.grep(lines, p, ["n"]).collect()]
+    assert found(r"(?P<x>b)(?P=x)") == [1] and found("(?P<x>b") == [2] and found("*+") == [3] and found("şeker") == [4]
+    cut = scan.grep(lines, "ab", ["n"]).first().line
+    assert cut == ("ab BB  " + "x" * 300)[:160]
+    assert {r.family: r.example for r in scan.log_triage(lines.select("n", F.concat(F.lit("   sudo "), "line").alias("line")), F.col("n")).collect()}["privilege"].startswith("sudo")
+
+
 def test_stored_index(spark, tmp_path):
     rows = [(1, "red fox red"), (2, "blue fox"), (3, "green"), (4, None), (5, "")]
     df = spark.createDataFrame(rows, "id int, text string")
