@@ -25,7 +25,7 @@ three, which is found on ids alone; only then do texts move. The steps:
    pivot, and those outside a group's largest component, by then few, are held against the group.
 
 Null texts and texts without words have empty sets and link with nothing; very long texts are taken
-whole. A row without an id links with nothing. Rows that repeat an id with equal texts are one class,
+whole; ties of an order go by hash, so that one order holds everywhere. A row without an id links with nothing. Rows that repeat an id with equal texts are one class,
 with different texts they are judged apart; each row is returned, with the smallest id that its own text
 reaches. Only id and text are read, so other names cannot clash. An empty table gives no rows.
 """
@@ -48,7 +48,8 @@ from .sketch import cells, count_cells, member_test, split_by_keys
 from .words import Words, by_places, from_places, mix, slices, sorted_unique
 
 _PERCENT = 100
-_PARTS = 6  # bits: tokens of open groups are dealt to 64 parts
+_PARTS = 6  # bits: what two classes can share of common tokens is bounded in 64 parts
+_SALTS = 20  # bits of a vast group's places
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +99,8 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     """What classes of `texts` (c, z: compressed text) share, by how many of them hold a token.
 
     Rows (x, y, s, part): the number of tokens of two to `rare` classes that x < y share; and (x, null, s,
-    part): the number of tokens of x that more classes hold, in each part that tokens are dealt to. No
-    token gives more than rare² / 2 pairs.
+    part): the number of tokens of x that more classes hold, in one of the 2**deal places that tokens are
+    dealt to, of which 64 parts are made. No token gives more than rare² / 2 pairs.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,26 +131,34 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
             xs.append(ids[i])
             ys.append(ids[i + lag])
         pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
-        return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times]), "part": int(frame["bucket"].iloc[0])})
+        return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times]), "part": int(frame["bucket"].iloc[0]) >> (deal - _PARTS)})
 
     return texts.select("c", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint, part int")
 
 
-def class_keys(doc: np.ndarray, tokens: np.ndarray, count: int) -> np.ndarray:
-    """A 64-bit name of each text's set."""
+def class_keys(doc: np.ndarray, tokens: np.ndarray, count: int, clashes: np.ndarray | None = None) -> np.ndarray:
+    """Two 64-bit digests of each text's set, as columns. The first names the set; the second does where the first is one of `clashes`, names of several sets."""
     cuts = np.searchsorted(doc, np.arange(count + 1))
-    return np.array([int.from_bytes(hashlib.blake2b(tokens[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], np.int64)
+    raw = b"".join(hashlib.blake2b(tokens[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    keys = np.frombuffer(raw, "<i8").reshape(count, 2).copy()
+    if clashes is not None and len(clashes):
+        twice = np.isin(keys[:, 0], clashes)
+        keys[twice, 0] = keys[twice, 1]
+    return keys
 
 
 def fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return _PERCENT * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: int) -> DataFrame:
+def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: int, counted: Callable[[np.ndarray], np.ndarray], vast: int) -> DataFrame:
     """Where prefixes (c, n, kind: order, first: tokens) meet, by order.
 
-    Pairs (kind, x < y, token null, times): how often they meet in small groups, or `least` for those of a
-    pivot; and the members of larger groups (kind, x, its size as y, token).
+    Pairs (kind, x < y, token null, times): how often they meet in small groups, where a link that needs
+    fewer common tokens than `least` counts each the more, or `least` for those of a pivot; and the members
+    of larger groups (kind, x, its size as y, token). A token that `counted` puts into more than `vast`
+    documents is dealt to as many more places by class, each with a pivot of its own: a larger group,
+    however few meet in a place.
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +168,23 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
             per = np.array([len(x) // 8 for x in raw], np.int64)
             ids, n, kind = (np.repeat(batch.column(c).to_numpy(), per) for c in ("c", "n", "kind"))
             place = (kind.astype(np.int64) << deal) + cells(tokens, deal)
+            many = counted(tokens) if len(tokens) else np.zeros(0, np.int64)
+            salts = np.where(many > vast, many // vast + 1, 0)
+            salted = np.flatnonzero(salts)
+            salt = np.zeros(len(tokens), np.int64)
+            salt[salted] = 1 + (mix(ids[salted].view(np.uint64), 5) % salts[salted].astype(np.uint64)).astype(np.int64)
+            place = (place << _SALTS) + np.minimum(salt, (1 << _SALTS) - 1)
             order = np.lexsort((tokens, place))
             tokens, ids, n, place = tokens[order], ids[order], n[order], place[order]
             at, start = np.unique(place, return_index=True)
             ends = np.append(start[1:], len(place))[: len(at)]
             rows = [(int(i), *(by_places(x[a:b]) for x in (tokens, ids, n.astype(np.int32)))) for i, a, b in zip(at, start, ends, strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "token", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "token", "ids", "n"])
+
+    def summed(pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, where = np.unique(pairs, axis=0, return_inverse=True)
+        return known, np.bincount(where.ravel(), weights, len(known)).astype(np.int64)
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         token, ids, n = (np.concatenate([from_places(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64), ("n", np.int32)))
@@ -174,12 +193,16 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
         token, ids, n = token[order], ids[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if int(frame["bucket"].iloc[0]) % (1 << _SALTS):  # a part of a vast group
+            size = np.maximum(size, small + 1)
+        xs, ys, ws = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
         def pair(i: np.ndarray, j: np.ndarray) -> None:
             ok = fits(n[i], n[j], percent) & (ids[i] != ids[j])
             xs.append(np.minimum(ids[i], ids[j])[ok])
             ys.append(np.maximum(ids[i], ids[j])[ok])
+            need = -(-percent * (n[i] + n[j])[ok] // (_PERCENT + percent))
+            ws.append(-(-least // np.clip(need, 1, least)))
 
         few = np.flatnonzero((size > 1) & (size <= small))
         for lag in range(1, small):
@@ -188,27 +211,28 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
             if not len(i):
                 break
             pair(i, i + lag)
-        pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
+        pairs, times = summed(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), np.concatenate(ws))
         large = np.flatnonzero(size > small)
         xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(large):
             known, where, met = np.unique(ids[large], return_inverse=True, return_counts=True)
             weight = np.zeros(len(token), np.int64)
             weight[large] = met[where]
+            ends = np.append(first[1:], len(token))
             for a in first[size[first] > small]:
-                own = np.arange(a, a + size[a])
+                own = np.arange(a, ends[np.searchsorted(first, a)])
                 pivot = own[np.argmax(weight[own])]
                 pair(own, np.full(len(own), pivot))
         star = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
         pairs, times = np.concatenate([pairs, star]), np.concatenate([times, np.full(len(star), least)])
         return pd.DataFrame({
-            "kind": int(frame["bucket"].iloc[0]) >> deal,
+            "kind": int(frame["bucket"].iloc[0]) >> (deal + _SALTS),
             "x": np.concatenate([pairs[:, 0], ids[large]]), "y": np.concatenate([pairs[:, 1], n[large]]),
             "token": pd.array([None] * len(pairs) + token[large].view(np.int64).tolist(), dtype="Int64"),
             "times": np.concatenate([times, np.zeros(len(large), np.int64)]),
         })
 
-    packed = "bucket int, token binary, ids binary, n binary"
+    packed = "bucket bigint, token binary, ids binary, n binary"
     return prefixes.select("c", "n", "kind", "first").mapInArrow(dealt, packed).groupBy("bucket").applyInPandas(meet, "kind int, x bigint, y bigint, token bigint, times bigint")
 
 
@@ -238,9 +262,12 @@ def links(found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
 
 def ngram_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90,
-    bits: int | None = None, small: int = 8, rare: int = 12, shared_least: int = 3,
+    bits: int | None = None, small: int = 8, rare: int = 12, shared_least: int = 3, vast: int = 50_000, by_text: bool = False,
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of each document: the smallest id that links of `percent` or more reach.
+    """(id, n_shingles, component_id[, root, text_md5]) of each document: the smallest id that links of `percent` or more reach.
+
+    With `by_text` each row also tells its text's digest and its component, by a class of it: rows of one
+    id may be of several components.
 
     The two count tables have a cell for about every 256 bytes of text, 2**24 (128 MB on the driver and each
     executor) at most. Only prefixes, pairs and the texts of classes in candidate pairs are shuffled.
@@ -266,13 +293,21 @@ def ngram_components(
             d, first = orders.prefix(doc, tokens, prefix_length(n, percent, shared_least), 0)
             at = np.searchsorted(d, np.arange(len(batch) + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(class_keys(doc, tokens, len(batch))), pa.array([first[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                names=["id", "n", "c", "first"],
+                [batch.column("id"), batch.column("text_md5"), pa.array(n, pa.int64()), *map(pa.array, class_keys(doc, tokens, len(batch)).T.copy()), pa.array([first[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                names=["id", "text_md5", "n", "c", "d", "first"],
             )
 
-    sets = cut(everything.mapInArrow(described, "id bigint, n bigint, c bigint, first binary"))
+    digest = "md5(text)" if by_text else "CAST(NULL AS string)"
+    sets = cut(everything.selectExpr("*", f"{digest} AS text_md5").mapInArrow(described, "id bigint, text_md5 string, n bigint, c bigint, d bigint, first binary"))
     usable = sets.where("id IS NOT NULL AND n > 0")
-    classes = cut(usable.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
+    named = usable.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("d").alias("one"), F.max("d").alias("other"))
+    classes = cut(named)
+    clashes = np.array([r.c for r in classes.where("one <> other").select("c").collect()], np.int64)  # by chance one for 10**10 classes or so
+    if len(clashes):
+        sets = sets.withColumn("c", F.when(F.col("c").isin(clashes.tolist()), F.col("d")).otherwise(F.col("c")))
+        usable = sets.where("id IS NOT NULL AND n > 0")
+        classes = cut(usable.groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
+    classes = classes.select("c", "rep", "rows")
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     # the least id of a class speaks for it; rows of classes of one row, which are most, are told by a bitmap and not shuffled
     often = classes.where("rows > 1")
@@ -283,10 +318,18 @@ def ngram_components(
     rest = some.join(hot.select("c"), "c", "left_anti").join(heads, "c", "left").where("rep IS NULL OR id = rep").drop("rep")
     leaders = alone.unionByName(crowd.unionByName(rest).dropDuplicates(["c"]))
 
-    met = cut(meetings(leaders.select("c", "n", "first", F.lit(0).alias("kind")), deal, small, shared_least, percent))
+    def held_by(tokens: np.ndarray) -> np.ndarray:
+        """In how many documents tokens are, at least."""
+        one, two = (table[cells(h, bits)] for table, h in zip(shared.value, (mix(tokens, 1), mix(tokens, 2)), strict=True))
+        return np.minimum(one, two).astype(np.int64)
+
+    def met_of(prefixes: DataFrame) -> DataFrame:
+        return cut(meetings(prefixes, deal, small, shared_least, percent, held_by, vast))
+
+    met = met_of(leaders.select("c", "n", "first", F.lit(0).alias("kind")))
 
     def met_often(found: DataFrame) -> DataFrame:
-        # a link shares so many prefix tokens; one that meets in fewer small groups meets in a large one too, and is found there
+        # a link shares so many prefix tokens, or all it needs; one that meets in fewer small groups meets in a large one too, and is found there
         return found.where("token IS NULL").groupBy("kind", "x", "y").agg(F.sum("times").alias("times")).where(F.col("times") >= shared_least).select("kind", "x", "y")
 
     def both_ends(found: DataFrame) -> DataFrame:
@@ -307,7 +350,7 @@ def ngram_components(
                 if len(part):
                     doc, tokens = shingle_sets(part.column("text"), k)
                     made = make(part.column("text"), doc, tokens, np.bincount(doc, minlength=len(part)))
-                    yield pa.RecordBatch.from_arrays([pa.array(class_keys(doc, tokens, len(part))), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(class_keys(doc, tokens, len(part), clashes)[:, 0].copy()), *(x if isinstance(x, pa.Array) else pa.array(x) for x in made)], names=columns)
 
         found = everything.where("id IS NOT NULL").mapInArrow(run, "c bigint, " + names)
         return cut(found.join(wanted.hint("shuffle_hash"), "c", "left_semi").dropDuplicates(["c"]))
@@ -327,7 +370,7 @@ def ngram_components(
     groups = met.where("token IS NOT NULL").select("kind", "token", F.col("x").alias("c"), F.col("y").alias("n"))
     later = of_classes(both_ends(pairs).unionByName(groups.select("c")).distinct(), later_prefixes, "n bigint, second binary, third binary")
     later = later.select("c", "n", F.lit(1).alias("kind"), F.col("second").alias("first")).unionByName(later.select("c", "n", F.lit(2).alias("kind"), F.col("third").alias("first")))
-    again = cut(meetings(later, deal, small, shared_least, percent))
+    again = met_of(later)
     pairs = pairs.unionByName(met_often(again)).groupBy("x", "y").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("under"))
     all_groups = groups.unionByName(again.where("token IS NOT NULL").select("kind", "token", F.col("x").alias("c"), F.col("y").alias("n")))
     shares = cut(all_groups.groupBy("c").agg(*(F.collect_set(F.when(F.col("kind") == j, F.col("token"))).alias(f"g{j}") for j in range(3))))
@@ -347,8 +390,8 @@ def ngram_components(
         rest = cut(join_classes(placed, split, "token", placed.count()))
         if rest.take(1):
             texts = of_classes(rest.select("c").distinct(), compressed, "z binary")
-            met_by = cut(rare_and_core(texts, k, _PARTS, rare))
-            core = met_by.where("y IS NULL").groupBy(F.col("x").alias("c")).agg(F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("v"))
+            met_by = cut(rare_and_core(texts, k, deal, rare))
+            core = met_by.where("y IS NULL").groupBy(F.col("x").alias("c"), "part").agg(F.sum("s").alias("s")).groupBy("c").agg(F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("v"))
             core = core.select("c", "s", F.transform(F.sequence(F.lit(0), F.lit((1 << _PARTS) - 1)), lambda i: F.coalesce(F.try_element_at("v", i), F.lit(0)).cast("int")).alias("v"))
             none = F.array_repeat(F.lit(0), 1 << _PARTS)
             known = rest.groupBy("c").agg(F.first("n").alias("n"), F.first("k").alias("k")).join(core, "c", "left")
@@ -398,11 +441,12 @@ def ngram_components(
     # the least id of each component, for the classes of a link or of more than one row
     linked = reached.withColumnRenamed("node", "c").join(classes, "c")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    named = often.join(reached.select(F.col("node").alias("c")), "c", "left_anti").select("c", "rows", F.col("rep").alias("component_id"))
-    named = cut(named.unionByName(linked.join(least, "component").select("c", "rows", F.col("least").alias("component_id"))))
-    hot = named.where(F.col("rows") * p > total).select("c", "component_id")
-    plain = sets.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
-    of_hot = usable.join(F.broadcast(hot), "c").select("id", "n", "component_id")
+    named = often.join(reached.select(F.col("node").alias("c")), "c", "left_anti").select("c", "rows", F.col("rep").alias("component_id"), F.col("c").alias("root"))
+    named = cut(named.unionByName(linked.join(least, "component").select("c", "rows", F.col("least").alias("component_id"), F.col("component").alias("root"))))
+    hot = named.where(F.col("rows") * p > total).select("c", "component_id", "root")
+    columns = ["id", "n", "component_id", "root", "text_md5"]
+    plain = sets.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("root"), "text_md5")
+    of_hot = usable.join(F.broadcast(hot), "c").select(columns)
     others = usable.join(F.broadcast(hot.select("c")), "c", "left_anti").join(named.where(F.col("rows") * p <= total).drop("rows"), "c", "left")
-    out = plain.unionByName(of_hot).unionByName(others.select("id", "n", F.coalesce("component_id", "id").alias("component_id")))
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind))
+    out = plain.unionByName(of_hot).unionByName(others.select("id", "n", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("root", "c").alias("root"), "text_md5"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind), *(["root", "text_md5"] if by_text else []))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 import corpusloom.llm.ngram_join as module
 from corpusloom.llm.ngram_join import ngram_components
@@ -9,13 +10,13 @@ from corpusloom.llm.ngram_join import ngram_components
 SCHEMA = "doc_id bigint, text string, n bigint, component string, id int"
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, k=3, percent=90):
+    sets = [shingles(t, k) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -26,7 +27,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -36,7 +37,7 @@ def brute(rows):
 
 def check(spark, rows, **more):
     df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], SCHEMA).repartition(3)
-    assert sorted(map(tuple, ngram_components(df, **more).collect())) == brute(rows)
+    assert sorted(map(tuple, ngram_components(df, **more).collect())) == brute(rows, more.get("k", 3), more.get("percent", 90))
 
 
 def corpus(seed, n_base=25, copies=7):
@@ -121,3 +122,38 @@ def test_counts_past_16_bits(spark):
     df = spark.range(75_000).selectExpr("cast(7 AS bigint) AS v").coalesce(1)
     counts = count_cells(df, lambda b: iter([[b.column("v").to_numpy().astype(np.uint64) << np.uint64(60)]]), 12)[0]
     assert counts.max() == 75_000 and counts.sum() == 75_000
+
+
+@pytest.mark.parametrize("k,percent", [(1, 50), (1, 30), (2, 40), (3, 60), (5, 80), (2, 95), (4, 35)])
+def test_other_sizes_and_thresholds(spark, k, percent):
+    rng = random.Random(100 * k + percent)
+    rows = corpus(k * percent, n_base=14, copies=5) + [(990_000, "a b"), (990_001, "a"), (990_002, "c d e f"), (990_003, "c d")]
+    rows += [(991_000 + i, " ".join(rng.choice("pqrstuvw") for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    check(spark, rows, k=k, percent=percent, **({"small": 2, "rare": 3} if k % 2 else {}))
+
+
+def test_vast_groups_are_dealt_out(spark):
+    rng = random.Random(77)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for d in range(160):
+        w = list(base)
+        for i in rng.sample(range(60), rng.choice([0, 1, 2, 3])):
+            w[i] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    check(spark, rows, vast=20, small=4)
+
+
+def test_names_that_clash(spark, monkeypatch):
+    true = module.class_keys
+
+    def narrow(doc, tokens, count, clashes=None):
+        keys = true(doc, tokens, count)
+        keys[:, 0] %= 5
+        if clashes is not None and len(clashes):
+            twice = np.isin(keys[:, 0], clashes)
+            keys[twice, 0] = keys[twice, 1]
+        return keys
+
+    monkeypatch.setattr(module, "class_keys", narrow)
+    check(spark, corpus(5, n_base=10))
