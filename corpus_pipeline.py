@@ -1,8 +1,10 @@
 """The corpus pipeline: documents to token ids, in five stages.
 
 Each stage takes all that its predecessor kept, as written, and its decisions take effect. All but the
-last return the columns of `documents`. Rows are judged and masked by their own text, without an id too;
-null and empty texts fail the quality rules; an empty table gives an empty result.
+last return the columns of `documents`. Rows are judged and masked by their own text, whatever their id;
+null and empty texts fail the quality rules, very long ones are taken whole, equal rows are one after the
+near duplicates; ties go as each operator says. The stages read `documents`' columns by name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,16 +32,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates, once: those whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-    Of rows that share a kept id the one of the least text by digest stays, of equal texts the least row.
-    Rows without an id cannot be told apart by it, and stay.
+    A row goes only if its own text is a repeat: of rows of a group that share its least id the one of the
+    least text by digest stays, of equal texts the least row. Rows that share an id and are of different
+    groups are judged apart. Rows without an id or without words link with nothing, and stay.
     """
-    found = cut(ngram_components(docs, k=5, percent=80).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")))
-    touched = found.where("n > 1 OR doc_id <> least")  # few beside the rest, which is not shuffled
-    sure, maybe = split_by_keys(docs, F.col("doc_id"), touched.select("doc_id"))
-    alone = maybe.join(touched.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
-    repeated = maybe.join(touched.where("doc_id = least").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    found = cut(ngram_components(docs, k=5, percent=80, by_text=True).where("doc_id IS NOT NULL AND n_shingles > 0"))
+    gone = found.where("doc_id <> component_id").select("doc_id", "text_md5", F.lit(False).alias("stays"))
+    texts = found.where("doc_id = component_id").groupBy("root", "doc_id", "text_md5").agg(F.count("*").alias("n"))
+    several = texts.groupBy("root", "doc_id").agg(F.min("text_md5").alias("least"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    first = texts.join(several, ["root", "doc_id"]).select("doc_id", "text_md5", (F.col("text_md5") == F.col("least")).alias("stays"))
+    key = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text_md5"))
+    touched = cut(gone.unionByName(first).select(key.alias("key"), "stays").distinct())  # few beside the rest, which is not shuffled
+    own = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.md5("text"))
+    sure, maybe = split_by_keys(docs, own, touched.select("key"))
+    maybe = maybe.withColumn("key", own)
+    alone = maybe.join(touched.select("key").hint("shuffle_hash"), "key", "left_anti").select(docs.columns)
+    repeated = maybe.join(touched.where("stays").select("key").hint("shuffle_hash"), "key", "left_semi")
     row = F.struct(*docs.columns)
-    firsts = repeated.groupBy("doc_id").agg(F.min_by(row, F.struct(F.md5("text"), F.to_json(row))).alias("row")).select("row.*")
+    firsts = repeated.groupBy("key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return sure.unionByName(alone).unionByName(firsts.select(docs.columns))
 
 
