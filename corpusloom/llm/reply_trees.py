@@ -95,6 +95,8 @@ def chat_paths(tree: DataFrame, *, id_col: str = "id", parent_col: str = "parent
     for k, level in reversed(list(enumerate(jumps))):
         both = F.array_compact(F.array(F.struct("node", "depth"), F.when(F.col("far").isNotNull(), F.struct(F.col("far").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))))
         out = out.join(level, "node", "left").select("leaf", "root", "branch", "score", F.explode(both).alias("at")).select("leaf", "root", "branch", "score", "at.depth", "at.node")
+        if k % 3 == 0:
+            out = cut(out)  # short plans; ids alone
     return out
 
 
