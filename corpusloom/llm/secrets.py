@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, quoted
+from .common import cut, free_name, join_classes, quoted
 from .sketch import split_by_keys
 from .words import slices
 
@@ -101,7 +101,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repository: str = "source",
-    example_owners: int = 3, example_repositories: int = 8, min_entropy: float = 2.5, salts: int = 16,
+    example_owners: int = 3, example_repositories: int = 8, min_entropy: float = 2.5,
 ) -> DataFrame:
     """One row for each document: (id, n_assign, n_access, n_hex, base_sha256, spans, n_live, live, n_example, text_md5).
 
@@ -110,15 +110,15 @@ def scan_secrets(
     Any other whose entropy reaches `min_entropy` is live-looking. Base spans all stay in `spans`; spans of
     the further kinds are added if live-looking. `live` lists the live-looking spans.
 
-    The one pass over texts is checkpointed; only candidates are shuffled. A value of very many documents
-    is spread over `salts` keys when the verdicts are joined back.
+    The one pass over texts is checkpointed; only candidates are shuffled. Verdicts of
+    values that would crowd a task are broadcast when they are joined back, the others go by value.
     """
     found = cut(scan(docs, id_col, text_col, owner, repository).withColumn("row", F.monotonically_increasing_id()))
-    verdicts = ownership(found).select("value", ((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)).alias("example"))
-    verdicts = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    verdicts = cut(ownership(found).select("value", "n", ((F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)).alias("example")))
+    total = verdicts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     carried = ["id", "text_md5", "n_assign", "n_access", "n_hex", "base_sha256"]
     spans = found.where(F.size("found") > 0).select("row", *carried, F.explode("found").alias("s"))
-    spans = spans.select("row", *carried, "s.*", F.pmod(F.hash("row", "s.start"), F.lit(salts)).alias("salt")).join(verdicts, ["value", "salt"])
+    spans = join_classes(spans.select("row", *carried, "s.*"), verdicts, "value", total)
     live = ~F.col("example") & (F.col("entropy") >= min_entropy)
     judged = spans.groupBy("row").agg(
         *(F.first(c).alias(c) for c in carried),
