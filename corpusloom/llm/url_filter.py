@@ -41,16 +41,24 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_
     """(id, fetched, n_active, kept, host_matched, list_matched) of each capture.
 
     `n_active` counts the active entries met; the match shown is of the longest domain, then the first
-    list. Only keys of captures are shuffled, never pages. Captures of a crowded host are spread over
-    `salts` keys, a quarter as many as shuffle partitions unless given, to each of which that host's few
-    intervals are copied. Those without a host are not joined.
+    list. Only keys of captures are shuffled, never pages. Domains are counted first: those of over one in
+    p captures, with p shuffle partitions, are crowded. Their captures are spread over `salts` keys, a
+    quarter as many as partitions unless given, to each of which the domain's intervals are copied; all
+    others are joined once. Captures without a host are not joined.
     """
-    salts = salts or max(16, partitions(captures.sparkSession) // 4)
+    p = partitions(captures.sparkSession)
+    salts = salts or max(16, p // 4)
     keys = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(time_col).alias("fetched"), host(F.col(url_col)).alias("name"))
-    active = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hostless = keys.where("name = '' OR fetched IS NULL").select("id", "fetched", F.lit(0).cast("long").alias("n_active"), F.lit(None).cast("struct<host:string,list:string>").alias("best"))
     # one row for each capture and domain
-    tried = keys.where("name <> '' AND fetched IS NOT NULL").select("id", "fetched", "row", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt"), F.posexplode(domains(F.col("name"))).alias("depth", "host"))
+    tried = keys.where("name <> '' AND fetched IS NOT NULL").select("id", "fetched", "row", F.posexplode(domains(F.col("name"))).alias("depth", "host"))
+    named = captures.where(F.col(time_col).isNotNull()).select(host(F.col(url_col)).alias("name")).where("name <> ''")
+    each = named.groupBy("name").agg(F.count("*").alias("n")).select("n", F.explode(domains(F.col("name"))).alias("host")).groupBy("host").agg(F.sum("n").alias("n"))
+    total = named.count()
+    crowded = F.broadcast(each.where(F.col("n") * p > total).select("host", F.lit(True).alias("crowded")))  # at most p for each label of a host
+    tried = tried.join(crowded, "host", "left").withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).otherwise(0))
+    copies = F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    active = intervals(entries).join(crowded, "host", "left").withColumn("salt", F.explode(copies)).drop("crowded")
     asof = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     met = tried.alias("t").join(active.alias("a"), (F.col("t.host") == F.col("a.host")) & (F.col("t.salt") == F.col("a.salt")) & asof, "left")
     best = F.min(F.when(F.col("a.list").isNotNull(), F.struct("t.depth", "a.list", F.col("t.host").alias("host"))))
