@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 
 def ground_topics(docs: DataFrame, topics: Mapping[str, Sequence[str]], *, id_col: str, text_col: str, per_topic: int, max_chars: int, order: Sequence[str]) -> DataFrame:
     """(slug, rank, id, text) of the first documents that hold any of a topic's keywords.
@@ -21,6 +24,42 @@ def ground_topics(docs: DataFrame, topics: Mapping[str, Sequence[str]], *, id_co
     return ranked.select("slug", "rank", id_col, "text")
 
 
+def _grams(c: Column, size: int) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def ground_table(
+    docs: DataFrame, topics: DataFrame, *, id_col: str, text_col: str, per_topic: int, max_chars: int, order: Sequence[str], gram: int = 4,
+) -> DataFrame:
+    """`ground_topics` for a table of topics (slug, keyword) of any size. Ids of `docs` are unique.
+
+    A text that holds a keyword holds each of its grams, so a keyword is looked for by the one that the
+    fewest texts hold: an equi-join of grams. Keywords with a gram that no text holds leave. Only ids and
+    grams are joined; the few candidates then meet their texts, where the keyword itself is tested.
+    """
+    words = checkpointed(topics.select("slug", F.lower("keyword").alias("keyword")).where("keyword <> ''").distinct())
+    sized = words.select("keyword", F.least(F.length("keyword"), F.lit(gram)).alias("size")).distinct()
+    low = docs.select(F.col(id_col).alias("_id"), F.lower(text_col).alias("low"))
+    sizes = [r.size for r in sized.select("size").distinct().collect()]  # `gram` at most
+    if not sizes:
+        return docs.select(F.lit("").alias("slug"), F.lit(0).alias("rank"), id_col, F.col(text_col).alias("text")).limit(0)
+    all_of = lambda d, c, *keep: reduce(DataFrame.unionByName, [d(n).select(*keep, F.explode(_grams(F.col(c), n)).alias("gram")) for n in sizes])
+    of_words = checkpointed(all_of(lambda n: sized.where(F.col("size") == n), "keyword", "keyword"))
+    of_texts = all_of(lambda n: low, "low", "_id")
+    asked = of_words.select("gram").distinct()
+    held = of_texts.join(asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = of_words.join(held, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("absent"))
+    chosen = checkpointed(ranked.where("absent = 0").select("keyword", "gram"))
+    candidates = of_texts.join(chosen, "gram").groupBy("_id").agg(F.collect_set("keyword").alias("keywords"))
+    met = docs.withColumn("_id", F.col(id_col)).join(candidates, "_id")
+    met = met.withColumn("_found", F.filter("keywords", lambda k: F.lower(text_col).contains(k))).where(F.size("_found") > 0)
+    found = met.select(id_col, *[c for c in order if c != id_col], F.substring(text_col, 1, max_chars).alias("text"), F.explode("_found").alias("keyword"))
+    matched = found.join(words, "keyword").drop("keyword").distinct()
+    ranked = matched.withColumn("rank", F.row_number().over(Window.partitionBy("slug").orderBy(*order))).where(F.col("rank") <= per_topic)
+    return ranked.select("slug", "rank", id_col, "text")
+
+
 def _any(low: Column, words: Sequence[str]) -> Column:
     out = F.lit(False)
     for w in words:

@@ -2,35 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..checkpoints import hadoop
 from ..operators.scan import LOG_FAMILIES
 
 
+def committed(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bytes of text of each batch of a bounded read that is written and logged at `path`."""
+    system, top = hadoop(spark, f"{path}/_log")
+    if not system.exists(top):
+        return {}
+    names = [f.getPath().getName() for f in system.listStatus(top)]
+    done = [n for n in names if system.exists(hadoop(spark, f"{path}/_log/{n}/_SUCCESS")[1])]
+    return {r.batch: r.bytes for r in spark.read.schema("batch bigint, bytes bigint").json([f"{path}/_log/{n}" for n in done]).collect()} if done else {}
+
+
 def read_until(stream: DataFrame, path: str, checkpoint: str, *, text_col: str, target_bytes: int, timeout: int = 600) -> int:
-    """Append a stream's rows to Parquet until `target_bytes` of text are there; the micro-batch that crosses it is kept. Returns the bytes written."""
-    state = {"bytes": 0, "done": False}
+    """Write a stream's rows as Parquet until `target_bytes` of text are there; the micro-batch that crosses it is kept. Returns the bytes written.
+
+    Each micro-batch is a folder `batch=n`, written over what an interrupted try has left, and then logged
+    with its bytes. The log is what counts: a read that is started again with the same `path` and
+    `checkpoint` goes on from it, a replayed batch that is logged is not written again, and at the target
+    nothing is read any more. So a read that was killed anywhere ends with the rows of one run.
+    """
+    spark = stream.sparkSession
+    done = committed(spark, path)
 
     def write(batch: DataFrame, number: int) -> None:
-        if state["done"]:
+        if number in done:
             return
-        batch.persist()
-        batch.write.mode("append").parquet(path)
-        state["bytes"] += batch.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-        batch.unpersist()
-        state["done"] = state["bytes"] >= target_bytes
+        if sum(done.values()) >= target_bytes:
+            raise RuntimeError("the target is reached")  # so that this batch is not taken for done, and is there for a later read
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        size = spark.read.schema(batch.schema).parquet(f"{path}/batch={number}").agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+        spark.createDataFrame([(number, int(size))], "batch bigint, bytes bigint").coalesce(1).write.mode("overwrite").json(f"{path}/_log/{number:08d}")
+        done[number] = int(size)
 
+    if sum(done.values()) >= target_bytes:
+        return sum(done.values())
     query: StreamingQuery = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
     waited = 0.0
-    while query.isActive and not state["done"] and waited < timeout:
-        query.awaitTermination(0.5)
-        waited += 0.5
-        if not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress:
-            break
-    query.stop()
-    return state["bytes"]
+    try:
+        while query.isActive and sum(done.values()) < target_bytes and waited < timeout:
+            query.awaitTermination(0.5)
+            waited += 0.5
+            if not query.status["isDataAvailable"] and not query.status["isTriggerActive"] and query.lastProgress:
+                break
+    except StreamingQueryException:
+        if sum(done.values()) < target_bytes:
+            raise
+    finally:
+        query.stop()
+    return sum(done.values())
 
 
 def dedup_stream(stream: DataFrame, text_col: str, time_col: str, delay: str = "1 hour") -> DataFrame:
