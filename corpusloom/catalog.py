@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import base64
-import re
-import urllib.parse
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import new_folder
 from .functions import codec, text
-from .operators import budget, dedup, grounding, reports, retrieval, scan, trace, training
+from .operators import blockmax, budget, dedup, grounding, reports, retrieval, scan, seen, tokenstream, trace, training
 from .plans import corpus
-from .sources import records
+from .sources import records, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -53,6 +51,8 @@ def values(rows: list[tuple], names: str) -> str:
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
+_SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
 def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -188,12 +188,11 @@ def source_union(spark, sf):
     return grounding.union_all(one("documents", s("doc_id"), "text"), one("pages", s("page_id"), "html"), one("conversations", F.concat_ws(":", s("conv_id"), s("turn")), "text"))
 
 
-_SLUGS = [(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, "c")]
-
-
-@query("SELECT * FROM " + values([(1, "a"), (2, "a-2"), (3, "b"), (4, "a-3"), (5, "c")], "id, slug"))
+@query(rf"""SELECT doc_id, slug || CASE WHEN r > 1 THEN '-' || r::VARCHAR ELSE '' END AS slug FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS r
+FROM (SELECT doc_id, {_SLUG.format('substr(text, 1, 4)')} AS slug FROM documents) s) t""")
 def slug_collisions(spark, sf):
-    return dedup.unique_slugs(spark.createDataFrame(_SLUGS, "id int, slug string"), "slug", "id")
+    d = table(spark, sf, "documents").select("doc_id", text.slugify(F.substring("text", 1, 4)).alias("slug"))
+    return dedup.unique_slugs(d, "slug", "doc_id")
 
 
 # --- cleaning -----------------------------------------------------------------------------------------
@@ -215,37 +214,34 @@ def html_strip(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text.clean_markdown(F.col("html"), "retrieve")).alias("text_md5"))
 
 
-_MD = [(1, "a <!-- gone\ntoo --> b"), (2, "![pic](x.png) see [the page](http://x/y) now"), (3, "```py\nx = 1\n```\n<b>bold</b>"), (4, "plain"), (5, "")]
+_MARKED_UP = "'<!-- ' || url || chr(10) || ' -->![pic](' || url || ') see [' || url || '](' || url || ')' || chr(10) || html || chr(10) || '```py' || chr(10) || url || '```'"
 
 
 @query(
-    r"SELECT id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g') AS prepared, "
-    + _MD2.format("text") + " AS retrieved FROM " + values(_MD, "id, text")
+    r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')) AS prepared, "
+    + f"md5({_MD2.format('text')}) AS retrieved FROM (SELECT page_id, {_MARKED_UP} AS text FROM pages) t"
 )
 def md_clean(spark, sf):
-    d = spark.createDataFrame(_MD, "id int, text string")
-    return d.select("id", text.clean_markdown(F.col("text")).alias("prepared"), text.clean_markdown(F.col("text"), "retrieve").alias("retrieved"))
+    d = table(spark, sf, "pages").select("page_id", F.expr(_MARKED_UP.replace("chr(10)", "char(10)")).alias("text"))
+    return d.select("page_id", F.md5(text.clean_markdown(F.col("text"))).alias("prepared"), F.md5(text.clean_markdown(F.col("text"), "retrieve")).alias("retrieved"))
 
 
-_RST = [(1, "See :func:`open` now::\n\n  x"), (2, ":ref:`title <target>` and :mod:`~a.b`"), (3, "text\n.. note:: hidden\nmore"), (4, "  .. comment\nkept")]
+_DIRECTED = "'See :func:`' || lang || '` in :ref:`' || source || ' <' || lang || '>` and :mod:`~' || source || '`::' || chr(10) || text || chr(10) || '.. note:: ' || lang || chr(10) || '  .. comment' || chr(10) || source"
 
 
-@query("SELECT * FROM " + values([
-    (1, "See open now::\n\n  x", "See open now:\n\n  x"), (2, "title <target> and ~a.b", "title and a.b"),
-    (3, "text\nmore", "text\n\nmore"), (4, "kept", "\nkept"),
-], "id, prepared, retrieved"))
+@query(rf"""SELECT doc_id, md5(array_to_string(list_filter(string_split(regexp_replace(text, ':[a-z]+:`([^`]+)`', '\1', 'g'), chr(10)), lambda s: NOT starts_with(regexp_replace(s, '^\s+', ''), '.. ')), chr(10))) AS prepared,
+md5(regexp_replace(regexp_replace(regexp_replace(replace(text, '::' || chr(10), ':' || chr(10)), ':[a-z:]+:`~?([^`<]+?)(?:\s*<[^>]*>)?`', '\1', 'g'), '\.\. [a-z-]+::.*', '', 'g'), '(?m)^\s*\.\..*$', '', 'g')) AS retrieved
+FROM (SELECT doc_id, {_DIRECTED} AS text FROM documents) t""")
 def rst_clean(spark, sf):
-    d = spark.createDataFrame(_RST, "id int, text string")
-    return d.select("id", text.clean_rst(F.col("text")).alias("prepared"), text.clean_rst(F.col("text"), "retrieve").alias("retrieved"))
-
+    d = table(spark, sf, "documents").select("doc_id", F.expr(_DIRECTED.replace("chr(10)", "char(10)")).alias("text"))
+    return d.select("doc_id", F.md5(text.clean_rst(F.col("text"))).alias("prepared"), F.md5(text.clean_rst(F.col("text"), "retrieve")).alias("retrieved"))
 
-_CTRL = [(1, "a\tb\nc\rd"), (2, "bell\x07end"), (3, "zero​width"), (4, "  two  spaces "), (5, "")]
 
-
-@query(rf"""SELECT id, t AS clean, {STRIP.format("regexp_replace(t, '[[:space:]]+', ' ', 'g')")} AS collapsed FROM (SELECT id, regexp_replace(translate(text, chr(10) || chr(13) || chr(9), '   '), '\p{{C}}', '', 'g') AS t FROM {values(_CTRL, "id, text")}) s""")
+@query(rf"""SELECT conv_id, turn, md5(t) AS clean, md5({STRIP.format("regexp_replace(t, '[[:space:]]+', ' ', 'g')")}) AS collapsed
+FROM (SELECT conv_id, turn, regexp_replace(translate(text || chr(9) || chr(7) || role || chr(13) || chr(27) || ' ', chr(10) || chr(13) || chr(9), '   '), '\p{{C}}', '', 'g') AS t FROM conversations) s""")
 def ctrl_clean(spark, sf):
-    d = spark.createDataFrame(_CTRL, "id int, text string")
-    return d.select("id", text.strip_control(F.col("text")).alias("clean"), text.strip_control(F.col("text"), True).alias("collapsed"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.expr("text || char(9) || char(7) || role || char(13) || char(27) || ' '").alias("text"))
+    return c.select("conv_id", "turn", F.md5(text.strip_control(F.col("text"))).alias("clean"), F.md5(text.strip_control(F.col("text"), True)).alias("collapsed"))
 
 
 _GLYPHS = [(1, "Аpple сat"), (2, "şifre güvenli"), (3, "mixеd Ə ə"), (4, "plain")]
@@ -300,15 +296,16 @@ def url_lang_segment(spark, sf):
     return table(spark, sf, "pages").select("page_id", *(text.is_translation(path, v).alias(v) for v in ("v1", "v2", "v3")))
 
 
-_PATHS = [(1, "a/node_modules/x.js"), (2, "docs/CHANGELOG.md"), (3, "src/dist/a.py"), (4, "README.md"), (5, "readme.zh-cn.md"), (6, "content/a.md"), (7, "lib/x.min.js")]
+_FILE = "CASE page_id % 6 WHEN 0 THEN 'docs/' || p WHEN 1 THEN p || '/node_modules/x.js' WHEN 2 THEN 'content/' || p || '/CHANGELOG.md' WHEN 3 THEN p || '/README.md' WHEN 4 THEN p || '/readme.zh-cn.md' ELSE p || '/x.min.js' END"
 
 
-@query(f"""SELECT id, {" OR ".join(f"contains(p, '{d}')" for d in text.DENY_PREPARE)} AS denied, {" OR ".join(f"contains(lower(p), '{d}')" for d in text.DENY_META)} AS meta,
-starts_with(p, 'content/') OR starts_with(p, 'docs/') AS inside, contains(lower(p), 'readme') AND NOT regexp_matches(lower(p), 'zh|ja') AS readme FROM {values(_PATHS, "id, p")}""")
+@query(f"""SELECT page_id, {" OR ".join(f"contains(p, '{d}')" for d in text.DENY_PREPARE)} AS denied, {" OR ".join(f"contains(lower(p), '{d}')" for d in text.DENY_META)} AS meta,
+starts_with(p, 'content/') OR starts_with(p, 'docs/') AS inside, contains(lower(p), 'readme') AND NOT regexp_matches(lower(p), 'zh|ja') AS readme FROM (SELECT page_id, {_FILE} AS p FROM (SELECT page_id, {_URLPATH} AS p FROM pages) t) t""")
 def path_filters(spark, sf):
-    d = spark.createDataFrame(_PATHS, "id int, p string")
+    path = F.regexp_replace(F.regexp_replace("url", r"^https?://", ""), r"[?#].*$", "")
+    d = table(spark, sf, "pages").select("page_id", path.alias("p")).select("page_id", F.expr(_FILE).alias("p"))
     p = F.col("p")
-    return d.select("id", text.path_denied(p).alias("denied"), text.path_denied(F.lower(p), text.DENY_META).alias("meta"), text.path_prefix(p, ["content/", "docs/"]).alias("inside"), text.is_readme(p).alias("readme"))
+    return d.select("page_id", text.path_denied(p).alias("denied"), text.path_denied(F.lower(p), text.DENY_META).alias("meta"), text.path_prefix(p, ["content/", "docs/"]).alias("inside"), text.is_readme(p).alias("readme"))
 
 
 _DICT = {"the": "thé", "and": "änd", "nicht": "nïcht", "que": "qué", "les": "lès"}
@@ -330,16 +327,16 @@ def dict_missing(spark, sf):
     return text.dict_missing(table(spark, sf, "documents"), ["text"], _DICT, _KEEP).orderBy(F.desc("n"), "word").limit(100)
 
 
-_COVERED = [(1, "The and NICHT", "les"), (2, "que The", None)]
+_KINDS = {"error": "érror", "click": "clíck", "view": "víew", "signup": "sígnup", "purchase": "púrchase"}
+_KINDS_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " END"
 
 
-@query("SELECT * FROM " + values([(1, "covered", "Thé änd NÏCHT", "lès"), (2, "covered", "que Thé", None), (1, "left", "The and NICHT", "les"), (2, "left", "que The", None), (3, "left", "unknown the", "")], "id, kind, q, a"))
+@query(f"SELECT event_id, 'covered' AS kind, {_KINDS_SQL} AS q, upper({_KINDS_SQL}) || ' 1 OF' AS a FROM events UNION ALL SELECT event_id, 'left', event_type, upper(event_type) || ' 1 OF' FROM events")
 def coverage_gate(spark, sf):
-    of = lambda rows, kind: text.correct_if_covered(spark.createDataFrame(rows, "id int, q string, a string"), ["q", "a"], _DICT, _KEEP).select("id", F.lit(kind).alias("kind"), "q", "a")
-    return of(_COVERED, "covered").unionByName(of([*_COVERED, (3, "unknown the", "")], "left"))
-
-
-_SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("q"), F.concat(F.upper("event_type"), F.lit(" 1 OF")).alias("a"))
+    some = {k: v for k, v in _KINDS.items() if k != "view"}  # one word short: nothing is corrected
+    of = lambda mapping, kind: text.correct_if_covered(e, ["q", "a"], mapping, ["of"]).select("event_id", F.lit(kind).alias("kind"), "q", "a")
+    return of(_KINDS, "covered").unionByName(of(some, "left"))
 
 
 @query(f"SELECT doc_id, {_SLUG.format('substr(text, 1, 60)')} AS slug FROM documents")
@@ -353,18 +350,18 @@ def truncated(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.truncate_note(F.col("text"))).alias("note_md5"), F.md5(text.head(F.col("text"), 5500)).alias("head_md5"))
 
 
-_FOLDERS = [(1, "cve-2021-44228"), (2, "log4j CVE-2021-44228 poc"), (3, "struts2"), (4, "CVE-21-1"), (5, "")]
+_FOLDER = "CASE doc_id % 3 WHEN 0 THEN source || ' cve-' || (2000 + doc_id % 25)::VARCHAR || '-' || (doc_id * 7)::VARCHAR || ' poc' WHEN 1 THEN 'CVE-21-' || doc_id::VARCHAR ELSE source || lang END"
 
 
-@query(f"SELECT id, coalesce(nullif(upper(regexp_extract(v, '(?i)(CVE-[0-9]{{4}}-[0-9]+)', 1)), ''), v) AS cve FROM {values(_FOLDERS, 'id, v')}")
+@query(f"SELECT doc_id, coalesce(nullif(upper(regexp_extract(v, '(?i)(CVE-[0-9]{{4}}-[0-9]+)', 1)), ''), v) AS cve FROM (SELECT doc_id, {_FOLDER} AS v FROM documents) t")
 def cve_folder(spark, sf):
-    return spark.createDataFrame(_FOLDERS, "id int, v string").select("id", text.cve_id(F.col("v")).alias("cve"))
+    return table(spark, sf, "documents").select("doc_id", F.expr(_FOLDER.replace("::VARCHAR", "::STRING")).alias("v")).select("doc_id", text.cve_id(F.col("v")).alias("cve"))
 
 
-@query("SELECT * FROM (VALUES (1, false, false), (2, true, true), (3, false, true)) t(id, near, whole)")
+@query("SELECT doc_id, doc_id % 3 = 0 AND strlen(text) < 4096 AS near, doc_id % 3 = 0 AS whole FROM documents")
 def nul_test(spark, sf):
-    d = spark.createDataFrame([(1, "plain"), (2, "a\0b"), (3, "x" * 5000 + "\0")], "id int, v string")
-    return d.select("id", text.has_nul(F.col("v")).alias("near"), text.has_nul(F.col("v"), 1 << 30).alias("whole"))
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\0tail"))).otherwise(F.col("text")).alias("v"))
+    return d.select("doc_id", text.has_nul(F.col("v")).alias("near"), text.has_nul(F.col("v"), 1 << 30).alias("whole"))
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE length(text) >= 3000)")
@@ -377,17 +374,16 @@ def last_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(training.last_tokens(text.tokens(F.col("text")), 20), " ").alias("ids"))
 
 
-_GAPS = [
-    '{"result": {"sonuclar": [{"alan": "ag", "bosluklar": [{"konu": "dns", "neden": "az", "oncelik": "yuksek"}, {"konu": "tls", "neden": "yok"}]}]}}',
-    '{"sonuclar": [{"alan": "x", "domain": "web", "bosluklar": [{"konu": "csp", "neden": "eski", "oncelik": "dusuk"}]}, {"alan": "bos", "bosluklar": []}]}',
-]
 _GAP = "sonuclar array<struct<alan:string,domain:string,bosluklar:array<struct<konu:string,neden:string,oncelik:string>>>>"
 
 
-@query("SELECT * FROM " + values([("ag", "dns", "az", "yuksek"), ("ag", "tls", "yok", "orta"), ("web", "csp", "eski", "dusuk")], "domain, topic, reason, priority"))
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS domain, lang AS topic, source AS reason, 'yuksek' AS priority FROM documents
+UNION ALL SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END, doc_id::VARCHAR, 'yok', 'orta' FROM documents""")
 def gap_items(spark, sf):
+    reports_of = """'{"sonuclar": [{"alan": "' || source || '"' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ', "domain": "' || lang || '"' END || ', "bosluklar": [{"konu": "' || lang || '", "neden": "' || source || '", "oncelik": "yuksek"}, {"konu": "' || doc_id || '", "neden": "yok"}]}]}'"""
+    given = table(spark, sf, "documents").select(F.expr(f"CASE WHEN doc_id % 3 = 0 THEN '{{\"result\": ' || {reports_of} || '}}' ELSE {reports_of} END").alias("v"))
     wrapped = f"result struct<{_GAP.replace(' ', ':', 1)}>, {_GAP}"
-    return reports.gap_items(spark.createDataFrame([(g,) for g in _GAPS], "v string").select(F.from_json("v", wrapped).alias("r")).select("r.*"))
+    return reports.gap_items(given.select(F.from_json("v", wrapped).alias("r")).select("r.*"))
 
 
 # --- digests, codes, JSON -----------------------------------------------------------------------------
@@ -398,41 +394,24 @@ def doc_digests(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in codec.digests(F.col("text")).items()))
 
 
-_HASHES = [(1, "a" * 32), (2, "b" * 40), (3, "0" * 56), (4, "F" * 64), (5, "1" * 96), (6, "2" * 128), (7, "c" * 33), (8, "$2b$12$abc"), (14, "$2y$10$" + "k" * 53), (15, " " + "d" * 32 + " "), (9, "$argon2id$v=19"), (10, "$6$salt$x"), (11, "$5$s$x"), (12, "$1$s$x"), (13, "words")]
+_HASHED = """CASE doc_id % 13 WHEN 0 THEN md5(text) WHEN 1 THEN sha1(text) WHEN 2 THEN substr(sha256(text), 1, 56) WHEN 3 THEN upper(sha256(text)) WHEN 4 THEN sha256(text) || md5(text) WHEN 5 THEN sha256(text) || sha256(lang)
+WHEN 6 THEN md5(text) || 'c' WHEN 7 THEN '$2b$12$' || substr(sha256(text), 1, 53) WHEN 8 THEN '$2y$10$' || md5(text) WHEN 9 THEN '$argon2id$v=19$' || md5(text) WHEN 10 THEN '$6$' || md5(text) WHEN 11 THEN ' ' || md5(text) || ' ' ELSE CASE WHEN doc_id % 2 = 0 THEN '$5$' ELSE '$1$' END || lang END"""
 
 
-@query(f"""SELECT id, CASE WHEN regexp_full_match(v, '\\$2[aby]\\$[0-9]+\\$.{{53}}') THEN 'bcrypt' WHEN starts_with(v, '$argon2') THEN 'argon2' WHEN starts_with(v, '$6$') THEN 'sha512crypt' WHEN starts_with(v, '$5$') THEN 'sha256crypt' WHEN starts_with(v, '$1$') THEN 'md5crypt'
-WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN CASE length(v) {" ".join(f"WHEN {n} THEN '{k}'" for n, k in codec.HASH_LENGTHS.items())} ELSE 'unknown' END ELSE 'unknown' END AS kind FROM (SELECT id, trim(v) AS v FROM {values(_HASHES, "id, v")}) s""")
+@query(f"""SELECT doc_id, CASE WHEN regexp_full_match(v, '\\$2[aby]\\$[0-9]+\\$.{{53}}') THEN 'bcrypt' WHEN starts_with(v, '$argon2') THEN 'argon2' WHEN starts_with(v, '$6$') THEN 'sha512crypt' WHEN starts_with(v, '$5$') THEN 'sha256crypt' WHEN starts_with(v, '$1$') THEN 'md5crypt'
+WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN CASE length(v) {" ".join(f"WHEN {n} THEN '{k}'" for n, k in codec.HASH_LENGTHS.items())} ELSE 'unknown' END ELSE 'unknown' END AS kind FROM (SELECT doc_id, trim({_HASHED}) AS v FROM documents) s""")
 def hash_identify(spark, sf):
-    return spark.createDataFrame(_HASHES, "id int, v string").select("id", codec.hash_kind(F.col("v")).alias("kind"))
-
-
-_CODED = [
-    "aGVsbG8=", "aGVsbG8", "68656c6c6f", "abc", "a%20b", "no code!", "", "xZ9pZnJlIGfDvMOnbMO8", "aGVs bG8=", "00ff", "a+b%zz%C5%9F", "YQ==YQ==", "Y=Q==", "YQ=Y", "aGk=x!",
-    "bGluZTEKbGluZTIH", "AAEC", " 7b7d ", base64.b64encode(("ş" * 400).encode()).decode(), "abcde", "%41%ff",
-]
-
+    return table(spark, sf, "documents").select("doc_id", F.expr(_HASHED.replace("sha256(text)", "sha2(text, 256)").replace("sha256(lang)", "sha2(lang, 256)")).alias("v")).select("doc_id", codec.hash_kind(F.col("v")).alias("kind"))
 
-def _decoded(value: str) -> tuple[str | None, str | None, str | None]:
-    """The rule by Python's own decoders: what the SQL side holds."""
-    v, plain = value.strip(), None
-    try:
-        plain = base64.b64decode(v + "=" * (-len(v) % 4), validate=False).decode("utf-8", errors="replace")
-        plain = plain[:300] if plain.isprintable() or "\n" in plain else None
-    except ValueError:
-        pass
-    digits = bytes.fromhex(v).decode("utf-8", errors="replace")[:300] if re.fullmatch("[0-9a-fA-F]+", v) and len(v) % 2 == 0 else None
-    return plain, digits, urllib.parse.unquote(v)[:300] if "%" in v else None
 
-
-def _with_nul(rows: list[tuple]) -> list[tuple]:
-    return [tuple(x.replace("\0", "<nul>") if isinstance(x, str) else x for x in r) for r in rows]
-
-
-@query("SELECT * FROM " + values(_with_nul([(i, *_decoded(v)) for i, v in enumerate(_CODED)]), "id, base64, hex, url"))
+@query("""SELECT doc_id, substr(CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 600) || chr(10) WHEN 1 THEN substr(text, 1, 400) ELSE lang || ' ' || substr(text, 1, 500) END, 1, 300) AS decoded FROM documents""")
 def decode_multi(spark, sf):
-    d = spark.createDataFrame(list(enumerate(_CODED)), "id int, v string")
-    return d.select("id", *(F.replace(c, F.lit("\0"), F.lit("<nul>")).alias(k) for k, c in codec.decode_candidates(F.col("v")).items()))
+    d = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 600) || char(10) WHEN 1 THEN substr(text, 1, 400) ELSE lang || ' ' || substr(text, 1, 500) END").alias("t"))
+    raw, kind = F.col("t").cast("binary"), F.col("doc_id") % 3
+    loose = F.regexp_replace(F.base64(raw), r"[=\s]", "")  # in one line, without padding
+    d = d.withColumn("v", F.when(kind == 0, loose).when(kind == 1, F.lower(F.hex(raw))).otherwise(F.replace(F.url_encode("t"), F.lit("+"), F.lit("%20"))))
+    found = codec.decode_candidates(F.col("v"))
+    return d.select("doc_id", F.when(kind == 0, found["base64"]).when(kind == 1, found["hex"]).otherwise(found["url"]).alias("decoded"))
 
 
 @query("SELECT event_id, props AS found, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -442,32 +421,29 @@ def json_extract(spark, sf):
     return e.withColumn("k", F.get_json_object("found", "$.k").cast("long"))
 
 
-_PROSE = [
-    ('I think so.\n{"arac": "grep", "parametreler": {"desen": "a}b{c"}} done', '{"arac": "grep", "parametreler": {"desen": "a}b{c"}}'),
-    ('{bad} {"a": {"b": [1, {"c": 2}]}} {"later": 1}', '{"a": {"b": [1, {"c": 2}]}}'), ('say "{" and {"q": "he said \\"{x}\\" twice"}', '{"q": "he said \\"{x}\\" twice"}'),
-    ("no object", None), ('{"open": 1', None), ('[1, 2] {"ok": "çö"} ', '{"ok": "çö"}'), ('{"outer": {"bad": } } {"inner": true}', '{"inner": true}'), (None, None), ("{} rest", "{}"),
-]
-
-
-@query("SELECT * FROM " + values([(i, found) for i, (_, found) in enumerate(_PROSE)], "id, found"))
+@query("SELECT conv_id, turn, md5(CASE WHEN turn % 5 = 4 THEN NULL ELSE text END) AS text_md5, CASE WHEN turn % 5 < 4 THEN turn END AS inner_turn FROM conversations")
 def json_prose(spark, sf):
-    return spark.createDataFrame([(i, v) for i, (v, _) in enumerate(_PROSE)], "id int, v string").select("id", codec.first_json(F.col("v")).alias("found"))
-
+    c = table(spark, sf, "conversations")
+    object_ = F.to_json(F.struct("text", F.struct("turn", F.lit("}{").alias("braces")).alias("more")))
+    prose = F.concat(F.lit('I think {so}. say "{" or {"open": '), F.col("role"), F.lit("\n"), F.when(F.col("turn") % 5 < 4, F.concat(object_, F.lit(' then {"text": "later"}'))).otherwise(F.lit('{"broken": [1, 2}')))
+    f = c.select("conv_id", "turn", codec.first_json(prose).alias("found"))
+    return f.select("conv_id", "turn", F.md5(F.get_json_object("found", "$.text")).alias("text_md5"), F.get_json_object("found", "$.more.turn").cast("long").alias("inner_turn"))
 
-_CALLS = [(1, "grep", {"b": "2", "a": "1"}), (2, "grep", {"a": "1", "b": "2"}), (3, "ls", {})]
 
-
-@query("SELECT * FROM " + values([(1, 'grep|{"a":"1","b":"2"}'), (2, 'grep|{"a":"1","b":"2"}'), (3, "ls|{}")], "id, signature"))
+@query("""SELECT event_id, event_type || '|' || CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '{"a":"' || user_id::VARCHAR || '","b":"' || (event_id % 9)::VARCHAR || '"}' END AS signature FROM events""")
 def call_signature(spark, sf):
-    return spark.createDataFrame(_CALLS, "id int, tool string, params map<string,string>").select("id", codec.call_signature(F.col("tool"), F.col("params")).alias("signature"))
-
+    user, nine = F.col("user_id").cast("string"), (F.col("event_id") % 9).cast("string")
+    named = F.when(F.col("event_id") % 5 == 0, F.create_map().cast("map<string,string>")).when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), nine, F.lit("a"), user)).otherwise(F.create_map(F.lit("a"), user, F.lit("b"), nine))
+    return table(spark, sf, "events").select("event_id", codec.call_signature(F.col("event_type"), named).alias("signature"))
 
-_DECISIONS = [(1, '{"dusunce": "d", "cevap": "yes"}'), (2, '{"arac": "final", "parametreler": {"answer": "ok"}}'), (3, '{"arac": "yanit", "parametreler": {"other": "first"}}'), (4, '{"arac": "grep", "parametreler": {"text": "x"}}'), (5, "broken")]
 
-
-@query("SELECT * FROM " + values([(1, "yes"), (2, "ok"), (3, "first"), (4, None), (5, None)], "id, answer"))
+@query("SELECT conv_id, turn, md5(CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN role WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE text END) AS answer_md5 FROM conversations")
 def answer_extract(spark, sf):
-    return spark.createDataFrame(_DECISIONS, "id int, d string").select("id", codec.final_answer(F.col("d")).alias("answer"))
+    c, t = table(spark, sf, "conversations"), F.col("turn") % 6
+    tool = lambda name, **params: F.to_json(F.struct(F.lit(name).alias("arac"), F.struct(*(F.col(v).alias(k) for k, v in params.items())).alias("parametreler")))
+    decision = F.when(t == 0, F.to_json(F.struct("role", F.col("text").alias("cevap")))).when(t == 1, tool("FINAL", other="role", answer="text")).when(t == 2, tool("yanit", first="role", second="text"))
+    decision = decision.when(t == 3, tool("grep", text="text")).when(t == 4, F.concat(F.lit("broken {"), "text")).otherwise(tool("son_cevap", metin="text"))
+    return c.select("conv_id", "turn", F.md5(codec.final_answer(decision)).alias("answer_md5"))
 
 
 # --- reports ------------------------------------------------------------------------------------------
@@ -704,43 +680,38 @@ def secret_scan(spark, sf):
     return scan.scan_secrets(scan.explode_lines(table(spark, sf, "documents"), "doc_id", "text"), ["doc_id", "line_no"], limit=None).select("doc_id", "line_no", "family", "line")
 
 
-#: Made-up values, put together here so that no scanner takes them for real ones.
-_FAKE = [
-    (1, "key AKIA" + "Q" * 16 + " end"), (2, "-----BEGIN RSA " + "PRIVATE KEY-----"), (3, "g AIza" + "x" * 35), (4, "s xoxb-" + "1" * 12),
-    (5, "j eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 8), (6, "api_key = '" + "v" * 10 + "'"), (7, "AKIA" + "Z" * 16 + " token: \"" + "w" * 9 + '"'),
-    (8, "x" * 70 + " password = '" + "p" * 20 + "'"), (9, "nothing here"),
-]
+_HIDDEN = """substr(text, 1, 20) || CASE doc_id % 8 WHEN 0 THEN ' AKIA' || upper(substr(md5(text), 1, 16)) WHEN 1 THEN '-----BEGIN RSA ' || 'PRIVATE KEY-----' WHEN 2 THEN ' AIza' || md5(text) || 'abc' WHEN 3 THEN ' xoxb-' || md5(text)
+WHEN 4 THEN ' eyJ' || md5(text) || '.' || md5(lang) || '.' || md5(source) WHEN 5 THEN ' api_key = ' || chr(39) || md5(text) || chr(39) WHEN 6 THEN ' token: "' || md5(text) || '" AKIA' || upper(substr(md5(lang), 1, 16)) ELSE source END || substr(text, 21, 200)"""
 
 
-@query(f"SELECT id, {_sql_family()} AS family, {_sql_mask('line')} AS line FROM {values(_FAKE, 'id, line')}")
+@query(f"SELECT doc_id, {_sql_family()} AS family, {_sql_mask('line')} AS line FROM (SELECT doc_id, {_HIDDEN} AS line FROM documents) t")
 def secret_mask(spark, sf):
-    return spark.createDataFrame(_FAKE, "id int, line string").select("id", scan.first_family(F.col("line")).alias("family"), scan.mask_secrets(F.col("line")).alias("line"))
+    d = table(spark, sf, "documents").select("doc_id", F.expr(_HIDDEN).alias("line"))
+    return d.select("doc_id", scan.first_family(F.col("line")).alias("family"), scan.mask_secrets(F.col("line")).alias("line"))
 
 
-@query(f"SELECT doc_id, line_no, substr(line, 1, 160) AS line FROM {_LINES} WHERE regexp_matches(line, '(?i)license|lizenz') ORDER BY doc_id, line_no LIMIT 60")
+@query(f"SELECT doc_id, line_no, substr({STRIP.format("line")}, 1, 160) AS line FROM {_LINES} WHERE regexp_matches(line, '(?i)license|lizenz') ORDER BY doc_id, line_no LIMIT 60")
 def grep_lines(spark, sf):
     return scan.grep(scan.explode_lines(table(spark, sf, "documents"), "doc_id", "text"), "license|lizenz", ["doc_id", "line_no"])
 
 
-_LOG = [
-    (1, "Failed password for root from 10.0.0.1"), (2, "user sudo session opened"), (3, "GET /x 404 12"), (4, "id=1 UNION  SELECT a"), (5, "GET ../../etc/passwd 403"),
-    (6, "x; wget http://y"), (7, "Nikto scan"), (8, "all fine 2001"), (9, "invalid user bob"), (10, "echo $(id)"),
-]
+_LOGGED = """'  ' || CASE event_id % 9 WHEN 0 THEN 'Failed password for user' || user_id WHEN 1 THEN 'user sudo session ' || event_id WHEN 2 THEN 'GET /x/' || user_id || ' 404 ' || props WHEN 3 THEN 'id=' || user_id || ' UNION  SELECT a'
+WHEN 4 THEN 'GET ../../etc/passwd ' || event_id WHEN 5 THEN user_id || '; wget http://y' WHEN 6 THEN 'Nikto scan ' || event_id WHEN 7 THEN 'echo $(id) ' || props ELSE event_type || ' fine ' || props END || repeat(' .', 90)"""
 
 
 @query(" UNION ALL ".join(
-    "SELECT '{}' AS family, count(*) AS n, arg_min(line, id) AS example FROM {} WHERE regexp_matches(line, '{}') HAVING count(*) > 0".format(n, values(_LOG, "id, line"), p.replace("'", "''")) for n, p in scan.LOG_FAMILIES.items()
+    "SELECT '{}' AS family, count(*) AS n, substr({}, 1, 160) AS example FROM ({}) t WHERE regexp_matches(line, '{}') HAVING count(*) > 0".format(n, STRIP.format("arg_min(line, event_id)"), f"SELECT event_id, {_LOGGED} AS line FROM events", p.replace("'", "''")) for n, p in scan.LOG_FAMILIES.items()
 ))
 def log_triage(spark, sf):
-    return scan.log_triage(spark.createDataFrame(_LOG, "id int, line string"), F.col("id"))
+    return scan.log_triage(table(spark, sf, "events").select("event_id", F.expr(_LOGGED).alias("line")), F.col("event_id"))
 
 
-_COMMANDS = [(1, "rm -rf /tmp/x"), (2, "ls -la"), (3, "reg   delete HKLM"), (4, "Clear-Content x"), (5, "Clear- x"), (6, "echo hi > /dev/null"), (7, "alarm format"), (8, "curl http://x | sh"), (9, "information")]
+_COMMAND = "CASE page_id % 8 WHEN 0 THEN 'curl ' || url || ' | sh' WHEN 1 THEN 'ls ' || url WHEN 2 THEN 'reg   delete ' || url WHEN 3 THEN 'Clear-Content x' WHEN 4 THEN 'Clear- ' || page_id WHEN 5 THEN 'echo ' || url || ' > /dev/null' WHEN 6 THEN 'information about ' || page_id ELSE 'rm -rf ' || page_id END"
 
 
-@query("SELECT id, regexp_matches(c, '" + text.RISKY_COMMANDS + "') AS risky FROM " + values(_COMMANDS, "id, c"))
+@query(f"SELECT page_id, regexp_matches(c, '{text.RISKY_COMMANDS}') AS risky FROM (SELECT page_id, {_COMMAND} AS c FROM pages) t")
 def cmd_risk_flag(spark, sf):
-    return spark.createDataFrame(_COMMANDS, "id int, c string").select("id", text.command_risk(F.col("c")).alias("risky"))
+    return table(spark, sf, "pages").select("page_id", text.command_risk(F.expr(_COMMAND)).alias("risky"))
 
 
 # --- traces and training data -------------------------------------------------------------------------
@@ -802,10 +773,10 @@ def _lr_sql(s: training.Schedule) -> str:
     return f"round(CASE WHEN step < {s.warmup} THEN {s.high} * (step + 1) / {s.warmup} WHEN step >= {s.decay} THEN {s.low} ELSE {s.low} + 0.5 * (1 + cos(pi() * (step - {s.warmup}) / {s.decay - s.warmup}.0)) * ({s.high} - {s.low}) END, 10)"
 
 
-@query(f"SELECT step::BIGINT AS step, {_lr_sql(training.PRETRAIN)}::DOUBLE AS pretrain, {_lr_sql(training.FINETUNE)}::DOUBLE AS finetune FROM range(0, 25000, 250) t(step)")
+@query(f"SELECT step, {_lr_sql(training.PRETRAIN)}::DOUBLE AS pretrain, {_lr_sql(training.FINETUNE)}::DOUBLE AS finetune FROM (SELECT event_id * 3 AS step FROM events) t")
 def lr_schedule(spark, sf):
     s = F.col("step")
-    return spark.range(0, 25_000, 250).toDF("step").select("step", F.round(training.lr_at(s, training.PRETRAIN), 10).alias("pretrain"), F.round(training.lr_at(s, training.FINETUNE), 10).alias("finetune"))
+    return table(spark, sf, "events").select((F.col("event_id") * 3).alias("step")).select("step", F.round(training.lr_at(s, training.PRETRAIN), 10).alias("pretrain"), F.round(training.lr_at(s, training.FINETUNE), 10).alias("finetune"))
 
 
 @query("""WITH l AS (SELECT user_id AS row, event_type AS token, avg(value) / 10 AS logit FROM events GROUP BY user_id, event_type), k AS (SELECT * FROM l QUALIFY rank() OVER (PARTITION BY row ORDER BY logit DESC) <= 4),
@@ -838,38 +809,146 @@ def corpus_build(spark, sf):
     return d.select("doc_id", F.md5("text").alias("text_md5"), "split")
 
 
-_QA = [
-    ("guvenlik_a_derin.jsonl", 1, "What is X?", "an answer"), ("guvenlik_a_derin.jsonl", 2, "what  is x?", "other"), ("yazilim_b.jsonl", 1, "WHAT IS X?", "late"),
-    ("yazilim_b.jsonl", 2, "New?", ""), ("yazilim_b.jsonl", 3, "Second?", "yes"), ("yazilim_c_damit.jsonl", 1, None, "no question"), ("yazilim_c_damit.jsonl", 2, "Third?", "ok"),
-]
+_QA_FILE = "CASE conv_id % 4 WHEN 0 THEN 'guvenlik_a_derin.jsonl' WHEN 1 THEN 'yazilim_b.jsonl' WHEN 2 THEN 'yazilim_c_damit.jsonl' ELSE 'guvenlik_d.jsonl' END"
 
 
-@query("SELECT * FROM " + values([("What is X?", "an answer", "a_derin", "guvenlik", "advanced"), ("Second?", "yes", "b", "yazilim", "basic"), ("Third?", "ok", "c_damit", "yazilim", "advanced")], "question, answer, source, domain, tier"))
+@query(f"""WITH q AS (SELECT {_QA_FILE} AS file, conv_id * 100 + turn AS line, CASE WHEN conv_id % 5 = 0 THEN upper(substr(instruction, 1, 6)) ELSE instruction END AS question, CASE WHEN turn % 7 = 6 THEN '' ELSE response END AS answer FROM {_PAIRS})
+SELECT md5(question) AS question_md5, md5(answer) AS answer_md5, source, domain, CASE WHEN regexp_matches(source, '(_tespit|_derin|_dfir|_apro|_damit)$') THEN 'advanced' ELSE 'basic' END AS tier
+FROM (SELECT *, regexp_extract(regexp_replace(file, '\\.[^.]*$', ''), '^[^_]*_(.*)$', 1) AS source, CASE WHEN starts_with(file, 'guvenlik_') THEN 'guvenlik' ELSE 'yazilim' END AS domain FROM q WHERE question <> '' AND answer <> ''
+QUALIFY row_number() OVER (PARTITION BY lower({STRIP.format("regexp_replace(question, '\\s+', ' ', 'g')")}) ORDER BY file, line) = 1) t""")
 def qa_curate(spark, sf):
-    return corpus.curate_pairs(spark.createDataFrame(_QA, "file string, line int, question string, answer string")).select("question", "answer", "source", "domain", "tier")
+    p = trace.turn_pairs(table(spark, sf, "conversations"))
+    q = p.select(
+        F.expr(_QA_FILE).alias("file"), (F.col("conv_id") * 100 + F.col("turn")).alias("line"), F.when(F.col("conv_id") % 5 == 0, F.upper(F.substring("instruction", 1, 6))).otherwise(F.col("instruction")).alias("question"),
+        F.when(F.col("turn") % 7 == 6, "").otherwise(F.col("response")).alias("answer"),
+    )
+    return corpus.curate_pairs(q).select(F.md5("question").alias("question_md5"), F.md5("answer").alias("answer_md5"), "source", "domain", "tier")
 
 
-_CVE = """{"cveMetadata":{"cveId":"CVE-2024-1","state":"PUBLISHED"},"containers":{"cna":{"descriptions":[{"lang":"de","value":"Deutsch zuerst, lang genug"},{"lang":"en-US","value":"An English description of a flaw"}],
-"problemTypes":[{"descriptions":[{"cweId":"CWE-79","description":"XSS"},{"cweId":"CWE-79","description":"XSS"}]}],"metrics":[{"other":{"x":1},"cvssV3_1":{"baseScore":7.5,"baseSeverity":"HIGH"}}],
-"affected":[{"vendor":"n/a","product":"n/a"},{"vendor":"V","product":"P"}],"references":[{"url":"u1"},{"url":""},{"url":"u2"},{"url":"u3"},{"url":"u4"},{"url":"u5"}]}}}"""
+@query(f"""SELECT 'CVE-2024-' || doc_id::VARCHAR AS id, md5('CVE-2024-' || doc_id::VARCHAR || ' (PUBLISHED)' || chr(10) || chr(10) || about || chr(10) || 'Zafiyet turu (CWE): CWE-' || (doc_id % 90)::VARCHAR || ' ' || lang || '; CWE-7'
+|| chr(10) || 'CVSS (cvssV3_1): ' || (doc_id % 10)::VARCHAR || '.5 HIGH' || chr(10) || 'Etkilenen: ' || source || ' ' || lang || '; ' || lang || chr(10) || 'Referanslar: u1 u2 u3 ' || source) AS text_md5
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 90) ELSE 'English: ' || substr(text, 1, 60) END AS about FROM documents) t WHERE doc_id % 5 > 0 AND length(about) >= 20""")
+def cve_render(spark, sf):
+    d = table(spark, sf, "documents")
+    s = lambda **fields: F.struct(*(v.alias(k) for k, v in fields.items()))
+    text_ = lambda *parts: F.concat(*parts).cast("string")
+    german = s(lang=F.lit("de"), value=F.substring("text", 1, 90))
+    english = s(lang=F.lit("en-US"), value=text_(F.lit("English: "), F.substring("text", 1, 60)))
+    weak = s(cweId=text_(F.lit("CWE-"), (F.col("doc_id") % 90).cast("string")), description=F.col("lang"))
+    metric = F.create_map(F.lit("cvssV3_1"), s(baseScore=(F.col("doc_id") % 10 + 0.5).cast("decimal(4,1)"), baseSeverity=F.lit("HIGH")))
+    hit = lambda vendor, product: s(vendor=vendor, product=product)
+    cna = s(
+        descriptions=F.when(F.col("doc_id") % 4 == 0, F.array(german)).otherwise(F.array(german, english)), problemTypes=F.array(s(descriptions=F.array(weak, weak, s(cweId=F.lit("CWE-7"), description=F.lit(""))))),
+        metrics=F.array(metric), affected=F.array(hit(F.lit("n/a"), F.lit("n/a")), hit(F.col("source"), F.col("lang")), hit(F.lit("n/a"), F.col("lang")), hit(F.col("source"), F.col("lang"))),
+        references=F.array(*(s(url=u) for u in (F.lit("u1"), F.lit(""), F.lit("u2"), F.lit("u3"), F.col("source"), F.lit("u5")))),
+    )
+    meta = s(cveId=text_(F.lit("CVE-2024-"), F.col("doc_id").cast("string")), state=F.when(F.col("doc_id") % 5 == 0, "REJECTED").otherwise("PUBLISHED"))
+    raw = d.select(F.to_json(s(cveMetadata=meta, containers=s(cna=cna))).alias("j")).select(F.from_json("j", records.CVE_SCHEMA).alias("r")).select("r.*")
+    return records.render_cve(raw).select("id", F.md5("text").alias("text_md5"))
+
+
+_DETECT = "'look [here](http://x) for ' || source || ' <b>' || lang || '</b>'"
+_MD1 = r"regexp_replace(regexp_replace(regexp_replace({}, '(?s)<!--.*?-->', '', 'g'), '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]+)\]\([^)]*\)', '\1', 'g')"
+
+
+@query(f"""SELECT 'any' AS variant, md5(source || ' (attack-pattern)' || chr(10) || {_MD1.format("text")} || chr(10) || 'Detection: ' || {_MD1.format(_DETECT)}) AS text_md5 FROM documents WHERE length(text) >= 100
+UNION ALL SELECT 'any', md5(lang || ' (tool)' || chr(10) || {_MD1.format("substr(text, 1, 150)")}) FROM documents WHERE length(substr(text, 1, 150)) >= 100
+UNION ALL SELECT 'attack-pattern', md5(source || chr(10) || substr({_MD2.format("text")}, 1, 2800)) FROM documents WHERE length(text) >= 200""")
+def stix_render(spark, sf):
+    technique = "named_struct('type', 'attack-pattern', 'name', source, 'description', text, 'x_mitre_detection', " + _DETECT + ")"
+    tool = "named_struct('type', 'tool', 'name', lang, 'description', substr(text, 1, 150))"
+    bundles = table(spark, sf, "documents").select(F.expr(f"'{{\"objects\": [' || to_json({technique}) || ', ' || to_json({tool}) || ']}}'").alias("j")).select(F.from_json("j", records.STIX_SCHEMA).alias("r")).select("r.*")
+    one = lambda v: records.render_stix(bundles, v).select(F.lit(v).alias("variant"), F.md5("text").alias("text_md5"))
+    return one("any").unionByName(one("attack-pattern"))
 
 
-@query("SELECT * FROM " + values([("CVE-2024-1", "CVE-2024-1 (PUBLISHED)\n\nAn English description of a flaw\nZafiyet turu (CWE): CWE-79 XSS\nCVSS (cvssV3_1): 7.5 HIGH\nEtkilenen: V P\nReferanslar: u1 u2 u3 u4")], "id, text"))
-def cve_render(spark, sf):
-    rejected = _CVE.replace("PUBLISHED", "REJECTED")
-    short = _CVE.replace("An English description of a flaw", "too short a text")
-    raw = spark.createDataFrame([(_CVE,), (rejected,), (short,)], "j string").select(F.from_json("j", records.CVE_SCHEMA).alias("r")).select("r.*")
-    return records.render_cve(raw)
+# --- over whole tables by joins -----------------------------------------------------------------------
 
 
-_STIX = '{"objects":[{"type":"attack-pattern","name":"T","description":"' + "d" * 250 + '","x_mitre_detection":"look [here](http://x)"},{"type":"tool","name":"U","description":"' + "e" * 120 + '"},{"type":"tool","name":"V","description":"short"}]}'
+@query("""WITH RECURSIVE v AS (SELECT value, row_number() OVER (ORDER BY event_id) AS r FROM events), w(r, e) AS (SELECT r, value FROM v WHERE r = 1
+UNION ALL SELECT v.r, 0.9 * w.e + 0.1 * v.value FROM w JOIN v ON v.r = w.r + 1) SELECT round(arg_max(e, r), 6) AS ema FROM w""")
+def loss_ema_all(spark, sf):
+    """One series of the whole table."""
+    return reports.ema(table(spark, sf, "events"), "value", "event_id").select(F.round("ema", 6).alias("ema"))
 
 
-@query("SELECT * FROM " + values([("any", "T (attack-pattern)\n" + "d" * 250 + "\nDetection: look here"), ("any", "U (tool)\n" + "e" * 120), ("attack-pattern", "T\n" + "d" * 250)], "variant, text"))
-def stix_render(spark, sf):
-    raw = spark.createDataFrame([(_STIX,)], "j string").select(F.from_json("j", records.STIX_SCHEMA).alias("r")).select("r.*")
-    one = lambda v: records.render_stix(raw, v).select(F.lit(v).alias("variant"), "text")
-    return one("any").unionByName(one("attack-pattern"))
+@query("""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9_]+') AS w FROM documents), dl AS (SELECT doc_id, len(w) AS dl FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) t GROUP BY term, doc_id),
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term) t, st),
+idf AS (SELECT term, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS term FROM benchmark) t GROUP BY item_id, term),
+bm AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) AS score FROM post JOIN q USING (term) JOIN idf USING (term) JOIN dl USING (doc_id), st GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM bm QUALIFY rank <= 10""")
+def search_many(spark, sf):
+    """All texts of `benchmark` as queries, by block-max pruning."""
+    index = blockmax.block_index(table(spark, sf, "documents"), "doc_id", "text", F.col("lang"), per_block=16)
+    best, _ = blockmax.search_many(index, table(spark, sf, "benchmark"), "item_id", "text", 10)
+    return best.select(F.col("query").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query("SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id % 2, doc_id) = 1")
+def stored_dedup(spark, sf):
+    """Two runs, over even and then over odd ids, that share a stored set of keys."""
+    top, d = new_folder(spark, "stored-dedup"), table(spark, sf, "documents").select("doc_id", "source", "text")
+    store = seen.KeyStore(spark, f"{top}/keys")
+    halves = [store.write_fresh(d.where(F.col("doc_id") % 2 == h), F.col("text"), ["doc_id"], f"{top}/rows", f"half{h}") for h in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("doc_id", "source")
+
+
+_STREAM = "list_transform(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+'), lambda w: length(w))"
+
+
+@query(f"""WITH t AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM (SELECT doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) AS i FROM (SELECT doc_id, {_STREAM} AS ids FROM documents) d) d),
+w AS (SELECT doc_id AS window_id, ('0x' || substr(md5('42:' || doc_id::VARCHAR), 1, 8))::BIGINT % ((SELECT count(*) FROM t) - 128) AS start FROM documents),
+p AS (SELECT window_id, start, unnest(range(0, 129)) AS j FROM w)
+SELECT window_id, start, md5(string_agg(tok::VARCHAR, ' ' ORDER BY j) FILTER (WHERE j < 128)) AS x_md5, md5(string_agg(tok::VARCHAR, ' ' ORDER BY j) FILTER (WHERE j > 0)) AS y_md5 FROM p JOIN t ON t.pos = start + j GROUP BY window_id, start""")
+def stream_windows(spark, sf):
+    """Windows of 128 ids over the stream of all documents' ids, from a written and reread token file."""
+    d = table(spark, sf, "documents")
+    ids = F.transform(text.tokens(F.col("text")), lambda w: F.length(w))
+    path, width = new_folder(spark, "token-stream"), 4096
+    total = tokenstream.write_token_stream(tokenstream.token_stream(d, ids, "doc_id", budget.range_bucket(d, "doc_id"), width), path, width)
+    stream, _, _ = tokenstream.read_token_stream(spark, path)
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(total - 128))
+    starts = d.select(F.col("doc_id").alias("window"), start.alias("start"))
+    w = tokenstream.stream_windows(stream, starts, 128, width).join(starts, "window")
+    return w.select(F.col("window").alias("window_id"), "start", F.md5(F.array_join("x", " ")).alias("x_md5"), F.md5(F.array_join("y", " ")).alias("y_md5"))
+
+
+@query("""SELECT 'korpus_' || lpad((r // 300 + 1)::VARCHAR, 4, '0') || '.jsonl.gz' AS name, count(*) AS docs, md5(string_agg(doc_id::VARCHAR || ':' || md5(text), ',' ORDER BY doc_id)) AS content_md5
+FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) t GROUP BY r // 300""")
+def shard_files(spark, sf):
+    """Numbered shards of 300 records, written and read back."""
+    d, path = table(spark, sf, "documents").select("doc_id", "text"), new_folder(spark, "shards")
+    shards.write_shards(d, path, "doc_id", budget.range_bucket(d, "doc_id"), 300)
+    rows = shards.read_shards(spark, path, "doc_id bigint, text string").select("doc_id", F.md5("text").alias("m"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "m"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["m"]))
+    return rows.groupBy("name").agg(F.count("*").alias("docs"), F.md5(F.array_join(lines, ",")).alias("content_md5"))
+
+
+_CUTS = "SELECT item_id % 50 AS slug, unnest(list_transform(range(1, length(text) - 12), lambda i: substr(text, i, 14))) AS keyword FROM benchmark"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT slug::VARCHAR AS slug, lower(keyword) AS keyword FROM ({_CUTS}) t),
+m AS (SELECT DISTINCT k.slug, d.doc_id FROM documents d JOIN k ON contains(lower(d.text), k.keyword))
+SELECT slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id)::INTEGER AS rank, doc_id, substr(text, 1, 60) AS text FROM m JOIN documents d USING (doc_id) QUALIFY rank <= 5""")
+def topics_table(spark, sf):
+    """Every run of 14 characters of `benchmark` as a keyword, of 50 topics."""
+    runs = F.transform(F.sequence(F.lit(1), F.length("text") - 13), lambda i: F.substring("text", i, F.lit(14)))
+    topics = table(spark, sf, "benchmark").where(F.length("text") >= 14).select((F.col("item_id") % 50).cast("string").alias("slug"), F.explode(runs).alias("keyword"))
+    return grounding.ground_table(table(spark, sf, "documents"), topics, id_col="doc_id", text_col="text", per_topic=5, max_chars=60, order=["doc_id"])
+
+
+@query("""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), dict AS (SELECT word, reverse(word) || 'ş' AS to_ FROM words WHERE substr(md5(word), 1, 1) < '8' AND length(word) > 1),
+parts AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS l FROM documents) t)
+SELECT doc_id, md5(string_agg(CASE WHEN to_ IS NULL THEN p WHEN p = upper(p) AND length(p) > 1 THEN upper(to_) WHEN regexp_matches(p, '^[A-Z]') THEN upper(substr(to_, 1, 1)) || substr(to_, 2) ELSE to_ END, '' ORDER BY pos)) AS text_md5
+FROM parts LEFT JOIN dict ON dict.word = lower(p) GROUP BY doc_id""")
+def dict_table(spark, sf):
+    """Correction by a dictionary of half of all words of the table."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    entries = words.where((F.substring(F.md5("word"), 1, 1) < "8") & (F.length("word") > 1)).select("word", F.concat(F.reverse("word"), F.lit("ş")).alias("to"))
+    return text.correct_words(d, "text", entries).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
