@@ -11,7 +11,8 @@ from .checkpoints import new_folder
 from .functions import codec, text
 from .operators import blockmax, budget, dedup, grounding, reports, retrieval, scan, seen, tokenstream, trace, training
 from .plans import corpus
-from .sources import records, shards
+from .sources import archives, records, shards, sinks
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -915,17 +916,78 @@ def stream_windows(spark, sf):
     return w.select(F.col("window").alias("window_id"), "start", F.md5(F.array_join("x", " ")).alias("x_md5"), F.md5(F.array_join("y", " ")).alias("y_md5"))
 
 
-@query("""SELECT 'korpus_' || lpad((r // 300 + 1)::VARCHAR, 4, '0') || '.jsonl.gz' AS name, count(*) AS docs, md5(string_agg(doc_id::VARCHAR || ':' || md5(text), ',' ORDER BY doc_id)) AS content_md5
-FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM documents) t GROUP BY r // 300""")
+@query("""WITH r AS (SELECT doc_id, text, doc_id % 2 AS half, row_number() OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) - 1 AS r FROM documents),
+n AS (SELECT *, r // 300 + 1 + half * (SELECT ceil(count(*) / 300)::BIGINT FROM documents WHERE doc_id % 2 = 0) AS shard FROM r)
+SELECT 'korpus_' || lpad(shard::VARCHAR, 4, '0') || '.jsonl.gz' AS name, count(*) AS docs, md5(string_agg(doc_id::VARCHAR || ':' || md5(text), ',' ORDER BY doc_id)) AS content_md5 FROM n GROUP BY shard""")
 def shard_files(spark, sf):
-    """Numbered shards of 300 records, written and read back."""
+    """Numbered shards of 300 records, written in two runs, the second of which goes on with the numbers, and read back."""
     d, path = table(spark, sf, "documents").select("doc_id", "text"), new_folder(spark, "shards")
-    shards.write_shards(d, path, "doc_id", budget.range_bucket(d, "doc_id"), 300)
+    for half in (0, 1):
+        own = d.where(F.col("doc_id") % 2 == half)
+        shards.write_shards(own, path, "doc_id", budget.range_bucket(own, "doc_id"), 300)
     rows = shards.read_shards(spark, path, "doc_id bigint, text string").select("doc_id", F.md5("text").alias("m"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "m"))), lambda x: F.concat_ws(":", x["doc_id"].cast("string"), x["m"]))
     return rows.groupBy("name").agg(F.count("*").alias("docs"), F.md5(F.array_join(lines, ",")).alias("content_md5"))
 
 
+@query(f"""WITH c AS (SELECT page_id, {STRIP.format(_HTML)} AS t FROM pages WHERE strlen(html) BETWEEN 120 AND 3000000 AND page_id % 11 > 0)
+SELECT 'pages_' || (page_id % 3)::VARCHAR || ':p' || page_id::VARCHAR || '.html' AS source, md5(t) AS text_md5 FROM c WHERE length(t) >= 120
+QUALIFY row_number() OVER (PARTITION BY md5(t) ORDER BY page_id % 3, 'p' || page_id::VARCHAR || '.html') = 1""")
+def archive_corpus(spark, sf):
+    """The pages, put into three zip archives by Spark and read from them as a corpus."""
+    path = new_folder(spark, "archives")
+    files = table(spark, sf, "pages").select(F.concat(F.lit("pages_"), (F.col("page_id") % 3).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.when(F.col("page_id") % 11 == 0, F.lit("root/node_modules/p")).otherwise(F.lit("root/p")), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    archives.write_archives(files, path)
+    return archives.corpus_texts(spark, path).select("source", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations WHERE turn % 7 <> 5")
+def jsonl_records(spark, sf):
+    """Conversations as gzip JSON lines, some of them cut off, read back without the broken ones."""
+    c, path = table(spark, sf, "conversations"), new_folder(spark, "jsonl")
+    line = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    c.select(F.when(F.col("turn") % 7 == 5, F.substring(line, 1, 20)).otherwise(line)).write.option("compression", "gzip").text(path)
+    return records.read_jsonl(spark, path, "conv_id bigint, turn bigint, role string, text string").select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text || chr(10) || '<|belgesonu|>', chr(10))) AS line FROM documents UNION ALL SELECT '' FROM documents UNION ALL SELECT '' FROM documents) t
+WHERE line IN (SELECT unnest(string_split(text, chr(10))) FROM documents WHERE doc_id % 10 = 0) OR line IN ('', '<|belgesonu|>') GROUP BY line""")
+def delimited_lines(spark, sf):
+    """Documents as text files with a mark between them, read as lines; how often each line of one document in ten stands."""
+    d, path = table(spark, sf, "documents"), new_folder(spark, "delimited")
+    sinks.write_delimited_text(d.select("text"), path)
+    some = d.where("doc_id % 10 = 0").select(F.explode(F.split("text", "\n")).alias("line")).unionByName(spark.createDataFrame([("",), (sinks.DOCUMENT_END,)], "line string")).distinct()
+    return records.read_lines(spark, path, max_bytes=1 << 30).where(~F.col("path").endswith("_SUCCESS")).join(some, "line", "left_semi").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT doc_id % 6 AS batch, sum(strlen(text)) AS bytes FROM documents GROUP BY 1), s AS (SELECT batch, coalesce(sum(bytes) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 6 IN (SELECT batch FROM s WHERE before < (SELECT sum(bytes) * 0.5 FROM b))""")
+def bounded_stream(spark, sf):
+    """A stream of six files, read until half of all bytes are there, in two runs of which the second goes on from the first."""
+    d, top = table(spark, sf, "documents").select("doc_id", "text"), new_folder(spark, "stream")
+    for n in range(6):  # a stream takes older files first
+        d.where(F.col("doc_id") % 6 == n).coalesce(1).write.parquet(f"{top}/in/f{n}")
+    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+    for share in (0.2, 0.5):
+        stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{top}/in")
+        live.read_until(stream, f"{top}/out", f"{top}/checkpoint", text_col="text", target_bytes=int(total * share))
+    return spark.read.parquet(f"{top}/out").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(" UNION ALL ".join(
+    "SELECT time_bucket(INTERVAL '5 minutes', ts)::VARCHAR AS since, '{}' AS family, count(*) AS n FROM (SELECT ts, {} AS line FROM events) t WHERE regexp_matches(line, '{}') GROUP BY 1".format(n, _LOGGED, p.replace("'", "''")) for n, p in scan.LOG_FAMILIES.items()
+))
+def stream_triage(spark, sf):
+    """Families of log lines in windows of five minutes, from a stream of the events."""
+    path, e = new_folder(spark, "triage"), table(spark, sf, "events").select("ts", F.expr(_LOGGED).alias("line"))
+    e.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(e.schema).parquet(f"{path}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = live.triage_stream(stream, "line", "ts").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("since"), "family", "n")
+    written = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
+    counted.writeStream.outputMode("complete").foreachBatch(written).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 _CUTS = "SELECT item_id % 50 AS slug, unnest(list_transform(range(1, length(text) - 12), lambda i: substr(text, i, 14))) AS keyword FROM benchmark"
 
 

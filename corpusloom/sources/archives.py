@@ -308,6 +308,31 @@ def _texts(path: str, entries: Iterable[tuple], nul_in: int | None) -> Iterator[
             data.close()
 
 
+def write_archives(files: DataFrame, path: str) -> None:
+    """(archive, path, text) rows as zip archives at `path`, each written by one task, file by file, in the order of paths."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(path)
+        name, out, z = None, None, None
+        for batch in batches:
+            for archive, below, text in zip(*(batch.column(c).to_pylist() for c in ("archive", "path", "text")), strict=True):
+                if archive != name:
+                    if z is not None:
+                        z.close()
+                        out.close()
+                    system.create_dir(top, recursive=True)
+                    name, out = archive, system.open_output_stream(f"{top}/{archive}")
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(below), (text or "").encode(), zipfile.ZIP_DEFLATED)
+        if z is not None:
+            z.close()
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["archive"])
+
+    dealt = files.select("archive", "path", "text").repartition("archive").sortWithinPartitions("archive", "path")
+    dealt.mapInArrow(write, "archive string").write.format("noop").mode("overwrite").save()
+
+
 def labelled(df: DataFrame) -> DataFrame:
     """Corpus records (source, text) of archive rows: the source is archive stem and path."""
     return df.where("error IS NULL").select(F.concat(F.regexp_replace("archive", r"\.zip$", ""), F.lit(":"), "path").alias("source"), "text")
