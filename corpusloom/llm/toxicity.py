@@ -3,10 +3,13 @@
 Words written in leetspeak, with letters spaced or dotted apart, or stretched by repetition are decoded:
 each character of a token opens the letters it may stand for, or none, and a Viterbi search through this
 lattice under a character language model finds the likeliest word. The restored words are then scored by
-a lexicon of words and word beginnings, and a logistic regression over what a text's words reach.
+a lexicon of words and word beginnings, and a logistic regression over what a text's words reach. A run
+of three or more marks behind a word, and hexadecimal digests, are no disguise and open no lattice.
 
-The language model counts the trigrams of all documents, held-out ones included, as it needs no labels:
-all of them, so it grows with the distinct trigrams of the input. Lexicon and regression are fitted on a
+One pass gathers the trigrams of all documents, held-out ones included, as the language model needs no
+labels, and the distinct tokens that ask to be decoded. A token's lattice names the trigrams that it
+needs, and these alone are joined to it: neither the driver nor a task holds the model. Decoded words
+that the lexicon knows go back to the texts by their tokens. Lexicon and regression are fitted on a
 bounded, hash-chosen sample of labelled rows (`per_class` of each label). For the regression each half of
 it is measured with the other half's lexicon. Every whole text is scored.
 
@@ -18,6 +21,7 @@ names cannot clash. If the sample lacks either label, all scores are 0; empty ta
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -30,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .linear import apply, logistic, sigmoid
+from .common import cut, join_classes
+from .linear import logistic
 from .words import slices
 
 #: The letters that a character may stand for.
@@ -42,6 +46,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]*")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
+_TAIL = re.compile(r"(?:[^\w\s]|_){3,}$")
+_DIGEST = re.compile(r"[0-9a-f]{16,}")
 _LOW, _HIT = 3.0, 4.5  # weights (log-odds) that rare words reach by chance, and that count as hits
 _BITS = 21  # of a character
 _LEAST = 3  # texts of label 1 that a lexicon entry needs
@@ -63,13 +69,6 @@ def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def found(table: tuple[np.ndarray, np.ndarray], key: int) -> int:
-    """The count of a code in a table of `summed`, or 0."""
-    codes, counts = table
-    at = int(codes.searchsorted(key))
-    return int(counts[at]) if at < len(codes) and codes[at] == key else 0
-
-
 def word_grams(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(codes, counts) of the trigrams of words with their counts."""
     chars = np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -81,11 +80,10 @@ def word_grams(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     return summed(chars[at] << 2 * _BITS | chars[at + 1] << _BITS | chars[at + 2], np.repeat(np.array(list(words.values()), np.int64), size)[at])
 
 
-def count_grams(docs: DataFrame, text_col: str, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of the trigrams of each document's distinct words, over all documents.
+def gathered(docs: DataFrame, text_col: str, most: int = 300_000) -> DataFrame:
+    """(gram, n, core): the trigrams of each document's distinct words, counted, and the strings that tokens ask to be decoded, over all documents.
 
-    A task counts up to about `most` distinct words before it passes their trigrams on; sums are keyed. The driver gets
-    16 bytes for each distinct trigram.
+    A task folds up to about `most` distinct tokens before it passes them on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +92,11 @@ def count_grams(docs: DataFrame, text_col: str, most: int = 300_000) -> tuple[np
 
         def told() -> pa.RecordBatch:
             codes, counts = word_grams({w: n for w, n in seen.items() if not _RUN.search(w)})
+            asked = sorted({c for t in parts for c in cores(t)})
+            columns = [pa.array([*codes.tolist(), *[None] * len(asked)], pa.int64()), pa.array([*counts.tolist(), *[None] * len(asked)], pa.int64()), pa.array([*[None] * len(codes), *asked], pa.string())]
             seen.clear()
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["gram", "n"])
+            return pa.RecordBatch.from_arrays(columns, names=["gram", "n", "core"])
 
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
@@ -108,37 +108,42 @@ def count_grams(docs: DataFrame, text_col: str, most: int = 300_000) -> tuple[np
                 seen.update(words)
             if len(parts) > most:
                 yield told()
-        if seen:
+        if parts:
             yield told()
 
     texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
-    sums = texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return sums.column("gram").to_numpy(), sums.column("n").to_numpy()
+    return texts.mapInArrow(run, "gram bigint, n bigint, core string")
 
 
 class Channel:
-    """A character trigram model with the lattice search on it. `grams`: counts of character trigrams, words being padded by two spaces and closed by one; or (codes, counts) of them."""
-
-    def __init__(self, grams: dict[str, int] | tuple[np.ndarray, np.ndarray]):
-        if isinstance(grams, dict):
-            grams = np.array([code(g) for g in grams], np.int64), np.array(list(grams.values()), np.int64)
-        codes, counts = grams
-        order = np.argsort(codes, kind="stable")
-        self.three = codes[order], counts[order]
-        self.two = summed(codes >> _BITS, counts)
-        self.one = dict(zip(*(x.tolist() for x in summed(codes & ((1 << _BITS) - 1), counts)), strict=True))
-        self.total = int(counts.sum()) + 1
+    """A character trigram model with the lattice search on it. `grams`: counts of character trigrams, words being padded by two spaces and closed by one."""
+
+    def __init__(self, grams: dict[str, int]):
+        codes, counts = np.array([code(g) for g in grams], np.int64), np.array(list(grams.values()), np.int64)
+        table = lambda c: dict(zip(*(x.tolist() for x in summed(c, counts)), strict=True))
+        self._set(table(codes), table(codes >> _BITS), table(codes & ((1 << _BITS) - 1)), int(counts.sum()) + 1)
+
+    def _set(self, three: dict[int, int], two: dict[int, int], one: dict[int, int], total: int) -> None:
+        self.three, self.two, self.one, self.total = three, two, one, total
         self.memory: dict[str, float] = {}
 
+    @classmethod
+    def of(cls, three: dict[int, int], two: dict[int, int], one: dict[int, int], total: int) -> Channel:
+        """The part of a model that some lattice asks for: counts of trigrams, of their first two characters, of their last, and of all and one more."""
+        out = cls.__new__(cls)
+        out._set(three, two, one, total)
+        return out
+
     def cost(self, before: str, char: str) -> float:
         """Negative log-probability of a character after two others, smoothed by that of the character alone."""
         key = before + char
         if (c := self.memory.get(key)) is None:
             alone = (self.one.get(ord(char), 0) + 0.5) / (self.total + 50)
-            c = self.memory[key] = -math.log((found(self.three, code(key)) + 2 * alone) / (found(self.two, code(before)) + 2))
+            c = self.memory[key] = -math.log((self.three.get(code(key), 0) + 2 * alone) / (self.two.get(code(before), 0) + 2))
         return c
 
-    def options(self, token: str) -> list[list[tuple[str, float]]]:
+    @staticmethod
+    def options(token: str) -> list[list[tuple[str, float]]]:
         """For each character, the letters it may be and the channel's price of each; the empty letter is silence."""
         out = []
         for i, c in enumerate(token):
@@ -166,24 +171,49 @@ class Channel:
         return min((c + self.cost(last, " "), word) for last, (c, word) in states.items())[1]
 
 
+def asked(token: str) -> tuple[set[int], set[int]]:
+    """The codes of all trigrams that a token's lattice may ask for, and of their first two characters."""
+    states, three = {"  "}, set()
+    for here in Channel.options(token):
+        after = set()
+        for last in states:
+            for char, _ in here:
+                if char:
+                    three.add(code(last + char))
+                    after.add(last[1] + char)
+                else:
+                    after.add(last)
+        states = after
+    three.update(code(last + " ") for last in states)
+    return three, {t >> _BITS for t in three}
+
+
 def disguised(token: str) -> bool:
-    """Whether a token is worth decoding: letters among stand-ins or separators, or a letter three times in a row."""
+    """Whether a token is worth decoding: letters among stand-ins or separators, or a letter three times in a row; no digest."""
+    if _DIGEST.fullmatch(token):
+        return False
     if _RUN.search(token):
         return True
     return any(c.isalpha() for c in token) and any(c in LEET or c in _BETWEEN for c in token)
 
 
+def cores(token: str) -> list[str]:
+    """What of a lower-cased token is to be decoded, if anything: it without marks around it, and with its last ones where they may be letters."""
+    if _PLAIN.fullmatch(token) and not _RUN.search(token):
+        return []
+    core = _TAIL.sub("", token.strip(_EDGE))
+    if not disguised(core):
+        return []
+    bare = core.rstrip("!") or core
+    return [bare, core] if core != bare else [bare]
+
+
 def restore(token: str, channel: Channel | None) -> list[str]:
     """The words that a lower-cased token holds, as it stands and as decoded."""
     if _PLAIN.fullmatch(token) and not _RUN.search(token):
         return [token.rstrip(".,;:!?")]
-    core = token.strip(_EDGE)
-    out = _LETTERS.findall(core)
-    if channel is not None and disguised(core):
-        out.append(channel.decode(core.rstrip("!") or core))
-        if core.endswith("!"):
-            out.append(channel.decode(core))
-    return out
+    out = _LETTERS.findall(token.strip(_EDGE))
+    return out + [channel.decode(c) for c in cores(token)] if channel is not None else out
 
 
 def tokens(text: str | None) -> set[str]:
@@ -203,46 +233,113 @@ def features(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in (4, 5, 6) if len(word) >= k)]
 
 
-class Model:
-    """Language model, lexicon and regression; `keep` bounds the tokens remembered per worker."""
-
-    def __init__(self, channel: Channel, lexicon: dict[str, float], keep: int = 400_000):
-        self.channel, self.lexicon, self.keep = channel, lexicon, keep
-        self.regression: np.ndarray | None = None
-        self.known: dict[str, float] = {}
-
-    def weight(self, token: str) -> float:
-        if (w := self.known.get(token)) is None:
-            w = max((self.lexicon.get(f, 0.0) for word in restore(token, self.channel) for f in features(word)), default=0.0)
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[token] = w
-        return w
-
-    def reach(self, text: str | None) -> list[float]:
-        """How far the greatest and second weight of the text's words exceed what chance gives, and how many count."""
-        known, found = self.known.get, []
-        for t in tokens(text):
-            if (w := known(t)) is None:
-                w = self.weight(t)
-            if w > 0:
-                found.append(w)
-        found.sort(reverse=True)
-        return [max(0.0, found[0] - _LOW) if found else 0.0, max(0.0, found[1] - _LOW) if len(found) > 1 else 0.0, math.log1p(sum(w > _HIT for w in found))]
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.regression is None:
-            return np.zeros(len(texts))
-        x = np.array([self.reach(t) for t in texts]).reshape(-1, 3)
-        return sigmoid(apply(self.regression, x))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> Model:
-    """The model: trigrams of all documents, and the rest of `per_class` labelled rows of each class at most, those of smallest hash."""
+def restored(docs: DataFrame, text_col: str) -> DataFrame:
+    """(core, word): every string that a token of `docs` asks to be decoded, and its decoding under the trigrams of all documents.
+
+    A string gives the codes that its lattice may ask for, which are joined to the counts; its own counts
+    are then all that its search holds. Counts of single characters, at most as many as there are
+    characters, are broadcast.
+    """
+    found = cut(gathered(docs, text_col))
+    three = cut(found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    two = three.groupBy(F.shiftright("gram", _BITS).alias("code")).agg(F.sum("n").alias("n"))
+    last = three.groupBy(F.col("gram").bitwiseAND(F.lit((1 << _BITS) - 1)).alias("char")).agg(F.sum("n").alias("n")).collect()
+    one, total = {r.char: r.n for r in last}, sum(r.n for r in last) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(one)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, len(batch), 1000):
+                rows = [(c, size, v) for c in batch.column("core")[part : part + 1000].to_pylist() for size, codes in zip((3, 2), asked(c), strict=True) for v in codes]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["core", "size", "code"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for core, sizes, codes, n in zip(*(batch.column(c).to_pylist() for c in ("core", "sizes", "codes", "n")), strict=True):
+                tables: dict[int, dict[int, int]] = {2: {}, 3: {}}
+                for s, c, k in zip(sizes, codes, n, strict=True):
+                    tables[s][c] = k
+                words.append(Channel.of(tables[3], tables[2], shared.value, total).decode(core))
+            yield pa.RecordBatch.from_arrays([batch.column("core"), pa.array(words, pa.string())], names=["core", "word"])
+
+    wanted = found.where("core IS NOT NULL").select("core").distinct().mapInArrow(ask, "core string, size int, code bigint")
+    counts = three.select(F.lit(3).alias("size"), F.col("gram").alias("code"), "n").unionByName(two.select(F.lit(2).alias("size"), "code", "n"))
+    met = wanted.join(counts, ["size", "code"], "left").select("core", F.struct("size", "code", F.coalesce("n", F.lit(0)).alias("n")).alias("c"))
+    own = met.groupBy("core").agg(F.collect_list("c").alias("c")).select("core", *(F.col(f"c.{f}").alias(g) for f, g in (("size", "sizes"), ("code", "codes"), ("n", "n"))))
+    return cut(own.mapInArrow(decode, "core string, word string"))
+
+
+def _key(core: str) -> int:
+    return int.from_bytes(hashlib.blake2b(core.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _weight(words: list[str], lexicon: dict[str, float]) -> float:
+    return max((lexicon.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+
+
+def reach(docs: DataFrame, lexicon: dict[str, float], words: DataFrame | None, keep: int = 400_000) -> DataFrame:
+    """`docs` less `text`, with x: how far the greatest and second weight of the text's words exceed what chance gives, and how many count.
+
+    A pass over the texts weighs words as they stand and names the strings to be decoded; those whose word
+    is in the lexicon come back to their rows by a join. `keep` bounds the tokens remembered per worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = [c for c in docs.columns if c != "text"]
+    one = pa.struct([("t", pa.int32()), ("w", pa.float64())])
+    other = pa.struct([("t", pa.int32()), ("core", pa.int64())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[float, list[int]]] = {}
+        for batch in slices(batches, "text"):
+            plain, hidden = [], []
+            for text in batch.column("text").to_pylist():
+                here, there = [], []
+                for t, token in enumerate(tokens(text)):
+                    if (k := known.get(token)) is None:
+                        if len(known) >= keep:
+                            known.clear()
+                        k = known[token] = _weight(restore(token, None), shared.value), [_key(c) for c in cores(token)]
+                    if k[0] > 0:
+                        here.append({"t": t, "w": k[0]})
+                    for c in k[1]:
+                        there.append({"t": t, "core": c})
+                # words that stand plainly can be folded: the two greatest, and those that count
+                folded = [x for x in here if x["w"] > _HIT] or sorted(here, key=lambda x: -x["w"])[:2]
+                hid = {x["t"] for x in there}
+                plain.append(folded + [x for x in here if x["t"] in hid and x not in folded] if len(folded) > 1 else here)
+                hidden.append(there)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(plain, pa.list_(one)), pa.array(hidden, pa.list_(other))], names=[*names, "plain", "hidden"])
+
+    kinds = dict(docs.dtypes)
+    rows = docs.mapInArrow(weigh, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", plain array<struct<t:int,w:double>>, hidden array<struct<t:int,core:bigint>>")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    if words is not None:
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(_key(c), w) for c, word in zip(batch.column("core").to_pylist(), batch.column("word").to_pylist(), strict=True) if (w := _weight([word], shared.value)) > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([w for _, w in found], pa.float64())], names=["core", "w"])
+
+        each = rows.where(F.size("hidden") > 0).select("row", F.explode("hidden").alias("h")).select("row", "h.t", "h.core")
+        hits = cut(words.mapInArrow(judged, "core bigint, w double").groupBy("core").agg(F.max("w").alias("w")))
+        counted = each.groupBy("core").agg(F.count("*").alias("n")).join(hits, "core")
+        back = join_classes(each, counted, "core", each.count()).groupBy("row").agg(F.collect_list(F.struct("t", "w")).alias("decoded"))  # as many as the text has tokens, at most
+        rows = rows.join(back, "row", "left").withColumn("plain", F.concat("plain", F.coalesce("decoded", F.expr("CAST(array() AS array<struct<t:int,w:double>>)"))))
+    best = F.map_values(F.aggregate("plain", F.expr("CAST(map() AS map<int,double>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["t"]), F.create_map(p["t"], F.greatest(p["w"], F.coalesce(F.try_element_at(m, p["t"]), F.lit(0.0)))))))
+    ranked = F.sort_array(best, False)
+    over = lambda i: F.greatest(F.lit(0.0), F.coalesce(F.get(F.col("ranked"), F.lit(i)), F.lit(0.0)) - _LOW)
+    x = F.array(over(0), over(1), F.log1p(F.size(F.filter("ranked", lambda w: w > _HIT)).cast("double")))
+    return rows.withColumn("ranked", ranked).select(*names, x.alias("x"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int, words: DataFrame | None) -> tuple[dict[str, float], np.ndarray | None]:
+    """Lexicon and regression, from `per_class` labelled rows of each class at most, those of smallest hash."""
     ids = labels.where(f"`{id_col}` IS NOT NULL AND `{label_col}` IN (0, 1)").select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = [r for y in (0, 1) for r in ids.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     if len({r.label for r in chosen}) < 2:
-        return Model(Channel({}), {})
+        return {}, None
     few = docs.sparkSession.createDataFrame([(r.id, r.label, zlib.crc32(str(r.id).encode()) >> 8 & 1) for r in chosen], "id bigint, label int, half int")
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").where("text IS NOT NULL")
 
@@ -261,7 +358,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     counts = texts.mapInPandas(counted, "key string, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("key").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
     counts = cut(counts.where(f"n1 + n3 >= {_LEAST}"))
     sizes = Counter({(r.half, r.label): r["n"] for r in texts.groupBy("half", "label").agg(F.count("*").alias("n")).collect()})
-    channel = Channel(count_grams(docs, text_col))
 
     def lexicon(halves: tuple[int, ...]) -> dict[str, float]:
         clean, bad = ("+".join(f"n{2 * h + y}" for h in halves) for y in (0, 1))
@@ -270,20 +366,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         rows = counts.where(f"{bad} >= {_LEAST}").withColumn("odds", odds).where("odds > 1").collect()
         return {r.key: r.odds for r in rows}
 
-    shared = docs.sparkSession.sparkContext.broadcast([Model(channel, lexicon((1,))), Model(channel, lexicon((0,)))])  # what each half is measured with
-
-    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        halves = shared.value
-        for frame in frames:
-            x = np.array([halves[h].reach(t) for t, h in zip(frame["text"], frame["half"], strict=True)]).reshape(-1, 3)
-            yield pd.DataFrame({"label": frame["label"], "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
-
-    rows = texts.mapInPandas(reached, "label int, a double, b double, c double").toPandas()
-    model = Model(channel, lexicon((0, 1)))
-    if rows["label"].nunique() == 2:
-        x = np.vstack([rows[["a", "b", "c"]].to_numpy(), np.zeros((20, 3))])  # texts without words are clean
-        model.regression = logistic(x, np.append(rows["label"].to_numpy().astype(float), np.zeros(20)), ridge=1e-3)
-    return model
+    halves = [reach(texts.where(F.col("half") == h).select("label", "text"), lexicon((1 - h,)), words) for h in (0, 1)]
+    rows = halves[0].unionByName(halves[1]).collect()  # of the sample
+    regression = None
+    if len({r.label for r in rows}) == 2:
+        x = np.vstack([np.array([r.x for r in rows]), np.zeros((20, 3))])  # texts without words are clean
+        regression = logistic(x, np.array([float(r.label) for r in rows] + [0.0] * 20), ridge=1e-3)
+    return lexicon((0, 1)), regression
 
 
 def held_out(id_: Column) -> Column:
@@ -292,21 +381,19 @@ def held_out(id_: Column) -> Column:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, per_class: int = 3000,
+    threshold: float = 0.3, per_class: int = 3000, channel: bool = True,
 ) -> DataFrame:
     """(id, held_out, score, predicted) of each document. Labels of held-out rows, by a hash of the id, are never learnt from.
 
-    `per_class` bounds the labelled sample, and with it the lexicon of its words. The model is broadcast; its
-    trigrams are those of all documents, at 16 bytes each.
+    `per_class` bounds the labelled sample, and with it the lexicon of its words, which is broadcast.
+    Without `channel` nothing is decoded, to measure what decoding adds.
     """
-    kind = dict(docs.dtypes)[id_col]
-    learnt = labels.where(~held_out(id_col))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, learnt, id_col, text_col, label_col, per_class))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in slices(batches, "text"):
-            s = model.scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out")).mapInArrow(run, f"{id_col} {kind}, held_out boolean, score double, predicted int")
+    words = restored(docs, text_col) if channel else None
+    lexicon, regression = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, label_col, per_class, words)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"))
+    if regression is None:
+        scored = rows.select("id", "held_out", F.lit(0.0).alias("score"))
+    else:
+        odds = sum((F.get("x", F.lit(i)) * float(w) for i, w in enumerate(regression[:-1])), F.lit(float(regression[-1])))
+        scored = reach(rows, lexicon, words).select("id", "held_out", (1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), odds))))).alias("score"))
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

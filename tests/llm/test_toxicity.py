@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from corpusloom.llm.toxicity import Channel, disguised, fit, restore, score_toxicity
+import pytest
+
+from corpusloom.llm.toxicity import Channel, cores, disguised, restore, restored, score_toxicity, tokens
 
 DOCS = "doc_id bigint, text string, label int, score double"
 LABELS = "doc_id bigint, toxic int, text string"
@@ -62,21 +64,49 @@ def test_channel():
     assert restore("river,", c) == ["river"]
 
 
-def test_language_model_counts_all_documents(spark):
-    docs, labels = corpus(80)
-    more = [(1000 + i, t, None, None) for i, t in enumerate(["xylophone Глупец", "xylophone, xylophone", "xylophone 漢字漢", "nooope stone", None, ""])]
+def test_decodings_equal_those_under_all_trigrams(spark):
+    docs, _ = corpus(80)
+    more = [(1000 + i, t, None, None) for i, t in enumerate(["xylophone Глупец", "xylophone, xylophone", "xylophone 漢字漢", "nooope stone", "xy1oph0ne гл.у-пец w0rd! r-i-v-e-r s t o n e", "wr3tch!! " * 3, None, ""])]
     df = spark.createDataFrame(docs + more, DOCS).repartition(3)
-    channel = fit(df, spark.createDataFrame(labels, LABELS), "doc_id", "text", "toxic", 10).channel
-    assert channel.decode("xy1oph0ne") == "xylophone" and channel.decode("гл.у-пец") == "глупец"
+    got = {r.core: r.word for r in restored(df, "text").collect()}
+    assert got["xy1oph0ne"] == "xylophone" and got["гл.у-пец"] == "глупец"
     grams = {}
     for _, text, _, _ in docs + more:
-        for w in {w.strip(",").lower() for w in (text or "").split()} - {"nooope"}:
-            for i in range(len(w) + 1):
-                g = f"  {w} "[i : i + 3]
-                grams[g] = grams.get(g, 0) + 1
+        for w in {w for t in tokens(text) for w in restore(t, None)}:
+            if not any(a == b == c for a, b, c in zip(w, w[1:], w[2:], strict=False)):
+                for i in range(len(w) + 1):
+                    g = f"  {w} "[i : i + 3]
+                    grams[g] = grams.get(g, 0) + 1
     all_ = Channel(grams)
-    assert [x.tolist() for x in channel.three] == [x.tolist() for x in all_.three] and len(grams) == len(channel.three[0])
-    assert all(channel.cost(g[:2], g[2]) == all_.cost(g[:2], g[2]) for g in grams)
+    assert set(got) == {c for _, text, _, _ in docs + more for t in tokens(text) for c in cores(t)} and len(got) > 5
+    assert got == {c: all_.decode(c) for c in got}
+
+
+def test_marks_behind_words_and_digests_open_no_lattice():
+    assert cores("lyreon$$$") == cores("tepf.###") == cores("0123456789abcdef01") == cores("river!!!") == cores("plain,") == []
+    assert cores("a$$") == ["a$$"] and cores("d0lt!!") == ["d0lt", "d0lt!!"] and cores("d0lt***") == ["d0lt"]
+
+
+_LEET = str.maketrans("oaeils", "04311$")
+KINDS = {
+    "leet": lambda w: w.translate(_LEET),
+    "dotted": lambda w: ".".join(w),
+    "spaced": lambda w: " ".join(w.translate(_LEET)),
+    "repeated": lambda w: w[:2] + w[2] * 4 + w[3:],
+}
+
+
+@pytest.mark.parametrize("kind", list(KINDS))
+def test_the_channel_finds_planted_disguise(spark, kind):
+    """Held-out texts whose bad word stands in disguise only: found by the channel, not without it."""
+    docs, labels = corpus(600)
+    hidden = [(20_000 + i, f"the river {KINDS[kind](BAD[i % 3])} under stone", 1, 0.0) for i in range(60)]
+    fair = [(30_000 + i, f"the river {KINDS[kind]('garden')} under stone", 1, 0.0) for i in range(60)]
+    df, marked = spark.createDataFrame(docs + hidden + fair, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)
+    on, off = ({r.doc_id: r.predicted for r in score_toxicity(df, marked, channel=c).collect()} for c in (True, False))
+    found = lambda by, rows: sum(by[d] for d, *_ in rows) / len(rows)
+    assert found(on, hidden) >= 0.95 and found(off, hidden) <= 0.4 and found(on, fair) <= 0.05  # a beginning may stand plainly, as in numb$ku11
+    assert all(on[d] == off[d] for d, *_ in docs)
 
 
 def test_an_id_labelled_both_ways_counts_as_toxic(spark):
