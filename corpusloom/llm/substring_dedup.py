@@ -384,15 +384,21 @@ def substring_dedup(
 
     def passages(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.table({"shard": pa.array([], pa.int64()), "owner": pa.array([], pa.int64()), "passage": pa.array([], pa.binary())})
+            return pa.table({"shards": pa.array([], pa.list_(pa.int64())), "owner": pa.array([], pa.int64()), "passage": pa.array([], pa.binary())})
         value, owner = _values(right.column("value").to_pylist(), np.uint64), _values(right.column("owner").to_pylist(), np.int64)
         dest = np.frombuffer(b"".join(right.column("dest").to_pylist()), np.int32)
         order = np.argsort(owner, kind="stable")
         value, owner, dest = value[order], owner[order], dest[order]
-        out = {p for batch in slices(left.to_batches(), "text") for p in passages_of(batch.column("text"), batch.column("id").to_pylist(), value, owner, dest, window)}
-        return pa.table({"shard": pa.array([p[0] for p in out], pa.int64()), "owner": pa.array([p[1] for p in out], pa.int64()), "passage": pa.array([p[2] for p in out], pa.binary())})
-
-    sent = owning.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(passages, "shard bigint, owner bigint, passage binary")
+        out: dict[tuple[int, bytes], list[int]] = {}
+        for batch in slices(left.to_batches(), "text"):
+            for to, mine, passage in passages_of(batch.column("text"), batch.column("id").to_pylist(), value, owner, dest, window):
+                out.setdefault((mine, passage), []).append(to)
+        places = [sorted(set(x)) for x in out.values()]
+        return pa.table({"shards": pa.array(places, pa.list_(pa.int64())), "owner": pa.array([k[0] for k in out], pa.int64()), "passage": pa.array([k[1] for k in out], pa.binary())})
+
+    # a passage is held once with the numbers of its shards, and copied to them as it is sent
+    owned = owning.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(passages, "shards array<bigint>, owner bigint, passage binary")
+    sent = owned.select(F.explode("shards").alias("shard"), "owner", "passage")
     sharded = everything.select(F.coalesce(by_id, F.pmod(F.xxhash64("text"), F.lit(shards))).alias("shard"), "id", "text")
 
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:

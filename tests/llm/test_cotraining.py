@@ -43,6 +43,25 @@ def test_views_teach_each_other():
     assert ((m.score(views)[1] > 0.5) == y)[60:].mean() > 0.93
 
 
+def test_the_exchange_teaches_what_labelled_rows_lack():
+    """Labelled rows show old words alone. Other rows have new ones, which only their metadata explain; the last have new words and no metadata."""
+    found = {0: [], 4: []}
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        n = 1500
+        y = rng.integers(0, 2, n)
+        known = np.where(np.arange(n) < 100, y, -1)
+        last = np.arange(n) >= 1200
+        words = rng.normal(0, 0.3, (n, 6))
+        words[np.arange(n), np.where(known >= 0, 0, 2) + y] += 2.0
+        meta = np.where(last, 0.0, y * 2.0 - 1)[:, None] + rng.normal(0, 0.4, (n, 2)) * ~last[:, None]
+        for rounds, right in found.items():
+            m = CoTraining().fit([words, meta], known, np.arange(n) % 4 == 1, rounds=rounds, share=0.2, sure=0.9)
+            (by_words, _), _ = m.score([words, meta])
+            right.append(((by_words > 0.5) == y)[last].mean())
+    assert max(found[0]) < 0.6 and min(found[4]) > 0.8
+
+
 def test_no_labels_and_no_rows(spark):
     docs, labels = corpus(12)
     assert {r.score for r in classify_quality(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], LABELS)).collect()} == {0.5}
