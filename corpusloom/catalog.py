@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -988,6 +989,53 @@ def stream_triage(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE lang = 'fr'")
+def partitioned_rows(spark, sf):
+    """Documents in a folder for each language, of which one is read."""
+    path = new_folder(spark, "partitioned")
+    sinks.write_partitioned(table(spark, sf, "documents").select("doc_id", "text", "lang"), path, "lang")
+    return spark.read.schema("doc_id bigint, text string, lang string").json(path).where("lang = 'fr'").select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 3 > 0")
+def train_rows(spark, sf):
+    """Labels as JSON lines and then as Parquet below folders `train` and `test`, of which the first alone is read."""
+    l, path = table(spark, sf, "labels").select("doc_id", "quality", "toxic"), new_folder(spark, "labels")
+    sinks.write_jsonl(l, f"{path}/lines")
+    again = records.read_jsonl(spark, f"{path}/lines", "doc_id bigint, quality int, toxic int")
+    again.where("doc_id % 3 > 0").write.parquet(f"{path}/rows/train/a")
+    again.where("doc_id % 3 = 0").write.parquet(f"{path}/rows/test/a")
+    return records.read_parquet_rows(spark, f"{path}/rows")
+
+
+@query("""SELECT '- **' || event_type || '**: yuksek ' || count(*) FILTER (WHERE value >= 50)::VARCHAR || ', orta ' || count(*) FILTER (WHERE value >= 10 AND value < 50)::VARCHAR || ', dusuk ' || count(*) FILTER (WHERE value < 10)::VARCHAR AS line FROM events GROUP BY event_type""")
+def roadmap_lines(spark, sf):
+    path = new_folder(spark, "roadmap")
+    sinks.write_roadmap(priority_pivot(spark, sf), path, "event_type", ["yuksek", "orta", "dusuk"])
+    return spark.read.text(path).toDF("line")
+
+
+_WEAK = "translate(substr(text, 1, 1500), '<>&', '   ')"
+_FLAT = lambda c: STRIP.format(f"regexp_replace({c}, '\\s+', ' ', 'g')")
+
+
+@query(f"""SELECT id, md5(t) AS text_md5 FROM (SELECT doc_id::VARCHAR AS id, 'CWE-' || doc_id::VARCHAR || ': ' || source || chr(10) || substr({STRIP.format(f"concat_ws(' ', {_FLAT(_WEAK)}, lang || ' & more')")}, 1, 1100)
+|| CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Mitigation: ' || substr({_FLAT("'first fix of ' || source || ' ' || " + _WEAK)}, 1, 600) ELSE '' END AS t FROM documents) s WHERE length(t) >= 200""")
+def cwe_render(spark, sf):
+    """Weaknesses of an XML catalogue made of the documents."""
+    path = new_folder(spark, "weaknesses")
+    fix = f"CASE WHEN doc_id % 2 = 0 THEN '<Potential_Mitigations><M>first <b>fix</b> of ' || source || '</M> ' || {_WEAK} || '</Potential_Mitigations>' ELSE '' END"
+    line = f"'<Weakness ID=\"' || doc_id || '\" Name=\"' || source || '\"><Description>' || {_WEAK} || '</Description><Extended_Description>' || lang || ' &amp; <i>more</i></Extended_Description>' || {fix} || '</Weakness>'"
+
+    def rooted(batches):  # each file is one XML document
+        yield pa.RecordBatch.from_arrays([pa.array(["<Catalog>"])], names=["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</Catalog>"])], names=["value"])
+
+    table(spark, sf, "documents").select(F.expr(line).alias("value")).mapInArrow(rooted, "value string").write.text(path)
+    return records.render_cwe(spark, path).select("id", F.md5("text").alias("text_md5"))
+
+
 _CUTS = "SELECT item_id % 50 AS slug, unnest(list_transform(range(1, length(text) - 12), lambda i: substr(text, i, 14))) AS keyword FROM benchmark"
 
 
