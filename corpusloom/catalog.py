@@ -1036,6 +1036,39 @@ def cwe_render(spark, sf):
     return records.render_cwe(spark, path).select("id", F.md5("text").alias("text_md5"))
 
 
+_PACKED = "replace(text, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || 'see [the page](http://x/' || lang || ') and :func:`~' || source || '` <b>now</b>' || chr(10) || '.. note:: hidden' || chr(10) || '<!-- ' || lang || ' --> end'"
+_PACKED_SQL = f"(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'rst' END AS kind, {_PACKED} AS t FROM documents) f"
+_RST1 = r"array_to_string(list_filter(string_split(regexp_replace(t, ':[a-z]+:`([^`]+)`', '\1', 'g'), chr(10)), lambda s: NOT starts_with(regexp_replace(s, '^\s+', ''), '.. ')), chr(10))"
+_RST2 = r"regexp_replace(regexp_replace(regexp_replace(replace(t, '::' || chr(10), ':' || chr(10)), ':[a-z:]+:`~?([^`<]+?)(?:\s*<[^>]*>)?`', '\1', 'g'), '\.\. [a-z-]+::.*', '', 'g'), '(?m)^\s*\.\..*$', '', 'g')"
+
+
+def _packed_archives(spark, sf) -> str:
+    """Two archives of the documents, as Markdown and reStructuredText."""
+    path = new_folder(spark, "repositories")
+    kind = F.when(F.col("doc_id") % 2 == 0, "md").otherwise("rst")
+    files = table(spark, sf, "documents").select(F.concat(F.lit("org__repo"), (F.col("doc_id") % 2).cast("string"), F.lit(".zip")).alias("archive"), F.concat(F.lit("top/docs/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("path"), F.expr(_PACKED).alias("text"))
+    archives.write_archives(files, path)
+    return path
+
+
+@query(f"""SELECT 'org__repo' || (doc_id % 2)::VARCHAR || '.zip' AS archive, 'docs/' || doc_id::VARCHAR || '.' || kind AS path, md5('# dosya: docs/' || doc_id::VARCHAR || '.' || kind || chr(10) || CASE kind WHEN 'md' THEN {_MD1.format("t")} ELSE {_RST1} END) AS text_md5
+FROM {_PACKED_SQL} WHERE strlen(t) BETWEEN 100 AND 200000 AND doc_id % 3 > 0""")
+def archive_repository(spark, sf):
+    """Archives read for training, of some paths alone."""
+    wanted = F.regexp_extract("path", r"(\d+)\.", 1).cast("bigint") % 3 > 0
+    return archives.repository_texts(spark, _packed_archives(spark, sf), (".md", ".rst"), wanted).select("archive", "path", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH c AS (SELECT 'repo' || (doc_id % 2)::VARCHAR || ':docs/' || doc_id::VARCHAR || '.' || kind AS source, CASE kind WHEN 'md' THEN {_MD2.format("t")} ELSE {_RST2} END AS t FROM {_PACKED_SQL} WHERE strlen(t) BETWEEN 200 AND 400000)
+SELECT source, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM (SELECT source, CASE WHEN length(s.b) >= 200 THEN list_append(s.d, s.b) ELSE s.d END AS c
+FROM (SELECT source, list_reduce(list_prepend({{'d': []::VARCHAR[], 'b': ''}}, list_transform(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda q: {STRIP.format("q")}), lambda q: q <> ''), lambda q: {{'d': []::VARCHAR[], 'b': q}})), {_STEP}) AS s FROM c) t) t WHERE len(c) > 0""")
+def archive_chunks(spark, sf):
+    """Archives read for retrieval, cleaned by kind and cut into chunks."""
+    chunks = corpus.build_chunks(archives.retrieval_texts(spark, _packed_archives(spark, sf), (".md", ".rst")), "source", "text", F.col("source"), kind_col="kind")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_pos", "text"))), lambda x: x["text"])
+    return chunks.groupBy("source").agg(F.count("*").alias("n_chunks"), F.md5(F.array_join(parts, "|")).alias("chunks_md5"))
+
+
 _CUTS = "SELECT item_id % 50 AS slug, unnest(list_transform(range(1, length(text) - 12), lambda i: substr(text, i, 14))) AS keyword FROM benchmark"
 
 
