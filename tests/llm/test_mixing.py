@@ -75,3 +75,9 @@ def test_clashing_names_are_written_and_read(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.columns == ["doc_id", "text", "source", "Replica", "mix_key", "_row", "a.b", "replica_", "mix_key_"]
     assert {(r.Replica, r.mix_key, r["a.b"]) for r in back.collect()} == {(1, "k", "dotted")}
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "long " * 400_000 if i == 3 else f"t{i}", f"s{i % 2}", 0, 0.0) for i in range(40)]
+    out = mix_sources(spark.createDataFrame(rows, SCHEMA), epochs=3.0, with_order=False).collect()
+    assert {len(r.text) for r in out if r.doc_id == 3} <= {2_000_000} and len(out) > 40

@@ -60,3 +60,11 @@ def test_empty(spark):
     c, e = spark.createDataFrame([(1, "https://a.b/", day(1), None, None, None)], CAPTURES), spark.createDataFrame([], ENTRIES)
     assert filter_urls(c, e).first().kept
     assert filter_urls(c.limit(0), e).count() == 0
+
+
+def test_very_long_urls(spark):
+    deep = ".".join(["a"] * 300) + ".example.com"
+    rows = [(1, f"https://example.com/{'x' * 200_000}", day(3)), (2, f"https://{deep}/y", day(3)), (3, "https://" + "z" * 100_000, day(3))]
+    c = spark.createDataFrame([(i, u, w, "c", "d", 3) for i, u, w in rows], CAPTURES)
+    got = filter_urls(c, spark.createDataFrame([("example.com", "bad", day(1), True, "x")], ENTRIES)).collect()
+    assert {(r.page_id, r.kept, r.host_matched) for r in got} == {(1, False, "example.com"), (2, False, "example.com"), (3, True, None)}
