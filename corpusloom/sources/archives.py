@@ -6,6 +6,7 @@ import bz2
 import io
 import itertools
 import os
+import re
 import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
@@ -92,7 +93,9 @@ def file_system(path: str):
     """(file system, path on it) of a URI or a local path; raises where Arrow knows no such file system."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+    if (scheme := re.match(r"([a-z][a-z0-9+.-]*):", path)) and scheme[1] != "file":
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(re.sub(r"^file:(//)?(?=/)", "", path))
 
 
 class _File(io.RawIOBase):

@@ -30,6 +30,7 @@ class JsonShards(DataSource):
 
     A task writes to a folder of its own. Only when all tasks are done are their files moved to their
     names; a failed job's folder is removed, and so is what failed or repeated tries of tasks have left.
+    The folder is on a file system that Arrow knows.
     """
 
     @classmethod
