@@ -88,27 +88,34 @@ def gathered(docs: DataFrame, text_col: str, most: int = 300_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        parts: dict[str, list[str]] = {}
+        word: dict[str, str | None] = {}  # of a token that is one
+        several: dict[str, list[str]] = {}  # of the others
 
         def told() -> pa.RecordBatch:
             codes, counts = word_grams({w: n for w, n in seen.items() if not _RUN.search(w)})
-            asked = sorted({c for t in parts for c in cores(t)})
+            asked = sorted({c for t in word for c in cores(t)})
             columns = [pa.array([*codes.tolist(), *[None] * len(asked)], pa.int64()), pa.array([*counts.tolist(), *[None] * len(asked)], pa.int64()), pa.array([*[None] * len(codes), *asked], pa.string())]
-            seen.clear()
-            parts.clear()
+            for held in (seen, word, several):
+                held.clear()
             return pa.RecordBatch.from_arrays(columns, names=["gram", "n", "core"])
 
         for batch in slices(batches, "text"):
             for text in batch.column("text").to_pylist():
-                words: set[str] = set()
-                for t in tokens(text):
-                    if (p := parts.get(t)) is None:
-                        p = parts[t] = restore(t, None)
-                    words.update(p)
+                found = tokens(text)
+                for t in found.difference(word):
+                    parts = restore(t, None)
+                    word[t] = parts[0] if len(parts) == 1 else None
+                    if len(parts) != 1:
+                        several[t] = parts
+                words = set(map(word.__getitem__, found))
+                if None in words:
+                    words.discard(None)
+                    for t in found.intersection(several):
+                        words.update(several[t])
                 seen.update(words)
-            if len(parts) > most:
+            if len(word) > most:
                 yield told()
-        if parts:
+        if word:
             yield told()
 
     texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
@@ -222,7 +229,7 @@ def tokens(text: str | None) -> set[str]:
         return set()
     low = text.lower()
     out = set(low.split())
-    if any(len(t) == 1 for t in out):
+    if min(map(len, out), default=2) == 1:
         for m in _SPACED.finditer(low.replace("\n", " ")):
             out.add("".join(m[0].split(" ")))
     return out
@@ -291,20 +298,19 @@ def reach(docs: DataFrame, lexicon: dict[str, float], words: DataFrame | None, k
     other = pa.struct([("t", pa.int32()), ("core", pa.int64())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[float, list[int]]] = {}
+        known: dict[str, tuple[float, list[int]] | None] = {}  # None for most: neither a weight nor anything to decode
         for batch in slices(batches, "text"):
             plain, hidden = [], []
             for text in batch.column("text").to_pylist():
-                here, there = [], []
-                for t, token in enumerate(tokens(text)):
-                    if (k := known.get(token)) is None:
-                        if len(known) >= keep:
-                            known.clear()
-                        k = known[token] = _weight(restore(token, None), shared.value), [_key(c) for c in cores(token)]
-                    if k[0] > 0:
-                        here.append({"t": t, "w": k[0]})
-                    for c in k[1]:
-                        there.append({"t": t, "core": c})
+                found = tokens(text)
+                if len(known) + len(found) > keep:
+                    known.clear()
+                for token in found.difference(known):
+                    k = _weight(restore(token, None), shared.value), [_key(c) for c in cores(token)]
+                    known[token] = k if k[0] > 0 or k[1] else None
+                met = [(t, k) for t, k in enumerate(map(known.__getitem__, found)) if k is not None]
+                here = [{"t": t, "w": w} for t, (w, _) in met if w > 0]
+                there = [{"t": t, "core": c} for t, (_, asked) in met for c in asked]
                 # words that stand plainly can be folded: the two greatest, and those that count
                 folded = [x for x in here if x["w"] > _HIT] or sorted(here, key=lambda x: -x["w"])[:2]
                 hid = {x["t"] for x in there}
