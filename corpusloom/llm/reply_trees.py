@@ -65,7 +65,7 @@ def chat_paths(tree: DataFrame, *, id_col: str = "id", parent_col: str = "parent
 
     Only ids move. A round joins the messages that have not reached their root with what is known of the
     ancestors they have reached; its results are checkpointed. Levels of a path are then filled in from the
-    longest jump down, so that short paths take no part in the long ones.
+    longest jump down, each by the messages alone that have so far to go.
     """
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
     given = tree.select(F.col(id_col).alias("node"), F.col(parent_col).alias("up"), score.alias("total")).where("node IS NOT NULL")
@@ -84,6 +84,8 @@ def chat_paths(tree: DataFrame, *, id_col: str = "id", parent_col: str = "parent
         step = cut(going.select("node", "up", "total", "n").join(above, "up").select("node", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("steps")).alias("n")))
         done.append(step.where("up IS NULL"))
         going = step.where("up IS NOT NULL")
+        if len(done) > 3:  # short plans
+            done = [cut(reduce(DataFrame.unionByName, done))]
     whole = reduce(DataFrame.unionByName, done)
     paths = whole.join(leaves, "node", "left_semi").select(F.col("node").alias("leaf"), "root", (F.col("total") / F.col("n")).alias("score"), "n")
     if branches is None:
@@ -91,13 +93,15 @@ def chat_paths(tree: DataFrame, *, id_col: str = "id", parent_col: str = "parent
     else:
         best = Window.partitionBy("root").orderBy(F.col("score").desc(), "leaf")
         paths = paths.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
-    out = paths.select("leaf", "root", "branch", "score", (F.col("n") - 1).alias("depth"), F.col("leaf").alias("node"))
+    out = paths.select("leaf", "root", "branch", "score", (F.col("n") - 1).alias("depth"), F.col("leaf").alias("node"), (F.col("n") - 1).alias("left"))
+    out = cut(out)
     for k, level in reversed(list(enumerate(jumps))):
-        both = F.array_compact(F.array(F.struct("node", "depth"), F.when(F.col("far").isNotNull(), F.struct(F.col("far").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))))
-        out = out.join(level, "node", "left").select("leaf", "root", "branch", "score", F.explode(both).alias("at")).select("leaf", "root", "branch", "score", "at.depth", "at.node")
-        if k % 3 == 0:
-            out = cut(out)  # short plans; ids alone
-    return out
+        # what is left above a message is under two steps of this length; only those with one take it
+        both = F.array(F.struct("node", "depth"), F.struct(F.col("far").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
+        long = out.where(F.col("left") >= 1 << k).join(level, "node").select("leaf", "root", "branch", "score", "left", F.posexplode(both).alias("i", "at"))
+        long = long.select("leaf", "root", "branch", "score", "at.depth", "at.node", F.when(F.col("i") == 0, F.lit((1 << k) - 1)).otherwise(F.col("left") - (1 << k)).alias("left"))
+        out = cut(out.where(F.col("left") < 1 << k).unionByName(long))
+    return out.drop("left")
 
 
 def _batches(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
