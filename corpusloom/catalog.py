@@ -1061,7 +1061,7 @@ def archive_repository(spark, sf):
 
 @query(f"""WITH c AS (SELECT 'repo' || (doc_id % 2)::VARCHAR || ':docs/' || doc_id::VARCHAR || '.' || kind AS source, CASE kind WHEN 'md' THEN {_MD2.format("t")} ELSE {_RST2} END AS t FROM {_PACKED_SQL} WHERE strlen(t) BETWEEN 200 AND 400000)
 SELECT source, len(c) AS n_chunks, md5(array_to_string(c, '|')) AS chunks_md5 FROM (SELECT source, CASE WHEN length(s.b) >= 200 THEN list_append(s.d, s.b) ELSE s.d END AS c
-FROM (SELECT source, list_reduce(list_prepend({{'d': []::VARCHAR[], 'b': ''}}, list_transform(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda q: {STRIP.format("q")}), lambda q: q <> ''), lambda q: {{'d': []::VARCHAR[], 'b': q}})), {_STEP}) AS s FROM c) t) t WHERE len(c) > 0""")
+FROM (SELECT source, list_reduce(list_prepend({{'d': []::VARCHAR[], 'b': ''}}, list_transform(list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda q: {STRIP.format("q")}), lambda q: q <> ''), lambda q: {{'d': []::VARCHAR[], 'b': q}})), {_STEP}) AS s FROM c) t) t WHERE len(c) > 0""")
 def archive_chunks(spark, sf):
     """Archives read for retrieval, cleaned by kind and cut into chunks."""
     chunks = corpus.build_chunks(archives.retrieval_texts(spark, _packed_archives(spark, sf), (".md", ".rst")), "source", "text", F.col("source"), kind_col="kind")
