@@ -147,6 +147,21 @@ def normalise_key(c: Column) -> Column:
     return F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
+def _simple_upper(c: str) -> str:
+    """A letter's one-letter capital; itself, if its only capitals are several letters."""
+    if c == "ß":
+        return "ẞ"
+    return next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+
+
+_CAPITALS = {c: u for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (u := _simple_upper(c)) != c}
+
+
+def upper_by_letter(c: Column) -> Column:
+    """Capitals letter by letter, as SQL engines of simple case mapping give them: the text keeps its length, where upper() makes SS of ß."""
+    return F.translate(c, "".join(_CAPITALS), "".join(_CAPITALS.values()))
+
+
 def fold_homoglyphs(c: Column) -> Column:
     return F.translate(c, "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
 
