@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 from .budget import running_before
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of about `most` bytes, one row at least: a batch is cut by rows, and a row here is a whole stretch."""
+    for batch in batches:
+        step = max(1, most * batch.num_rows // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def token_stream(df: DataFrame, ids: Column, order: str, bucket: Column, width: int = 1 << 16) -> DataFrame:
     """(stretch, n, ids) of all rows' ids in order; every stretch but the last holds `width` ids. Rows without ids add nothing.
 
@@ -39,7 +47,7 @@ def write_token_stream(stream: DataFrame, path: str, width: int = 1 << 16) -> in
     """The stream as 16-bit shards: Parquet sorted by stretch, ids little-endian in a binary column; ids above 65535 raise. Returns the number of ids."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             flat = batch.column("ids").flatten().to_numpy(zero_copy_only=False)
             if len(flat) and (flat.min() < 0 or flat.max() > 0xFFFF):
                 raise OverflowError("an id does not fit 16 bits")
@@ -58,9 +66,11 @@ def read_token_stream(spark: SparkSession, path: str) -> tuple[DataFrame, int, i
     """((stretch, n, ids), the number of ids, the width of a stretch) of a written stream."""
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["stretch", "n", "ids"])
+        for batch in _slices(batches):
+            raw = batch.column("ids").to_pylist()
+            ends = np.cumsum([0, *(len(x) // 2 for x in raw)])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u2").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("stretch"), batch.column("n"), ids], names=["stretch", "n", "ids"])
 
     total, width = spark.read.parquet(f"{path}/meta").first()
     return spark.read.parquet(f"{path}/stretches").mapInArrow(unpacked, "stretch bigint, n int, ids array<int>"), total, width
