@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..checkpoints import checkpointed
 from ..functions import text as T
 from ..operators.dedup import keep_first
 from .records import CVE_SCHEMA, render_cve
@@ -311,28 +312,39 @@ def _texts(path: str, entries: Iterable[tuple], nul_in: int | None) -> Iterator[
             data.close()
 
 
-def write_archives(files: DataFrame, path: str) -> None:
-    """(archive, path, text) rows as zip archives at `path`, each written by one task, file by file, in the order of paths."""
+def write_archives(files: DataFrame, path: str, volume_bytes: int = 64 << 20) -> None:
+    """(archive, path, text) rows as zip archives at `path`, file by file, in the order of paths.
+
+    A zip archive is written by one task, so one of over `volume_bytes` of text is put into as many volumes:
+    archives of the same name, the first in `path` and the others in folders below it, each written by a
+    task of its own. Readers name files by their archive's name, so volumes read as one archive.
+    """
+    sizes = files.groupBy("archive").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("_bytes"))
+    sizes = checkpointed(sizes.select("archive", (F.floor(F.col("_bytes") / volume_bytes) + 1).alias("_volumes")))
+    tasks = sizes.agg(F.sum("_volumes")).first()[0] or 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = file_system(path)
-        name, out, z = None, None, None
+        place, out, z = None, None, None
         for batch in batches:
-            for archive, below, text in zip(*(batch.column(c).to_pylist() for c in ("archive", "path", "text")), strict=True):
-                if archive != name:
+            for archive, volume, below, text in zip(*(batch.column(c) for c in ("archive", "_volume", "path", "text")), strict=True):
+                if (archive.as_py(), volume.as_py()) != place:
                     if z is not None:
                         z.close()
                         out.close()
-                    system.create_dir(top, recursive=True)
-                    name, out = archive, system.open_output_stream(f"{top}/{archive}")
+                    place = archive.as_py(), volume.as_py()
+                    folder = f"{top}/volume-{place[1]}" if place[1] else top
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(f"{folder}/{place[0]}")
                     z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
-                z.writestr(zipfile.ZipInfo(below), (text or "").encode(), zipfile.ZIP_DEFLATED)
+                z.writestr(zipfile.ZipInfo(below.as_py()), (text.as_py() or "").encode(), zipfile.ZIP_DEFLATED)
         if z is not None:
             z.close()
             out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["archive"])
+        yield pa.RecordBatch.from_arrays([pa.array([place and place[0]], pa.string())], names=["archive"])
 
-    dealt = files.select("archive", "path", "text").repartition("archive").sortWithinPartitions("archive", "path")
+    placed = files.select("archive", "path", "text").join(sizes, "archive").withColumn("_volume", F.pmod(F.xxhash64("path"), F.col("_volumes")))
+    dealt = placed.select("archive", "_volume", "path", "text").repartition(4 * tasks, "archive", "_volume").sortWithinPartitions("archive", "_volume", "path")
     dealt.mapInArrow(write, "archive string").write.format("noop").mode("overwrite").save()
 
 
