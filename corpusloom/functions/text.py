@@ -318,6 +318,12 @@ def _cased(word: str, to: str) -> str:
     return to[:1].upper() + to[1:] if "A" <= word[:1] <= "Z" else to
 
 
+def _asked_words(df: DataFrame, text_col: str) -> DataFrame:
+    """(_t, word): the distinct lower-cased ASCII words of each text under its digest, which is taken once for a text, not for each word."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0)))
+    return df.select(F.md5(text_col).alias("_t"), words.alias("_w")).select("_t", F.explode("_w").alias("word"))
+
+
 def correct_words(df: DataFrame, text_col: str, dictionary: DataFrame, keep: DataFrame | None = None) -> DataFrame:
     """`dict_correct` by a table (word, to) of any size: only the entries that a text asks for come to it.
 
@@ -328,15 +334,13 @@ def correct_words(df: DataFrame, text_col: str, dictionary: DataFrame, keep: Dat
     entries = dictionary.where("word IS NOT NULL AND to IS NOT NULL").groupBy("word").agg(F.min("to").alias("to"))
     if keep is not None:
         entries = entries.join(keep.select("word"), "word", "left_anti")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0)))
-    asked = df.select(F.md5(text_col).alias("_t"), F.explode(words).alias("word")).join(entries, "word")
-    found = asked.groupBy("_t").agg(F.collect_set(F.struct("word", "to")).alias("_e"))
+    found = _asked_words(df, text_col).join(entries, "word").groupBy("_t").agg(F.collect_set(F.struct("word", "to")).alias("_e"))
 
     def replaced(texts: pd.Series, words: pd.Series, to: pd.Series) -> pd.Series:
         out = []
         for text, some, others in zip(texts, words, to, strict=True):
-            table = dict(zip(some, others, strict=True)) if some is not None else {}
-            out.append(re.sub("[A-Za-z]+", lambda m: _cased(m[0], table[m[0].lower()]) if m[0].lower() in table else m[0], text) if table else text)  # noqa: B023
+            known = dict(zip(some, others, strict=True)).get if some is not None else None
+            out.append(re.sub("[A-Za-z]+", lambda m: m[0] if (x := known(m[0].lower())) is None else _cased(m[0], x), text) if known else text)  # noqa: B023
         return pd.Series(out)
 
     replaced.__annotations__ = {"texts": pd.Series, "words": pd.Series, "to": pd.Series, "return": pd.Series}
