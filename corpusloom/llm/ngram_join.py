@@ -44,12 +44,14 @@ from pyspark.sql import functions as F
 
 from .common import bucket_bits, cut, join_classes, partitions
 from .components import components
-from .sketch import cells, count_cells, member_test, split_by_keys
-from .words import Words, by_places, from_places, mix, slices, sorted_unique
+from .sketch import Counts, cells, count_cells, member_test, split_by_keys
+from .words import Words, by_places, from_places, mix, release, slices, sorted_unique
 
 _PERCENT = 100
 _PARTS = 6  # bits: what two classes can share of common tokens is bounded in 64 parts
 _SALTS = 20  # bits of a vast group's places
+_PIECE = 1 << 19  # bytes of text that a worker unfolds at once
+_PREFIXES = 1 << 20  # and of prefixes
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,7 @@ def prefix_length(n: np.ndarray, percent: int, shared: int = 1) -> np.ndarray:
 class Orders:
     """Three orders of all tokens from two count tables."""
 
-    def __init__(self, tables: list[np.ndarray], bits: int):
+    def __init__(self, tables: list[np.ndarray] | list[Counts], bits: int):
         self.tables, self.bits = tables, bits
 
     def hashed(self, tokens: np.ndarray) -> list[np.ndarray]:
@@ -95,6 +97,19 @@ class Orders:
         return doc[keep], tokens[keep]
 
 
+def summed(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and the sum of weights of each."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    start = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+    return x[start], y[start], np.add.reduceat(weights[order], start) if len(x) else weights
+
+
+def null_first(nulls: int, values: np.ndarray) -> pd.arrays.IntegerArray:
+    """So many nulls and then `values`, without an object for each."""
+    return pd.arrays.IntegerArray(np.concatenate([np.zeros(nulls, np.int64), values]), np.arange(nulls + len(values)) < nulls)
+
+
 def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     """What classes of `texts` (c, z: compressed text) share, by how many of them hold a token.
 
@@ -104,7 +119,7 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "z", 1 << 19):
+        for batch in slices(batches, "z", _PIECE // 2):  # compressed
             doc, tokens = shingle_sets(pa.array([zlib.decompress(z).decode() for z in batch.column("z").to_pylist()], pa.large_string()), k)
             order = np.argsort(tokens, kind="stable")
             tokens, ids = tokens[order], batch.column("c").to_numpy()[doc[order]]
@@ -130,8 +145,9 @@ def rare_and_core(texts: DataFrame, k: int, deal: int, rare: int) -> DataFrame:
                 break
             xs.append(ids[i])
             ys.append(ids[i + lag])
-        pairs, times = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0, return_counts=True)
-        return pd.DataFrame({"x": np.concatenate([known, pairs[:, 0]]), "y": pd.array([None] * len(known) + pairs[:, 1].tolist(), dtype="Int64"), "s": np.concatenate([n, times]), "part": int(frame["bucket"].iloc[0]) >> (deal - _PARTS)})
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        x, y, times = summed(x, y, np.ones(len(x), np.int64))
+        return pd.DataFrame({"x": np.concatenate([known, x]), "y": null_first(len(known), y), "s": np.concatenate([n, times]), "part": int(frame["bucket"].iloc[0]) >> (deal - _PARTS)})
 
     return texts.select("c", "z").mapInArrow(dealt, "bucket int, token binary, ids binary").groupBy("bucket").applyInPandas(count, "x bigint, y bigint, s bigint, part int")
 
@@ -162,7 +178,7 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
     """
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "first", _PREFIXES):
             raw = batch.column("first").to_pylist()
             tokens = np.frombuffer(b"".join(raw), np.uint64)
             per = np.array([len(x) // 8 for x in raw], np.int64)
@@ -176,16 +192,12 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
             place = (place << _SALTS) + np.minimum(salt, (1 << _SALTS) - 1)
             order = np.lexsort((tokens, place))
             tokens, ids, n, place = tokens[order], ids[order], n[order], place[order]
-            at, start = np.unique(place, return_index=True)
-            ends = np.append(start[1:], len(place))[: len(at)]
-            rows = [(int(i), *(by_places(x[a:b]) for x in (tokens, ids, n.astype(np.int32)))) for i, a, b in zip(at, start, ends, strict=True)]
+            start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+            ends = np.append(start[1:], len(place))[: len(start)]
+            rows = [(int(place[a]), *(by_places(x[a:b]) for x in (tokens, ids, n.astype(np.int32)))) for a, b in zip(start, ends, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[j] for r in rows], pa.binary()) for j in (1, 2, 3))], names=["bucket", "token", "ids", "n"])
 
-    def summed(pairs: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, where = np.unique(pairs, axis=0, return_inverse=True)
-        return known, np.bincount(where.ravel(), weights, len(known)).astype(np.int64)
-
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         token, ids, n = (np.concatenate([from_places(x, t) for x in frame[c]]) for c, t in (("token", np.uint64), ("ids", np.int64), ("n", np.int32)))
         n = n.astype(np.int64)
@@ -211,9 +223,9 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
             if not len(i):
                 break
             pair(i, i + lag)
-        pairs, times = summed(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), np.concatenate(ws))
+        x, y, times = summed(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
         large = np.flatnonzero(size > small)
-        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        xs, ys, ws = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(large):
             known, where, met = np.unique(ids[large], return_inverse=True, return_counts=True)
             weight = np.zeros(len(token), np.int64)
@@ -223,14 +235,16 @@ def meetings(prefixes: DataFrame, deal: int, small: int, least: int, percent: in
                 own = np.arange(a, ends[np.searchsorted(first, a)])
                 pivot = own[np.argmax(weight[own])]
                 pair(own, np.full(len(own), pivot))
-        star = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-        pairs, times = np.concatenate([pairs, star]), np.concatenate([times, np.full(len(star), least)])
-        return pd.DataFrame({
+        star_x, star_y, _ = summed(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+        out = pd.DataFrame({
             "kind": int(frame["bucket"].iloc[0]) >> (deal + _SALTS),
-            "x": np.concatenate([pairs[:, 0], ids[large]]), "y": np.concatenate([pairs[:, 1], n[large]]),
-            "token": pd.array([None] * len(pairs) + token[large].view(np.int64).tolist(), dtype="Int64"),
-            "times": np.concatenate([times, np.zeros(len(large), np.int64)]),
+            "x": np.concatenate([x, star_x, ids[large]]), "y": np.concatenate([y, star_y, n[large]]),
+            "token": null_first(len(x) + len(star_x), token[large].view(np.int64)),
+            "times": np.concatenate([times, np.full(len(star_x), least), np.zeros(len(large), np.int64)]),
         })
+        if len(token) > _PREFIXES // 8:
+            release()
+        return out
 
     packed = "bucket bigint, token binary, ids binary, n binary"
     return prefixes.select("c", "n", "kind", "first").mapInArrow(dealt, packed).groupBy("bucket").applyInPandas(meet, "kind int, x bigint, y bigint, token bigint, times bigint")
@@ -242,7 +256,7 @@ def links(found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         found = found.join(texts.select(F.col("c").alias(e), F.col("z").alias("z" + e)), e)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "zx", 1 << 19):
+        for batch in slices(batches, "zx", _PIECE // 4):  # compressed, and as much in "zy"
             x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
             raw = dict(zip(x.tolist(), batch.column("zx").to_pylist(), strict=True)) | dict(zip(y.tolist(), batch.column("zy").to_pylist(), strict=True))
             number = {i: j for j, i in enumerate(raw)}
@@ -269,8 +283,8 @@ def ngram_components(
     With `by_text` each row also tells its text's digest and its component, by a class of it: rows of one
     id may be of several components.
 
-    The two count tables have a cell for about every 256 bytes of text, 2**24 (128 MB on the driver and each
-    executor) at most. Only prefixes, pairs and the texts of classes in candidate pairs are shuffled.
+    The two count tables have a cell for about every 256 bytes of text, 2**24 at most: 128 MB on the driver and
+    in a task that counts, 64 MB in each worker that looks tokens up. Only prefixes, pairs and the texts of classes in candidate pairs are shuffled.
     """
     spark = docs.sparkSession
     kind, deal, p = dict(docs.dtypes)[id_col], bucket_bits(spark), partitions(spark)
@@ -279,15 +293,15 @@ def ngram_components(
     bits = bits or min(24, max(16, (volume // 256).bit_length()))
 
     def counted(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
-        for piece in slices([batch], "text"):
+        for piece in slices([batch], "text", _PIECE):
             _, tokens = shingle_sets(piece.column("text"), k)
             yield [mix(tokens, 1), mix(tokens, 2)]
 
-    shared = spark.sparkContext.broadcast(count_cells(everything.select("text"), counted, bits, 2))
+    shared = spark.sparkContext.broadcast([Counts(x) for x in count_cells(everything.select("text"), counted, bits, 2)])
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(shared.value, bits)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _PIECE):
             doc, tokens = shingle_sets(batch.column("text"), k)
             n = np.bincount(doc, minlength=len(batch))
             d, first = orders.prefix(doc, tokens, prefix_length(n, percent, shared_least), 0)
@@ -345,7 +359,7 @@ def ngram_components(
         columns = ["c", *(x.split()[0] for x in names.split(", "))]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", _PIECE):
                 part = batch.filter(pa.array(test(mix(batch.column("id").to_numpy().astype(np.int64).view(np.uint64), 9))))
                 if len(part):
                     doc, tokens = shingle_sets(part.column("text"), k)

@@ -81,6 +81,22 @@ def count_cells(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[list[
     return out
 
 
+class Counts:
+    """A table of counts that takes 16 bits a cell; those that need more, which are few for their sum, stand apart."""
+
+    def __init__(self, counts: np.ndarray):
+        self.low = np.minimum(counts, 0xFFFF).astype(np.uint16)
+        self.where = np.flatnonzero(self.low == 0xFFFF)
+        self.full = counts[self.where]
+
+    def __getitem__(self, cell: np.ndarray) -> np.ndarray:
+        out = self.low[cell].astype(np.uint32)
+        top = np.flatnonzero(out == 0xFFFF)
+        if len(top):
+            out[top] = self.full[np.searchsorted(self.where, cell[top])]
+        return out
+
+
 def bits_for(values: int, least: int = 12, most: int = 27) -> int:
     """Bits of a bitmap with 64 to 128 cells for each value, in bounds."""
     return min(most, max(least, (64 * values).bit_length()))

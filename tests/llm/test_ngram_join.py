@@ -1,11 +1,15 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpusloom.llm.ngram_join as module
 from corpusloom.llm.ngram_join import ngram_components
+from corpusloom.llm.sketch import Counts
+from corpusloom.llm.words import from_places
 
 SCHEMA = "doc_id bigint, text string, n bigint, component string, id int"
 
@@ -157,3 +161,50 @@ def test_names_that_clash(spark, monkeypatch):
 
     monkeypatch.setattr(module, "class_keys", narrow)
     check(spark, corpus(5, n_base=10))
+
+
+class Taken:
+    """Takes the place of a table of prefixes, and keeps the function that would deal them out."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        self.dealt = f
+        return self
+
+    def groupBy(self, *columns):  # noqa: N802
+        return self
+
+    def applyInPandas(self, f, schema):  # noqa: N802
+        return self
+
+
+def test_a_batch_of_prefixes_is_dealt_out_in_pieces():
+    """Memory of a worker follows the piece, not the batch, of which the rows and their prefixes may be any number; no token is lost."""
+    rows, per = 10_000, 80  # 6.4 MB
+    tokens = np.random.default_rng(1).integers(0, 2**63, (rows, per), np.uint64)
+    batch = pa.RecordBatch.from_pydict({"c": pa.array(range(rows), pa.int64()), "n": pa.array([per] * rows, pa.int64()), "kind": pa.array([0] * rows, pa.int32()), "first": pa.array([x.tobytes() for x in tokens], pa.binary())})
+    taken = module.meetings(Taken(), 8, 8, 3, 80, lambda t: np.zeros(len(t), np.int64), 50_000)
+    found = 0
+    tracemalloc.start()
+    try:
+        for part in taken.dealt(iter([batch])):
+            for ids, raw in zip(part.column("ids").to_pylist(), part.column("token").to_pylist(), strict=True):
+                ids, own = from_places(ids, np.int64), from_places(raw, np.uint64)
+                assert (tokens[ids] == own[:, None]).any(axis=1).all()
+                found += len(own)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == rows * per
+    assert peak < 40 << 20
+
+
+def test_counts_beyond_16_bits_are_kept():
+    counts = np.array([0, 1, 65534, 65535, 65536, 2**32 - 1, 7], np.uint32)
+    held = Counts(counts)
+    cell = np.array([5, 0, 6, 4, 3, 2, 1, 5])
+    assert held[cell].tolist() == counts[cell].tolist()
+    assert held[np.zeros(0, np.int64)].tolist() == []
+    assert Counts(np.arange(1 << 16, dtype=np.uint32)).low.nbytes == 1 << 17
