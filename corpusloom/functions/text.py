@@ -318,18 +318,27 @@ def _cased(word: str, to: str) -> str:
     return to[:1].upper() + to[1:] if "A" <= word[:1] <= "Z" else to
 
 
+#: Pieces that an entry can stand for: ASCII words, and what lies between two of them if it is of the two other letters alone of which the lower case is ASCII.
+_ENTRY_PIECES = "[A-Za-z]+|(?<![^A-Za-z])[\u0130\u212a]+(?![^A-Za-z])"
+
+
+def lower_by_letter(c: Column) -> Column:
+    """The lower case, letter by letter: of a capital I with a dot it is i, without the combining dot that lower() adds."""
+    return F.lower(F.replace(c, F.lit("\u0130"), F.lit("i")))
+
+
 def _asked_words(df: DataFrame, text_col: str) -> DataFrame:
-    """(_t, word): the distinct lower-cased ASCII words of each text under its digest, which is taken once for a text, not for each word."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]+"), F.lit(0)))
+    """(_t, word): the distinct lower-cased words of each text under its digest, which is taken once for a text, not for each word."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text_col, F.lit(_ENTRY_PIECES), F.lit(0)), lower_by_letter))
     return df.select(F.md5(text_col).alias("_t"), words.alias("_w")).select("_t", F.explode("_w").alias("word"))
 
 
-def correct_words(df: DataFrame, text_col: str, dictionary: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+def correct_words(df: DataFrame, text_col: str, dictionary: DataFrame, keep: DataFrame | None = None, as_pieces: bool = False) -> DataFrame:
     """`dict_correct` by a table (word, to) of any size: only the entries that a text asks for come to it.
 
     Distinct words of distinct texts are joined to the dictionary; what a text needs goes back to it under
     its digest, and its words are replaced in one pass. Of entries of one word the least counts; words of
-    `keep` (word) stay.
+    `keep` (word) stay. With `as_pieces` the column is the array of the text's `word_pieces`, corrected.
     """
     entries = dictionary.where("word IS NOT NULL AND to IS NOT NULL").groupBy("word").agg(F.min("to").alias("to"))
     if keep is not None:
@@ -340,14 +349,21 @@ def correct_words(df: DataFrame, text_col: str, dictionary: DataFrame, keep: Dat
         out = []
         for text, some, others in zip(texts, words, to, strict=True):
             known = dict(zip(some, others, strict=True)).get if some is not None else None
-            out.append(re.sub("[A-Za-z]+", lambda m: m[0] if (x := known(m[0].lower())) is None else _cased(m[0], x), text) if known else text)  # noqa: B023
-        return pd.Series(out)
+            fix = lambda p: p if (x := known(p.replace("\u0130", "i").lower())) is None else _cased(p, x)  # noqa: B023, E731
+            if known is None:
+                out.append(None)  # such rows are not asked for
+            elif as_pieces:
+                out.append([fix(p) for p in re.findall("[A-Za-z]+|[^A-Za-z]+", text)])
+            else:
+                out.append(re.sub(_ENTRY_PIECES, lambda m: fix(m[0]), text))  # noqa: B023
+        return pd.Series(out, dtype=object)
 
     replaced.__annotations__ = {"texts": pd.Series, "words": pd.Series, "to": pd.Series, "return": pd.Series}
-    fixed = F.pandas_udf(replaced, "string")
+    fixed = F.pandas_udf(replaced, "array<string>" if as_pieces else "string")
     rows = df.withColumn("_t", F.md5(text_col)).join(found, "_t", "left")
     part = lambda name: F.transform("_e", lambda e: e[name])
-    return rows.withColumn(text_col, F.when(F.col("_e").isNull(), F.col(text_col)).otherwise(fixed(F.col(text_col), part("word"), part("to")))).select(*df.columns)
+    as_it_is = word_pieces(F.col(text_col)) if as_pieces else F.col(text_col)
+    return rows.withColumn(text_col, F.when(F.col("_e").isNull(), as_it_is).otherwise(fixed(F.col(text_col), part("word"), part("to")))).select(*df.columns)
 
 
 def dict_missing(df: DataFrame, columns: Iterable[str], mapping: Mapping[str, str] | DataFrame, keep: Iterable[str] = ()) -> DataFrame:
